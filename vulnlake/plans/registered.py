@@ -1,3 +1,5 @@
 """Imports every operator module so that their queries register."""
 
 from vulnlake.operators import detect  # noqa: F401
+from vulnlake.operators import profile  # noqa: F401
+from vulnlake.operators import audit  # noqa: F401
