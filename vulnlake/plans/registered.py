@@ -4,3 +4,4 @@ from vulnlake.operators import detect  # noqa: F401
 from vulnlake.operators import profile  # noqa: F401
 from vulnlake.operators import audit  # noqa: F401
 from vulnlake.operators import history  # noqa: F401
+from vulnlake.operators import textfeat  # noqa: F401
