@@ -6,3 +6,4 @@ from vulnlake.operators import audit  # noqa: F401
 from vulnlake.operators import history  # noqa: F401
 from vulnlake.operators import textfeat  # noqa: F401
 from vulnlake.operators import evaluation  # noqa: F401
+from vulnlake.streaming import streams  # noqa: F401

@@ -28,7 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents → (doc_id, id, prompt, insecure_code, lang)."""
-    doc = table(spark, sf_dir, "documents")
+    return snippets_from(table(spark, sf_dir, "documents"))
+
+
+def snippets_from(doc: DataFrame) -> DataFrame:
+    """The snippets projection over any documents frame (batch or stream)."""
     d = F.col("doc_id")
     cwe = F.element_at(F.array(*[F.lit(c) for c in D.CWE_CYCLE]), (d % len(D.CWE_CYCLE) + 1).cast("int"))
     fam = F.element_at(F.array(*[F.lit(c) for c in D.FAMILY_CYCLE]),
@@ -80,12 +84,15 @@ def enriched_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------- analyses ----------------------------------
 
 def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events ⋈ snippets on doc_id = event_id mod 200.
+    return analyses_from(table(spark, sf_dir, "events"), spark, sf_dir)
+
+
+def analyses_from(ev: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events ⋈ snippets on doc_id = event_id mod 200 (events may be a stream).
 
     The snippet side is filtered to doc_id < 200 (pushed into the parquet
     scan); doc_id is the documents key, so that side holds at most 200 rows
     whatever the scale, and broadcasting it is safe."""
-    ev = table(spark, sf_dir, "events")
     sn = (snippets(spark, sf_dir).where(F.col("doc_id") < D.ANALYSIS_SNIPPETS)
           .select("doc_id", "id", "insecure_code"))
     sn = sn.select(
