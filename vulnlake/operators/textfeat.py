@@ -66,7 +66,8 @@ def l2_normalize(weights: DataFrame, key: str = "doc_id", col: str = "weight") -
 
 def fit_transform(docs: DataFrame, mode: str, n: int, key: str = "doc_id", text: str = "text"):
     """Fit vocabulary + idf on `docs` and return (normalised weights, idf)."""
-    tok = tokens(docs, mode, key, text)
+    # read three times (vocabulary, document frequency, weights): tokenise once
+    tok = tokens(docs, mode, key, text).persist()
     vocab = vocabulary(tok, n)
     n_docs = docs.groupBy().agg(F.count(F.lit(1))).scalar().cast("double")
     idf = fit_idf(tok, vocab, n_docs)
