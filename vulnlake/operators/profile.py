@@ -16,12 +16,12 @@ from vulnlake.plans import domains as D
 from vulnlake.plans.registry import register
 from vulnlake.sources import views as V
 
-CNT = F.count(F.lit(1))
+
 
 
 def category_counts(df: DataFrame, spark: SparkSession) -> DataFrame:
     """Rows per category in report order, absent categories 0."""
-    counts = df.groupBy("category").agg(CNT.alias("n"))
+    counts = df.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
     dom = F.broadcast(D.category_dim(spark).select("category", "report_ord"))
     return dom.join(counts, "category", "left").select(
         "category", "report_ord", F.coalesce(F.col("n"), F.lit(0)).alias("total_count"))
@@ -38,7 +38,7 @@ def published_rates(df: DataFrame, spark: SparkSession) -> DataFrame:
 def rate_frame(df: DataFrame, spark: SparkSession) -> DataFrame:
     """D3: counts full-outer-aligned with the published rates;
     insecure_count = half-even(total × rate / 100)."""
-    counts = df.groupBy("category").agg(CNT.alias("n"))
+    counts = df.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
     rates = D.category_dim(spark).select("category", "report_ord", "insecure_rate_pct")
     j = counts.join(F.broadcast(rates), "category", "full_outer")
     total = F.coalesce(F.col("n"), F.lit(0))
@@ -79,14 +79,14 @@ def feature_stats(df: DataFrame, by: str, cols=("num_tokens", "num_lines"), doma
 
 def top_cwes(df: DataFrame, k: int = 15) -> DataFrame:
     """Count per (cwe, category), top k by count desc then cwe asc."""
-    return (df.where(F.col("cwe").isNotNull()).groupBy("cwe", "category").agg(CNT.alias("count"))
+    return (df.where(F.col("cwe").isNotNull()).groupBy("cwe", "category").agg(F.count(F.lit(1)).alias("count"))
             .orderBy(F.col("count").desc(), F.col("cwe").asc()).limit(k))
 
 
 def source_distribution(df: DataFrame, spark: SparkSession) -> DataFrame:
     """Count per (category, source); values outside the source
     domain become null and sort last."""
-    counts = (df.where(F.col("source").isNotNull()).groupBy("category", "source").agg(CNT.alias("count")))
+    counts = (df.where(F.col("source").isNotNull()).groupBy("category", "source").agg(F.count(F.lit(1)).alias("count")))
     cat = F.broadcast(D.category_dim(spark).select("category", F.col("report_ord").alias("category_ord")))
     src = F.broadcast(D.source_dim(spark).select(F.col("display").alias("source"), "source_ord"))
     j = counts.join(cat, "category", "left").join(src, "source", "left")

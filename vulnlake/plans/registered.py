@@ -8,3 +8,4 @@ from vulnlake.operators import textfeat  # noqa: F401
 from vulnlake.operators import evaluation  # noqa: F401
 from vulnlake.streaming import streams  # noqa: F401
 from vulnlake.operators import training  # noqa: F401
+from vulnlake.operators import columns  # noqa: F401
