@@ -67,13 +67,8 @@ NEGATIVE_LABEL = {"component": "safe", "page": "secure"}
 
 FAMILIES = ["sql_injection", "hardcoded_secret", "weak_crypto"]
 ANY_TEXT = r"[\s\S]*"
-
-# Substrings every rule of a family needs (lower-cased): a cheap pre-filter
-# evaluated before the regexes of that family.
-_FAMILY_NEEDLES = {
-    "sql_injection": ["select", "insert", "update", "delete", "drop", "union"],
-    "weak_crypto": ["md5", "sha", "des", "rc2", "rc4", "blowfish", "ecb", "1024"],
-}
+# Families whose rules hold gaps: matched rule by rule behind a one-pass filter.
+STAGED_FAMILIES = {"sql_injection"}
 
 
 def oracle_pattern(pattern: str, case_insensitive: bool) -> str:
@@ -96,34 +91,54 @@ def staged_pattern(pattern: str, case_insensitive: bool) -> str:
     return flag + r"\A" + "".join(r"(?>[\s\S]*?" + s + ")" for s in stages)
 
 
-def rule_column(code: Column, rule: tuple) -> Column:
+def _scoped(rule: tuple) -> str:
+    """A rule as a self-contained alternative with its own case flag."""
     _, _, pattern, ci = rule
-    return code.rlike(staged_pattern(pattern, ci))
+    body = staged_pattern(pattern, False)
+    return ("(?i:" if ci else "(?-i:") + body + ")"
 
 
-def _needle_filter(code: Column, family: str) -> Column | None:
-    needles = _FAMILY_NEEDLES.get(family)
-    if not needles:
-        return None
-    low = F.lower(code)
-    cond = None
-    for n in needles:
-        c = low.contains(n)
-        cond = c if cond is None else (cond | c)
-    return cond
+def family_pattern(family: str) -> str:
+    """One Java regex that matches iff any rule of the family matches: a
+    single pass over the text instead of one pass per rule."""
+    return "|".join(_scoped(r) for r in RULES if r[1] == family)
 
 
-def family_flag(code: Column, family: str) -> Column:
-    """True if any rule of the family fires (C1, C2, C3).  Null code → false."""
-    cond = None
-    for rule in RULES:
-        if rule[1] != family:
+def first_stage_pattern(family: str) -> str:
+    """Alternation of the first stage of every rule of the family: a
+    necessary condition, checked in one pass before the staged rules."""
+    firsts = []
+    for _, fam, pattern, ci in RULES:
+        if fam != family:
             continue
-        c = rule_column(code, rule)
-        cond = c if cond is None else (cond | c)
-    pre = _needle_filter(code, family)
-    if pre is not None:
-        cond = F.when(pre, cond).otherwise(F.lit(False))
+        head = pattern.split(ANY_TEXT)[0]
+        alt = ("(?i:" if ci else "(?-i:") + head + ")"
+        if alt not in firsts:
+            firsts.append(alt)
+    return "|".join(firsts)
+
+
+def rule_column(code: Column, rule: tuple) -> Column:
+    _, _, pattern, ci = rule
+    return code.rlike(staged_pattern(pattern, ci))
+
+
+def family_flag(code: Column, family: str) -> Column:
+    """True if any rule of the family fires (C1, C2, C3).  Null code → false.
+
+    Rules whose patterns have gaps (the SQL family) each scan the text once,
+    so they run only when the one-pass first-stage filter matched; the
+    other families are a single combined regex."""
+    if family in STAGED_FAMILIES:
+        cond = None
+        for rule in RULES:
+            if rule[1] != family:
+                continue
+            c = rule_column(code, rule)
+            cond = c if cond is None else (cond | c)
+        cond = F.when(code.rlike(first_stage_pattern(family)), cond).otherwise(F.lit(False))
+    else:
+        cond = code.rlike(family_pattern(family))
     return F.coalesce(cond, F.lit(False))
 
 
@@ -151,9 +166,13 @@ def verdict(code: Column, policy: str = "component") -> Column:
     return expr.otherwise(F.lit(NEGATIVE_LABEL[policy]))
 
 
-def rule_hit_ids(code: Column) -> Column:
-    """Array of the ids of every rule that fires."""
-    hits = [F.when(rule_column(code, r), F.lit(r[0])) for r in RULES]
+def rule_hit_ids(code: Column, family_flags: dict[str, Column] | None = None) -> Column:
+    """Array of the ids of every rule that fires (C7).  With family flags
+    (already computed columns), a rule runs only inside a family that fired."""
+    def gate(r):
+        c = rule_column(code, r)
+        return c if family_flags is None else (family_flags[r[1]] & c)
+    hits = [F.when(gate(r), F.lit(r[0])) for r in RULES]
     return F.filter(F.array(*hits), lambda x: x.isNotNull())
 
 

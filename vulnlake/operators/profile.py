@@ -96,19 +96,24 @@ def source_distribution(df: DataFrame, spark: SparkSession) -> DataFrame:
 
 def box_stats(df: DataFrame, col: str, by: str) -> DataFrame:
     """Quartiles (linear interpolation), 1.5·IQR whiskers at the
-    furthest point inside, outlier count."""
-    q = (df.groupBy(by).agg(F.percentile(col, [0.25, 0.5, 0.75]).alias("q"))
+    furthest point inside, outlier count.
+
+    The rows are first reduced to a histogram (group, value, frequency) —
+    one pass, map-side combined — and every statistic is computed from it
+    (weighted percentile, then whiskers over the histogram)."""
+    hist = df.groupBy(by, col).agg(F.count(F.lit(1)).alias("freq"))
+    q = (hist.groupBy(by).agg(F.percentile(col, [0.25, 0.5, 0.75], F.col("freq")).alias("q"))
          .select(by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
          .withColumn("iqr", F.col("q3") - F.col("q1")))
     lo = F.col("q1") - F.lit(1.5) * F.col("iqr")
     hi = F.col("q3") + F.lit(1.5) * F.col("iqr")
     x = F.col(col)
-    # q has one row per group (a handful): broadcast join back to the rows
-    j = df.select(by, col).join(F.broadcast(q), by)
+    # q has one row per group: broadcast it onto the histogram
+    j = hist.join(F.broadcast(q), by)
     return j.groupBy(by, "q1", "median", "q3", "iqr").agg(
         F.min(F.when(x >= lo, x)).alias("whisker_low"),
         F.max(F.when(x <= hi, x)).alias("whisker_high"),
-        F.sum(F.when((x < lo) | (x > hi), 1).otherwise(0)).cast("long").alias("n_outliers"),
+        F.sum(F.when((x < lo) | (x > hi), F.col("freq")).otherwise(0)).cast("long").alias("n_outliers"),
     )
 
 

@@ -223,7 +223,7 @@ def q_vocabulary(spark, sf):
 
 def _fit_spark(spark, sf, mode, n):
     docs = _docs(spark, sf).select("doc_id", "text")
-    tok = tokens(docs, mode)
+    tok = tokens(docs, mode).persist()  # read by the vocabulary, df and weight passes
     vocab = vocabulary(tok, n)
     n_docs = docs.groupBy().agg(F.count(F.lit(1))).scalar().cast("double")
     return docs, tok, fit_idf(tok, vocab, n_docs)
