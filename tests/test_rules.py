@@ -1,0 +1,91 @@
+"""Rule detection: the studied project's labelled examples, both priority
+policies, staged-regex equivalence and linear growth."""
+
+import random
+import time
+
+from pyspark.sql import functions as F
+
+from vulnlake.functions import rules as R
+from vulnlake.plans import domains as D
+
+# FIXED VALUES: the component's labelled examples (language, class, code).
+EXAMPLES = [
+    ("python", "sql_injection", "from flask import request\n\nusername = request.args.get(\"username\")\nquery = \"SELECT * FROM users WHERE name = '\" + username + \"'\"\ncursor.execute(query)"),
+    ("python", "weak_crypto", "import hashlib\n\ndef hash_password(password):\n    return hashlib.md5(password.encode()).hexdigest()"),
+    ("python", "hardcoded_secret", "API_KEY = \"sk_test_9412_prod\"\nclient = SomeClient(api_key=API_KEY)"),
+    ("javascript", "sql_injection", "const user = req.query.user;\nconst query = \"SELECT * FROM users WHERE name = '\" + user + \"'\";\ndb.query(query);"),
+    ("javascript", "weak_crypto", "const crypto = require(\"crypto\");\nconst hash = crypto.createHash(\"md5\").update(password).digest(\"hex\");"),
+    ("javascript", "hardcoded_secret", "const apiKey = \"prod_live_89112\";\nconst client = createClient({ apiKey });"),
+    ("java", "sql_injection", "String user = request.getParameter(\"user\");\nString query = \"SELECT * FROM users WHERE name = '\" + user + \"'\";\nstatement.executeQuery(query);"),
+    ("java", "weak_crypto", "MessageDigest md = MessageDigest.getInstance(\"MD5\");\nbyte[] digest = md.digest(password.getBytes());"),
+    ("java", "hardcoded_secret", "String password = \"super-secret-admin\";\nconnection = DriverManager.getConnection(url, \"admin\", password);"),
+]
+
+
+def _verdicts(spark, codes, policy):
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(codes)], "i int, code string")
+    rows = df.select("i", R.verdict(F.col("code"), policy).alias("v")).orderBy("i").collect()
+    return [r.v for r in rows]
+
+
+def test_component_examples_get_their_class(spark):
+    got = _verdicts(spark, [e[2] for e in EXAMPLES], "component")
+    assert got == [e[1] for e in EXAMPLES]
+
+
+def test_page_pairs(spark):
+    bad = _verdicts(spark, [p[1] for p in D.EXAMPLE_PAIRS], "page")
+    good = _verdicts(spark, [p[2] for p in D.EXAMPLE_PAIRS], "page")
+    assert bad == [p[0] for p in D.EXAMPLE_PAIRS]
+    # the recommended SQL fix still matches the '%' rule: a false alarm
+    assert good == ["sql_injection", "secure", "secure"]
+
+
+def test_policies_differ_on_mixed_snippet(spark):
+    mixed = D.TEMPLATES[5]
+    assert _verdicts(spark, [mixed], "component") == ["sql_injection"]
+    assert _verdicts(spark, [mixed], "page") == ["weak_crypto"]
+
+
+def test_aws_key_rule_is_case_sensitive(spark):
+    code = D.TEMPLATES[12]
+    assert _verdicts(spark, [code], "component") == ["hardcoded_secret"]
+    assert _verdicts(spark, [code], "page") == ["secure"]  # lower-cased input cannot match
+
+
+def test_null_and_blank_are_safe(spark):
+    df = spark.createDataFrame([(None,), ("",), ("   ",)], "code string")
+    vs = [r.v for r in df.select(R.verdict(F.col("code")).alias("v")).collect()]
+    assert vs == ["safe", "safe", "safe"]
+
+
+def _rand_text(rng):
+    parts = ["query = \"", "sql = f'", "SELECT ", "select", " union ", "{x}", "{", "}", " + name", "+ ", ".format(",
+             "% (a", "%s", "execute(\"", "execute(f\"", "db.query(`", "${id}", "statement.executeQuery(\"",
+             "prepareStatement('", "\n", " ", "x", "=", "'", "\"", "`", "drop", "update"]
+    return "".join(rng.choice(parts) for _ in range(rng.randint(1, 30)))
+
+
+def test_staged_equals_original(spark):
+    rng = random.Random(7)
+    texts = [_rand_text(rng) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "code string")
+    sql_rules = [r for r in R.RULES if R.ANY_TEXT in r[2]]
+    cols = []
+    for rid, _, pat, ci in sql_rules:
+        orig = F.col("code").rlike(("(?i)" if ci else "") + pat)
+        staged = F.col("code").rlike(R.staged_pattern(pat, ci))
+        cols.append(F.sum((orig != staged).cast("int")).alias(rid))
+        cols.append(F.sum(orig.cast("int")).alias(rid + "_hits"))
+    row = df.agg(*cols).collect()[0].asDict()
+    assert all(row[r[0]] == 0 for r in sql_rules), row
+    assert sum(row[r[0] + "_hits"] for r in sql_rules) > 100  # the fixture exercises the rules
+
+
+def test_staged_rules_are_linear_on_adversarial_text(spark):
+    text = 'query = "select ' * 8000
+    df = spark.createDataFrame([(text,)], "code string")
+    t0 = time.time()
+    df.select(R.flag_sqli(F.col("code")).alias("f")).collect()
+    assert time.time() - t0 < 30

@@ -67,8 +67,16 @@ NEGATIVE_LABEL = {"component": "safe", "page": "secure"}
 
 FAMILIES = ["sql_injection", "hardcoded_secret", "weak_crypto"]
 ANY_TEXT = r"[\s\S]*"
-# Families whose rules hold gaps: matched rule by rule behind a one-pass filter.
-STAGED_FAMILIES = {"sql_injection"}
+# Lower-case substrings of which every rule of the family needs at least
+# one (derived from the rule texts above).  A cheap gate: the regexes of a
+# family run only on texts that contain one of its needles.  Measured on
+# sf0.1 documents this cuts the SQL family from 17 s to 5 s.
+FAMILY_NEEDLES = {
+    "sql_injection": ["select", "insert", "update", "delete", "drop", "union"],
+    "weak_crypto": ["md5", "sha1", "sha-1", "des.new", "3des", "tripledes", "rc2", "rc4", "blowfish", "ecb", "1024"],
+    "hardcoded_secret": ["pass", "pwd", "secret", "api", "token", "key", "auth", "akia", "xox", "mongodb",
+                         "postgres", "createclient"],
+}
 
 
 def oracle_pattern(pattern: str, case_insensitive: bool) -> str:
@@ -91,55 +99,31 @@ def staged_pattern(pattern: str, case_insensitive: bool) -> str:
     return flag + r"\A" + "".join(r"(?>[\s\S]*?" + s + ")" for s in stages)
 
 
-def _scoped(rule: tuple) -> str:
-    """A rule as a self-contained alternative with its own case flag."""
-    _, _, pattern, ci = rule
-    body = staged_pattern(pattern, False)
-    return ("(?i:" if ci else "(?-i:") + body + ")"
-
-
-def family_pattern(family: str) -> str:
-    """One Java regex that matches iff any rule of the family matches: a
-    single pass over the text instead of one pass per rule."""
-    return "|".join(_scoped(r) for r in RULES if r[1] == family)
-
-
-def first_stage_pattern(family: str) -> str:
-    """Alternation of the first stage of every rule of the family: a
-    necessary condition, checked in one pass before the staged rules."""
-    firsts = []
-    for _, fam, pattern, ci in RULES:
-        if fam != family:
-            continue
-        head = pattern.split(ANY_TEXT)[0]
-        alt = ("(?i:" if ci else "(?-i:") + head + ")"
-        if alt not in firsts:
-            firsts.append(alt)
-    return "|".join(firsts)
-
-
 def rule_column(code: Column, rule: tuple) -> Column:
     _, _, pattern, ci = rule
     return code.rlike(staged_pattern(pattern, ci))
 
 
+def needle_gate(code: Column, family: str) -> Column:
+    low = F.lower(code)
+    cond = None
+    for n in FAMILY_NEEDLES[family]:
+        c = low.contains(n)
+        cond = c if cond is None else (cond | c)
+    return cond
+
+
 def family_flag(code: Column, family: str) -> Column:
     """True if any rule of the family fires (C1, C2, C3).  Null code → false.
-
-    Rules whose patterns have gaps (the SQL family) each scan the text once,
-    so they run only when the one-pass first-stage filter matched; the
-    other families are a single combined regex."""
-    if family in STAGED_FAMILIES:
-        cond = None
-        for rule in RULES:
-            if rule[1] != family:
-                continue
-            c = rule_column(code, rule)
-            cond = c if cond is None else (cond | c)
-        cond = F.when(code.rlike(first_stage_pattern(family)), cond).otherwise(F.lit(False))
-    else:
-        cond = code.rlike(family_pattern(family))
-    return F.coalesce(cond, F.lit(False))
+    Rules run one by one (Java matches separate literal-led patterns faster
+    than one alternation) behind the family's needle gate."""
+    cond = None
+    for rule in RULES:
+        if rule[1] != family:
+            continue
+        c = rule_column(code, rule)
+        cond = c if cond is None else (cond | c)
+    return F.coalesce(F.when(needle_gate(code, family), cond).otherwise(F.lit(False)), F.lit(False))
 
 
 def flag_sqli(code: Column) -> Column:
