@@ -110,6 +110,10 @@ def fit_predict(name: str, train: DataFrame, valid: DataFrame, spark: SparkSessi
     """Fit features + model on `train`, predict `valid`:
     (doc_id, label, prediction, scores array<double>)."""
     log_sizes = name == "SVM (RBF)"
+    # both sides are read by several passes (tokens, counts, size features):
+    # keep the split rows instead of recomputing the split's shuffles
+    cols = ["doc_id", "text", "label", "weight"]
+    train, valid = train.select(*cols).persist(), valid.select(*cols).persist()
     tv, vv = featurize(train, valid, log_sizes=log_sizes)
     if name == "SVM (RBF)":
         nf = D.BENCH_MAX_FEATURES + 2
