@@ -329,7 +329,7 @@ def q_highlight(spark, sf):
 
 
 @register("risky_token_counts", lambda: V.with_views("snippets") +
-          "SELECT verdict, token, n, rank FROM (SELECT verdict, token, n, "
+          "SELECT verdict, token, n, CAST(rank AS INTEGER) AS rank FROM (SELECT verdict, token, n, "
           "row_number() OVER (PARTITION BY verdict ORDER BY n DESC, token ASC) AS rank FROM "
           "(SELECT verdict, lower(token) AS token, count(*) AS n FROM "
           f"(SELECT doc_id, verdict, unnest({_sql_by_verdict('regexp_extract_all(insecure_code, {p}, 1)')}) AS token FROM "
