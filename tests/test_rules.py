@@ -89,3 +89,11 @@ def test_staged_rules_are_linear_on_adversarial_text(spark):
     t0 = time.time()
     df.select(R.flag_sqli(F.col("code")).alias("f")).collect()
     assert time.time() - t0 < 30
+
+
+def test_strict_mode_drops_the_placeholder_false_alarm(spark):
+    fix = D.EXAMPLE_PAIRS[0][2]
+    bad = D.EXAMPLE_PAIRS[0][1]
+    df = spark.createDataFrame([(fix,), (bad,), ('query = "SELECT a FROM t WHERE b = %s" % name',)], "code string")
+    got = [r.v for r in df.select(R.verdict(F.col("code"), "component", strict=True).alias("v")).collect()]
+    assert got == ["safe", "sql_injection", "sql_injection"]

@@ -79,6 +79,20 @@ FAMILY_NEEDLES = {
 }
 
 
+# Strict mode (our option): the '%' rule no longer fires on a bare "%s"
+# placeholder directly followed by a quote — the parameterised form the
+# remediation itself recommends.  Written without look-arounds so that RE2
+# runs the same text.
+PERCENT_TAIL = r"%\s*\(?\s*[a-z_]"
+STRICT_PERCENT_TAIL = r"""%(?:\s*\(\s*[a-z_]|\s+[a-z_]|[a-rt-z_]|s[^"']|s\z)"""
+
+
+def rules_for(strict: bool = False) -> list[tuple]:
+    if not strict:
+        return RULES
+    return [(rid, fam, pat.replace(PERCENT_TAIL, STRICT_PERCENT_TAIL), ci) for rid, fam, pat, ci in RULES]
+
+
 def oracle_pattern(pattern: str, case_insensitive: bool) -> str:
     """Pattern text for engines with a linear-time matcher (RE2)."""
     return ("(?i)" if case_insensitive else "") + pattern
@@ -113,12 +127,12 @@ def needle_gate(code: Column, family: str) -> Column:
     return cond
 
 
-def family_flag(code: Column, family: str) -> Column:
+def family_flag(code: Column, family: str, strict: bool = False) -> Column:
     """True if any rule of the family fires (C1, C2, C3).  Null code → false.
     Rules run one by one (Java matches separate literal-led patterns faster
     than one alternation) behind the family's needle gate."""
     cond = None
-    for rule in RULES:
+    for rule in rules_for(strict):
         if rule[1] != family:
             continue
         c = rule_column(code, rule)
@@ -138,14 +152,14 @@ def flag_secret(code: Column) -> Column:
     return family_flag(code, "hardcoded_secret")
 
 
-def verdict(code: Column, policy: str = "component") -> Column:
+def verdict(code: Column, policy: str = "component", strict: bool = False) -> Column:
     """C4 (component: SQL → crypto → secret, else safe) and
     C5 (page: lower-cased input; crypto → SQL → secret, else secure)."""
     order = COMPONENT_ORDER if policy == "component" else PAGE_ORDER
     text = code if policy == "component" else F.lower(code)
     expr = None
     for fam in order:
-        cond = family_flag(text, fam)
+        cond = family_flag(text, fam, strict)
         expr = F.when(cond, F.lit(fam)) if expr is None else expr.when(cond, F.lit(fam))
     return expr.otherwise(F.lit(NEGATIVE_LABEL[policy]))
 
@@ -179,15 +193,15 @@ def sql_rule(code_sql: str, rule: tuple) -> str:
     return f"regexp_matches({code_sql}, {sql_str(oracle_pattern(pattern, ci))})"
 
 
-def sql_family_flag(code_sql: str, family: str) -> str:
-    parts = [sql_rule(code_sql, r) for r in RULES if r[1] == family]
+def sql_family_flag(code_sql: str, family: str, strict: bool = False) -> str:
+    parts = [sql_rule(code_sql, r) for r in rules_for(strict) if r[1] == family]
     return "coalesce((" + " OR ".join(parts) + "), false)"
 
 
-def sql_verdict(code_sql: str, policy: str = "component") -> str:
+def sql_verdict(code_sql: str, policy: str = "component", strict: bool = False) -> str:
     order = COMPONENT_ORDER if policy == "component" else PAGE_ORDER
     text = code_sql if policy == "component" else f"lower({code_sql})"
-    whens = " ".join(f"WHEN {sql_family_flag(text, fam)} THEN '{fam}'" for fam in order)
+    whens = " ".join(f"WHEN {sql_family_flag(text, fam, strict)} THEN '{fam}'" for fam in order)
     return f"CASE {whens} ELSE '{NEGATIVE_LABEL[policy]}' END"
 
 

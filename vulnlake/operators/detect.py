@@ -143,9 +143,10 @@ def example_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doc.select("doc_id", F.inline(sides))
 
 
-def rule_quality(pairs: DataFrame) -> DataFrame:
-    """Hit / miss / false alarm per expected class."""
-    v = pairs.withColumn("verdict", R.verdict(F.col("code")))
+def rule_quality(pairs: DataFrame, strict: bool = False) -> DataFrame:
+    """Hit / miss / false alarm per expected class (strict=True: the
+    '%' rule ignores a bare %s placeholder before a quote)."""
+    v = pairs.withColumn("verdict", R.verdict(F.col("code"), "component", strict))
     outcome = (F.when((F.col("expected") != "safe") & (F.col("verdict") == F.col("expected")), "hit")
                .when(F.col("expected") != "safe", "miss")
                .when(F.col("verdict") != "safe", "false_alarm")
@@ -355,14 +356,23 @@ def _sql_pairs():
             f"UNION ALL SELECT doc_id, 'safe' AS expected, text || chr(10) || {good} AS code FROM documents")
 
 
-@register("rule_quality", lambda:
-          "SELECT expected, verdict, CASE WHEN expected <> 'safe' AND verdict = expected THEN 'hit' "
-          "WHEN expected <> 'safe' THEN 'miss' WHEN verdict <> 'safe' THEN 'false_alarm' ELSE 'correct_clean' END AS outcome, "
-          f"count(*) AS n FROM (SELECT expected, {R.sql_verdict('code')} AS verdict FROM ({_sql_pairs()}) p) v GROUP BY 1, 2, 3")
+def _sql_rule_quality(strict: bool) -> str:
+    return ("SELECT expected, verdict, CASE WHEN expected <> 'safe' AND verdict = expected THEN 'hit' "
+            "WHEN expected <> 'safe' THEN 'miss' WHEN verdict <> 'safe' THEN 'false_alarm' ELSE 'correct_clean' END AS outcome, "
+            f"count(*) AS n FROM (SELECT expected, {R.sql_verdict('code', 'component', strict)} AS verdict FROM ({_sql_pairs()}) p) v "
+            "GROUP BY 1, 2, 3")
+
+
+@register("rule_quality", lambda: _sql_rule_quality(False))
 def q_rule_quality(spark, sf):
     return rule_quality(example_pairs(spark, sf))
 
 
+@register("rule_quality_strict", lambda: _sql_rule_quality(True))
+def q_rule_quality_strict(spark, sf):
+    return rule_quality(example_pairs(spark, sf), strict=True)
+
+
 _SQL_DEFAULTED = "coalesce(nullif(text, ''), " + sql_str(D.DEFAULT_SNIPPET) + ")"
 
 

@@ -65,11 +65,14 @@ def enrich(df: DataFrame, source_dim: DataFrame | None = None) -> DataFrame:
     return out
 
 
-def normalize_source(raw):
+def normalize_source(raw, compat: bool = False):
     """Known key (lower-cased) → display name; else Python-style title case.
 
     The five-entry map is a fixed literal, folded by Catalyst into a CASE;
-    no join is needed."""
+    no join is needed.  A missing source stays null; compat=True gives the
+    text 'Nan' as the studied code does (str(nan).title())."""
+    if compat:
+        raw = F.coalesce(raw, F.lit("nan"))
     key = F.lower(raw)
     expr = None
     for k, v in D.SOURCE_DISPLAY.items():
