@@ -126,12 +126,15 @@ def store_analyses(df: DataFrame, path: str, key: str = "analysis_id") -> DataFr
     """Append results not yet stored (left-anti join on the key), so a
     replayed batch is written once; partitioned by day."""
     spark = df.sparkSession
+    batch = df.withColumn("day", F.to_date("ts"))
     try:
-        existing = spark.read.parquet(path).select(key)
-        new = df.join(existing, key, "left_anti")
+        existing = spark.read.parquet(path).select("day", key)
+        # joining on the partition column lets dynamic partition pruning read
+        # only the stored days that the batch touches
+        new = batch.join(existing, ["day", key], "left_anti")
     except Exception:  # noqa: BLE001  (no table yet)
-        new = df
-    new.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(path)
+        new = batch
+    new.write.mode("append").partitionBy("day").parquet(path)
     return spark.read.parquet(path)
 
 

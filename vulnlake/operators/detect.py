@@ -111,11 +111,29 @@ def highlight(df: DataFrame, code: str = "insecure_code") -> DataFrame:
     return df.withColumn("highlighted", F.coalesce(marked, F.col(code)))
 
 
+def lower_risky_pattern(verdict: str) -> str | None:
+    """Case-sensitive pattern of the lower-cased tokens, for lower-cased text."""
+    toks = [t.lower() for t in D.VERDICT_META_COMPONENT[verdict][5] if t]
+    return "(" + "|".join(_escape_token(t) for t in toks) + ")" if toks else None
+
+
 def risky_token_counts(df: DataFrame, k: int = 5, key: str = "doc_id", code: str = "insecure_code") -> DataFrame:
-    """C14: token frequency per verdict, top k (count desc, token asc)."""
+    """C14: token frequency per verdict, top k (count desc, token asc).
+
+    Only lower-cased tokens are counted, so they are extracted from the
+    lower-cased text with a case-sensitive pattern (the same matches as the
+    case-insensitive one on the original text, at a fraction of the cost)."""
     from pyspark.sql.window import Window
-    counts = (risky_tokens(df, key, code).groupBy("verdict", F.lower("token").alias("token"))
-              .agg(F.count(F.lit(1)).alias("n")))
+    low = F.lower(F.col(code))
+    expr = None
+    for v in VERDICTS:
+        p = lower_risky_pattern(v)
+        if p is None:
+            continue
+        cond, val = F.col("verdict") == F.lit(v), F.regexp_extract_all(low, F.lit(p), 1)
+        expr = F.when(cond, val) if expr is None else expr.when(cond, val)
+    toks = df.select("verdict", F.explode(expr).alias("token"))
+    counts = toks.groupBy("verdict", "token").agg(F.count(F.lit(1)).alias("n"))
     # at most (#verdicts × #tokens) rows after the aggregate: the window is tiny
     w = Window.partitionBy("verdict").orderBy(F.col("n").desc(), F.col("token").asc())
     return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

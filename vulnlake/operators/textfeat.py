@@ -98,14 +98,6 @@ def assemble_long(weights: DataFrame, docs: DataFrame, key: str = "doc_id", text
     return weights.unionByName(extra)
 
 
-def matrix_shape(long: DataFrame, docs: DataFrame, n_cols: int, key: str = "doc_id") -> DataFrame:
-    """Rows, columns, non-zeros, density."""
-    nnz = long.where(F.col("weight") != 0).groupBy().agg(F.count(F.lit(1)).alias("nnz"))
-    rows = docs.groupBy().agg(F.count(F.lit(1)).alias("n_rows"))
-    return rows.select("n_rows", F.lit(n_cols).alias("n_cols"), nnz.scalar().alias("nnz")).withColumn(
-        "density", B.round_half_even(F.col("nnz") / (F.col("n_rows") * F.col("n_cols")), 6))
-
-
 def dense_features(long: DataFrame, idf: DataFrame, key: str = "doc_id") -> DataFrame:
     """Long weights → one dense array per row indexed by vocabulary rank
     (size = vocabulary size, a fixed bound)."""
