@@ -1,7 +1,7 @@
 """Splits and evaluation.
 
 Splits rank rows inside a class without putting a class in one task:
-rows are ordered by md5(seed:id); the first two hex digits form 256
+rows are ordered by md5(seed:id); the first four hex digits form 65,536
 ordered buckets, a row's rank is its position inside its (class, bucket)
 plus the sizes of the earlier buckets of its class.  That is exactly the
 rank a single window per class would give.
@@ -23,7 +23,8 @@ from vulnlake.sources import views as V
 
 K_FOLDS = 5
 HOLDOUT = (1, 5)  # test share 1/5
-AUC_BUCKETS = 1024
+AUC_BUCKETS = 1 << 16  # score buckets per class: bounds the rows of one AUC window task
+RANK_HEX_DIGITS = 4     # md5 prefix digits → 65,536 ordered buckets per class
 CLASS_NAMES = D.LABELS
 
 
@@ -36,11 +37,11 @@ def _r6(c):
 def class_rank(df: DataFrame, label: str, key: str, seed: int = D.SEED) -> DataFrame:
     """1-based rank of each row inside its class, ordered by (md5(seed:key), key)."""
     h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    x = df.withColumns({"_h": h, "_b": F.conv(F.substring(h, 1, 2), 16, 10).cast("int")})
+    x = df.withColumns({"_h": h, "_b": F.conv(F.substring(h, 1, RANK_HEX_DIGITS), 16, 10).cast("int")})
     w_local = Window.partitionBy(label, "_b").orderBy("_h", key)
     x = x.withColumn("_rl", F.row_number().over(w_local))
     sizes = x.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    # ≤ 256 rows per class
+    # ≤ 65,536 rows per class
     w_off = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offs = sizes.select(label, "_b", F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_off"))
     return (x.join(offs, [label, "_b"]).withColumn("class_rank", F.col("_rl") + F.col("_off"))
@@ -144,7 +145,7 @@ def roc_auc_ovr(pred: DataFrame) -> DataFrame:
 
     AUC = Σ_s pos(s)·(neg_below(s) + neg(s)/2) / (P·N).  Counts are first
     aggregated per distinct score; neg_below is the negatives of lower
-    score buckets (window over ≤ 1025 bucket rows per class) plus those
+    score buckets (window over ≤ 65,537 bucket rows per class) plus those
     below inside the bucket (window per (class, bucket))."""
     cs = class_scores(pred)
     per_s = cs.groupBy("model", "cls", "score").agg(

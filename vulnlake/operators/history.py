@@ -2,8 +2,8 @@
 
 Per-user orderings are computed in two phases so that no single user
 (which may hold a third of all rows) lands in one task: local results per
-(user, day) partition, plus offsets from a per-(user, day) summary whose
-size is bounded by users × days, not by rows.
+(user, hour) partition, plus offsets from a per-(user, hour) summary whose
+size is bounded by users × hours, not by rows.
 """
 
 from __future__ import annotations
@@ -59,9 +59,9 @@ def verdict_trend(df: DataFrame, verdicts=VERDICTS) -> DataFrame:
 
 def running_totals(df: DataFrame, verdicts=VERDICTS) -> DataFrame:
     """H4: per user, total and per-verdict counters after each analysis
-    (order ts, analysis_id).  Two phases: running sums inside (user, day),
-    plus the sums of earlier days of the user."""
-    x = df.select("analysis_id", "user_id", "ts", "verdict", F.to_date("ts").alias("day"))
+    (order ts, analysis_id).  Two phases: running sums inside (user, hour),
+    plus the sums of the user's earlier hours."""
+    x = df.select("analysis_id", "user_id", "ts", "verdict", F.date_trunc("hour", "ts").alias("day"))
     metrics = {"total": F.lit(1)} | {v: (F.col("verdict") == v).cast("long") for v in verdicts}
     x = x.withColumns({f"m_{k}": c.cast("long") for k, c in metrics.items()})
     w_local = (Window.partitionBy("user_id", "day").orderBy("ts", "analysis_id")
@@ -69,7 +69,7 @@ def running_totals(df: DataFrame, verdicts=VERDICTS) -> DataFrame:
     local = x.select("analysis_id", "user_id", "day",
                      *[F.sum(f"m_{k}").over(w_local).alias(f"l_{k}") for k in metrics])
     per_day = x.groupBy("user_id", "day").agg(*[F.sum(f"m_{k}").alias(f"d_{k}") for k in metrics])
-    # one row per (user, day): the prefix over days is small
+    # one row per (user, hour): the prefix over hours is small
     w_days = Window.partitionBy("user_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_day.select("user_id", "day",
                              *[F.coalesce(F.sum(f"d_{k}").over(w_days), F.lit(0)).alias(f"o_{k}") for k in metrics])

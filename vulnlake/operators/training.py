@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, OneVsRest,
                                        RandomForestClassifier)
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -57,36 +59,31 @@ def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return EV.class_weights(doc, "lang")
 
 
-def gaussian_table(spark: SparkSession, n_features: int, n_components: int, gamma: float, seed: int = D.SEED) -> DataFrame:
-    """Seeded N(0, 2γ) entries (i, j, w) from md5 + Box–Muller, and phases
-    b_j ~ U(0, 2π): n_features × n_components rows, a fixed bound."""
-    ij = (spark.range(n_features).withColumnRenamed("id", "i")
-          .select("i", F.explode(F.sequence(F.lit(0), F.lit(n_components - 1))).alias("j")))
+def rff_weights(n_features: int, n_components: int, gamma: float, seed: int = D.SEED):
+    """Seeded W ~ N(0, 2γ) (n_features × n_components) and b ~ U(0, 2π):
+    a fixed-size table, shipped to the tasks inside the UDF closure."""
+    rng = np.random.default_rng(seed)
+    w = rng.normal(0.0, math.sqrt(2.0 * gamma), size=(n_features, n_components))
+    b = rng.uniform(0.0, 2.0 * math.pi, size=n_components)
+    return w, b
 
-    def unif(tag):
-        h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(tag), F.col("i").cast("string"), F.col("j").cast("string")))
-        return (F.conv(F.substring(h, 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(16 ** 13))
 
-    u1, u2 = unif("u1"), unif("u2")
-    z = F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2 * math.pi) * u2)
-    return ij.select("i", "j", (z * F.lit(math.sqrt(2 * gamma))).alias("w"))
+def random_fourier(vecs: DataFrame, n_features: int, n_components: int, gamma: float, seed: int = D.SEED) -> DataFrame:
+    """z(x) = √(2/D)·cos(xW + b) (Rahimi & Recht): one matrix product per
+    Arrow batch in a pandas UDF — rows stay rows, no per-feature explode."""
+    from pyspark.sql.functions import pandas_udf
 
+    w, b = rff_weights(n_features, n_components, gamma, seed)
+    scale = math.sqrt(2.0 / n_components)
 
-def random_fourier(vecs: DataFrame, gauss: DataFrame, n_components: int, seed: int = D.SEED) -> DataFrame:
-    """z_j(x) = √(2/D)·cos(w_j·x + b_j): the projection is a join of the
-    long features with the (broadcast, fixed-size) Gaussian table and a sum
-    per (row, component)."""
-    long = vecs.select("doc_id", "label", "weight", F.posexplode(vector_to_array("features")).alias("i", "x")).where(F.col("x") != 0)
-    proj = (long.join(F.broadcast(gauss), "i").groupBy("doc_id", "label", "weight", "j")
-            .agg(F.sum(F.col("x") * F.col("w")).alias("s")))
-    hb = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("b"), F.col("j").cast("string")))
-    b = (F.conv(F.substring(hb, 1, 13), 16, 10).cast("double") / F.lit(float(16 ** 13))) * F.lit(2 * math.pi)
-    z = F.lit(math.sqrt(2.0 / n_components)) * F.cos(F.col("s") + b)
-    per = proj.select("doc_id", "label", "weight", F.struct("j", z.alias("z")).alias("e"))
-    grouped = per.groupBy("doc_id", "label", "weight").agg(F.map_from_entries(F.collect_list(F.struct(F.col("e.j"), F.col("e.z")))).alias("m"))
-    arr = F.transform(F.sequence(F.lit(0), F.lit(n_components - 1)),
-                      lambda j: F.coalesce(F.col("m")[j], F.lit(math.sqrt(2.0 / n_components)) * F.cos(F.lit(0.0))))
-    return grouped.select("doc_id", "label", "weight", array_to_vector(arr).alias("features"))
+    @pandas_udf("array<double>")
+    def project(x: pd.Series) -> pd.Series:
+        m = np.vstack(x.to_numpy()) if len(x) else np.zeros((0, n_features))
+        z = scale * np.cos(m @ w + b)
+        return pd.Series(list(z))
+
+    return vecs.select("doc_id", "label", "weight",
+                       array_to_vector(project(vector_to_array("features"))).alias("features"))
 
 
 def estimator(name: str, n_train: int | None = None):
@@ -117,8 +114,8 @@ def fit_predict(name: str, train: DataFrame, valid: DataFrame, spark: SparkSessi
     tv, vv = featurize(train, valid, log_sizes=log_sizes)
     if name == "SVM (RBF)":
         nf = D.BENCH_MAX_FEATURES + 2
-        g = gaussian_table(spark, nf, RFF_COMPONENTS, RFF_GAMMA)
-        tv, vv = random_fourier(tv, g, RFF_COMPONENTS), random_fourier(vv, g, RFF_COMPONENTS)
+        tv = random_fourier(tv, nf, RFF_COMPONENTS, RFF_GAMMA)
+        vv = random_fourier(vv, nf, RFF_COMPONENTS, RFF_GAMMA)
     tv = tv.persist()
     n_train = tv.count()
     model = estimator(name, n_train).fit(tv)
