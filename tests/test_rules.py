@@ -97,3 +97,17 @@ def test_strict_mode_drops_the_placeholder_false_alarm(spark):
     df = spark.createDataFrame([(fix,), (bad,), ('query = "SELECT a FROM t WHERE b = %s" % name',)], "code string")
     got = [r.v for r in df.select(R.verdict(F.col("code"), "component", strict=True).alias("v")).collect()]
     assert got == ["safe", "sql_injection", "sql_injection"]
+
+
+def test_verdict_is_first_true_flag(spark):
+    from tests.conftest import SF_MID
+    from vulnlake.sources import views as V
+    sn = V.snippets(spark, SF_MID)
+    c = F.col("insecure_code")
+    x = sn.select(R.verdict(c).alias("v"), R.flag_sqli(c).alias("s"), R.flag_crypto(c).alias("k"),
+                  R.flag_secret(c).alias("h"))
+    first = (F.when(F.col("s"), "sql_injection").when(F.col("k"), "weak_crypto")
+             .when(F.col("h"), "hardcoded_secret").otherwise("safe"))
+    assert x.where(F.col("v") != first).count() == 0
+    pairs = sn.select(R.verdict(c).alias("a"), R.verdict(c, "page").alias("b")).groupBy("a", "b").count()
+    assert pairs.agg(F.sum("count")).collect()[0][0] == sn.count()

@@ -62,21 +62,35 @@ def q_insecure_flag(spark, sf):
     return s.agg(F.count(F.lit(1)).alias("n"), F.avg("copilot_insecure").alias("copilot_insecure_mean"))
 
 
+def _sql_label_display(col: str) -> str:
+    return "CASE " + " ".join(f"WHEN {col} = '{k}' THEN '{v}'" for k, v in D.LABEL_DISPLAY.items()) + " END"
+
+
 @register("display_label", lambda: _w("enriched") +
-          f"SELECT doc_id, category, {B.sql_display_label('category')} AS category_display FROM enriched")
+          f"SELECT doc_id, category, {B.sql_display_label('category')} AS category_display, "
+          f"{_sql_label_display('category')} AS label_display FROM enriched")
 def q_display_label(spark, sf):
+    """Title-cased label, and the fixed label → display-name map
+    (4-row literal dimension, broadcast)."""
     e = V.enriched_snippets(spark, sf).select("doc_id", "category")
-    return e.withColumn("category_display", B.display_label(F.col("category")))
+    dom = F.broadcast(D.category_dim(spark).select("category", F.col("display").alias("label_display")))
+    return (e.withColumn("category_display", B.display_label(F.col("category")))
+            .join(dom, "category", "left").select("doc_id", "category", "category_display", "label_display"))
 
 
 @register("encode_label", lambda: _w("enriched") +
           "SELECT doc_id, category, CAST(CASE " + " ".join(f"WHEN category = '{c}' THEN {i}" for i, c in enumerate(CLASS_NAMES)) +
-          " END AS INTEGER) AS label_id FROM enriched")
+          " END AS INTEGER) AS label_id, (" + "[" + ", ".join(f"'{c}'" for c in CLASS_NAMES) + "])["
+          "CASE " + " ".join(f"WHEN category = '{c}' THEN {i}" for i, c in enumerate(CLASS_NAMES)) +
+          " END + 1] AS decoded FROM enriched")
 def q_encode_label(spark, sf):
+    """Label → id in alphabetical order, and the id back to the label."""
     e = V.enriched_snippets(spark, sf).select("doc_id", "category")
     # the 4-row label domain, broadcast
     dom = F.broadcast(D.category_dim(spark).select("category", "label_id"))
-    return e.join(dom, "category", "left").select("doc_id", "category", "label_id")
+    names = F.array(*[F.lit(c) for c in CLASS_NAMES])
+    return (e.join(dom, "category", "left")
+            .select("doc_id", "category", "label_id", F.element_at(names, F.col("label_id") + 1).alias("decoded")))
 
 
 @register("preview", lambda: _w() + f"SELECT doc_id, {B.sql_preview('insecure_code')} AS preview FROM snippets")
