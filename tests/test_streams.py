@@ -52,10 +52,10 @@ def test_stream_cache_state_carries_across_batches(spark, tmp_path):
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
               .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(src))
     a = V.analyses_from(stream.withColumn("ts", F.col("ts").cast("timestamp")), spark, SF_SMALL)
-    a = a.withColumn("cache_key", F.col("user_id") % D.CACHE_KEY_MOD)
+    a = a.withColumn("cache_key", F.col("user_id") % 20)
     out = str(tmp_path / "out")
     S.run_available(S.stream_cache(a).writeStream.format("parquet").outputMode("append")
                     .option("path", out).option("checkpointLocation", str(tmp_path / "ck")))
     got = _rows(spark.read.parquet(out).select("analysis_id", "hit"))
-    batch = V.analyses(spark, SF_SMALL).withColumn("cache_key", F.col("user_id") % D.CACHE_KEY_MOD)
+    batch = V.analyses(spark, SF_SMALL).withColumn("cache_key", F.col("user_id") % 20)
     assert got == _rows(H.cache_hits(batch, "cache_key").select("analysis_id", "hit"))

@@ -215,8 +215,8 @@ def q_stats_bar(spark, sf):
 
 def _sql_cache_walk() -> str:
     return (_w().replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + ",\n"
-            f"ev AS (SELECT user_id % {D.CACHE_KEY_MOD} AS cache_key, ts, analysis_id, "
-            "row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, analysis_id) AS rn FROM analyses),\n"
+            "ev AS (SELECT snippet_hash AS cache_key, ts, analysis_id, "
+            "row_number() OVER (PARTITION BY snippet_hash ORDER BY ts, analysis_id) AS rn FROM analyses),\n"
             "walk AS (SELECT cache_key, rn, analysis_id, ts AS write_ts, false AS hit FROM ev WHERE rn = 1 "
             "UNION ALL SELECT e.cache_key, e.rn, e.analysis_id, "
             f"CASE WHEN e.ts - w.write_ts < INTERVAL {D.CACHE_TTL_SECONDS} SECOND THEN w.write_ts ELSE e.ts END, "
@@ -225,7 +225,8 @@ def _sql_cache_walk() -> str:
 
 
 def _cache_frame(spark, sf):
-    a = _an(spark, sf).withColumn("cache_key", F.col("user_id") % D.CACHE_KEY_MOD)
+    # the result cache of the design: snippet hash → verdict, one-hour TTL
+    a = _an(spark, sf).withColumn("cache_key", F.col("snippet_hash"))
     return cache_hits(a, "cache_key")
 
 

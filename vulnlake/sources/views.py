@@ -91,13 +91,20 @@ def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def analyses_from(ev: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events ⋈ snippets on doc_id = event_id mod 200 (events may be a stream).
-
-    The snippet side is filtered to doc_id < 200 (pushed into the parquet
-    scan); doc_id is the documents key, so that side holds at most 200 rows
-    whatever the scale, and broadcasting it is safe."""
-    sn = (snippets(spark, sf_dir).where(F.col("doc_id") < D.ANALYSIS_SNIPPETS)
-          .select("doc_id", "id", "insecure_code"))
+    """events ⋈ snippets on doc_id = (event_id div 2) mod |documents| (events
+    may be a stream).  Every document takes part, so both sides grow with
+    the data; each snippet is analysed by two consecutive requests (a
+    re-submission), which is what the one-hour result cache sees.
+
+    |documents| is a scalar subquery (a count served by parquet footers).
+    Verdicts are computed once per document and the document side is
+    projected to a few short columns before the join; its size grows with
+    the corpus, so there is no broadcast hint: AQE broadcasts it only when
+    its measured size is under the threshold, else it is a shuffled join on
+    the document key."""
+    docs = table(spark, sf_dir, "documents")
+    n_docs = docs.agg(F.count(F.lit(1))).scalar()
+    sn = snippets_from(docs).select("doc_id", "id", "insecure_code")
     sn = sn.select(
         F.col("doc_id").alias("snippet_doc_id"),
         B.snippet_hash(F.col("insecure_code")).alias("snippet_hash"),
@@ -105,7 +112,8 @@ def analyses_from(ev: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("snippet_id"),
         B.preview(F.col("insecure_code")).alias("preview"),
     ).withColumn("confidence", B.confidence(F.col("snippet_id"), F.col("verdict")))
-    joined = ev.join(F.broadcast(sn), (ev.event_id % D.ANALYSIS_SNIPPETS) == sn.snippet_doc_id, "inner")
+    ev = ev.withColumn("doc_key", F.pmod(F.expr("event_id div 2"), n_docs))
+    joined = ev.join(sn, ev.doc_key == sn.snippet_doc_id, "inner")
     return joined.select(
         F.col("event_id").alias("analysis_id"),
         F.col("ts").cast("timestamp").alias("ts"),
@@ -214,11 +222,11 @@ def sql_enriched() -> str:
 def sql_analyses() -> str:
     sn = (f"SELECT doc_id AS snippet_doc_id, sha256(insecure_code) AS snippet_hash, "
           f"{R.sql_verdict('insecure_code')} AS verdict, id AS snippet_id, "
-          f"{B.sql_preview('insecure_code')} AS preview FROM snippets WHERE doc_id < {D.ANALYSIS_SNIPPETS}")
+          f"{B.sql_preview('insecure_code')} AS preview FROM snippets")
     sn2 = f"SELECT *, {B.sql_confidence('snippet_id', 'verdict')} AS confidence FROM ({sn}) s0"
     return (f"SELECT e.event_id AS analysis_id, CAST(e.ts AS TIMESTAMP) AS ts, e.user_id, s.snippet_doc_id AS doc_id, "
             f"s.snippet_id, s.snippet_hash, s.verdict, s.confidence, s.preview "
-            f"FROM events e JOIN ({sn2}) s ON e.event_id % {D.ANALYSIS_SNIPPETS} = s.snippet_doc_id")
+            f"FROM events e JOIN ({sn2}) s ON (e.event_id // 2) % (SELECT count(*) FROM documents) = s.snippet_doc_id")
 
 
 def sql_scored() -> str:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,7 +71,7 @@ def stream_trend(analyses: DataFrame, window: str = "1 day", delay: str = "1 hou
             .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "verdict", "n"))
 
 
-CACHE_OUT = "analysis_id long, cache_key long, hit boolean"
+CACHE_OUT = "analysis_id long, cache_key string, hit boolean"
 CACHE_STATE = "write_us long"
 
 
@@ -80,7 +81,8 @@ def _cache_fn(ttl_us: int):
             state.remove()
             return
         # rows of one key in this micro-batch (bounded by the trigger size)
-        rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["t", "analysis_id"], kind="mergesort")
+        rows = (pd.concat(list(pdfs), ignore_index=True).sort_values(["t", "analysis_id"], kind="mergesort")
+                .reset_index(drop=True))  # positional, so the hit flags below line up with the ids
         write = state.get[0] if state.exists else None
         hits = []
         for t in rows["t"].to_numpy():
@@ -92,8 +94,8 @@ def _cache_fn(ttl_us: int):
         state.update((write,))
         # the entry can be forgotten once the watermark passes its expiry
         state.setTimeoutTimestamp(max(write // 1000 + ttl_us // 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"analysis_id": rows["analysis_id"].astype("int64"), "cache_key": key[0],
-                            "hit": pd.Series(hits, dtype=bool)})
+        yield pd.DataFrame({"analysis_id": rows["analysis_id"].to_numpy(dtype="int64"), "cache_key": key[0],
+                            "hit": np.asarray(hits, dtype=bool)})
     return fn
 
 
@@ -103,7 +105,7 @@ def stream_cache(analyses: DataFrame, key: str = "cache_key", ttl_seconds: int =
     State per key is one timestamp; it times out on event time."""
     ttl_us = ttl_seconds * 1_000_000
     x = (analyses.withWatermark("ts", delay)
-         .select(F.col(key).cast("long").alias(key), "analysis_id", "ts", F.unix_micros("ts").alias("t")))
+         .select(F.col(key).cast("string").alias(key), "analysis_id", "ts", F.unix_micros("ts").alias("t")))
     return x.groupBy(key).applyInPandasWithState(
         _cache_fn(ttl_us), CACHE_OUT, CACHE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
@@ -185,10 +187,10 @@ def q_stream_trend(spark, sf):
 
 
 @register("stream_cache", lambda: __import__("vulnlake.operators.history", fromlist=["x"])._sql_cache_walk() +
-          "SELECT analysis_id, CAST(cache_key AS BIGINT) AS cache_key, hit FROM walk")
+          "SELECT analysis_id, cache_key, hit FROM walk")
 def q_stream_cache(spark, sf):
     base = shared_path(spark, "stream_cache")
-    a = _stream_analyses(spark, sf).withColumn("cache_key", F.col("user_id") % D.CACHE_KEY_MOD)
+    a = _stream_analyses(spark, sf).withColumn("cache_key", F.col("snippet_hash"))
     run_available(stream_cache(a).writeStream.format("parquet").outputMode("append")
                   .option("path", f"{base}/data").option("checkpointLocation", f"{base}/_checkpoint"))
     return spark.read.parquet(f"{base}/data")
