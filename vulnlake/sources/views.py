@@ -112,6 +112,12 @@ def analyses_from(ev: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("snippet_id"),
         B.preview(F.col("insecure_code")).alias("preview"),
     ).withColumn("confidence", B.confidence(F.col("snippet_id"), F.col("verdict")))
+    # Hash-partition the short per-document rows on the join key: verdicts
+    # are computed once per document before the exchange (fused into a
+    # broadcast join streaming documents, codegen would evaluate the rule
+    # expression once per matching event), and a sort-merge join at scale
+    # reuses this partitioning instead of adding its own shuffle.
+    sn = sn.repartition("snippet_doc_id")
     ev = ev.withColumn("doc_key", F.pmod(F.expr("event_id div 2"), n_docs))
     joined = ev.join(sn, ev.doc_key == sn.snippet_doc_id, "inner")
     return joined.select(
