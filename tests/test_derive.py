@@ -55,3 +55,26 @@ def test_snippets_view_shape(spark):
     assert sn.columns == ["doc_id", "id", "prompt", "insecure_code", "lang"]
     bad = sn.where(F.col("doc_id") % D.MALFORMED_EVERY == 0).select("id").collect()
     assert all(r.id.startswith("doc_") for r in bad)
+
+
+def test_mean_std_like_python_format(spark):
+    """'m ± s' as Python's f"{m:.3f} ± {s:.3f}" prints it (half-even on
+    exact binary halves such as 0.0625 and 0.125)."""
+    pairs = [(0.0625, 0.125), (0.5834, 0.0414), (1.0, 0.0), (0.8745, 0.0005)]
+    df = spark.createDataFrame(pairs, "m double, s double")
+    got = [r.t for r in df.select(B.format_mean_std(F.col("m"), F.col("s")).alias("t")).collect()]
+    assert got == [f"{m:.3f} ± {s:.3f}" for m, s in pairs]
+
+
+def test_round_like_format_property(spark):
+    """Against Python's own formatting on random doubles and on values
+    whose scaled product lands on an exact half."""
+    import random
+    rng = random.Random(3)
+    vals = [rng.random() for _ in range(3000)] + [k / 1000 + 0.0005 for k in range(1000)] + [k / 16 for k in range(32)]
+    vals += [-v for v in vals[:500]]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = [r.t for r in df.select(F.format_string("%.3f", B.round_like_format(F.col("x"), 3)).alias("t")).collect()]
+    want = [f"{v:.3f}" for v in vals]
+    bad = [(v, g, w) for v, g, w in zip(vals, got, want) if g != w and not (w == "-0.000" and g == "0.000")]
+    assert not bad, bad[:5]

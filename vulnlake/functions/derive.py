@@ -71,8 +71,9 @@ def preview(code: Column, n: int = D.PREVIEW_CHARS) -> Column:
 
 
 def format_mean_std(mean: Column, std: Column) -> Column:
-    """B11: 'm.mmm ± s.sss' (values pre-rounded half-even to 3 places)."""
-    return F.format_string("%.3f ± %.3f", round_half_even(mean, 3), round_half_even(std, 3))
+    """B11: 'm.mmm ± s.sss' as Python prints it (Java's %f alone rounds the
+    shortest decimal half-up, so values are pre-rounded exactly first)."""
+    return F.format_string("%.3f ± %.3f", round_like_format(mean, 3), round_like_format(std, 3))
 
 
 def format_pct(conf: Column) -> Column:
@@ -91,6 +92,27 @@ def round_half_even(x: Column, places: int) -> Column:
     return F.rint(x * F.lit(scale)) / F.lit(scale)
 
 
+SPLIT = 134217729.0  # 2^27 + 1: Veltkamp split of a double into two 26-bit halves
+
+
+def round_like_format(x: Column, places: int) -> Column:
+    """Round as Python's f"{x:.{p}f}" does: from the exact binary value,
+    half-even only on exact ties.  rint(x·10^p) agrees except when the
+    rounded product lands exactly on k + 0.5; there the sign of the
+    product's rounding error (error-free product via a Veltkamp split)
+    says on which side the exact value lies."""
+    scale = F.lit(float(10 ** places))
+    c = x * F.lit(SPLIT)
+    hi = c - (c - x)
+    lo = x - hi
+    p = x * scale
+    err = (hi * scale - p) + lo * scale
+    fl = F.floor(p).cast("double")
+    tie = (p - fl) == F.lit(0.5)
+    r = F.when(tie & (err > 0), fl + 1).when(tie & (err < 0), fl).otherwise(F.rint(p))
+    return F.when(F.abs(x) < F.lit(1e15), r / scale).otherwise(x)
+
+
 def confidence(id_col: Column, verdict_col: Column, negative: str = "safe", seed: int = D.SEED) -> Column:
     """Deterministic confidence in [0.72, 0.96] for a hit and
     [0.88, 0.97] otherwise, two decimals, from md5(seed:id)."""
@@ -149,8 +171,21 @@ def sql_round_half_even(x: str, places: int) -> str:
     return f"(round_even(({x}) * {scale}, 0) / {scale})"
 
 
+def sql_round_like_format(x: str, places: int) -> str:
+    scale = float(10 ** places)
+    c = f"(({x}) * {SPLIT})"
+    hi = f"({c} - ({c} - ({x})))"
+    lo = f"(({x}) - {hi})"
+    p = f"(({x}) * {scale})"
+    err = f"(({hi} * {scale} - {p}) + {lo} * {scale})"
+    fl = f"CAST(floor({p}) AS DOUBLE)"
+    tie = f"({p} - {fl} = 0.5)"
+    r = f"(CASE WHEN {tie} AND {err} > 0 THEN {fl} + 1 WHEN {tie} AND {err} < 0 THEN {fl} ELSE round_even({p}, 0) END)"
+    return f"(CASE WHEN abs({x}) < 1e15 THEN {r} / {scale} ELSE ({x}) END)"
+
+
 def sql_format_mean_std(mean: str, std: str) -> str:
-    return f"printf('%.3f ± %.3f', {sql_round_half_even(mean, 3)}, {sql_round_half_even(std, 3)})"
+    return f"printf('%.3f ± %.3f', {sql_round_like_format(mean, 3)}, {sql_round_like_format(std, 3)})"
 
 
 def sql_format_pct(conf: str) -> str:

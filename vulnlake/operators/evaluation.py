@@ -528,6 +528,21 @@ def q_model_table(spark, sf):
     return model_table(_spark_summary(spark, sf))
 
 
+def mean_std_long(summary: DataFrame) -> DataFrame:
+    """One row per (model, metric) with the mean, the sample std and
+    their 'm.mmm ± s.sss' text (stack: one pass over the summary)."""
+    pairs = ", ".join(f"'{m}', {m}_mean, {m}_std" for m in METRICS)
+    long = summary.select("model", F.expr(f"stack({len(METRICS)}, {pairs}) AS (metric, mean, std)"))
+    return long.withColumn("mean_std", B.format_mean_std(F.col("mean"), F.col("std")))
+
+
+@register("format_mean_std", lambda: _sv(_sql_pc("model, fold"), _sql_auc(), _sql_summary_full()) +
+          " UNION ALL ".join(f"SELECT model, '{m}' AS metric, {m}_mean AS mean, {m}_std AS std, "
+                             f"{B.sql_format_mean_std(f'{m}_mean', f'{m}_std')} AS mean_std FROM summ" for m in METRICS))
+def q_format_mean_std(spark, sf):
+    return mean_std_long(_spark_summary(spark, sf))
+
+
 def _sql_sweep() -> list[tuple[str, str]]:
     return _sql_auc()[:1] + [
         ("bins", "SELECT model, cls, CAST(least(floor(score * 100), 100) AS INTEGER) AS bin, "
