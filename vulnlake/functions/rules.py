@@ -67,15 +67,52 @@ NEGATIVE_LABEL = {"component": "safe", "page": "secure"}
 
 FAMILIES = ["sql_injection", "hardcoded_secret", "weak_crypto"]
 ANY_TEXT = r"[\s\S]*"
-# Lower-case substrings of which every rule of the family needs at least
-# one (derived from the rule texts above).  A cheap gate: the regexes of a
-# family run only on texts that contain one of its needles.  Measured on
-# sf0.1 documents this cuts the SQL family from 17 s to 5 s.
-FAMILY_NEEDLES = {
-    "sql_injection": ["select", "insert", "update", "delete", "drop", "union"],
-    "weak_crypto": ["md5", "sha1", "sha-1", "des.new", "3des", "tripledes", "rc2", "rc4", "blowfish", "ecb", "1024"],
-    "hardcoded_secret": ["pass", "pwd", "secret", "api", "token", "key", "auth", "akia", "xox", "mongodb",
-                         "postgres", "createclient"],
+
+# Lower-case substrings a text must contain before a rule can match,
+# derived by hand from the rule texts above: per rule, a list of groups;
+# the rule needs one substring of every group.  Matching is ASCII
+# case-insensitive and lower() maps ASCII letters to ASCII letters, so
+# each group is a necessary condition on lower(text): the gate only skips
+# regex runs that could not match.  The oracle SQL runs the rules ungated,
+# so every oracle comparison also checks the gates.
+SQL_ANCHORS = ["sql", "query", "stmt", "statement", "command"]
+SQL_VERBS = ["select", "insert", "update", "delete", "drop", "union"]
+RULE_NEEDLES = {
+    "SQL1": [SQL_ANCHORS, SQL_VERBS, ["{"]],
+    "SQL2": [SQL_ANCHORS, SQL_VERBS, ["+"]],
+    "SQL3": [SQL_ANCHORS, SQL_VERBS, [".format"]],
+    "SQL4": [SQL_ANCHORS, SQL_VERBS, ["%"]],
+    "SQL5": [["execute("], SQL_VERBS, ["{"]],
+    "SQL6": [["execute("], SQL_VERBS, ["+"]],
+    "SQL7": [["execute("], SQL_VERBS, [".format"]],
+    "SQL8": [["db.query("], SQL_VERBS, ["${"]],
+    "SQL9": [["statement.executequery("], SQL_VERBS, ["+"]],
+    "SQL10": [["preparestatement("], SQL_VERBS, ["+"]],
+    "SEC1": [["password", "passwd", "pwd", "secret", "api", "token", "private"], [":", "="]],
+    "SEC2": [["auth"], ["bearer"]],
+    "SEC3": [["-----begin "], ["private key-----"]],
+    "SEC4": [["akia"]],
+    "SEC5": [["xox"]],
+    "SEC6": [["mongodb"], ["://"]],
+    "SEC7": [["postgres"], ["://"]],
+    "SEC8": [["createclient("], ["apikey"]],
+    "CRY1": [["hashlib.md5"]],
+    "CRY2": [["hashlib.sha1"]],
+    "CRY3": [["createhash("], ["md5"]],
+    "CRY4": [["createhash("], ["sha1"]],
+    "CRY5": [["messagedigest.getinstance("], ["md5"]],
+    "CRY6": [["messagedigest.getinstance("], ["sha"]],
+    "CRY7": [["des.new"]],
+    "CRY8": [["3des"]],
+    "CRY9": [["tripledes"]],
+    "CRY10": [["rc2"]],
+    "CRY11": [["rc4"]],
+    "CRY12": [["blowfish"]],
+    "CRY13": [["mode_ecb"]],
+    "CRY14": [["aes/ecb"]],
+    "CRY15": [["cipher.getinstance("], ["ecb"]],
+    "CRY16": [["rsa.generate("], ["1024"]],
+    "CRY17": [["key_size"], ["1024"]],
 }
 
 
@@ -118,26 +155,55 @@ def rule_column(code: Column, rule: tuple) -> Column:
     return code.rlike(staged_pattern(pattern, ci))
 
 
-def needle_gate(code: Column, family: str) -> Column:
-    low = F.lower(code)
-    cond = None
-    for n in FAMILY_NEEDLES[family]:
+def _any(low: Column, group: list[str]) -> Column:
+    g = None
+    for n in group:
         c = low.contains(n)
-        cond = c if cond is None else (cond | c)
+        g = c if g is None else (g | c)
+    return g
+
+
+def _groups_common(rule_ids: list[str]) -> list[list[str]]:
+    """Needle groups shared by every listed rule (tested once for all)."""
+    first = RULE_NEEDLES[rule_ids[0]]
+    return [g for g in first if all(g in RULE_NEEDLES[r] for r in rule_ids[1:])]
+
+
+def needle_gate(low: Column, rule_id: str, skip: list[list[str]] | None = None) -> Column | None:
+    """Necessary condition of a rule on the lower-cased text (groups in
+    `skip` are already tested by the caller)."""
+    cond = None
+    for group in RULE_NEEDLES[rule_id]:
+        if skip and group in skip:
+            continue
+        g = _any(low, group)
+        cond = g if cond is None else (cond & g)
     return cond
 
 
+def gated_rule(code: Column, rule: tuple, low: Column | None = None, skip: list[list[str]] | None = None) -> Column:
+    """The rule's regex, run only where its needles occur (null → false)."""
+    low = F.lower(code) if low is None else low
+    gate = needle_gate(low, rule[0], skip)
+    hit = rule_column(code, rule) if gate is None else (gate & rule_column(code, rule))
+    return F.coalesce(hit, F.lit(False))
+
+
 def family_flag(code: Column, family: str, strict: bool = False) -> Column:
     """True if any rule of the family fires (C1, C2, C3).  Null code → false.
     Rules run one by one (Java matches separate literal-led patterns faster
-    than one alternation) behind the family's needle gate."""
+    than one alternation), each behind its own needle gate; the groups all
+    rules of the family share are tested once, in front."""
+    low = F.lower(code)
+    rules = [r for r in rules_for(strict) if r[1] == family]
+    common = _groups_common([r[0] for r in rules])
     cond = None
-    for rule in rules_for(strict):
-        if rule[1] != family:
-            continue
-        c = rule_column(code, rule)
+    for rule in rules:
+        c = gated_rule(code, rule, low, common)
         cond = c if cond is None else (cond | c)
-    return F.coalesce(F.when(needle_gate(code, family), cond).otherwise(F.lit(False)), F.lit(False))
+    for g in common:
+        cond = _any(low, g) & cond
+    return F.coalesce(cond, F.lit(False))
 
 
 def flag_sqli(code: Column) -> Column:
@@ -164,14 +230,24 @@ def verdict(code: Column, policy: str = "component", strict: bool = False) -> Co
     return expr.otherwise(F.lit(NEGATIVE_LABEL[policy]))
 
 
-def rule_hit_ids(code: Column, family_flags: dict[str, Column] | None = None) -> Column:
-    """Array of the ids of every rule that fires (C7).  With family flags
-    (already computed columns), a rule runs only inside a family that fired."""
-    def gate(r):
-        c = rule_column(code, r)
-        return c if family_flags is None else (family_flags[r[1]] & c)
-    hits = [F.when(gate(r), F.lit(r[0])) for r in RULES]
-    return F.filter(F.array(*hits), lambda x: x.isNotNull())
+def rule_hit_slots(code: Column) -> Column:
+    """Array with one slot per rule (RULES order): the rule id where it
+    fires, else null (C7).  Each rule runs once, behind its own needle gate
+    (family-shared groups tested once).  Left as slots so that callers drop
+    nulls after an explode: a lambda filter here would take the whole rule
+    expression out of generated code."""
+    low = F.lower(code)
+    hits = []
+    for fam in FAMILIES:
+        rules = [r for r in RULES if r[1] == fam]
+        common = _groups_common([r[0] for r in rules])
+        shared = None
+        for g in common:
+            shared = _any(low, g) if shared is None else (shared & _any(low, g))
+        for r in rules:
+            hit = gated_rule(code, r, low, common)
+            hits.append(F.when(hit if shared is None else (shared & hit), F.lit(r[0])))
+    return F.array(*hits)
 
 
 def rule_family(rule_id: Column) -> Column:

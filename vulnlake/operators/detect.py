@@ -45,13 +45,9 @@ def policy_diff(df: DataFrame, code: str = "insecure_code") -> DataFrame:
 
 def rule_hits(df: DataFrame, key: str = "doc_id", code: str = "insecure_code") -> DataFrame:
     """Long table (key, family, rule_id) of every rule that fires.
-
-    Family flags (one combined pass each) are projected first; individual
-    rules then run only for the families that fired."""
-    flags = {fam: f"_f_{fam}" for fam in R.FAMILIES}
-    flagged = df.select(F.col(key), F.col(code), *[R.family_flag(F.col(code), fam).alias(c) for fam, c in flags.items()])
-    ids = R.rule_hit_ids(F.col(code), {fam: F.col(c) for fam, c in flags.items()})
-    return (flagged.select(F.col(key), F.explode(ids).alias("rule_id"))
+    Each rule runs once per row, only where its needles occur."""
+    return (df.select(F.col(key), F.explode(R.rule_hit_slots(F.col(code))).alias("rule_id"))
+            .where(F.col("rule_id").isNotNull())
             .withColumn("family", R.rule_family(F.col("rule_id"))))
 
 
