@@ -78,3 +78,17 @@ def test_round_like_format_property(spark):
     want = [f"{v:.3f}" for v in vals]
     bad = [(v, g, w) for v, g, w in zip(vals, got, want) if g != w and not (w == "-0.000" and g == "0.000")]
     assert not bad, bad[:5]
+
+
+def test_token_count_like_python_split_random(spark):
+    """Random texts over letters and every white-space kind Python splits on."""
+    import random
+    rng = random.Random(9)
+    alphabet = ["a", "b", "é", "漢", "_", "-", " ", "\t", "\n", "\r", "\x0b", "\x0c", "\x1c", "\x1f", "\x85",
+                "\xa0", " ", " ", " ", " ", " ", " ", " ", "　", "​"]
+    texts = ["", " ", "  ", "a", " a", "a ", "　a　"]
+    texts += ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(2000)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(len(texts), None)], "i int, t string")
+    got = {r.i: r.n for r in df.select("i", B.num_tokens(F.col("t")).alias("n")).collect()}
+    assert [got[i] for i in range(len(texts))] == [len(t.split()) for t in texts]
+    assert got[len(texts)] is None
