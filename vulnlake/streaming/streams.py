@@ -83,19 +83,22 @@ def _cache_fn(ttl_us: int):
         # rows of one key in this micro-batch (bounded by the trigger size)
         rows = (pd.concat(list(pdfs), ignore_index=True).sort_values(["t", "analysis_id"], kind="mergesort")
                 .reset_index(drop=True))  # positional, so the hit flags below line up with the ids
+        t = rows["t"].to_numpy(dtype="int64")
         write = state.get[0] if state.exists else None
-        hits = []
-        for t in rows["t"].to_numpy():
-            if write is not None and t - write < ttl_us:
-                hits.append(True)
-            else:
-                hits.append(False)
-                write = int(t)
+        # Walk the misses only: the next miss is the first request at or
+        # after write + ttl (binary search), so a hot key costs one step per
+        # miss, not one Python step per request.
+        hits = np.ones(len(t), dtype=bool)
+        i = 0 if write is None else int(np.searchsorted(t, write + ttl_us, side="left"))
+        while i < len(t):
+            hits[i] = False
+            write = int(t[i])
+            i = int(np.searchsorted(t, write + ttl_us, side="left"))
         state.update((write,))
         # the entry can be forgotten once the watermark passes its expiry
         state.setTimeoutTimestamp(max(write // 1000 + ttl_us // 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"analysis_id": rows["analysis_id"].to_numpy(dtype="int64"), "cache_key": key[0],
-                            "hit": np.asarray(hits, dtype=bool)})
+                            "hit": hits})
     return fn
 
 
