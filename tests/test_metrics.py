@@ -78,3 +78,17 @@ def test_holdout_quota(spark):
     df = spark.range(1000).select(F.col("id").alias("k"), F.when(F.col("id") % 10 < 7, "a").otherwise("b").alias("c"))
     s = EV.stratified_holdout(df, "c", "k").where(F.col("split") == "test").groupBy("c").count().collect()
     assert {r.c: r["count"] for r in s} == {"a": 140, "b": 60}
+
+
+def test_confusion_matrix_rows_are_stochastic(spark):
+    """16 cells per model; each actual class present sums to rate 1;
+    the worked example's class 2 row splits 0.5 / 0.5."""
+    cm = EV.confusion_matrix(_pred(spark)).collect()
+    assert len(cm) == 16
+    by_actual = {}
+    for r in cm:
+        by_actual.setdefault(r.actual, []).append(r)
+    for rows in by_actual.values():
+        assert abs(sum(r.rate for r in rows) - 1.0) < 1e-12
+    cls2 = EV.CLASS_NAMES[2]
+    assert sorted(r.rate for r in by_actual[cls2] if r.rate > 0) == [0.5, 0.5]

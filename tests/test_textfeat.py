@@ -25,3 +25,44 @@ def test_encoded_sequences_have_fixed_length(spark):
     # the mask marks exactly the non-pad positions
     assert enc.where(F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)
                      != F.size(F.filter("input_ids", lambda x: x != 0))).count() == 0
+
+
+def test_tfidf_l2_against_python(spark):
+    """E1-E4 on a small fixture against the formulas written in Python:
+    idf = ln((1+n)/(1+df)) + 1 over the top-n vocabulary, L2 per row."""
+    import math
+    import re
+    from collections import Counter
+
+    texts = ["SELECT a, b FROM t where a = b", "the cat and the hat", "Ça va? ça VA bien", "x y z", "",
+             "hat cat hat cat dog", "b b b a a"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    n_vocab = 6
+    weights, _ = TF.fit_transform(df, "eda", n_vocab)
+    got = {(r.doc_id, r.term): r.weight for r in weights.collect()}
+
+    toks = [Counter(re.findall(r"[^\W]{2,}", t.lower())) for t in texts]
+    total = Counter()
+    for c in toks:
+        total.update(c)
+    vocab = [t for t, _ in sorted(total.items(), key=lambda kv: (-kv[1], kv[0]))[:n_vocab]]
+    dfreq = {t: sum(1 for c in toks if t in c) for t in vocab}
+    idf = {t: math.log((1 + len(texts)) / (1 + dfreq[t])) + 1 for t in vocab}
+    want = {}
+    for i, c in enumerate(toks):
+        w = {t: c[t] * idf[t] for t in vocab if t in c}
+        norm = math.sqrt(sum(v * v for v in w.values()))
+        want.update({(i, t): v / norm for t, v in w.items()})
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_analyses_cover_every_document(spark):
+    """The analyses view maps event e to document (e div 2) mod |documents|:
+    every document takes part and each is analysed by consecutive pairs."""
+    a = V.analyses(spark, SF_SMALL)
+    n_docs = V.table(spark, SF_SMALL, "documents").count()
+    n_events = V.table(spark, SF_SMALL, "events").count()
+    assert a.count() == n_events
+    assert a.select("doc_id").distinct().count() == n_docs
+    assert a.where(F.col("doc_id") != F.pmod(F.expr("analysis_id div 2"), F.lit(n_docs))).count() == 0
