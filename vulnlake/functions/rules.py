@@ -230,13 +230,14 @@ def verdict(code: Column, policy: str = "component", strict: bool = False) -> Co
     return expr.otherwise(F.lit(NEGATIVE_LABEL[policy]))
 
 
-def rule_hit_slots(code: Column) -> Column:
+def rule_hit_slots(code: Column, low: Column | None = None) -> Column:
     """Array with one slot per rule (RULES order): the rule id where it
     fires, else null (C7).  Each rule runs once, behind its own needle gate
     (family-shared groups tested once).  Left as slots so that callers drop
     nulls after an explode: a lambda filter here would take the whole rule
-    expression out of generated code."""
-    low = F.lower(code)
+    expression out of generated code.  `low` may be a column holding
+    lower(code) already."""
+    low = F.lower(code) if low is None else low
     hits = []
     for fam in FAMILIES:
         rules = [r for r in RULES if r[1] == fam]

@@ -45,8 +45,18 @@ def policy_diff(df: DataFrame, code: str = "insecure_code") -> DataFrame:
 
 def rule_hits(df: DataFrame, key: str = "doc_id", code: str = "insecure_code") -> DataFrame:
     """Long table (key, family, rule_id) of every rule that fires.
-    Each rule runs once per row, only where its needles occur."""
-    return (df.select(F.col(key), F.explode(R.rule_hit_slots(F.col(code))).alias("rule_id"))
+    Each rule runs once per row, only where its needles occur.
+
+    The lower-cased text and the slot array are projected before the
+    explode: Spark shares repeated subexpressions inside a Project but not
+    inside a generator, where lower(code) would be recomputed for every
+    needle test of every rule."""
+    low = df.select(F.col(key), F.col(code), F.lower(F.col(code)).alias("_low"))
+    slots = low.select(F.col(key), R.rule_hit_slots(F.col(code), F.col("_low")).alias("_slots"))
+    # explode_outer: a plain explode makes the optimizer infer a
+    # size(slots) > 0 filter and push a copy of all 35 rules down to the
+    # scan, running every rule twice.  The slot array is never empty.
+    return (slots.select(F.col(key), F.explode_outer("_slots").alias("rule_id"))
             .where(F.col("rule_id").isNotNull())
             .withColumn("family", R.rule_family(F.col("rule_id"))))
 
@@ -97,8 +107,11 @@ def _by_verdict(verdict_col, make):
 def risky_tokens(df: DataFrame, key: str = "doc_id", code: str = "insecure_code") -> DataFrame:
     """Every risky-token occurrence with its ordinal (list order wins)."""
     arr = _by_verdict(F.col("verdict"), lambda p: F.regexp_extract_all(F.col(code), F.lit(p), 1))
+    # outer + null filter: same rows as posexplode, without the inferred
+    # size(toks) > 0 filter that would repeat the extraction at the scan
     return (df.select(F.col(key), F.col("verdict"), arr.alias("toks"))
-            .select(key, "verdict", F.posexplode("toks").alias("pos", "token")))
+            .select(key, "verdict", F.posexplode_outer("toks").alias("pos", "token"))
+            .where(F.col("token").isNotNull()))
 
 
 def highlight(df: DataFrame, code: str = "insecure_code") -> DataFrame:
@@ -128,7 +141,7 @@ def risky_token_counts(df: DataFrame, k: int = 5, key: str = "doc_id", code: str
             continue
         cond, val = F.col("verdict") == F.lit(v), F.regexp_extract_all(low, F.lit(p), 1)
         expr = F.when(cond, val) if expr is None else expr.when(cond, val)
-    toks = df.select("verdict", F.explode(expr).alias("token"))
+    toks = df.select("verdict", F.explode_outer(expr).alias("token")).where(F.col("token").isNotNull())
     counts = toks.groupBy("verdict", "token").agg(F.count(F.lit(1)).alias("n"))
     # at most (#verdicts × #tokens) rows after the aggregate: the window is tiny
     w = Window.partitionBy("verdict").orderBy(F.col("n").desc(), F.col("token").asc())
@@ -154,7 +167,7 @@ def example_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(cls.alias("expected"), F.concat(F.col("text"), F.lit("\n"), bad).alias("code")),
         F.struct(F.lit("safe").alias("expected"), F.concat(F.col("text"), F.lit("\n"), good).alias("code")),
     )
-    return doc.select("doc_id", F.inline(sides))
+    return doc.select("doc_id", F.inline_outer(sides))  # two structs per row: same rows, no inferred filter
 
 
 def rule_quality(pairs: DataFrame, strict: bool = False) -> DataFrame:

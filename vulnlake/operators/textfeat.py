@@ -30,7 +30,10 @@ def token_array(text, mode: str = "eda"):
 
 def tokens(df: DataFrame, mode: str = "eda", key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, term, tf) — lower-cased word tokens, counted per row."""
-    return (df.select(F.col(key), F.explode(token_array(F.col(text), mode)).alias("term"))
+    # explode_outer + null filter = explode, minus the inferred
+    # size(tokens) > 0 filter, which would tokenise every text twice
+    return (df.select(F.col(key), F.explode_outer(token_array(F.col(text), mode)).alias("term"))
+            .where(F.col("term").isNotNull())
             .groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
@@ -91,7 +94,7 @@ def unseen_report(docs: DataFrame, idf: DataFrame, mode: str, key: str = "doc_id
 
 def assemble_long(weights: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Append num_tokens and num_lines as two pseudo-terms."""
-    extra = docs.select(key, F.explode(F.array(
+    extra = docs.select(key, F.explode_outer(F.array(
         F.struct(F.lit(NUM_TERMS[0]).alias("term"), B.num_tokens(F.col(text)).cast("double").alias("weight")),
         F.struct(F.lit(NUM_TERMS[1]).alias("term"), B.num_lines(F.col(text)).cast("double").alias("weight")),
     )).alias("x")).select(key, "x.term", "x.weight")
