@@ -64,6 +64,9 @@ def running_totals(df: DataFrame, verdicts=VERDICTS) -> DataFrame:
     x = df.select("analysis_id", "user_id", "ts", "verdict", F.date_trunc("hour", "ts").alias("day"))
     metrics = {"total": F.lit(1)} | {v: (F.col("verdict") == v).cast("long") for v in verdicts}
     x = x.withColumns({f"m_{k}": c.cast("long") for k, c in metrics.items()})
+    # One exchange on (user, hour) feeds both the local windows and the
+    # per-hour sums (Spark reuses it), so the input is computed once.
+    x = x.repartition("user_id", "day")
     w_local = (Window.partitionBy("user_id", "day").orderBy("ts", "analysis_id")
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = x.select("analysis_id", "user_id", "day",
