@@ -104,7 +104,9 @@ def cache_hits(df: DataFrame, key: str, ttl_seconds: int = D.CACHE_TTL_SECONDS,
     ttl_us = ttl_seconds * 1_000_000
     bw = bucket_seconds * 1_000_000
     ev = df.select(F.col(key).alias("key"), F.unix_micros(F.col(ts)).alias("t"), F.col(rid).alias("rid"))
-    ev = ev.withColumn("b", F.floor(F.col("t") / bw)).cache()
+    # reliable checkpoint (shared folder): read by every step below and by
+    # the lazy result, computed once, and it survives a lost executor
+    ev = ev.withColumn("b", F.floor(F.col("t") / bw)).checkpoint()
 
     # --- step 1: successor = first request with t >= t_src + ttl (order t, rid)
     probes = ev.select("key", (F.col("t") + ttl_us).alias("t"), F.lit(None).cast("long").alias("rid"),
@@ -144,7 +146,6 @@ def cache_hits(df: DataFrame, key: str, ttl_seconds: int = D.CACHE_TTL_SECONDS,
     out = (ev.join(misses, "rid", "left")
            .select(F.col("rid").alias(rid), F.col("key").alias(key),
                    F.col("miss").isNull().alias("hit")))
-    ev.unpersist()
     return out
 
 
