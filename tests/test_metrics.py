@@ -92,3 +92,55 @@ def test_confusion_matrix_rows_are_stochastic(spark):
         assert abs(sum(r.rate for r in rows) - 1.0) < 1e-12
     cls2 = EV.CLASS_NAMES[2]
     assert sorted(r.rate for r in by_actual[cls2] if r.rate > 0) == [0.5, 0.5]
+
+
+def _brute_macro(truth, pred):
+    """Accuracy and macro P / R / F1 with scikit-learn's rules: labels are
+    the classes in truth or prediction; an undefined ratio counts as 0."""
+    labels = sorted(set(truth) | set(pred))
+    ps, rs, fs = [], [], []
+    for c in labels:
+        tp = sum(1 for t, p in zip(truth, pred) if t == c and p == c)
+        n_pred = sum(1 for p in pred if p == c)
+        n_true = sum(1 for t in truth if t == c)
+        prec = tp / n_pred if n_pred else 0.0
+        rec = tp / n_true if n_true else 0.0
+        f1 = 2 * prec * rec / (prec + rec) if prec + rec else 0.0
+        ps.append(prec), rs.append(rec), fs.append(f1)
+    acc = sum(1 for t, p in zip(truth, pred) if t == p) / len(truth)
+    return acc, sum(ps) / len(ps), sum(rs) / len(rs), sum(fs) / len(fs)
+
+
+def test_fold_metrics_with_absent_classes_against_brute_force(spark):
+    """Random folds where some classes never occur in truth, or are never
+    predicted (the hand-made 'class absent from one fold' case)."""
+    rng = random.Random(23)
+    rows, want = [], {}
+    for fold in range(1, 41):
+        k = rng.randint(1, 4)
+        truth_classes = rng.sample(range(4), k)
+        n = rng.randint(1, 12)
+        truth = [rng.choice(truth_classes) for _ in range(n)]
+        pred = [rng.randrange(4) if rng.random() < 0.4 else t for t in truth]
+        want[fold] = _brute_macro(truth, pred)
+        rows += [("m", fold, i, t, p) for i, (t, p) in enumerate(zip(truth, pred))]
+    df = spark.createDataFrame(rows, "model string, fold int, vec_id int, label int, prediction int")
+    got = {r.fold: (r.accuracy, r.macro_precision, r.macro_recall, r.macro_f1) for r in EV.fold_metrics(df).collect()}
+    assert got.keys() == want.keys()
+    for fold, w in want.items():
+        assert all(abs(a - b) < 1e-12 for a, b in zip(got[fold], w)), (fold, got[fold], w)
+
+
+def test_compare_models_tie_goes_to_first_model(spark):
+    """F13 on a tie (the hand-made 'tie on the top score' case): like
+    pandas idxmax, the first model in order is the best and recommended."""
+    cols = [f"{m}_{x}" for m in EV.METRICS for x in ("mean", "std")]
+    vals = {"A": [0.7, 0.01, 0.6, 0.02, 0.5, 0.03, 0.64, 0.01], "B": [0.7, 0.02, 0.61, 0.01, 0.5, 0.01, 0.64, 0.02],
+            "C": [0.6, 0.01, 0.5, 0.01, 0.4, 0.01, 0.5, 0.01]}
+    df = spark.createDataFrame([(k, *v) for k, v in vals.items()], "model string, " + ", ".join(f"{c} double" for c in cols))
+    got = {r.model: r for r in EV.compare_models(df).collect()}
+    assert got["A"].best_accuracy and not got["B"].best_accuracy          # tie 0.7: first model
+    assert got["B"].best_macro_precision and not got["A"].best_macro_precision
+    assert got["A"].best_macro_recall and got["A"].best_macro_f1          # ties again
+    assert (got["A"].f1_rank, got["B"].f1_rank, got["C"].f1_rank) == (1, 2, 3)
+    assert got["A"].recommended and not got["B"].recommended and not got["C"].recommended
