@@ -139,3 +139,17 @@ def test_needle_gates_never_change_a_rule(spark):
     # the pieces make every rule fire somewhere, so the test has teeth
     fired = df.select(*[F.max(R.rule_column(c, r).cast("int")).alias(r[0]) for r in R.RULES]).collect()[0]
     assert sum(fired) >= 30
+
+
+def test_unknown_language_keeps_its_own_row(spark):
+    """C15 with a language outside the four: its own zero-filled row, and
+    no class id (values outside the domain become null)."""
+    from vulnlake.operators import detect as DT
+    from vulnlake.operators import textfeat as TF
+    codes = [("en", D.TEMPLATES[0]), ("xx", D.TEMPLATES[6]), ("xx", "print(1)"), ("fr", "x = 1")]
+    df = spark.createDataFrame(codes, "lang string, insecure_code string")
+    df = df.withColumn("verdict", R.verdict(F.col("insecure_code")))
+    got = {r.lang: tuple(r[v] for v in DT.VERDICTS) for r in DT.by_language(df).collect()}
+    assert got == {"en": (1, 0, 0, 0), "xx": (0, 1, 0, 1), "fr": (0, 0, 0, 1)}
+    ids = [r.i for r in df.select(TF.lang_label(F.col("lang")).alias("i")).collect()]
+    assert ids == [1, None, None, 3]
