@@ -230,6 +230,9 @@ _STORE_COLS = ["analysis_id", "ts", "user_id", "snippet_hash", "verdict", "confi
 def q_store_analyses(spark, sf):
     path = shared_path(spark, "analyses_store")
     a = V.analyses(spark, sf).select(*_STORE_COLS)
-    store_analyses(a.where(F.col("analysis_id") % 2 == 0), path)   # first delivery
-    store_analyses(a, path)                                        # replay with the rest
+    # first delivery: the first 15 days of analyses; then the whole batch is
+    # delivered again (a replay), and only the rows not yet stored are added
+    cut = a.agg(F.min("ts") + F.expr("INTERVAL 15 DAYS")).scalar()
+    store_analyses(a.where(F.col("ts") < cut), path)
+    store_analyses(a, path)
     return spark.read.parquet(path).select(*_STORE_COLS)

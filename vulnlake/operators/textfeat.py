@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from vulnlake.functions import derive as B
 from vulnlake.functions.rules import sql_str
+from vulnlake.operators import evaluation as EV
 from vulnlake.plans import domains as D
 from vulnlake.plans.registry import register
 from vulnlake.sources import views as V
@@ -238,21 +239,40 @@ def q_l2_normalize(spark, sf):
     return l2_normalize(tfidf(tok, idf)).withColumn("weight", B.round_half_even(F.col("weight"), 6))
 
 
-_TRAIN = "WHERE doc_id % 5 <> 0"
+# Held-out rows: the first stratified fold (F1) by language, the rest train,
+# as the studied benchmark transforms each CV fold with the vocabulary
+# fitted on the other folds.
+HELD_FOLD = 1
+_TRAIN = f"WHERE doc_id IN (SELECT doc_id FROM hfold WHERE fold <> {HELD_FOLD})"
+_HELD = f"WHERE doc_id IN (SELECT doc_id FROM hfold WHERE fold = {HELD_FOLD})"
+
+
+def _sql_folds() -> tuple[str, str]:
+    return ("hfold", f"SELECT doc_id, CAST((class_rank - 1) % {EV.K_FOLDS} + 1 AS INTEGER) AS fold FROM "
+                     f"({EV._sql_class_rank('(SELECT doc_id, lang FROM documents) d', 'lang', 'doc_id')}) r")
 
 
 def _heldout_ctes():
-    ctes = _sql_fit("bench", D.BENCH_MAX_FEATURES, _TRAIN)
-    ctes += [("htok", _sql_tokens("bench", "documents", "WHERE doc_id % 5 = 0")),
+    ctes = [_sql_folds()] + _sql_fit("bench", D.BENCH_MAX_FEATURES, _TRAIN)
+    ctes += [("htok", _sql_tokens("bench", "documents", _HELD)),
              ("hw", "SELECT t.doc_id, t.term, t.tf * i.idf AS weight FROM htok t JOIN idf i USING (term)"),
              ("hwn", "SELECT doc_id, term, weight / sqrt(sum(weight * weight) OVER (PARTITION BY doc_id)) AS weight FROM hw")]
     return ctes
 
 
+def _split_spark(spark, sf):
+    """(train, held) documents: held = stratified fold HELD_FOLD.  The folds
+    are computed on the short (doc_id, lang) rows and applied to the texts
+    with semi / anti joins on the key."""
+    docs = _docs(spark, sf)
+    held_ids = (EV.stratified_folds(docs.select("doc_id", "lang"), "lang", "doc_id")
+                .where(F.col("fold") == HELD_FOLD).select("doc_id"))
+    texts = docs.select("doc_id", "text")
+    return texts.join(held_ids, "doc_id", "left_anti"), texts.join(held_ids, "doc_id", "left_semi")
+
+
 def _heldout_spark(spark, sf):
-    docs = _docs(spark, sf).select("doc_id", "text")
-    train = docs.where(F.col("doc_id") % 5 != 0)
-    held = docs.where(F.col("doc_id") % 5 == 0)
+    train, held = _split_spark(spark, sf)
     _, idf = fit_transform(train, "bench", D.BENCH_MAX_FEATURES)
     return held, idf
 
@@ -295,11 +315,9 @@ def _sql_shape(split: str, where: str, fit_where: str) -> str:
 
 @register("matrix_shape", lambda: _with(_heldout_ctes()) +
           "SELECT split, n_rows, n_cols, nnz, " + B.sql_round_half_even("nnz / (n_rows * n_cols)", 6) + " AS density FROM (" +
-          _sql_shape("train", _TRAIN, _TRAIN) + " UNION ALL " + _sql_shape("valid", "WHERE doc_id % 5 = 0", _TRAIN) + ") s")
+          _sql_shape("train", _TRAIN, _TRAIN) + " UNION ALL " + _sql_shape("valid", _HELD, _TRAIN) + ") s")
 def q_matrix_shape(spark, sf):
-    docs = _docs(spark, sf).select("doc_id", "text")
-    train = docs.where(F.col("doc_id") % 5 != 0)
-    held = docs.where(F.col("doc_id") % 5 == 0)
+    train, held = _split_spark(spark, sf)
     wt, idf = fit_transform(train, "bench", D.BENCH_MAX_FEATURES)
     wv = transform(held, idf, "bench")
     n_cols = idf.groupBy().agg(F.count(F.lit(1))).scalar().cast("int") + F.lit(2)
