@@ -59,3 +59,25 @@ def test_stream_cache_state_carries_across_batches(spark, tmp_path):
     got = _rows(spark.read.parquet(out).select("analysis_id", "hit"))
     batch = V.analyses(spark, SF_SMALL).withColumn("cache_key", F.col("user_id") % 20)
     assert got == _rows(H.cache_hits(batch, "cache_key").select("analysis_id", "hit"))
+
+
+def test_stream_history_over_three_batches(spark, tmp_path):
+    """Events in three files (three micro-batches): the alternating slots
+    carry the latest five per user from batch to batch."""
+    from pyspark.sql import functions as F
+
+    from vulnlake.sources import views as V
+    from vulnlake.streaming import streams as S
+
+    ev = V.table(spark, SF_SMALL, "events")
+    src = str(tmp_path / "src")
+    for i, (lo, hi) in enumerate(((0, 300), (300, 650), (650, 10 ** 9))):
+        ev.where((F.col("event_id") >= lo) & (F.col("event_id") < hi)).coalesce(1).write.parquet(f"{src}/p{i}")
+    stream = (spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(src))
+    a = V.analyses_from(stream.withColumn("ts", F.col("ts").cast("timestamp")), spark, SF_SMALL)
+    holder = S.stream_history(a, str(tmp_path / "hist"))
+    assert holder["path"].endswith("slot0")  # batches 0, 1, 2: the last one wrote slot 0
+    got = _rows(spark.read.parquet(holder["path"]).select("user_id", "rank", "analysis_id"))
+    want = _rows(registry.queries()["recent_history_by_user"](spark, SF_SMALL).select("user_id", "rank", "analysis_id"))
+    assert got == want

@@ -115,18 +115,24 @@ def stream_cache(analyses: DataFrame, key: str = "cache_key", ttl_seconds: int =
 
 def stream_history(analyses: DataFrame, path: str, n: int = D.HISTORY_LEN) -> dict:
     """T5: latest n per user kept as a table; each micro-batch is merged
-    with the stored rows (foreachBatch) and written as a new version."""
+    with the stored rows (foreachBatch).
+
+    The table lives in two alternating slots: batch e reads slot (e-1) % 2,
+    written by the last committed batch, and overwrites slot e % 2.  The
+    slot follows from the batch id alone, so a restarted query (or a
+    replayed batch) resumes from the stored table, and storage stays at two
+    copies of users × n rows."""
     holder = {"path": None}
 
     def merge(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         cols = ["user_id", "analysis_id", "ts", "preview", "verdict", "confidence"]
         cur = batch.select(*cols)
-        if holder["path"] is not None:
-            cur = cur.unionByName(spark.read.parquet(holder["path"]).select(*cols))
+        if epoch > 0:
+            cur = cur.unionByName(spark.read.parquet(f"{path}/slot{(epoch - 1) % 2}").select(*cols))
         w = Window.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("analysis_id").desc())
         top = cur.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
-        out = f"{path}/v{epoch}"
+        out = f"{path}/slot{epoch % 2}"
         top.write.mode("overwrite").parquet(out)
         holder["path"] = out
 
