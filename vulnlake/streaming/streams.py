@@ -174,7 +174,9 @@ def q_stream_stats(spark, sf):
     holder = {}
 
     def keep(batch: DataFrame, epoch: int) -> None:
-        out = f"{base}/v{epoch}"
+        # complete mode: each batch is the whole result; two alternating
+        # slots keep the last committed one intact while the next is written
+        out = f"{base}/slot{epoch % 2}"
         batch.write.mode("overwrite").parquet(out)
         holder["path"] = out
 
