@@ -37,3 +37,20 @@ def word_count(text: Column) -> Column:
 def uniform(seed: int, *cols: Column) -> Column:
     """A seeded pseudo-random number in [0, 1) that depends on the row's values only."""
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11) / F.lit(float(1 << 53))
+
+
+#: Documents handed to a Python worker at once; texts can be long.
+BATCH_ROWS = 500
+BATCH_BYTES = 16 << 20
+
+
+def in_batches(spark: SparkSession) -> None:
+    """Keep the Arrow batches of text short.  A smaller setting of the session is left alone."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vulnlake.llm import mixing, sharding
+from vulnlake.llm import mixing, quality, sharding, toxicity
 from vulnlake.sources.views import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,43 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
 def op8_shard_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.document_shards(spark, table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op9_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.judge(spark, table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@oracle("op9_host_quality")
+def _op9_sql() -> str:
+    return r"""
+WITH d AS (SELECT row_number() OVER () AS uid, doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+g AS (SELECT uid, i, words[i:i+7] AS gram FROM (SELECT uid, words, unnest(range(1, len(words) - 6)) AS i FROM w WHERE len(words) >= 8)),
+r AS (SELECT uid, i FROM (SELECT uid, i, count(*) OVER (PARTITION BY uid, gram) AS n FROM g) WHERE n >= 2),
+c AS (SELECT uid, sum(least(8, coalesce(nxt - i, 8))) AS covered
+      FROM (SELECT uid, i, lead(i) OVER (PARTITION BY uid ORDER BY i) AS nxt FROM r) GROUP BY uid),
+s AS (SELECT w.doc_id, w.source, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+             length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) AS n_lines,
+             len(lines) - len(list_distinct(lines)) AS n_dup_lines, CAST(coalesce(covered, 0) AS BIGINT) AS n_repeat_words
+      FROM w LEFT JOIN c USING (uid)),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+             100 * n_symbols > 10 * word_chars OR 100 * n_dup_lines > 30 * n_lines AS other_failed FROM s),
+h AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed OR other_failed) AS bad FROM f GROUP BY source),
+m AS (SELECT sum(bad) / sum(n) AS mean, sum(n) AS total, count(*) AS hosts FROM h),
+v AS (SELECT any_value(mean) AS mean, any_value(mean * (1 - mean)) AS chance,
+             (sum(n * pow(bad / n - mean, 2)) - any_value(hosts * mean * (1 - mean))) / any_value(total) AS between_hosts FROM h, m),
+p AS (SELECT mean, CASE WHEN between_hosts <= 0 THEN 1e6 ELSE least(greatest(chance / between_hosts - 1, 1), 1e6) END AS strength FROM v),
+k AS (SELECT source, (bad + mean * strength) / (n + strength) <= 0.5 AS host_ok FROM h, p)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_ok AS kept
+FROM f JOIN k ON f.source IS NOT DISTINCT FROM k.source"""
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(spark, docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(spark, docs, model).select("doc_id", "held_out", "score", "predicted", "n_hits")
