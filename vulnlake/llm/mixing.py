@@ -18,6 +18,8 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MAX_EPOCHS = 2
 SEED = 3
+#: Largest table of sources that is broadcast; a larger one is joined by shuffle.
+BROADCAST_SOURCES = 100_000
 #: Hex digits of the seeded order that name a bucket: 4,096 buckets a source.
 BUCKET_DIGITS = 3
 
@@ -50,14 +52,14 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share
 def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE,
         max_epochs: int = MAX_EPOCHS, seed: int = SEED, whole: bool = False) -> DataFrame:
     """``docs`` (doc_id, source, text, anything else) → doc_id, source, size,
-    source_size, target, taken, epochs.
+    source_size, target, taken, and of the rule: ord, full, more.
 
     ``size`` is the word count (null text: 0).  ``taken`` is the words the mix
     takes of the document, repetitions counted: the source's whole
     repetitions, plus one more for the first documents of the seeded order.
     The document on which the fraction runs out gives the words still missing,
-    or with ``whole`` all or none of them, whichever is nearer.  ``epochs`` is
-    taken / size (1 for documents without words, which cost nothing).  Null
+    or with ``whole`` all or none of them, whichever is nearer.  ``full`` is
+    the whole repetitions and ``more`` the words of the last one.  Null
     sources form one source; documents without an id share one place in the
     order; repeated rows count each.  Empty input: no rows.
     """
@@ -91,5 +93,21 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS
         part = F.when(part * 2 >= F.col("size"), F.when(still > 0, F.col("size")).otherwise(0)).otherwise(0)
     taken = outside.unionByName(placed.where(F.col("cut")).withColumn("more", part))
     words = (F.col("full") * F.col("size") + F.col("more")).cast("long")
-    return taken.select("doc_id", back.alias("source"), "size", "source_size", "target", words.alias("taken"),
-                        F.when(F.col("size") > 0, words / F.col("size")).otherwise(1.0).alias("epochs"))
+    return taken.select("doc_id", back.alias("source"), "size", "source_size", "target", words.alias("taken"), "ord", "full", "more")
+
+
+def repeat_documents(spark: SparkSession, docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """The mix itself: the rows of ``docs``, all columns, each as often as the
+    mix takes it in whole texts; documents without words stay once.
+
+    What a document gets follows from its source's whole repetitions and from
+    the place in the seeded order where the last one ends, so texts are not
+    shuffled: a table of one row per source is joined to them."""
+    cuts = mix(spark, docs, seed=seed, whole=True).groupBy("source").agg(
+        F.first("full").alias("_full"), F.coalesce(F.min(F.when((F.col("more") == 0) & (F.col("size") > 0), F.col("ord"))), F.lit("g")).alias("_cut"))
+    cuts = staged(spark, cuts.withColumnRenamed("source", "_source"), "mix-cuts")
+    side = F.broadcast(cuts) if cuts.count() <= BROADCAST_SOURCES else cuts
+    times = F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.col("_full") + (seeded_order(seed) < F.col("_cut")).cast("int")).otherwise(1)
+    placed = docs.join(side, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_times", times.cast("int"))
+    copies = placed.where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return copies.select(*[F.col(f"`{c}`") for c in docs.columns])
