@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vulnlake.llm import decontaminate, html, lm, minhash, mixing, quality, sharding, suffixes, toxicity
+from vulnlake.llm import decontaminate, html, licences, lm, minhash, mixing, quality, sharding, suffixes, toxicity
 from vulnlake.sources.views import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,3 +148,9 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(spark, table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licences.scan(spark, table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "paragraph", "family", "probability", "guess", "template", "contained", "confirmed")
