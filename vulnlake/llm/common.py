@@ -24,6 +24,17 @@ def staged(spark: SparkSession, df: DataFrame, name: str, partition_by: list[str
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_names(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """The names, each lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return tuple(out)
+
+
 def row_key() -> Column:
     """A per-row number that stays fixed once its frame is staged."""
     return F.monotonically_increasing_id()

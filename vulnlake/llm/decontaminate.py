@@ -20,13 +20,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vulnlake.llm.common import in_batches, staged
+from vulnlake.llm.common import free_names, in_batches, staged
 from vulnlake.llm.minhash import text_key
 
 #: Tokens in a window, and how many of them must be no placeholders.
 WINDOW, MIN_LITERALS = 8, 4
-#: Share of an item's tokens that consistent windows must cover.
-MIN_COVERAGE = 0.5
+#: Share of an item's tokens that consistent windows must cover, and share of
+#: the windows met on one alignment that must be consistent.
+MIN_COVERAGE, MIN_CONSISTENT = 0.5, 0.8
 #: Largest number of template windows that is sent to the tasks as a filter
 #: (and broadcast in the join); a larger benchmark is joined by shuffle.
 BROADCAST_WINDOWS = 1_000_000
@@ -194,6 +195,8 @@ def _verdict(hits: pd.DataFrame) -> pd.DataFrame:
     for shift, one in hits.assign(shift=hits["pos"] - hits["item_pos"]).groupby("shift"):
         one = one.drop_duplicates("item_pos").sort_values("item_pos")
         fine = consistent(list(zip(one["item_slots"].map(list), one["slots"].map(list), strict=True)))
+        if sum(fine) < MIN_CONSISTENT * len(fine):
+            continue
         covered = np.zeros(int(one["n_tokens"].iloc[0]), bool)
         for ok, at, size in zip(fine, one["item_pos"], one["size"], strict=True):
             if ok:
@@ -231,8 +234,9 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, in which no benchmark item is found."""
-    bad = contaminated(spark, docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
+    key, own_id, own_key = free_names(docs, "_key", "_id", "_h")
+    bad = contaminated(spark, docs, benchmark).select(F.col("doc_id").alias(own_id), F.col("h").alias(own_key)).distinct()
     bad = staged(spark, bad, "leak-bad")
-    keyed = docs.withColumn("_key", text_key(F.col("text")))
     side = F.broadcast(bad) if bad.count() <= BROADCAST_WINDOWS // 2 else bad
-    return keyed.join(side, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_h")), "left_anti").drop("_key")
+    on = F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col(key) == F.col(own_key))
+    return docs.withColumn(key, text_key(F.col("text"))).join(side, on, "left_anti").drop(key)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vulnlake.llm.common import row_key, staged, word_count
+from vulnlake.llm.common import free_names, row_key, staged, word_count
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -103,11 +103,12 @@ def repeat_documents(spark: SparkSession, docs: DataFrame, seed: int = SEED) ->
     What a document gets follows from its source's whole repetitions and from
     the place in the seeded order where the last one ends, so texts are not
     shuffled: a table of one row per source is joined to them."""
+    name, full, cut, times, copy = free_names(docs, "_source", "_full", "_cut", "_times", "_copy")
     cuts = mix(spark, docs, seed=seed, whole=True).groupBy("source").agg(
-        F.first("full").alias("_full"), F.coalesce(F.min(F.when((F.col("more") == 0) & (F.col("size") > 0), F.col("ord"))), F.lit("g")).alias("_cut"))
-    cuts = staged(spark, cuts.withColumnRenamed("source", "_source"), "mix-cuts")
+        F.first("full").alias(full), F.coalesce(F.min(F.when((F.col("more") == 0) & (F.col("size") > 0), F.col("ord"))), F.lit("g")).alias(cut))
+    cuts = staged(spark, cuts.withColumnRenamed("source", name), "mix-cuts")
     side = F.broadcast(cuts) if cuts.count() <= BROADCAST_SOURCES else cuts
-    times = F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.col("_full") + (seeded_order(seed) < F.col("_cut")).cast("int")).otherwise(1)
-    placed = docs.join(side, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_times", times.cast("int"))
-    copies = placed.where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return copies.select(*[F.col(f"`{c}`") for c in docs.columns])
+    due = F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.col(full) + (seeded_order(seed) < F.col(cut)).cast("int")).otherwise(1)
+    placed = docs.join(side, F.col("source").eqNullSafe(F.col(name))).withColumn(times, due.cast("int")).where(F.col(times) > 0)
+    copies = placed.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times))))
+    return copies.drop(name, full, cut, times, copy)

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vulnlake.llm.common import row_key, staged, uniform
+from vulnlake.llm.common import free_names, row_key, staged, uniform
 
 SHARDS = 24
 #: Sampled keys per range between two splitters.
@@ -100,12 +100,13 @@ def shard_documents(spark: SparkSession, docs: DataFrame, n_shards: int = SHARDS
     first keys are enough to place a row, so texts are not shuffled; rows with
     one key (repeated rows) go to one shard.  A column ``shard`` is replaced."""
     firsts = document_shards(spark, docs, n_shards).groupBy("shard").agg(F.min("key").alias("first")).orderBy("shard").collect()
+    (name,) = free_names(docs, "_key")
     key = text_order(F.col("doc_id"), F.coalesce("text", F.lit("")))
     # one comparison per shard; a shard without records shares the next one's place
     shard = F.lit(firsts[0].shard if firsts else 0)
     for before, at in zip(firsts, firsts[1:], strict=False):
-        shard = shard + F.when(F.col("_key") >= at["first"], at.shard - before.shard).otherwise(0)
-    return docs.withColumn("_key", key).withColumn("shard", shard.cast("int")).drop("_key")
+        shard = shard + F.when(F.col(name) >= at["first"], at.shard - before.shard).otherwise(0)
+    return docs.withColumn(name, key).withColumn("shard", shard.cast("int")).drop(name)
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
