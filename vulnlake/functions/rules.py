@@ -67,6 +67,7 @@ NEGATIVE_LABEL = {"component": "safe", "page": "secure"}
 
 FAMILIES = ["sql_injection", "hardcoded_secret", "weak_crypto"]
 ANY_TEXT = r"[\s\S]*"
+AT_RUN = r"[^@\s]+@"
 
 # Lower-case substrings a text must contain before a rule can match,
 # derived by hand from the rule texts above: per rule, a list of groups;
@@ -130,9 +131,33 @@ def rules_for(strict: bool = False) -> list[tuple]:
     return [(rid, fam, pat.replace(PERCENT_TAIL, STRICT_PERCENT_TAIL), ci) for rid, fam, pat, ci in RULES]
 
 
+# What the rules' own engine takes as white space, and its ASCII word boundary.
+SPACES = r"\t\n\x0B\x0C\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+JAVA_BOUNDARY = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+
+
+def _spaces(pattern: str) -> str:
+    """\\s, in and out of brackets, as the class above."""
+    return pattern.replace(r":\s]", f":{SPACES}]").replace(r"@\s]", f"@{SPACES}]").replace(r"\s", f"[{SPACES}]")
+
+
 def oracle_pattern(pattern: str, case_insensitive: bool) -> str:
     """Pattern text for engines with a linear-time matcher (RE2)."""
-    return ("(?i)" if case_insensitive else "") + pattern
+    text = ANY_TEXT.join(_spaces(p) for p in pattern.split(ANY_TEXT))
+    return ("(?i)" if case_insensitive else "") + text
+
+
+def java_pattern(pattern: str) -> str:
+    """A piece of a rule for Java: the same spaces and word boundaries, no
+    backtracking between adjacent runs.
+
+    Two runs of spaces beside an optional bracket never give spaces back.  A
+    brace search commits to its first brace with something in it: if no
+    closing brace follows that one, none follows a later one.  A quoted run
+    with a word in it commits to the word's first place."""
+    text = pattern.replace(r"%\s*\(?\s*[a-z_]", r"%\s*+(?:\(\s*+)?[a-z_]")
+    text = text.replace("""[^"']*ECB[^"']*""", """(?>[^"']*?ECB)[^"']*+""")
+    return _spaces(text).replace(r"\b", JAVA_BOUNDARY)
 
 
 def staged_pattern(pattern: str, case_insensitive: bool) -> str:
@@ -145,13 +170,20 @@ def staged_pattern(pattern: str, case_insensitive: bool) -> str:
     flag = "(?i)" if case_insensitive else ""
     parts = pattern.split(ANY_TEXT)
     if len(parts) == 1:
-        return flag + pattern
-    stages = [p.replace("[^}]+", "[^}]++") for p in parts]
-    return flag + r"\A" + "".join(r"(?>[\s\S]*?" + s + ")" for s in stages)
+        return flag + java_pattern(pattern)
+    stages = [r"(?>[\s\S]*?" + java_pattern(p) + ")" for p in parts]
+    if parts[-1].endswith(r"\{[^}]+\}"):
+        stages[-1] = r"(?>[\s\S]*?" + java_pattern(parts[-1].removesuffix(r"]+\}")) + r"])[^}]*+\}"
+    return flag + r"\A" + "".join(stages)
 
 
 def rule_column(code: Column, rule: tuple) -> Column:
     _, _, pattern, ci = rule
+    if pattern.endswith(AT_RUN):
+        # A run without an @, and the rest of a run after its last @, cannot
+        # hold what the rule looks for; without them every search for the @
+        # that ends a match succeeds at the first one.
+        code = F.regexp_replace(code, f"(?<![^@{SPACES}])[^@{SPACES}]++(?![^{SPACES}])", "")
     return code.rlike(staged_pattern(pattern, ci))
 
 

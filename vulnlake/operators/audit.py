@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from vulnlake.functions import derive as B
 from vulnlake.functions.rules import sql_str
 from vulnlake.plans.registry import register
-from vulnlake.session import shared_path
+from vulnlake.session import path_exists, shared_path
 from vulnlake.sources import views as V
 
 # Expected input schemas (FIXTURES.md §2), in DuckDB type names.
@@ -123,17 +123,19 @@ def profile_frame(df: DataFrame, key: str = "id", k: int = 3) -> DataFrame:
 
 
 def store_analyses(df: DataFrame, path: str, key: str = "analysis_id") -> DataFrame:
-    """Append results not yet stored (left-anti join on the key), so a
-    replayed batch is written once; partitioned by day."""
+    """Append results not yet stored, so a replayed batch is written once;
+    partitioned by day.
+
+    The key alone tells results apart: one delivered again, in the batch or
+    later and also under another day, is not stored again, and of repeats in
+    a batch the earliest stays.  Only the key column of the stored table is
+    read.  A failed read fails the call; it is not taken for an empty store."""
     spark = df.sparkSession
-    batch = df.withColumn("day", F.to_date("ts"))
-    try:
-        existing = spark.read.parquet(path).select("day", key)
-        # joining on the partition column lets dynamic partition pruning read
-        # only the stored days that the batch touches
-        new = batch.join(existing, ["day", key], "left_anti")
-    except Exception:  # noqa: BLE001  (no table yet)
-        new = batch
+    others = [c for c in df.columns if c not in (key, "ts")]
+    once = df.groupBy(key).agg(F.min(F.struct("ts", *others)).alias("first")).select(key, "first.*")
+    new = once.select(*df.columns).withColumn("day", F.to_date("ts"))
+    if path_exists(spark, path):
+        new = new.join(spark.read.parquet(path).select(key), key, "left_anti")
     new.write.mode("append").partitionBy("day").parquet(path)
     return spark.read.parquet(path)
 

@@ -87,15 +87,15 @@ def remediation(df: DataFrame, spark: SparkSession) -> DataFrame:
     return df.join(F.broadcast(D.remediation_dim(spark)), "verdict", "left")
 
 
-def _escape_token(tok: str) -> str:
-    return re.sub(r"([.*+?^${}()|\[\]\\])", r"\\\1", tok)
+def _alternatives(verdict: str, lower: bool = False) -> str | None:
+    """One group that matches any risky token of the verdict literally."""
+    quoted = [re.escape(t.lower() if lower else t) for t in D.VERDICT_META_COMPONENT[verdict][5] if t]
+    return f"({'|'.join(quoted)})" if quoted else None
 
 
 def risky_pattern(verdict: str) -> str | None:
-    toks = [t for t in D.VERDICT_META_COMPONENT[verdict][5] if t]
-    if not toks:
-        return None
-    return "(?i)(" + "|".join(_escape_token(t) for t in toks) + ")"
+    group = _alternatives(verdict)
+    return group and "(?i)" + group
 
 
 def _by_verdict(verdict_col, make):
@@ -127,8 +127,7 @@ def highlight(df: DataFrame, code: str = "insecure_code") -> DataFrame:
 
 def lower_risky_pattern(verdict: str) -> str | None:
     """Case-sensitive pattern of the lower-cased tokens, for lower-cased text."""
-    toks = [t.lower() for t in D.VERDICT_META_COMPONENT[verdict][5] if t]
-    return "(" + "|".join(_escape_token(t) for t in toks) + ")" if toks else None
+    return _alternatives(verdict, lower=True)
 
 
 def risky_token_counts(df: DataFrame, k: int = 5, key: str = "doc_id", code: str = "insecure_code") -> DataFrame:

@@ -34,9 +34,19 @@ def _r6(c):
 
 # ------------------------------- splits ------------------------------------
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` with null equal to null; the right side's keys are dropped."""
+    other = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    cond = None
+    for k in keys:
+        c = left[k].eqNullSafe(other[f"_r_{k}"])
+        cond = c if cond is None else cond & c
+    return left.join(other, cond, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def class_rank(df: DataFrame, label: str, key: str, seed: int = D.SEED) -> DataFrame:
     """1-based rank of each row inside its class, ordered by (md5(seed:key), key)."""
-    h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    h = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
     x = df.withColumns({"_h": h, "_b": F.conv(F.substring(h, 1, RANK_HEX_DIGITS), 16, 10).cast("int")})
     w_local = Window.partitionBy(label, "_b").orderBy("_h", key)
     x = x.withColumn("_rl", F.row_number().over(w_local))
@@ -44,7 +54,7 @@ def class_rank(df: DataFrame, label: str, key: str, seed: int = D.SEED) -> DataF
     # ≤ 65,536 rows per class
     w_off = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offs = sizes.select(label, "_b", F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_off"))
-    return (x.join(offs, [label, "_b"]).withColumn("class_rank", F.col("_rl") + F.col("_off"))
+    return (join_null_safe(x, offs, [label, "_b"]).withColumn("class_rank", F.col("_rl") + F.col("_off"))
             .drop("_h", "_b", "_rl", "_off"))
 
 
@@ -67,7 +77,7 @@ def stratified_holdout(df: DataFrame, label: str, key: str, frac=HOLDOUT, seed:
     s = s.withColumn("short", F.col("n_test") - F.sum("q0").over(g))
     s = s.withColumn("ord", F.row_number().over(Window.orderBy(F.col("rem").desc(), F.col(label).asc())))
     quota = s.select(label, (F.col("q0") + (F.col("ord") <= F.col("short")).cast("long")).alias("quota"))
-    r = class_rank(df, label, key, seed).join(F.broadcast(quota), label)
+    r = join_null_safe(class_rank(df, label, key, seed), quota, [label])
     return r.withColumn("split", F.when(F.col("class_rank") <= F.col("quota"), "test").otherwise("train")).drop("class_rank", "quota")
 
 
@@ -76,7 +86,7 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_c"))
     g = Window.partitionBy()
     w = sizes.select(label, (F.sum("n_c").over(g) / (F.count(F.lit(1)).over(g) * F.col("n_c"))).alias("weight"))
-    return df.join(F.broadcast(w), label)
+    return join_null_safe(df, w, [label])
 
 
 # ------------------------------ metrics ------------------------------------
@@ -127,11 +137,21 @@ def cv_summary(folds: DataFrame) -> DataFrame:
     return folds.groupBy("model").agg(*aggs)
 
 
-def oof_check(pred: DataFrame) -> DataFrame:
-    """one out-of-fold row per id and model (completeness check)."""
-    return pred.groupBy("model").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("vec_id").alias("n_ids"),
-                                     F.countDistinct("fold").alias("n_folds")).withColumn(
-        "complete", F.col("n_rows") == F.col("n_ids"))
+def oof_assemble(pred: DataFrame, ids: DataFrame, key: str = "vec_id") -> DataFrame:
+    """the out-of-fold table: every id of the input with each model's
+    prediction for it, null where no fold predicted the id."""
+    models = [r[0] for r in pred.select("model").distinct().collect()]  # a few names
+    every = ids.select(key).distinct().withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
+    return every.join(pred, [key, "model"], "left")
+
+
+def oof_check(pred: DataFrame, ids: DataFrame, key: str = "vec_id") -> DataFrame:
+    """per model, whether every id of the input has exactly one row."""
+    want = ids.agg(F.countDistinct(key)).scalar()
+    known = pred.join(ids.select(key).distinct(), key, "left_semi")
+    return known.groupBy("model").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct(key).alias("n_ids"),
+                                      F.countDistinct("fold").alias("n_folds")).withColumn(
+        "complete", (F.col("n_rows") == F.col("n_ids")) & (F.col("n_ids") == want))
 
 
 def class_scores(pred: DataFrame, n_classes: int = 4) -> DataFrame:
@@ -255,7 +275,11 @@ def threshold_sweep(pred: DataFrame, steps: int = 100) -> DataFrame:
     (predict positive when score ≥ threshold); binned counts then a
     cumulative sum from the top over steps+1 rows per class."""
     cs = class_scores(pred)
-    b = F.least(F.floor(F.col("score") * steps), F.lit(steps)).cast("int")
+    # the greatest step whose threshold the score reaches; the product may
+    # round to the wrong side of a step, so its neighbours are tried as well
+    near = F.floor(F.col("score") * steps)
+    reached = lambda k: k / F.lit(float(steps)) <= F.col("score")
+    b = F.least(F.when(reached(near + 1), near + 1).when(reached(near), near).otherwise(near - 1), F.lit(steps)).cast("int")
     bins = cs.groupBy("model", "cls", b.alias("bin")).agg(
         F.sum(F.col("positive").cast("long")).alias("pos"), F.sum((~F.col("positive")).cast("long")).alias("neg"))
     grid = (cs.select("model", "cls").distinct()
@@ -271,10 +295,24 @@ def threshold_sweep(pred: DataFrame, steps: int = 100) -> DataFrame:
                     F.when(F.col("P") > 0, F.col("tp") / F.col("P")).alias("recall"))
 
 
-def threshold_pick(sweep: DataFrame, target: float = D.PRECISION_TARGET) -> DataFrame:
-    """lowest threshold whose precision reaches the target."""
-    return sweep.groupBy("model", "class").agg(
-        F.min(F.when(F.col("precision") >= target, F.col("threshold"))).alias("threshold"))
+def threshold_pick(pred: DataFrame, target: float = D.PRECISION_TARGET) -> DataFrame:
+    """the lowest score at which predicting from it on reaches the target
+    precision.  Rows are reduced to distinct scores; running counts are summed
+    inside score buckets and carried from the buckets above."""
+    cs = class_scores(pred)
+    by = cs.groupBy("model", "cls", "score").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("positive").cast("long")).alias("pos"))
+    by = by.withColumn("_b", F.floor(F.col("score") * AUC_BUCKETS))
+    tops = by.groupBy("model", "cls", "_b").agg(F.sum("n").alias("bn"), F.sum("pos").alias("bpos"))
+    above = Window.partitionBy("model", "cls").orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select("model", "cls", "_b", F.coalesce(F.sum("bn").over(above), F.lit(0)).alias("n0"),
+                       F.coalesce(F.sum("bpos").over(above), F.lit(0)).alias("p0"))
+    inside = Window.partitionBy("model", "cls", "_b").orderBy(F.col("score").desc())
+    j = by.join(tops, ["model", "cls", "_b"])
+    precision = (F.col("p0") + F.sum("pos").over(inside)) / (F.col("n0") + F.sum("n").over(inside))
+    names = F.array(*[F.lit(c) for c in CLASS_NAMES])
+    return (j.withColumn("precision", precision).groupBy("model", "cls")
+            .agg(F.min(F.when(F.col("precision") >= target, F.col("score"))).alias("threshold"))
+            .select("model", F.element_at(names, F.col("cls") + 1).alias("class"), "threshold"))
 
 
 def learning_curves(log: DataFrame) -> DataFrame:
@@ -424,9 +462,10 @@ def q_cv_summary(spark, sf):
 
 @register("oof_assemble", lambda: _sv() +
           "SELECT model, count(*) AS n_rows, count(DISTINCT vec_id) AS n_ids, count(DISTINCT fold) AS n_folds, "
-          "count(*) = count(DISTINCT vec_id) AS complete FROM scored GROUP BY model")
+          "count(*) = count(DISTINCT vec_id) AND count(DISTINCT vec_id) = (SELECT count(DISTINCT vec_id) FROM embeddings) AS complete "
+          "FROM scored WHERE vec_id IN (SELECT vec_id FROM embeddings) GROUP BY model")
 def q_oof_assemble(spark, sf):
-    return oof_check(_sc(spark, sf))
+    return oof_check(_sc(spark, sf), V.table(spark, sf, "embeddings").select("vec_id"))
 
 
 @register("roc_auc_ovr", lambda: _sv(_sql_auc()) +
@@ -545,14 +584,11 @@ def q_format_mean_std(spark, sf):
 
 def _sql_sweep() -> list[tuple[str, str]]:
     return _sql_auc()[:1] + [
-        ("bins", "SELECT model, cls, CAST(least(floor(score * 100), 100) AS INTEGER) AS bin, "
-                 "CAST(sum(CAST(positive AS INTEGER)) AS BIGINT) AS pos, CAST(sum(CAST(NOT positive AS INTEGER)) AS BIGINT) AS neg FROM cs GROUP BY 1, 2, 3"),
         ("grid", "SELECT model, cls, CAST(unnest(generate_series(0, 100)) AS INTEGER) AS bin FROM (SELECT DISTINCT model, cls FROM cs) d"),
-        ("cum", "SELECT g.model, g.cls, g.bin, "
-                "sum(coalesce(b.pos, 0)) OVER (PARTITION BY g.model, g.cls ORDER BY g.bin DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tp, "
-                "sum(coalesce(b.neg, 0)) OVER (PARTITION BY g.model, g.cls ORDER BY g.bin DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fp, "
-                "sum(coalesce(b.pos, 0)) OVER (PARTITION BY g.model, g.cls) AS P "
-                "FROM grid g LEFT JOIN bins b ON b.model = g.model AND b.cls = g.cls AND b.bin = g.bin"),
+        # the plain definition: predicted positive when score >= threshold
+        ("cum", "SELECT g.model, g.cls, g.bin, count(CASE WHEN c.score >= g.bin / 100.0 AND c.positive THEN 1 END) AS tp, "
+                "count(CASE WHEN c.score >= g.bin / 100.0 AND NOT c.positive THEN 1 END) AS fp, count(CASE WHEN c.positive THEN 1 END) AS P "
+                "FROM grid g JOIN cs c ON c.model = g.model AND c.cls = g.cls GROUP BY 1, 2, 3"),
         ("sweep", f"SELECT model, {_sql_names('cls')} AS class, bin / 100.0 AS threshold, "
                   "CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END AS precision, CASE WHEN P > 0 THEN tp / P END AS recall FROM cum"),
     ]
@@ -565,10 +601,12 @@ def q_threshold_sweep(spark, sf):
     return s.select("model", "class", "threshold", _r6(F.col("precision")).alias("precision"), _r6(F.col("recall")).alias("recall"))
 
 
-@register("threshold_pick", lambda: _sv(_sql_sweep()) +
-          f"SELECT model, class, min(CASE WHEN precision >= {D.PRECISION_TARGET} THEN threshold END) AS threshold FROM sweep GROUP BY 1, 2")
+@register("threshold_pick", lambda: _sv(_sql_auc()[:1]) +
+          f"SELECT model, {_sql_names('cls')} AS class, min(CASE WHEN precision >= {D.PRECISION_TARGET} THEN score END) AS threshold FROM "
+          "(SELECT model, cls, score, avg(CAST(positive AS INTEGER)) OVER (PARTITION BY model, cls ORDER BY score DESC RANGE BETWEEN UNBOUNDED PRECEDING "
+          "AND CURRENT ROW) AS precision FROM cs) p GROUP BY model, cls")
 def q_threshold_pick(spark, sf):
-    return threshold_pick(threshold_sweep(_sc(spark, sf)))
+    return threshold_pick(_sc(spark, sf))
 
 
 def _tl():

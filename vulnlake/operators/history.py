@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from vulnlake.functions import derive as B
 from vulnlake.plans import domains as D
+from vulnlake.operators.evaluation import join_null_safe
 from vulnlake.plans.registry import register
 from vulnlake.session import ensure_checkpoint_dir
 from vulnlake.sources import views as V
@@ -76,7 +77,7 @@ def running_totals(df: DataFrame, verdicts=VERDICTS) -> DataFrame:
     w_days = Window.partitionBy("user_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_day.select("user_id", "day",
                              *[F.coalesce(F.sum(f"d_{k}").over(w_days), F.lit(0)).alias(f"o_{k}") for k in metrics])
-    j = local.join(offsets, ["user_id", "day"])
+    j = join_null_safe(local, offsets, ["user_id", "day"])
     return j.select("analysis_id", "user_id", *[(F.col(f"l_{k}") + F.col(f"o_{k}")).alias(k) for k in metrics])
 
 
@@ -98,12 +99,16 @@ def cache_hits(df: DataFrame, key: str, ttl_seconds: int = D.CACHE_TTL_SECONDS,
     bucket-level lookup (bounded by time span / bucket); step 2 marks the
     chain from each key's first request by pointer doubling (log₂ of the
     chain length rounds of joins).  Nothing is collected per key.
+    A request without a key is a miss that writes nothing; ``rid`` must be
+    unique.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     ttl_us = ttl_seconds * 1_000_000
     bw = bucket_seconds * 1_000_000
     ev = df.select(F.col(key).alias("key"), F.unix_micros(F.col(ts)).alias("t"), F.col(rid).alias("rid"))
+    keyless = ev.where(F.col("key").isNull()).select(F.col("rid").alias(rid), F.col("key").alias(key), F.lit(False).alias("hit"))
+    ev = ev.where(F.col("key").isNotNull())
     # reliable checkpoint (shared folder): read by every step below and by
     # the lazy result, computed once, and it survives a lost executor
     ev = ev.withColumn("b", F.floor(F.col("t") / bw)).checkpoint()
@@ -146,7 +151,7 @@ def cache_hits(df: DataFrame, key: str, ttl_seconds: int = D.CACHE_TTL_SECONDS,
     out = (ev.join(misses, "rid", "left")
            .select(F.col("rid").alias(rid), F.col("key").alias(key),
                    F.col("miss").isNull().alias("hit")))
-    return out
+    return out.unionByName(keyless)
 
 
 def cache_hit_rate(hits: DataFrame) -> DataFrame:

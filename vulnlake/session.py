@@ -4,6 +4,7 @@ materialised tables (read from ``spark.checkpoint.dir``)."""
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -11,9 +12,10 @@ from pyspark.sql import SparkSession
 
 
 def build_session(master: str | None = None, app: str = "vulnlake", shuffle_partitions: int | None = None) -> SparkSession:
-    master = master or os.environ.get("VULNLAKE_MASTER", "local[8]")
+    """A session with the library's defaults.  The master is set only if one is
+    asked for, so spark-submit's own stands."""
     builder = (
-        SparkSession.builder.master(master).appName(app)
+        SparkSession.builder.appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
@@ -23,6 +25,9 @@ def build_session(master: str | None = None, app: str = "vulnlake", shuffle_part
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("VULNLAKE_DRIVER_MEMORY", "16g"))
     )
+    master = master or os.environ.get("VULNLAKE_MASTER")
+    if master:
+        builder = builder.master(master)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
@@ -34,11 +39,14 @@ def build_session(master: str | None = None, app: str = "vulnlake", shuffle_part
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared folder named by spark.checkpoint.dir.
 
-    A cluster sets it; only when it is unset (local tests) do we create one.
+    A cluster sets it; where it is unset, a local master gets a temporary
+    folder and any other is refused, for its executors could not see one.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         current = tempfile.mkdtemp(prefix="vulnlake-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     if not sc.getCheckpointDir():
@@ -46,6 +54,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or current
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in any file system Spark knows."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)

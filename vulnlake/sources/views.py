@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vulnlake.functions import derive as B
 from vulnlake.functions import rules as R
@@ -90,20 +91,12 @@ def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analyses_from(table(spark, sf_dir, "events"), spark, sf_dir)
 
 
-def analyses_from(ev: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events ⋈ snippets on doc_id = (event_id div 2) mod |documents| (events
-    may be a stream).  Every document takes part, so both sides grow with
-    the data; each snippet is analysed by two consecutive requests (a
-    re-submission), which is what the one-hour result cache sees.
-
-    |documents| is a scalar subquery (a count served by parquet footers).
-    Verdicts are computed once per document and the document side is
-    projected to a few short columns before the join; its size grows with
-    the corpus, so there is no broadcast hint: AQE broadcasts it only when
-    its measured size is under the threshold, else it is a shuffled join on
-    the document key."""
+def document_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One short row per document: what an analysis of it shows, and its
+    ``doc_rank`` 0 .. |documents| - 1 by id (the id itself where ids have no
+    gaps)."""
     docs = table(spark, sf_dir, "documents")
-    n_docs = docs.agg(F.count(F.lit(1))).scalar()
+    least, most, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
     sn = snippets_from(docs).select("doc_id", "id", "insecure_code")
     sn = sn.select(
         F.col("doc_id").alias("snippet_doc_id"),
@@ -112,14 +105,41 @@ def analyses_from(ev: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("snippet_id"),
         B.preview(F.col("insecure_code")).alias("preview"),
     ).withColumn("confidence", B.confidence(F.col("snippet_id"), F.col("verdict")))
+    if n and (least, most) == (0, n - 1):
+        return sn.withColumn("doc_rank", F.col("snippet_doc_id"))
+    block = F.floor(F.col("doc_id") / 65_536)
+    sizes = docs.where("doc_id IS NOT NULL").groupBy(block.alias("_block")).agg(F.count(F.lit(1)).alias("_n"))
+    # one row per 65,536 ids
+    earlier = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    ranks = (docs.where("doc_id IS NOT NULL").select("doc_id", block.alias("_block")).join(starts, "_block")
+             .select("doc_id", (F.col("_start") + F.row_number().over(Window.partitionBy("_block").orderBy("doc_id")) - 1).alias("doc_rank")))
+    return sn.join(ranks.groupBy("doc_id").agg(F.min("doc_rank").alias("doc_rank")), sn.snippet_doc_id == F.col("doc_id")).drop("doc_id")
+
+
+def analyses_from(ev: DataFrame, spark: SparkSession, sf_dir: str, verdicts: DataFrame | None = None) -> DataFrame:
+    """events ⋈ snippets on the document's rank = (event_id div 2) mod
+    |documents| (events may be a stream; ``verdicts`` is a written
+    ``document_verdicts`` table, where the caller has one).  Every document takes part, so both sides grow with
+    the data; each snippet is analysed by two consecutive requests (a
+    re-submission), which is what the one-hour result cache sees.
+
+    |documents| is a scalar subquery (a count served by parquet footers).
+    Verdicts are computed once per document and the document side is
+    projected to a few short columns before the join; its size grows with
+    the corpus, so there is no broadcast hint: AQE broadcasts it only when
+    its measured size is under the threshold, else it is a shuffled join on
+    the document key."""
+    n_docs = table(spark, sf_dir, "documents").agg(F.count("doc_id")).scalar()
+    sn = document_verdicts(spark, sf_dir) if verdicts is None else verdicts
     # Hash-partition the short per-document rows on the join key: verdicts
     # are computed once per document before the exchange (fused into a
     # broadcast join streaming documents, codegen would evaluate the rule
     # expression once per matching event), and a sort-merge join at scale
     # reuses this partitioning instead of adding its own shuffle.
-    sn = sn.repartition("snippet_doc_id")
+    sn = sn.repartition("doc_rank")
     ev = ev.withColumn("doc_key", F.pmod(F.expr("event_id div 2"), n_docs))
-    joined = ev.join(sn, ev.doc_key == sn.snippet_doc_id, "inner")
+    joined = ev.join(sn, ev.doc_key == sn.doc_rank, "inner")
     return joined.select(
         F.col("event_id").alias("analysis_id"),
         F.col("ts").cast("timestamp").alias("ts"),

@@ -23,17 +23,22 @@ from vulnlake.functions import rules as R
 from vulnlake.operators import detect
 from vulnlake.plans import domains as D
 from vulnlake.plans.registry import register
-from vulnlake.session import shared_path
+from vulnlake.operators.audit import store_analyses
+from vulnlake.session import is_folder, path_exists, shared_path
 from vulnlake.sources import views as V
 
 
-def read_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = 1) -> DataFrame:
-    """File stream over one table: the folder is watched and only files
-    named like the table are picked up."""
+def read_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
+    """File stream over one table.  A table that is a folder of part files is
+    watched itself; of a table that is one file, the folder round it is, for
+    files of that name.  The size of a micro-batch is the caller's choice."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    schema = spark.read.parquet(path).schema
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-            .option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir))
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    if is_folder(spark, path):
+        return reader.option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
 def run_available(writer) -> None:
@@ -113,6 +118,16 @@ def stream_cache(analyses: DataFrame, key: str = "cache_key", ttl_seconds: int =
         _cache_fn(ttl_us), CACHE_OUT, CACHE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def latest_slot(spark: SparkSession, path: str) -> str | None:
+    """The slot of the last complete batch, or None before the first."""
+    found = {}
+    for slot in ("slot0", "slot1"):
+        if path_exists(spark, f"{path}/{slot}/_SUCCESS"):
+            last = spark.read.parquet(f"{path}/{slot}").agg(F.max("epoch")).first()[0]
+            found[-1 if last is None else last] = f"{path}/{slot}"
+    return found[max(found)] if found else None
+
+
 def stream_history(analyses: DataFrame, path: str, n: int = D.HISTORY_LEN) -> dict:
     """T5: latest n per user kept as a table; each micro-batch is merged
     with the stored rows (foreachBatch).
@@ -121,8 +136,8 @@ def stream_history(analyses: DataFrame, path: str, n: int = D.HISTORY_LEN) -> di
     written by the last committed batch, and overwrites slot e % 2.  The
     slot follows from the batch id alone, so a restarted query (or a
     replayed batch) resumes from the stored table, and storage stays at two
-    copies of users × n rows."""
-    holder = {"path": None}
+    copies of users × n rows.  Returns the ``path`` of the last batch's slot,
+    also when there was no new batch (None before any)."""
 
     def merge(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
@@ -133,26 +148,29 @@ def stream_history(analyses: DataFrame, path: str, n: int = D.HISTORY_LEN) -> di
         w = Window.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("analysis_id").desc())
         top = cur.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
         out = f"{path}/slot{epoch % 2}"
-        top.write.mode("overwrite").parquet(out)
-        holder["path"] = out
+        top.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(out)
 
     run_available(analyses.writeStream.foreachBatch(merge)
                   .option("checkpointLocation", f"{path}/_checkpoint"))
-    return holder
+    return {"path": latest_slot(analyses.sparkSession, path)}
 
 
 def stream_store(analyses: DataFrame, path: str) -> None:
-    """Append results to a parquet table; the checkpoint makes a
-    replay write nothing twice."""
-    run_available(analyses.writeStream.format("parquet").option("path", f"{path}/data")
-                  .option("checkpointLocation", f"{path}/_checkpoint").outputMode("append"))
+    """Store each result once (A9), also when it is delivered again in
+    another file or a micro-batch is replayed."""
+    run_available(analyses.writeStream.foreachBatch(lambda batch, _: store_analyses(batch, f"{path}/data"))
+                  .option("checkpointLocation", f"{path}/_checkpoint"))
 
 
 # -------------------------------- queries ----------------------------------
 
 def _stream_analyses(spark, sf):
+    """The analyses of arriving events.  Documents are scored once, into a
+    table that every micro-batch joins."""
+    path = shared_path(spark, "document_verdicts")
+    V.document_verdicts(spark, sf).write.parquet(path)
     ev = _event_time(read_stream(spark, sf, "events"))
-    return V.analyses_from(ev, spark, sf)
+    return V.analyses_from(ev, spark, sf, spark.read.parquet(path))
 
 
 @register("stream_classify", lambda: V.with_views("snippets") +
@@ -212,8 +230,10 @@ def q_stream_cache(spark, sf):
           "(SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, analysis_id DESC) AS rank FROM analyses) r WHERE rank <= 5")
 def q_stream_history(spark, sf):
     base = shared_path(spark, "stream_history")
-    holder = stream_history(_stream_analyses(spark, sf), base)
-    return spark.read.parquet(holder["path"])
+    path = stream_history(_stream_analyses(spark, sf), base)["path"]
+    if path is None:  # no event yet
+        return V.analyses(spark, sf).limit(0).select("user_id", "analysis_id", "ts", "preview", "verdict", "confidence", F.lit(0).alias("rank"))
+    return spark.read.parquet(path).drop("epoch")
 
 
 _STORE = ["analysis_id", "ts", "user_id", "snippet_hash", "verdict", "confidence"]
@@ -224,5 +244,4 @@ def q_stream_store(spark, sf):
     base = shared_path(spark, "stream_store")
     a = _stream_analyses(spark, sf).select(*_STORE)
     stream_store(a, base)
-    stream_store(_stream_analyses(spark, sf).select(*_STORE), base)  # replay: nothing new is written
     return spark.read.parquet(f"{base}/data").select(*_STORE)
