@@ -331,9 +331,12 @@ def best_checkpoint(log: DataFrame) -> DataFrame:
 def attention_rollup(att: DataFrame) -> DataFrame:
     """last layer, first query, mean over heads per token, padding
     dropped by mask, strongest first."""
-    last = att.groupBy("vec_id").agg(F.max("layer").alias("layer"))
-    x = att.join(last, ["vec_id", "layer"]).where((F.col("q") == 0) & (F.col("mask") == 1))
-    r = x.groupBy("vec_id", "k", "token").agg(F.avg("weight").alias("attention"))
+    used = (F.col("q") == 0) & (F.col("mask") == 1)
+    per = att.groupBy("vec_id", "layer", "k", "token").agg(F.avg(F.when(used, F.col("weight"))).alias("attention"))
+    # one row per layer and key of a snippet
+    last = Window.partitionBy("vec_id")
+    r = (per.withColumn("top", F.max("layer").over(last)).where((F.col("layer") == F.col("top")) & F.col("attention").isNotNull())
+         .select("vec_id", "k", "token", "attention"))
     w = Window.partitionBy("vec_id").orderBy(F.col("attention").desc(), F.col("k").asc())  # ≤ keys per snippet
     return r.withColumn("rank", F.row_number().over(w)).drop("k")
 

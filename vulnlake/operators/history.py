@@ -48,10 +48,10 @@ def history_join(analyses: DataFrame, documents: DataFrame, customer: DataFrame)
 
 def verdict_trend(df: DataFrame, verdicts=VERDICTS) -> DataFrame:
     """H3: analyses per day and verdict, days without analyses filled with 0.
-    The calendar is generated from the one-row min/max aggregate."""
+    The calendar runs from the first to the last day of the counts."""
     day = F.date_trunc("day", F.col("ts"))
     counts = df.groupBy(day.alias("day"), "verdict").agg(F.count(F.lit(1)).alias("n"))
-    bounds = df.agg(F.min(day).alias("lo"), F.max(day).alias("hi"))
+    bounds = counts.agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
     cal = (bounds.select(F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 DAY"))).alias("day"))
            .select("day", F.explode(F.array(*[F.lit(v) for v in verdicts])).alias("verdict")))
     return (cal.join(counts, ["day", "verdict"], "left")

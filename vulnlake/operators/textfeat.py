@@ -145,20 +145,20 @@ def encode_sequences(docs: DataFrame, vocab: DataFrame, mode: str = "bench", n:
     """Word tokens → vocabulary ids (0 pad, 1 unknown, 2.. by rank),
     truncated / padded to n, with the attention mask.  The whole text is
     tokenised; the first n positions are kept (the encoder's max length)."""
-    seq = docs.select(key, F.slice(token_array(F.col(text), mode), 1, n).alias("toks"))
-    ex = seq.select(key, F.posexplode_outer("toks").alias("pos", "term"))
+    lab = F.lit(None) if label is None else label
+    seq = docs.select(key, lab.alias("labels"), F.slice(token_array(F.col(text), mode), 1, n).alias("toks"))
+    ex = seq.select(key, "labels", F.posexplode_outer("toks").alias("pos", "term"))
     ids = F.broadcast(vocab.select("term", (F.col("rank") + 1).cast("int").alias("tid")))
     j = ex.join(ids, "term", "left").select(
-        key, F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("tid", F.lit(1)).alias("tid"))).alias("e"))
-    g = j.groupBy(key).agg(F.sort_array(F.collect_list("e")).alias("es"))
+        key, "labels", F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("tid", F.lit(1)).alias("tid"))).alias("e"))
+    # the label rides along: no second scan and join for it
+    g = j.groupBy(key).agg(F.sort_array(F.collect_list("e")).alias("es"), F.first("labels").alias("labels"))
     got = F.transform("es", lambda e: e["tid"])
     pad = F.lit(n) - F.size("es")
     out = g.select(key,
                    F.concat(got, F.array_repeat(F.lit(0), pad)).alias("input_ids"),
-                   F.concat(F.array_repeat(F.lit(1), F.size("es")), F.array_repeat(F.lit(0), pad)).alias("attention_mask"))
-    if label is not None:
-        out = out.join(docs.select(key, label.alias("labels")), key)
-    return out
+                   F.concat(F.array_repeat(F.lit(1), F.size("es")), F.array_repeat(F.lit(0), pad)).alias("attention_mask"), "labels")
+    return out if label is not None else out.drop("labels")
 
 
 def lang_label(lang):
