@@ -206,3 +206,11 @@ def sql_confidence(id_sql: str, verdict_sql: str, negative: str = "safe", seed:
     lo_s, hi_s = D.CONFIDENCE_SAFE
     return (f"(CAST(CASE WHEN {verdict_sql} = '{negative}' THEN {lo_s} + floor({h} * {hi_s - lo_s + 1} / 4294967296.0) "
             f"ELSE {lo_h} + floor({h} * {hi_h - lo_h + 1} / 4294967296.0) END AS BIGINT) / 100.0)")
+
+
+def softmax(arr: Column) -> Column:
+    """F8: probabilities from raw scores (max subtracted first)."""
+    m = F.array_max(arr)
+    e = F.transform(arr, lambda x: F.exp(x - m))
+    s = F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x)
+    return F.transform(e, lambda x: x / s)

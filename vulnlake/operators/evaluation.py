@@ -188,12 +188,7 @@ def roc_auc_ovr(pred: DataFrame) -> DataFrame:
     return per_class.unionByName(macro)
 
 
-def softmax(arr):
-    """F8: probabilities from raw scores (max subtracted first)."""
-    m = F.array_max(arr)
-    e = F.transform(arr, lambda x: F.exp(x - m))
-    s = F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(e, lambda x: x / s)
+softmax = B.softmax  # F8
 
 
 def softmax_margin(d):

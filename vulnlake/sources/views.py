@@ -155,13 +155,6 @@ def analyses_from(ev: DataFrame, spark: SparkSession, sf_dir: str, verdicts: Dat
 
 # -------------------------------- scored -----------------------------------
 
-def _softmax4(raw):
-    m = F.array_max(raw)
-    e = F.transform(raw, lambda x: F.exp(x - m))
-    s = F.element_at(e, 1) + F.element_at(e, 2) + F.element_at(e, 3) + F.element_at(e, 4)
-    return F.transform(e, lambda x: B.round_half_even(x / s, 9))
-
-
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two models over embeddings: A = elements 1-4, B = elements 5-8 as raw
     scores; label = label mod 4; fold = vec_id mod 5 + 1."""
@@ -174,7 +167,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("vec_id"),
             (F.col("vec_id") % 5 + 1).cast("int").alias("fold"),
             (F.col("label") % 4).cast("int").alias("label"),
-            _softmax4(raw).alias("scores"),
+            F.transform(B.softmax(raw), lambda x: B.round_half_even(x, 9)).alias("scores"),
             (F.array_position(raw, F.array_max(raw)) - 1).cast("int").alias("prediction"),
         ))
     return parts[0].unionByName(parts[1])
