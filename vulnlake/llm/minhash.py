@@ -7,10 +7,17 @@ are confirmed on their full shingle sets, and confirmed links are joined to
 components.
 
 Work is done on distinct shingle sets, so copies of a text cost one set.
-Within a key, members are compared with one hub at a time, each round with
-another hub, and a key is finished when its members are all in one
-component; only members that stay apart are compared with each other.  So a
-large group of near copies costs a few comparisons per member, and no pair
+Within a key, members are compared with one hub only, the member that shares
+most keys with others.  Two members linked to the hub are in one component.
+If x is not linked to the hub h, then x and y can be linked only if they
+differ from h in the same shingles: with I = |x & y| needed for a link,
+
+    I = |h| - |h - x| - |h - y| + |Dx & Dy|,    Dx = (h - x) | (x - h),
+
+so |Dx & Dy| has to reach a number t that follows from the sizes.  Members of
+unfinished keys therefore meet in a prefix-filtered join on their differences
+from the hub, rarest first.  So a large group of near copies costs one
+comparison per member and key, its members are never all paired, and no pair
 that shares a key is left undecided.
 """
 
@@ -24,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vulnlake.llm.common import in_batches, staged
+from vulnlake.llm.common import free_names, in_batches, staged
 from vulnlake.llm.graph import components
 
 #: Similarity from which two sets are linked, as a fraction of integers.
@@ -33,8 +40,6 @@ LINK = (80, 100)
 #: pair meets in no band with probability (1 - 0.8**4)**28 < 4e-7.
 PERMUTATIONS, BAND_ROWS = 56, 4
 SEED = 1
-#: Rounds of one hub per key before the members left are paired.
-HUB_ROUNDS = 4
 #: Largest id table that is broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 500_000
 _CHUNK = 1 << 13
@@ -163,55 +168,78 @@ def _confirmed(spark: SparkSession, pairs: DataFrame, sets: DataFrame) -> DataFr
     return both.where(same * LINK[1] >= (F.size("sa") + F.size("sb") - same) * LINK[0]).select("a", "b")
 
 
-def _alike_size() -> Column:
-    """A bound that every linked pair keeps: the smaller set holds the share of the larger."""
-    return F.least("n", "n2") * LINK[1] >= F.greatest("n", "n2") * LINK[0]
-
-
 def _with_root(members: DataFrame, roots: DataFrame | None) -> DataFrame:
-    members = members.drop("root")
     if roots is None:
         return members.withColumn("root", F.col("fp"))
     return members.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
-def _unfinished(members: DataFrame) -> DataFrame:
-    """Members of keys that still hold two components."""
-    apart = members.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("band")
-    return members.join(apart, "band", "left_semi")
+def _needed(total: Column) -> Column:
+    """Least |x & y| of a link between sets of ``total`` shingles together."""
+    return F.ceil(total * F.lit(LINK[0]) / F.lit(sum(LINK)))
+
+
+def _pairs_by_difference(spark: SparkSession, group: DataFrame, full: DataFrame) -> DataFrame:
+    """Pairs (a, b) of one group that may be linked, at least one of them not to the hub.
+
+    ``group``: hub, fp, root, hub_root.  Differences from the hub are sorted by
+    how many members share them; a pair must share one within the first
+    elements, with enough elements left after it (positions are counted from
+    0, so |D| - position elements are left)."""
+    near = group.join(full.select("fp", F.col("s").alias("sx")), "fp").join(full.select(F.col("fp").alias("hub"), F.col("s").alias("sh")), "hub")
+    gone, new = F.array_except("sh", "sx"), F.array_except("sx", "sh")
+    tag = lambda side: lambda e: F.struct(F.lit(side).alias("side"), e.alias("e"))
+    near = near.select("hub", "fp", "root", (F.col("root") != F.col("hub_root")).alias("failed"), F.size("sx").alias("nx"), F.size("sh").alias("nh"),
+                       F.size(gone).alias("na"), F.size(new).alias("nb"), F.concat(F.transform(gone, tag(0)), F.transform(new, tag(1))).alias("d"))
+    near = staged(spark, near, "dup-differences")
+    each = near.select("hub", "fp", F.explode("d").alias("d")).select("hub", "fp", "d.side", "d.e")
+    shared = each.groupBy("hub", "side", "e").agg(F.count(F.lit(1)).alias("df"))
+    ordered = each.join(shared, ["hub", "side", "e"]).groupBy("hub", "fp").agg(F.sort_array(F.collect_list(F.struct("df", "side", "e"))).alias("d"))
+    near = near.drop("d").join(ordered, ["hub", "fp"])
+    # what a partner must share at least: of a member that failed, and of any member beside one that failed
+    short = _needed(F.col("nx") + F.col("nh")) - F.col("nh") + F.col("na")
+    beside = F.ceil((F.col("na") * 5 + F.col("nb") * 4 + 1) / F.lit(9))
+    size = F.size("d")
+    prefix = near.select("hub", "fp", "root", "failed", "nx", "nh", "na", "nb", size.alias("nd"),
+                         F.greatest(size - beside + 1, F.when(F.col("failed"), size - short + 1).otherwise(0)).alias("length"),
+                         F.posexplode("d").alias("at", "d")).where((F.col("at") < F.col("length")) & (F.col("d.df") > 1))
+    prefix = staged(spark, prefix.select("hub", "fp", "root", "failed", "nx", "nh", "na", "nb", (F.col("nd") - F.col("at")).alias("left"), "d.side", "d.e"), "dup-prefixes")
+    other = prefix.select("hub", "side", "e", *[F.col(c).alias(f"{c}2") for c in ("fp", "root", "nx", "na", "nb", "left")])
+    t = _needed(F.col("nx") + F.col("nx2")) - F.col("nh") + F.col("na") + F.col("na2")
+    may = (t <= F.least("left", "left2")) & (t <= F.least("na", "na2") + F.least("nb", "nb2"))
+    met = prefix.where("failed").join(other, ["hub", "side", "e"]).where((F.col("root") != F.col("root2")) & may)
+    return met.select(F.least("fp", "fp2").alias("a"), F.greatest("fp", "fp2").alias("b")).distinct()
 
 
 def link_sets(spark: SparkSession, docs: DataFrame, sets: DataFrame, width: int) -> DataFrame | None:
     """(node, root) of the distinct sets that have a link, or None.
     ``sets``: fp, n, bands, doc_id, h (a document that holds the set)."""
     keys = sets.select("fp", "n", F.explode("bands").alias("band"))
-    shared = keys.groupBy("band").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("band")
-    members = staged(spark, keys.join(shared, "band", "left_semi"), "dup-members")
-    wanted = staged(spark, sets.select("fp", "doc_id", "h").join(members.select("fp").distinct(), "fp", "left_semi"), "dup-wanted")
+    shared = keys.groupBy("band").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    members = staged(spark, keys.join(shared, "band"), "dup-members")
+    central = staged(spark, members.groupBy("fp").agg(F.sum("k").alias("met")), "dup-central")
+    wanted = staged(spark, sets.select("fp", "doc_id", "h").join(central.select("fp"), "fp", "left_semi"), "dup-wanted")
     full = staged(spark, _sets(spark, docs, wanted, width), "dup-sets")
-    links: DataFrame | None = None
-    roots: DataFrame | None = None
-    members = _with_root(members, None)
-    for turn in range(HUB_ROUNDS + 1):
-        if turn < HUB_ROUNDS:
-            order = F.xxhash64(F.lit(turn), "band", "fp")
-            hubs = members.groupBy("band").agg(F.min(F.struct(order.alias("o"), F.col("fp"), F.col("n"), F.col("root"))).alias("hub"))
-            hubs = staged(spark, hubs.select("band", F.col("hub.fp").alias("fp2"), F.col("hub.n").alias("n2"), F.col("hub.root").alias("root2")), "dup-hubs")
-            met = members.join(hubs, "band").where((F.col("fp") != F.col("fp2")) & (F.col("root") != F.col("root2")) & _alike_size())
-        else:
-            other = members.select("band", F.col("fp").alias("fp2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-            met = members.join(other, "band").where((F.col("fp") < F.col("fp2")) & (F.col("root") != F.col("root2")) & _alike_size())
-        pairs = staged(spark, met.select(F.least("fp", "fp2").alias("a"), F.greatest("fp", "fp2").alias("b")).distinct(), "dup-pairs")
-        found = staged(spark, _confirmed(spark, pairs, full), "dup-links")
-        if found.take(1):
-            links = found if links is None else links.unionAll(found)
-            roots = staged(spark, components(spark, links), "dup-roots")
-        if turn == HUB_ROUNDS:
-            break
-        rest = members.join(hubs.select("band", F.col("fp2").alias("fp")), ["band", "fp"], "left_anti")
-        members = staged(spark, _unfinished(_with_root(rest, roots)), "dup-members")
-        if not members.take(1):
-            break
+    best = F.min(F.struct((-F.col("met")).alias("o"), F.xxhash64("fp").alias("tie"), F.col("fp"), F.col("n"))).alias("hub")
+    hubs = members.join(central, "fp").groupBy("band").agg(best).select("band", F.col("hub.fp").alias("hub"), F.col("hub.n").alias("n2"))
+    hubs = staged(spark, hubs, "dup-hubs")
+    # the smaller set of a link holds at least the share of the larger
+    alike = F.least("n", "n2") * LINK[1] >= F.greatest("n", "n2") * LINK[0]
+    met = members.join(hubs, "band").where((F.col("fp") != F.col("hub")) & alike)
+    pairs = staged(spark, met.select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")).distinct(), "dup-pairs")
+    links = staged(spark, _confirmed(spark, pairs, full), "dup-links")
+    roots = staged(spark, components(spark, links), "dup-roots") if links.take(1) else None
+    rest = _with_root(members.join(hubs, "band").where("fp <> hub").select("band", "hub", "fp"), roots)
+    apart = rest.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("band")
+    group = rest.join(apart, "band", "left_semi").select("hub", "fp", "root").distinct()
+    hub_roots = _with_root(hubs.select(F.col("hub").alias("fp")).distinct(), roots).select(F.col("fp").alias("hub"), F.col("root").alias("hub_root"))
+    group = staged(spark, group.join(hub_roots, "hub"), "dup-groups")
+    if group.take(1):
+        pairs = staged(spark, _pairs_by_difference(spark, group, full), "dup-pairs")
+        more = staged(spark, _confirmed(spark, pairs, full), "dup-links")
+        if more.take(1):
+            # the stars found so far stand for all earlier links
+            roots = staged(spark, components(spark, more if roots is None else more.unionAll(roots.select("node", "root"))), "dup-roots")
     return roots
 
 
@@ -250,12 +278,14 @@ def keep_first(spark: SparkSession, docs: DataFrame, width: int = 5) -> DataFram
     Rows that repeat an id and a text are copies of one document."""
     verdicts = staged(spark, near_duplicates(spark, docs, width), "dup-verdicts")
     per_row = verdicts.groupBy("doc_id", "h").agg(F.max("first").alias("first"), F.count(F.lit(1)).alias("k"), F.max("n_shingles").alias("n"))
-    odd = staged(spark, per_row.where("not first or (k > 1 and n > 0)").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "first"), "dup-odd")
-    keyed = docs.withColumn("_key", text_key(F.col("text")))
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_h"))
+    key, own_id, own_key, one = free_names(docs, "_key", "_id", "_h", "_first")
+    odd = per_row.where("not first or (k > 1 and n > 0)").select(F.col("doc_id").alias(own_id), F.col("h").alias(own_key), F.col("first").alias(one))
+    odd = staged(spark, odd, "dup-odd")
+    keyed = docs.withColumn(key, text_key(F.col("text")))
+    on = F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col(key) == F.col(own_key))
     once = keyed.join(_few(odd), on, "left_anti")
-    repeated = odd.where("first")
+    repeated = odd.where(F.col(one))
     if repeated.take(1):
         again = keyed.join(_few(staged(spark, repeated, "dup-repeated")), on, "left_semi")
-        once = once.unionByName(again.dropDuplicates(["doc_id", "_key"]))
-    return once.drop("_key")
+        once = once.unionByName(again.dropDuplicates(["doc_id", key]))
+    return once.drop(key)
