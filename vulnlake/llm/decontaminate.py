@@ -39,6 +39,7 @@ UNITS = frozenset("""mm cm m km in ft yd mi inch inches foot feet yard yards mil
 _NUMBER = re.compile(r"[$€£]?[+-]?\d[\d.,:/]*(?:[a-zA-Z%]{1,4})?$")
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _ENDS = re.compile(r"[.!?:]\W*$")
+_MARKS = ".,;:!?\"'()[]%*&$#|<>-"
 _LITERAL, _NUM, _CAP, _UNIT, _NOTHING = range(5)
 _U = np.uint64
 
@@ -56,10 +57,14 @@ class Canonical:
         self._tables = (np.empty(1024, _U), np.empty(1024, np.int8), np.empty(1024, bool))  # hash, kind, ends a sentence
 
     def _learn(self, word: str) -> int:
-        if _NUMBER.fullmatch(word.rstrip(".,;:!?)\"'")):
-            plain, kind = _EDGES.sub("", word), _NUM
+        left = word.rstrip(_MARKS)
+        plain = left.lstrip(_MARKS)
+        if plain.isalpha():  # most words: letters between common marks
+            kind, closes = None, any(c in ".!?:" for c in word[len(left):])
         else:
-            plain = _EDGES.sub("", word)
+            kind = _NUM if _NUMBER.fullmatch(word.rstrip(".,;:!?)\"'")) else None
+            plain, closes = _EDGES.sub("", word), bool(_ENDS.search(word))
+        if kind is None:
             if not plain:
                 kind = _UNIT if word == "%" else _NOTHING
             elif plain.lower() in UNITS:
@@ -72,7 +77,7 @@ class Canonical:
         if at == len(self._tables[0]):
             self._tables = tuple(np.concatenate([t, np.empty_like(t)]) for t in self._tables)
         plains, kinds, ends = self._tables
-        plains[at], kinds[at], ends[at] = xxhash.xxh3_64_intdigest(plain.lower()), kind, bool(_ENDS.search(word))
+        plains[at], kinds[at], ends[at] = xxhash.xxh3_64_intdigest(plain.lower()), kind, closes
         return at
 
     def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list[str]]:
