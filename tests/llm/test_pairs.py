@@ -5,6 +5,8 @@ import random
 import re
 from collections import Counter
 
+import pytest
+
 from vulnlake.llm import graph, minhash, suffixes
 
 
@@ -116,3 +118,18 @@ def test_repeats_equal_brute_force(spark, make_docs):
     rows += [(None, shared[3][:300] + "!" + shared[3][301:]), (60, shared[3][10:420] + noise(30) + shared[3][300:])]
     got = suffixes.remove_repeats(spark, make_docs(rows)).collect()
     assert Counter((x.doc_id, x.n_bytes, x.n_bytes - len(x.kept), len(x.spans), hashlib.sha256(bytes(x.kept)).hexdigest()) for x in got) == brute_repeats(rows, 400)
+
+
+@pytest.mark.parametrize("group", [1, 4])
+def test_large_grams_are_counted_to_the_same_result(spark, make_docs, monkeypatch, group):
+    monkeypatch.setattr(suffixes, "GROUP", group)
+    r = random.Random(11)
+
+    def noise(n):
+        return "".join(r.choice("abcdefghij ") for _ in range(n))
+
+    passage = noise(900)
+    rows = [(k, noise(r.randrange(300)) + passage[r.randrange(200): 900 - r.randrange(200)] + noise(r.randrange(300))) for k in range(25)]
+    rows += [(100, None), (101, passage), (101, passage), (102, passage[:450] + "#" + passage[451:])]
+    got = suffixes.remove_repeats(spark, make_docs(rows)).collect()
+    assert Counter((x.doc_id, x.n_bytes, x.n_bytes - len(x.kept), len(x.spans), hashlib.sha256(bytes(x.kept)).hexdigest()) for x in got) == brute_repeats(rows, 400)

@@ -10,12 +10,17 @@ have their anchors at equal offsets and meet at them.
    sampled splitters, equal ones combined beforehand; buckets sort locally
    and neighbours are compared, also across bucket boundaries.  An anchor
    whose gram has no equal neighbour lies in no repeated window.
-2. For the others the windows round the anchor form an interval.  An interval
-   whose hull (all its bytes) occurs twice is repeated as a whole; one whose
-   core (the bytes all its windows share) occurs once holds no repeat; what
-   lies between is cut into smaller intervals, down to single windows.
-
-Strings are compared by 128 bits of two independent polynomial hashes.
+2. An anchor whose hull (all bytes of the windows round it) occurs twice has
+   repeated windows only.  What is left, with one witness of every repeated
+   hull beside it, is compared window by window within its gram.
+3. Grams with very many different hulls (the edges of a passage that a large
+   part of all documents share) are not gathered: their windows form
+   intervals, and an interval whose hull occurs twice is repeated, one whose
+   core (the bytes its windows share) occurs once is not, and what lies
+   between is cut into single windows, all by counting.
+
+Grams, and windows within a gram, are compared by 64-bit hashes of two
+independent bases.
 """
 
 from __future__ import annotations
@@ -35,10 +40,14 @@ LENGTH = 400
 SPREAD = 256
 #: Windows in an interval of the second level; single windows are the third.
 STEP = 16
-#: Leading bytes of a suffix by which buckets are cut and sorted.
-LEAD = 16
+#: Leading bytes of a suffix by which buckets are cut and sorted: one long.
+LEAD = 8
+#: Contexts of one gram that are compared in one task; larger grams are counted.
+GROUP = 500
 SEED = 4
+#: Largest tables of spans (documents) and of open anchors that are broadcast.
 BROADCAST_ROWS = 500_000
+BROADCAST_ANCHORS = 2_000_000
 _U = np.uint64
 _MASK = (1 << 64) - 1
 
@@ -74,20 +83,6 @@ class Rolling:
         return h ^ (h >> _U(29))
 
 
-class Pair:
-    """Two independent hashes as one 128-bit key (two longs)."""
-
-    def __init__(self) -> None:
-        self.a, self.b = Rolling(SEED), Rolling(SEED + 1)
-
-    def load(self, data: np.ndarray) -> None:
-        self.pa, self.pb = self.a.prefix(data), self.b.prefix(data)
-
-    def __call__(self, start, end) -> tuple[np.ndarray, np.ndarray]:
-        start, end = np.asarray(start, dtype=np.int64), np.asarray(end, dtype=np.int64)
-        return self.a.between(self.pa, start, end).view(np.int64), self.b.between(self.pb, start, end).view(np.int64)
-
-
 def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
     """pick over every ``width`` consecutive values, by doubling."""
     done = 1
@@ -110,13 +105,27 @@ def _bytes(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
 
 
+def _leading(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The LEAD bytes at each position as a long of the same order."""
+    out = np.zeros(len(at), _U)
+    for k in range(LEAD):
+        out = (out << _U(8)) | data[at + k].astype(_U)
+    return (out ^ _U(1 << 63)).view(np.int64)
+
+
+def _hull(hashes: Rolling, prefix: np.ndarray, at: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the bytes from start to end and of where the anchor lies in
+    them, so that a hull cut short by an end of its text differs from others."""
+    return hashes.between(prefix, start, end).view(np.int64) * 3 + (at - start) * 1_000_003 + (end - at)
+
+
 def document_anchors(spark: SparkSession, docs: DataFrame, length: int, spread: int) -> DataFrame:
-    """doc_id, h, at, lead, g1, g2 (gram), u1, u2 (hull of the windows round
-    the anchor inside the document)."""
+    """doc_id, h, at, lead, g (gram), u (hull of the windows round the anchor
+    inside the document)."""
     gram = length - spread + 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = Pair()
+        grams, hulls = Rolling(SEED), Rolling(SEED + 1)
         for frame in batches:
             out = []
             for doc, h, text in zip(frame["doc_id"], frame["h"], frame["text"], strict=True):
@@ -124,78 +133,121 @@ def document_anchors(spark: SparkSession, docs: DataFrame, length: int, spread:
                 n = len(data)
                 if n < length:
                     continue
-                hashes.load(data)
                 starts = np.arange(n - gram + 1)
-                at = anchors_of(hashes.a.between(hashes.pa, starts, starts + gram), spread)
-                g1, g2 = hashes(at, at + gram)
-                left, right = np.maximum(at - spread + 1, 0), np.minimum(at + length, n)
-                u1, u2 = hashes(left, right)
-                # a hull cut short by an end of the document is told apart by where it is cut
-                u1 = u1 * 3 + (at - left) * 1_000_003 + (right - at)
-                whole = data.tobytes()
-                out.append(pd.DataFrame({"doc_id": doc, "h": h, "at": at, "lead": [whole[i: i + LEAD] for i in at],
-                                         "g1": g1, "g2": g2, "u1": u1, "u2": u2}))
+                g = grams.between(grams.prefix(data), starts, starts + gram)
+                at = anchors_of(g, spread)
+                u = _hull(hulls, hulls.prefix(data), at, np.maximum(at - spread + 1, 0), np.minimum(at + length, n))
+                out.append(pd.DataFrame({"doc_id": doc, "h": h, "at": at.astype(np.int32), "lead": _leading(data, at), "g": g[at].view(np.int64), "u": u}))
             if out:
                 yield pd.concat(out)
 
     kind = dict(docs.select("doc_id").dtypes)["doc_id"]
     texts = docs.where(F.octet_length("text") >= length).select("doc_id", text_key(F.col("text")).alias("h"), "text")
-    return texts.mapInPandas(run, f"doc_id {kind}, h long, at long, lead binary, g1 long, g2 long, u1 long, u2 long")
+    return texts.mapInPandas(run, f"doc_id {kind}, h long, at int, lead long, g long, u long")
 
 
 def repeated_grams(spark: SparkSession, anchors: DataFrame) -> DataFrame:
-    """lead, g1, g2, mixed of the grams that start at two anchors or more;
-    ``mixed``: some hull round them occurs once.
+    """lead, g, hulls, single of the grams that start at two anchors or more:
+    how many different hulls they have, and how many occur once.
 
     Equal (gram, hull) pairs are combined first, so a gram of very many copies
     is a few records; the records are range-partitioned by leading bytes with
     sampled splitters, each bucket is sorted, and a record is compared with
-    the one before it.  The first and last grams of the buckets, one row for
-    each bucket, join runs that cross a boundary."""
-    hulls = staged(spark, anchors.groupBy("lead", "g1", "g2", "u1", "u2").agg(F.count(F.lit(1)).alias("n")), "suffix-hulls")
+    the one before it.  Runs of one gram that cross a bucket boundary are
+    joined afterwards."""
+    hulls = anchors.groupBy("lead", "g", "u").agg(F.count(F.lit(1)).alias("n"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    key = ["lead", "g1", "g2"]
-    ordered = hulls.repartitionByRange(parts, *key, "u1", "u2").sortWithinPartitions(*key)
+    ordered = hulls.repartitionByRange(parts, "lead", "g", "u").sortWithinPartitions("lead", "g")
 
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """One row for each run of equal grams in a bucket."""
-        last = None
+        """One row for each run of equal grams in a bucket that may have two anchors."""
+        last, first_run = None, True
         for frame in batches:
             if not len(frame):
                 continue
+            lead, g, n = frame["lead"].to_numpy(), frame["g"].to_numpy(), frame["n"].to_numpy()
             new = np.ones(len(frame), bool)
-            lead, g1, g2 = frame["lead"].to_numpy(), frame["g1"].to_numpy(), frame["g2"].to_numpy()
-            new[1:] = (g1[1:] != g1[:-1]) | (g2[1:] != g2[:-1]) | (lead[1:] != lead[:-1])
+            new[1:] = (g[1:] != g[:-1]) | (lead[1:] != lead[:-1])
             first = np.flatnonzero(new)
-            n, single = frame["n"].to_numpy(), (frame["n"] == 1).to_numpy()
-            out = pd.DataFrame({"lead": lead[first], "g1": g1[first], "g2": g2[first], "n": np.add.reduceat(n, first),
-                                "single": np.add.reduceat(single.astype(np.int64), first)})
+            out = pd.DataFrame({"lead": lead[first], "g": g[first], "n": np.add.reduceat(n, first),
+                                "hulls": np.diff(np.append(first, len(frame))), "single": np.add.reduceat((n == 1).astype(np.int64), first)})
             if last is not None:
-                one = out.iloc[0]
-                if (last["lead"], last["g1"], last["g2"]) == (one["lead"], one["g1"], one["g2"]):
-                    out.loc[out.index[0], ["n", "single"]] = [one["n"] + last["n"], one["single"] + last["single"]]
+                if (last["lead"].iloc[0], last["g"].iloc[0]) == (out["lead"].iloc[0], out["g"].iloc[0]):
+                    out.loc[0, ["n", "hulls", "single"]] += last[["n", "hulls", "single"]].iloc[0]
                 else:
-                    yield pd.DataFrame([last])
-            last = out.iloc[-1].to_dict()
-            if len(out) > 1:
-                yield out.iloc[:-1]
+                    out = pd.concat([last, out], ignore_index=True)
+            last = out.iloc[-1:].reset_index(drop=True)
+            out = out.iloc[:-1]
+            # a single anchor matters only at the ends of the bucket
+            keep = (out["n"] > 1).to_numpy()
+            if first_run and len(out):
+                keep[0], first_run = True, False
+            yield out[keep]
         if last is not None:
-            yield pd.DataFrame([last])
+            yield last
+
+    found = ordered.mapInPandas(runs, "lead long, g long, n long, hulls long, single long")
+    whole = found.groupBy("lead", "g").agg(*[F.sum(c).alias(c) for c in ("n", "hulls", "single")])
+    return whole.where("n > 1").select("lead", "g", "hulls", "single")
 
-    found = ordered.mapInPandas(runs, "lead binary, g1 long, g2 long, n long, single long")
-    # runs of one gram in two buckets meet here: a row per run, so at most one per gram and bucket
-    whole = found.groupBy(*key).agg(F.sum("n").alias("n"), F.sum("single").alias("single"))
-    return whole.where("n > 1").select(*key, (F.col("single") > 0).alias("mixed"))
 
+def _window_runs(group: pd.DataFrame, hashes: Rolling, length: int, spread: int) -> list[tuple]:
+    """(doc_id, h, start, end) of the repeated windows round the anchors of one gram."""
+    keys, where, weights = [], [], []
+    rows = list(group.itertuples(index=False))
+    for i, row in enumerate(rows):
+        data = np.frombuffer(row.context, np.uint8)
+        s = np.arange(max(0, row.left + length - len(data)), min(row.left, spread - 1) + 1) if row.left + length > len(data) else np.arange(min(row.left, spread - 1) + 1)
+        s = s[row.left - s + length <= len(data)]
+        if not len(s):
+            continue
+        start = row.left - s
+        keys.append(hashes.between(hashes.prefix(data), start, start + length) * _U(spread * 2 + 1) + s.astype(_U))
+        where.append(np.stack([np.full(len(s), i), s]))
+        weights.append(np.full(len(s), row.w))
+    if not keys:
+        return []
+    _, which = np.unique(np.concatenate(keys), return_inverse=True)
+    often = np.bincount(which, weights=np.concatenate(weights))[which] > 1
+    at = np.concatenate(where, axis=1)[:, often]
+    out = []
+    if at.shape[1]:
+        # runs of consecutive windows of one context
+        cut = np.flatnonzero((np.diff(at[0]) != 0) | (np.diff(at[1]) != 1)) + 1
+        for a, b in zip(np.append(0, cut), np.append(cut, at.shape[1]), strict=True):
+            row = rows[at[0, a]]
+            out.append((row.doc_id, row.h, int(row.at - at[1, b - 1]), int(row.at - at[1, a] + length)))
+    return out
+
+
+def _compare_grams(length: int, spread: int):
+    """mapInPandas over contexts sorted by gram: one gram at a time."""
 
-def _intervals(frame: pd.DataFrame, hashes: Pair, length: int, spread: int, step: int, only: str | None) -> pd.DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes, held = Rolling(SEED + 1), None
+        for frame in batches:
+            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            if not len(frame):
+                continue
+            g = frame["g"].to_numpy()
+            ends = np.flatnonzero(np.diff(g)) + 1
+            begins = np.append(0, ends)
+            rows = [x for a, b in zip(begins[:-1], ends, strict=True) for x in _window_runs(frame.iloc[a:b], hashes, length, spread)]
+            held = frame.iloc[begins[-1]:]  # its gram may go on
+            yield pd.DataFrame(rows, columns=["doc_id", "h", "start", "end"])
+        if held is not None and len(held):
+            yield pd.DataFrame(_window_runs(held, hashes, length, spread), columns=["doc_id", "h", "start", "end"])
+
+    return run
+
+
+def _intervals(frame: pd.DataFrame, cores: Rolling, hulls: Rolling, length: int, spread: int, step: int, only: str | None) -> pd.DataFrame:
     """Intervals of ``step`` windows round each anchor: doc_id, h, at, lo, w, core
     and hull hashes.  Window s starts s bytes before the anchor.  ``only``
     names a column of interval starts to cut; else all are."""
-    cols: dict[str, list] = {k: [] for k in ("doc_id", "h", "at", "lo", "w", "c1", "c2", "u1", "u2")}
+    cols: dict[str, list] = {k: [] for k in ("doc_id", "h", "at", "lo", "w", "c", "u")}
     for row in frame.itertuples(index=False):
         data = np.frombuffer(row.context, np.uint8)
-        hashes.load(data)
         a = row.left  # the anchor within its context
         lo = np.arange(0, spread, step) if only is None else np.concatenate([np.arange(x, x + STEP, step) for x in getattr(row, only)])
         hi = lo + step - 1
@@ -204,44 +256,67 @@ def _intervals(frame: pd.DataFrame, hashes: Pair, length: int, spread: int, step
         if not len(lo):
             continue
         start, end = np.maximum(a - hi, 0), np.minimum(a - lo + length, len(data))
-        c1, c2 = hashes(a - lo, a - hi + length)
-        u1, u2 = hashes(start, end)
-        u1 = u1 * 3 + (a - start) * 1_000_003 + (end - a)
-        for k, v in (("lo", lo), ("c1", c1), ("c2", c2), ("u1", u1), ("u2", u2)):
-            cols[k].append(v)
+        cols["lo"].append(lo)
+        cols["c"].append(cores.between(cores.prefix(data), a - lo, a - hi + length).view(np.int64))
+        cols["u"].append(_hull(hulls, hulls.prefix(data), np.full(len(lo), a), start, end))
         for k, v in (("doc_id", row.doc_id), ("h", row.h), ("at", row.at), ("w", row.w)):
             cols[k].append(np.full(len(lo), v, dtype=object))
     return pd.DataFrame({k: np.concatenate(v) if v else [] for k, v in cols.items()})
 
 
-def _settle(spark: SparkSession, parts: DataFrame, name: str) -> DataFrame:
-    """Adds ``state`` to intervals: 2 all windows repeated, 1 some may be, 0 none.
-    ``w`` is how often a record counts (a witness stands for two)."""
-    cores = parts.groupBy("lo", "c1", "c2").agg(F.sum("w").alias("nc"))
-    hulls = parts.groupBy("lo", "c1", "c2", "u1", "u2").agg(F.sum("w").alias("nu"), F.min(F.struct("doc_id", "h", "at")).alias("witness"))
-    cores = cores.where("nc > 1")
-    hulls = staged(spark, hulls.join(cores, ["lo", "c1", "c2"]), name)
-    return parts.join(hulls, ["lo", "c1", "c2", "u1", "u2"], "left").withColumn(
-        "state", F.when(F.col("nu") > 1, 2).when(F.col("nc") > 1, 1).otherwise(0))
+def _count_large_grams(spark: SparkSession, context: DataFrame, kind: str, length: int, spread: int) -> DataFrame:
+    """doc_id, h, start, end of repeated windows in grams of very many hulls, by counting intervals."""
+    schema = f"doc_id {kind}, h long, at int, lo int, w int, c long, u long"
+
+    def cut(step: int, only: str | None):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            cores, hulls = Rolling(SEED), Rolling(SEED + 1)
+            for frame in batches:
+                yield _intervals(frame, cores, hulls, length, spread, step, only)
+        return run
+
+    parts = staged(spark, context.mapInPandas(cut(STEP, None), schema), "suffix-intervals")
+    cores = parts.groupBy("lo", "c").agg(F.sum("w").alias("nc")).where("nc > 1")
+    hulls = parts.groupBy("lo", "c", "u").agg(F.sum("w").alias("nu"), F.min(F.struct("doc_id", "h", "at")).alias("witness"))
+    hulls = hulls.join(cores, ["lo", "c"]).withColumn("state", F.when(F.col("nu") > 1, 2).otherwise(1))
+    settled = staged(spark, parts.join(hulls, ["lo", "c", "u"]), "suffix-settled")
+    sure = settled.where("state = 2").select("doc_id", "h", F.greatest(F.col("at") - F.col("lo") - (STEP - 1), F.lit(0)).alias("start"),
+                                             (F.col("at") - F.col("lo") + length).alias("end"))
+    # cores beside which an interval is undecided, each hull once: a witness counts twice
+    undecided = settled.where("state = 1").select("lo", "c").distinct()
+    once = settled.join(undecided, ["lo", "c"], "left_semi").where("state = 1 or (witness.doc_id <=> doc_id and witness.h = h and witness.at = at)")
+    chosen = once.groupBy("doc_id", "h", "at").agg(F.collect_list(F.when(F.col("state") == 1, F.col("lo"))).alias("ones"),
+                                                   F.collect_list(F.when(F.col("state") == 2, F.col("lo"))).alias("twos"))
+    narrow = context.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("at").alias("_at"), "left", "context")
+    fine = staged(spark, chosen.join(narrow, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")) & (F.col("at") == F.col("_at")))
+                  .drop("_id", "_h", "_at"), "suffix-fine")
+    ones = fine.where("size(ones) > 0").withColumn("w", F.lit(1)).mapInPandas(cut(1, "ones"), schema)
+    twos = fine.where("size(twos) > 0").withColumn("w", F.lit(2)).mapInPandas(cut(1, "twos"), schema)
+    windows = staged(spark, ones.unionAll(twos), "suffix-windows")
+    again = windows.groupBy("lo", "c", "u").agg(F.sum("w").alias("n")).where("n > 1").select("lo", "c", "u")
+    single = windows.join(again, ["lo", "c", "u"], "left_semi").select(
+        "doc_id", "h", (F.col("at") - F.col("lo")).alias("start"), (F.col("at") - F.col("lo") + length).alias("end"))
+    return sure.unionAll(single)
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, spread: int = SPREAD) -> DataFrame:
-    """doc_id, h, spans: for every (id, text) with repeated bytes, byte ranges
-    (start, end) that together cover each byte of a ``length``-byte string
-    that also starts elsewhere, in the same or another document."""
+    """doc_id, h, spans: for every (id, text) with repeated bytes, the maximal
+    byte ranges (start, end) covered by ``length``-byte strings that also
+    start elsewhere, in the same or another document."""
     in_batches(spark)
     kind = dict(docs.select("doc_id").dtypes)["doc_id"]
     anchors = staged(spark, document_anchors(spark, docs, length, spread), "suffix-anchors")
     grams = staged(spark, repeated_grams(spark, anchors), "suffix-grams")
-    shared = staged(spark, anchors.join(grams, ["lead", "g1", "g2"]).drop("lead"), "suffix-shared")
-    hulls = shared.groupBy("g1", "g2", "u1", "u2").agg(F.count(F.lit(1)).alias("nu"), F.min(F.struct("doc_id", "h", "at")).alias("first"), F.first("mixed").alias("mixed"))
-    hulls = staged(spark, hulls, "suffix-shared-hulls")
-    spans = [shared.join(hulls.where("nu > 1").select("g1", "g2", "u1", "u2"), ["g1", "g2", "u1", "u2"], "left_semi")
+    shared = staged(spark, anchors.join(grams, ["lead", "g"]).drop("lead"), "suffix-shared")
+    hulls = shared.groupBy("g", "u").agg(F.count(F.lit(1)).alias("nu"), F.min(F.struct("doc_id", "h", "at")).alias("first"),
+                                         F.first("hulls").alias("hulls"), F.first("single").alias("single"))
+    hulls = staged(spark, hulls, "suffix-hulls")
+    spans = [shared.join(hulls.where("nu > 1").select("g", "u"), ["g", "u"], "left_semi")
              .select("doc_id", "h", F.greatest(F.col("at") - (spread - 1), F.lit(0)).alias("start"), (F.col("at") + length).alias("end"))]
-    # contexts of single hulls, and one witness, counted twice, for every repeated hull beside them
-    open_ = hulls.where("mixed").select("first.*", F.least("nu", F.lit(2)).alias("w"))
-    open_ = staged(spark, open_.groupBy("doc_id", "h").agg(F.collect_list(F.struct("at", "w")).alias("ats")), "suffix-open")
-    few = F.broadcast(open_) if open_.count() <= BROADCAST_ROWS // 10 else open_
+    # single hulls, and one witness, counted twice, for every repeated hull beside them
+    open_ = hulls.where("single > 0").select("first.*", F.least("nu", F.lit(2)).cast("int").alias("w"), "g", (F.col("hulls") > GROUP).alias("large"))
+    open_ = staged(spark, open_.groupBy("doc_id", "h").agg(F.collect_list(F.struct("at", "w", "g", "large")).alias("ats")), "suffix-open")
+    n_open = open_.agg(F.coalesce(F.sum(F.size("ats")), F.lit(0))).first()[0]
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
@@ -249,54 +324,39 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, s
             for doc, h, text, ats in zip(frame["doc_id"], frame["h"], frame["text"], frame["ats"], strict=True):
                 data = (text or "").encode("utf-8", "surrogatepass")
                 for x in ats:
-                    at = x["at"]
-                    left = min(at, spread - 1)
-                    rows.append((doc, h, at, x["w"], left, data[at - left: at + length]))
-            yield pd.DataFrame(rows, columns=["doc_id", "h", "at", "w", "left", "context"])
+                    left = min(x["at"], spread - 1)
+                    rows.append((doc, h, x["at"], x["w"], x["g"], x["large"], left, data[x["at"] - left: x["at"] + length]))
+            yield pd.DataFrame(rows, columns=["doc_id", "h", "at", "w", "g", "large", "left", "context"])
 
-    side = few.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "ats")
+    side = open_.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "ats")
+    side = F.broadcast(side) if n_open <= BROADCAST_ANCHORS else side
     texts = docs.select("doc_id", text_key(F.col("text")).alias("h"), "text")
     texts = texts.join(side, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).select("doc_id", "h", "text", "ats")
-    context = staged(spark, texts.mapInPandas(contexts, f"doc_id {kind}, h long, at long, w long, left long, context binary")
-                     .dropDuplicates(["doc_id", "h", "at"]), "suffix-contexts")
-    schema = f"doc_id {kind}, h long, at long, lo long, w long, c1 long, c2 long, u1 long, u2 long"
-
-    def cut(step: int, only: str | None):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            hashes = Pair()
-            for frame in batches:
-                yield _intervals(frame, hashes, length, spread, step, only)
-        return run
+    context = texts.mapInPandas(contexts, f"doc_id {kind}, h long, at int, w int, g long, large boolean, left int, context binary")
+    if docs.groupBy("doc_id", text_key(F.col("text")).alias("h")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").take(1):
+        context = context.dropDuplicates(["doc_id", "h", "at"])  # rows that repeat an id and a text give their contexts once
+    context = staged(spark, context, "suffix-contexts")
+    small = context.where("not large").repartition("g").sortWithinPartitions("g")
+    spans.append(small.mapInPandas(_compare_grams(length, spread), f"doc_id {kind}, h long, start int, end int"))
+    large = context.where("large")
+    if large.take(1):
+        spans.append(_count_large_grams(spark, large, kind, length, spread))
+    every = spans[0]
+    for more in spans[1:]:
+        every = every.unionAll(more)
+
+    @F.pandas_udf("array<struct<start:int,end:int>>")
+    def maximal(found: pd.Series) -> pd.Series:
+        return pd.Series([[{"start": a, "end": b} for a, b in merged([(x["start"], x["end"]) for x in xs])] for xs in found])
 
-    middle = staged(spark, context.mapInPandas(cut(STEP, None), schema), "suffix-middle")
-    settled = staged(spark, _settle(spark, middle, "suffix-middle-hulls"), "suffix-settled")
-    spans.append(settled.where("state = 2").select("doc_id", "h", F.greatest(F.col("at") - F.col("lo") - (STEP - 1), F.lit(0)).alias("start"),
-                                                   (F.col("at") - F.col("lo") + length).alias("end")))
-    # cores beside which an interval is undecided, each hull once
-    undecided = settled.where("state = 1").select("lo", "c1", "c2").distinct()
-    once = settled.where("state > 0").join(undecided, ["lo", "c1", "c2"], "left_semi").where(
-        "state = 1 or (witness.doc_id <=> doc_id and witness.h = h and witness.at = at)")
-    weights = once.groupBy("doc_id", "h", "at").agg(F.collect_list(F.when(F.col("state") == 1, F.col("lo"))).alias("ones"),
-                                                    F.collect_list(F.when(F.col("state") == 2, F.col("lo"))).alias("twos"))
-    narrow = context.drop("w").withColumnsRenamed({"doc_id": "_id", "h": "_h", "at": "_at"})
-    fine_in = staged(spark, weights.join(narrow, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")) & (F.col("at") == F.col("_at")))
-                     .drop("_id", "_h", "_at"), "suffix-fine")
-    ones = fine_in.where("size(ones) > 0").withColumn("w", F.lit(1).cast("long")).mapInPandas(cut(1, "ones"), schema)
-    twos = fine_in.where("size(twos) > 0").withColumn("w", F.lit(2).cast("long")).mapInPandas(cut(1, "twos"), schema)
-    windows = staged(spark, ones.unionAll(twos), "suffix-windows")
-    again = windows.groupBy("lo", "c1", "c2").agg(F.sum("w").alias("n")).where("n > 1").select("lo", "c1", "c2")
-    spans.append(windows.join(again, ["lo", "c1", "c2"], "left_semi")
-                 .select("doc_id", "h", (F.col("at") - F.col("lo")).alias("start"), (F.col("at") - F.col("lo") + length).alias("end")))
-    every = spans[0].unionAll(spans[1]).unionAll(spans[2])
     # ranges of one text: their number follows its length
-    return every.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    return every.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "end")).alias("spans")).withColumn("spans", maximal("spans"))
 
 
-def merged(spans: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
-    """Maximal runs of the union, inside a text of n bytes."""
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Maximal runs of the union of byte ranges."""
     out: list[list[int]] = []
     for a, b in sorted(spans):
-        b = min(b, n)
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -314,7 +374,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, s
     kind = dict(docs.select("doc_id").dtypes)["doc_id"]
     spans = staged(spark, repeated_spans(spark, docs, length, spread), "suffix-spans")
     side = spans.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "spans")
-    side = F.broadcast(side) if spans.count() <= BROADCAST_ROWS // 10 else side
+    side = F.broadcast(side) if spans.count() <= BROADCAST_ROWS else side
     joined = docs.select("doc_id", "text").join(side, F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key(F.col("text")) == F.col("_h")), "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -322,7 +382,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, s
             rows = []
             for doc, text, found in zip(frame["doc_id"], frame["text"], frame["spans"], strict=True):
                 data = (text or "").encode("utf-8", "surrogatepass")
-                runs = merged([(x["start"], x["end"]) for x in found], len(data)) if found is not None else []
+                # a hull is given with its full reach: the text may end before
+                runs = [(x["start"], min(x["end"], len(data))) for x in found] if found is not None else []
                 ends = [0, *(x for r in runs for x in r), len(data)]
                 kept = b"".join(data[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))
                 rows.append((doc, len(data), [{"start": a, "end": b} for a, b in runs], kept))
