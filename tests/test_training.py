@@ -15,6 +15,24 @@ def docs(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, label double, weight double").cache()
 
 
+@pytest.fixture(autouse=True)
+def short_fits(monkeypatch):
+    """Fewer rounds and trees: every round is a Spark job."""
+    full = G.estimator
+
+    def short(name, n_train=None):
+        e = full(name, n_train)
+        if name == "Logistic Regression":
+            e.setMaxIter(15)
+        if name == "Random Forest":
+            e.setNumTrees(10)
+        if name == "SVM (RBF)":
+            e.getClassifier().setMaxIter(4)
+        return e
+
+    monkeypatch.setattr(G, "estimator", short)
+
+
 def _check(rows, ids):
     assert sorted(r.doc_id for r in rows) == sorted(ids)
     assert all(sum(r.scores) == pytest.approx(1.0) and r.prediction == max(range(4), key=lambda i: r.scores[i]) for r in rows)
