@@ -24,6 +24,15 @@ def staged(spark: SparkSession, df: DataFrame, name: str, partition_by: list[str
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, table: DataFrame) -> None:
+    """Delete the files of a staged table that no later step reads: what came
+    of it is itself staged."""
+    files = table.inputFiles()
+    if files:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def free_names(df: DataFrame, *names: str) -> tuple[str, ...]:
     """The names, each lengthened until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vulnlake.llm.common import in_batches, staged
+from vulnlake.llm.common import discard, in_batches, staged
 from vulnlake.llm.minhash import text_key
 
 LENGTH = 400
@@ -191,32 +191,34 @@ def repeated_grams(spark: SparkSession, anchors: DataFrame) -> DataFrame:
     return whole.where("n > 1").select("lead", "g", "hulls", "single")
 
 
-def _window_runs(group: pd.DataFrame, hashes: Rolling, length: int, spread: int) -> list[tuple]:
-    """(doc_id, h, start, end) of the repeated windows round the anchors of one gram."""
-    keys, where, weights = [], [], []
-    rows = list(group.itertuples(index=False))
-    for i, row in enumerate(rows):
-        data = np.frombuffer(row.context, np.uint8)
-        s = np.arange(max(0, row.left + length - len(data)), min(row.left, spread - 1) + 1) if row.left + length > len(data) else np.arange(min(row.left, spread - 1) + 1)
-        s = s[row.left - s + length <= len(data)]
+def _window_runs(rows: list[tuple], hashes: Rolling, length: int, spread: int) -> list[tuple]:
+    """(doc_id, h, start, end) of the repeated windows round the anchors of one
+    gram; rows are (doc_id, h, at, w, left, context)."""
+    if sum(row[3] for row in rows) < 2:
+        return []
+    keys, which, windows, weights = [], [], [], []
+    for i, (_, _, _, w, left, context) in enumerate(rows):
+        # windows that start s bytes before the anchor and end inside the context
+        s = np.arange(max(0, left + length - len(context)), min(left, spread - 1) + 1)
         if not len(s):
             continue
-        start = row.left - s
-        keys.append(hashes.between(hashes.prefix(data), start, start + length) * _U(spread * 2 + 1) + s.astype(_U))
-        where.append(np.stack([np.full(len(s), i), s]))
-        weights.append(np.full(len(s), row.w))
+        start = left - s
+        keys.append(hashes.between(hashes.prefix(np.frombuffer(context, np.uint8)), start, start + length) * _U(spread * 2 + 1) + s.astype(_U))
+        which.append(np.full(len(s), i))
+        windows.append(s)
+        weights.append(np.full(len(s), w))
     if not keys:
         return []
-    _, which = np.unique(np.concatenate(keys), return_inverse=True)
-    often = np.bincount(which, weights=np.concatenate(weights))[which] > 1
-    at = np.concatenate(where, axis=1)[:, often]
+    _, same = np.unique(np.concatenate(keys), return_inverse=True)
+    often = np.bincount(same, weights=np.concatenate(weights))[same] > 1
+    which, windows = np.concatenate(which)[often], np.concatenate(windows)[often]
     out = []
-    if at.shape[1]:
+    if len(which):
         # runs of consecutive windows of one context
-        cut = np.flatnonzero((np.diff(at[0]) != 0) | (np.diff(at[1]) != 1)) + 1
-        for a, b in zip(np.append(0, cut), np.append(cut, at.shape[1]), strict=True):
-            row = rows[at[0, a]]
-            out.append((row.doc_id, row.h, int(row.at - at[1, b - 1]), int(row.at - at[1, a] + length)))
+        cut = np.flatnonzero((np.diff(which) != 0) | (np.diff(windows) != 1)) + 1
+        for a, b in zip(np.append(0, cut), np.append(cut, len(which)), strict=True):
+            doc, h, at = rows[which[a]][:3]
+            out.append((doc, h, int(at - windows[b - 1]), int(at - windows[a] + length)))
     return out
 
 
@@ -224,19 +226,17 @@ def _compare_grams(length: int, spread: int):
     """mapInPandas over contexts sorted by gram: one gram at a time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, held = Rolling(SEED + 1), None
+        hashes, gram, rows = Rolling(SEED + 1), None, []
         for frame in batches:
-            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
-            if not len(frame):
-                continue
-            g = frame["g"].to_numpy()
-            ends = np.flatnonzero(np.diff(g)) + 1
-            begins = np.append(0, ends)
-            rows = [x for a, b in zip(begins[:-1], ends, strict=True) for x in _window_runs(frame.iloc[a:b], hashes, length, spread)]
-            held = frame.iloc[begins[-1]:]  # its gram may go on
-            yield pd.DataFrame(rows, columns=["doc_id", "h", "start", "end"])
-        if held is not None and len(held):
-            yield pd.DataFrame(_window_runs(held, hashes, length, spread), columns=["doc_id", "h", "start", "end"])
+            out: list[tuple] = []
+            columns = (frame[c].tolist() for c in ("doc_id", "h", "at", "w", "left", "context"))
+            for g, row in zip(frame["g"].tolist(), zip(*columns, strict=True), strict=True):
+                if g != gram:
+                    out += _window_runs(rows, hashes, length, spread)
+                    gram, rows = g, []
+                rows.append(row)
+            yield pd.DataFrame(out, columns=["doc_id", "h", "start", "end"])
+        yield pd.DataFrame(_window_runs(rows, hashes, length, spread), columns=["doc_id", "h", "start", "end"])
 
     return run
 
@@ -308,6 +308,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, s
     anchors = staged(spark, document_anchors(spark, docs, length, spread), "suffix-anchors")
     grams = staged(spark, repeated_grams(spark, anchors), "suffix-grams")
     shared = staged(spark, anchors.join(grams, ["lead", "g"]).drop("lead"), "suffix-shared")
+    discard(spark, anchors)
     hulls = shared.groupBy("g", "u").agg(F.count(F.lit(1)).alias("nu"), F.min(F.struct("doc_id", "h", "at")).alias("first"),
                                          F.first("hulls").alias("hulls"), F.first("single").alias("single"))
     hulls = staged(spark, hulls, "suffix-hulls")
@@ -325,22 +326,26 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, s
                 data = (text or "").encode("utf-8", "surrogatepass")
                 for x in ats:
                     left = min(x["at"], spread - 1)
-                    rows.append((doc, h, x["at"], x["w"], x["g"], x["large"], left, data[x["at"] - left: x["at"] + length]))
-            yield pd.DataFrame(rows, columns=["doc_id", "h", "at", "w", "g", "large", "left", "context"])
-
-    side = open_.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "ats")
-    side = F.broadcast(side) if n_open <= BROADCAST_ANCHORS else side
-    texts = docs.select("doc_id", text_key(F.col("text")).alias("h"), "text")
-    texts = texts.join(side, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).select("doc_id", "h", "text", "ats")
-    context = texts.mapInPandas(contexts, f"doc_id {kind}, h long, at int, w int, g long, large boolean, left int, context binary")
-    if docs.groupBy("doc_id", text_key(F.col("text")).alias("h")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").take(1):
-        context = context.dropDuplicates(["doc_id", "h", "at"])  # rows that repeat an id and a text give their contexts once
-    context = staged(spark, context, "suffix-contexts")
-    small = context.where("not large").repartition("g").sortWithinPartitions("g")
-    spans.append(small.mapInPandas(_compare_grams(length, spread), f"doc_id {kind}, h long, start int, end int"))
-    large = context.where("large")
-    if large.take(1):
-        spans.append(_count_large_grams(spark, large, kind, length, spread))
+                    rows.append((doc, h, x["at"], x["w"], x["g"], left, data[x["at"] - left: x["at"] + length]))
+            yield pd.DataFrame(rows, columns=["doc_id", "h", "at", "w", "g", "left", "context"])
+
+    repeated_rows = bool(docs.groupBy("doc_id", text_key(F.col("text")).alias("h")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").take(1))
+
+    def contexts_of(large: bool) -> DataFrame:
+        ats = F.filter("ats", lambda x: x["large"] == F.lit(large))
+        side = open_.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), ats.alias("ats")).where(F.size("ats") > 0)
+        side = F.broadcast(side) if n_open <= BROADCAST_ANCHORS else side
+        texts = docs.select("doc_id", text_key(F.col("text")).alias("h"), "text")
+        texts = texts.join(side, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).select("doc_id", "h", "text", "ats")
+        context = texts.mapInPandas(contexts, f"doc_id {kind}, h long, at int, w int, g long, left int, context binary")
+        # rows that repeat an id and a text give their contexts once
+        return context.dropDuplicates(["doc_id", "h", "at"]) if repeated_rows else context
+
+    small = contexts_of(False).repartition("g").sortWithinPartitions("g")
+    small = small.mapInPandas(_compare_grams(length, spread), f"doc_id {kind}, h long, start int, end int")
+    spans.append(staged(spark, small, "suffix-runs"))
+    if open_.where(F.exists("ats", lambda x: x["large"])).take(1):
+        spans.append(_count_large_grams(spark, staged(spark, contexts_of(True), "suffix-contexts"), kind, length, spread))
     every = spans[0]
     for more in spans[1:]:
         every = every.unionAll(more)
