@@ -183,6 +183,38 @@ def test_without_the_filter_the_join_finds_the_same(spark, make_docs, words, mon
     assert sorted(map(str, decontaminate.contaminated(spark, make_docs(rows), bench).collect())) == small and len(small) == 4
 
 
+def test_items_of_numbers_and_capitals_are_found_verbatim(spark, make_docs, words):
+    items = ["Calculate 12 + 7 - 3 * 4 / 2 + 9 - 5", "The Old Man And The Sea By Ernest Hemingway Won The Pulitzer Prize For Fiction In 1953",
+             "What is the capital of the French republic", "Das Haus der Familie Meier am Rande der Stadt Bonn hat einen Garten mit Apfel Birne Kirsche und Pflaume"]
+    rows = [(k, f"{words(30, k)} {item} {words(30, k + 50)}") for k, item in enumerate(items)]
+    rows += [(100, f"{words(30, 7)}. Calculate 13 + 8 - 4 * 5 / 3 + 8 - 6"), (101, "Calculate 3"), (102, f"{words(30, 8)} Calculate 12 + 7 - 3")]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.coverage for r in decontaminate.contaminated(spark, make_docs(rows), bench).collect()}
+    assert set(got) == {(k, k) for k in range(4)} and all(c > 0.85 for c in got.values()), got
+
+
+def test_replacements_of_other_lengths_and_inserted_words(spark, make_docs, words):
+    names = f"{words(30, 1)}. {ITEM.replace('Boston', 'New York').replace('Albany', 'Rio')}. {words(9, 2)}"
+    parts = [words(10, k) for k in (11, 12, 13)]
+    apart = f"{words(30, 4)}. {parts[0]} and so {parts[1]} twenty five {parts[2]}. {words(9, 5)}"
+    swapped = f"{words(30, 4)}. {parts[2]} and so {parts[0]}. {words(9, 5)}"
+    rows = [(1, names), (2, apart), (3, f"{parts[0]} {words(500, 6)}"), (4, swapped)]
+    bench = spark.createDataFrame([(1, ITEM), (2, f"{parts[0]} {parts[1]} 5 {parts[2]}")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_tokens, r.n_covered) for r in decontaminate.contaminated(spark, make_docs(rows), bench).collect()}
+    assert got == {(1, 1): (26, 26), (2, 2): (31, 30)}
+
+
+def test_pieces_of_a_chain_agree_and_keep_their_order():
+    def piece(a, b, c, **values):
+        return decontaminate.Piece(a, b, c, c + b - a, values, {v: k for k, v in values.items()}, b - a, 1)
+
+    assert decontaminate.chained([piece(0, 10, 5, x="1"), piece(12, 20, 30, x="1", y="2")]) == (18, 2)
+    assert decontaminate.chained([piece(0, 10, 5, x="1"), piece(12, 20, 30, x="2")]) == (10, 1)
+    assert decontaminate.chained([piece(0, 10, 50), piece(12, 20, 30)]) == (10, 1)
+    assert decontaminate.chained([piece(0, 10, 5), piece(8, 20, 15)]) == (20, 2)
+    assert decontaminate.chained([]) == (0, 0)
+
+
 def test_slot_consistency():
     assert decontaminate.consistent([(["60", "boston"], ["85", "paris"]), (["boston", "3"], ["paris", "7"])]) == [True, True]
     assert decontaminate.consistent([(["60", "boston"], ["85", "paris"]), (["boston"], ["rome"])]) == [True, False]
