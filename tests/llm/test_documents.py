@@ -155,6 +155,25 @@ def test_toxicity_held_out_accuracy_and_edges(spark, make_docs, words):
     assert toxicity.score(spark, make_docs([]), model).count() == 0
 
 
+def test_copies_and_large_samples_raise_no_bar(spark, words):
+    r = random.Random(5)
+
+    def having(k, *terms):
+        w = words(40, k, 10**6).split()
+        for t in terms:
+            w.insert(r.randrange(len(w)), t)
+        return " ".join(w)
+
+    rows = [(1, having(k, "wretch")) for k in range(1000)]  # many toxic texts, and 15 with a rarer term
+    rows += [(1, having(5000 + k, "vermin")) for k in range(15)]
+    rows += [(1, "common words of a copied text with you foulness in it")] * 900 + [(1, f"you foulness {words(2, k)}") for k in range(60)]
+    rows += [(1, f"copied again and seldom numbered at its end {k}") for k in range(400)]
+    rows += [(0, having(9000 + k, *(["seldom"] if k % 50 == 0 else []))) for k in range(2000)]
+    terms = toxicity.learn_lexicon(spark.createDataFrame(rows, "toxic int, text string"))
+    assert {"wretch", "vermin", "foulness"} <= set(terms) and "seldom" not in terms
+    assert not {"common", "copied", "numbered"} & set(terms)
+
+
 # ---------------------------------------------------------------- decontamination
 
 ITEM = "If a train leaves Boston at 60 km per hour and needs 3 hours to reach Albany how far away is Albany from Boston in all"

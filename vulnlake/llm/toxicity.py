@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,11 +32,8 @@ THRESHOLD = 0.7
 MAX_TOXIC_ROWS, MAX_CLEAN_ROWS = 8_000, 16_000
 #: Bound of the lexicon; the terms with most toxic documents stay.
 MAX_TERMS = 2_000
-#: A term needs so many toxic documents, this share of them all, and at most this many clean ones for each.
-MIN_TOXIC_DOCS, MIN_TOXIC_SHARE, MAX_CLEAN_SHARE = 5, 0.01, 0.1
-#: It must follow this many different words for each of its documents: the
-#: words of a text that was copied often always follow the same ones.
-MIN_CONTEXTS = 0.5
+#: A term needs so many toxic texts and as many different contexts in them, and at most this many clean ones for each.
+MIN_TOXIC_DOCS, MAX_CLEAN_SHARE = 5, 0.1
 STEM_LENGTHS = (4, 5, 6)
 #: Log odds at which a term has its full weight.
 FULL_ODDS = 6.0
@@ -64,6 +62,11 @@ def bare(word: str) -> str:
     return _EDGES.sub("", word.lower())
 
 
+def hash_of(text: str) -> int:
+    """A signed 64-bit number that is the same in every process."""
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+
+
 def edits_allowed(term: str) -> int:
     return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
@@ -206,7 +209,14 @@ def _labelled(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFr
 
 def learn_lexicon(sample: DataFrame) -> dict[str, tuple[bool, float]]:
     """Terms that mark toxic documents of the sample, each with whether it is a
-    stem and its weight: the log odds of toxic against clean documents, 1 at most."""
+    stem and its weight: the log odds of toxic against clean documents, 1 at most.
+
+    A text counts once, however often it was copied, and so does a context (the
+    words before and after): near copies of a text say nothing new.  The bar is
+    the same for samples of all sizes, but so few terms as one in all that
+    were looked at may reach it by chance."""
+    sample = sample.groupBy("toxic", F.xxhash64("text").alias("h"), F.length("text").alias("n")).agg(F.first("text").alias("text")).select("toxic", "text")
+    sample = staged(sample.sparkSession, sample, "toxic-texts")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
@@ -234,25 +244,32 @@ def learn_lexicon(sample: DataFrame) -> dict[str, tuple[bool, float]]:
     sums = (sample.mapInPandas(count, "term string, stem boolean, toxic long, clean long")
             .groupBy("term", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
     n_toxic, n_all = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count(F.lit(1))).first()
-    least = max(MIN_TOXIC_DOCS, MIN_TOXIC_SHARE * n_toxic)
-    rows = (sums.where((F.col("toxic") >= least) & (F.col("clean") <= F.col("toxic") * MAX_CLEAN_SHARE))
-            .orderBy(F.desc("toxic"), F.length("term"), "term").limit(MAX_TERMS).collect())
-    candidates = {(r.term, r.stem) for r in rows}
+    # words that more clean than toxic texts hold are not looked at again
+    sums = staged(sample.sparkSession, sums.where(F.col("toxic") >= MIN_TOXIC_DOCS), "toxic-terms")
+    looked_at = sums.count()
+    first = sums.where(F.col("clean") <= F.col("toxic"))
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             seen = set()
-            for text in frame["text"]:
-                before = ""
-                for word in map(bare, _WORD.findall(text)):
-                    seen.update((t, s, before) for t, s in [(word, False), *((word[:k], True) for k in STEM_LENGTHS if len(word) > k)] if (t, s) in candidates)
-                    before = word
-            yield pd.DataFrame(list(seen), columns=["term", "stem", "before"])
-
-    varied = (sample.where("toxic = 1").select("text").mapInPandas(contexts, "term string, stem boolean, before string")
-              .groupBy("term", "stem").agg(F.countDistinct("before").alias("n")))
-    varied = {(r.term, r.stem): r.n for r in varied.collect()}  # one row per candidate
-    rows = [r for r in rows if varied.get((r.term, r.stem), 0) >= MIN_CONTEXTS * r.toxic]
+            for toxic, text in zip(frame["toxic"], frame["text"], strict=True):
+                words = ["", *map(bare, _WORD.findall(text)), ""]
+                for before, word, after in zip(words, words[1:], words[2:], strict=False):
+                    seen.update((t, s, toxic, hash_of(f"{before} {after}")) for t, s in [(word, False), *((word[:k], True) for k in STEM_LENGTHS if len(word) > k)]
+                                if (t, s) in candidates)
+            yield pd.DataFrame(list(seen), columns=["term", "stem", "kind", "context"])
+
+    candidates = {(r.term, r.stem) for r in first.select("term", "stem").collect()}  # words of the bounded sample
+    varied = (sample.mapInPandas(contexts, "term string, stem boolean, kind int, context long").distinct().groupBy("term", "stem")
+              .agg(F.sum("kind").alias("in_toxic"), F.sum(1 - F.col("kind")).alias("in_clean")))
+    a, b = F.col("toxic").cast("double"), F.col("clean").cast("double")
+    share = F.lit(n_toxic / max(n_all, 1))
+    # log likelihood of the split against that by chance; e to the minus it bounds the probability of such a split
+    evidence = a * F.log(a / ((a + b) * share)) + F.when(b > 0, b * F.log(b / ((a + b) * (1 - share)))).otherwise(0.0)
+    rows = (first.join(varied, ["term", "stem"])
+            .select("term", "stem", F.least("toxic", "in_toxic").alias("toxic"), F.least("clean", "in_clean").alias("clean"))
+            .where((a >= MIN_TOXIC_DOCS) & (b <= a * MAX_CLEAN_SHARE) & (a > (a + b) * share) & (evidence >= math.log(max(looked_at, 1))))
+            .orderBy(F.desc("toxic"), F.length("term"), "term").limit(MAX_TERMS).collect())
     terms: dict[str, tuple[bool, float]] = {}
     stems = {r.term: r.toxic for r in rows if r.stem}
     for r in sorted(rows, key=lambda r: (-r.toxic, len(r.term), r.term)):
