@@ -174,6 +174,15 @@ def test_copies_and_large_samples_raise_no_bar(spark, words):
     assert not {"common", "copied", "numbered"} & set(terms)
 
 
+def test_words_of_a_stem_are_found_misspelled(spark, words):
+    family = ["wretched", "wretches", "wretchings"]
+    rows = [(1, f"{words(10, k, 10**6)} {family[k % 3]} {words(10, k + 500, 10**6)}") for k in range(240)] + [(0, words(21, k + 2000, 10**6)) for k in range(500)]
+    terms = toxicity.learn_lexicon(spark.createDataFrame(rows, "toxic int, text string"))
+    assert any(stem for stem, _ in terms.values()) and set(family) <= set(terms)
+    lexicon = toxicity.FuzzyLexicon(terms)
+    assert all(lexicon.find(w) > 0 for w in ("vretched", "wrotches", "wrwtchings", "wretchedly")) and not lexicon.find("watches")
+
+
 # ---------------------------------------------------------------- decontamination
 
 ITEM = "If a train leaves Boston at 60 km per hour and needs 3 hours to reach Albany how far away is Albany from Boston in all"

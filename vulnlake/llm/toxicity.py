@@ -274,8 +274,10 @@ def learn_lexicon(sample: DataFrame) -> dict[str, tuple[bool, float]]:
     stems = {r.term: r.toxic for r in rows if r.stem}
     for r in sorted(rows, key=lambda r: (-r.toxic, len(r.term), r.term)):
         shorter = [r.term[:k] for k in STEM_LENGTHS if k < len(r.term) and r.term[:k] in stems]
-        if any(terms.get(s, (False, 0))[0] for s in shorter):
-            continue
+        if not r.stem and r.term in terms:
+            continue  # the stem of the same letters
+        if r.stem and any(terms.get(s, (False, 0))[0] for s in shorter):
+            continue  # a full word stays beside its stem: it is the word that is found with edits
         if r.stem and any(not x.stem and x.term.startswith(r.term) and x.toxic >= 0.8 * r.toxic for x in rows):
             continue  # one word makes the stem: the word itself, with its edits, is the better term
         odds = math.log((r.toxic + 0.5) / (n_toxic + 1) * (n_all - n_toxic + 1) / (r.clean + 0.5))
