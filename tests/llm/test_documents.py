@@ -264,6 +264,21 @@ def test_article_between_surge_and_dive(open_, close):
     assert html.main_text(PAGE.format(open=open_, close=close)) == TEXT
 
 
+def test_one_long_paragraph_keeps_the_others():
+    lines = [f"{k} " + "short text " * 9 for k in range(12)]
+    lines[6] = "long text " * 300
+    lines = [" ".join(x.split()) for x in [*lines, "So it ends.", "Bye."]]
+    page = "<html><body><nav>menu</nav>" + "".join(f"<p>{x}</p>" for x in lines) + "<ul><li><a href='/'>all</a></li></ul><footer>foot</footer></body></html>"
+    assert html.main_text(page) == "\n".join(lines)
+
+
+@pytest.mark.parametrize("attrs", ["class='content has-sidebar'", "class='page no-comments'", "class='social site'", "id=header"])
+def test_hints_on_the_wrapper_of_the_page(attrs):
+    page = f"<body><div {attrs}><p>{'some words here ' * 9}</p><div class='sidebar'>aside text</div><p>{'more words here ' * 9}</p></div><div id=comments><p>nice</p></div></body>"
+    assert html.main_text(page) == f"{'some words here ' * 9}".strip() + "\n" + f"{'more words here ' * 9}".strip()
+    assert html.main_text(f"<body><p>A short piece of text.</p><div class='comments'><p>{'a long comment ' * 50}</p></div></body>") == "A short piece of text."
+
+
 def test_html_edges(spark):
     assert [html.main_text(x) for x in (None, "", "   ", "<p></p>", "<script>x", "<!-- a", "<nav>menu</nav>")] == [""] * 7
     assert html.main_text("plain words") == "plain words" and html.main_text("<p>a < b and c</p>") == "a < b and c"

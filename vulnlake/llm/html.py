@@ -2,9 +2,11 @@
 
 Markup is stripped into lines, one for each block of the page.  Sums of text
 lengths over sliding windows of lines rise steeply where the article begins
-(the surge point) and fall where it ends (the dive point); the lines between
-them are kept.  Lines inside page furniture (navigation, adverts, forms,
-comments) weigh nothing and are never kept, link text weighs nothing, and
+(the surge point) and fall where it ends (the dive point), measured against the
+page's middle window; the lines between them, and those next to them up to the
+next furniture, are kept.  Lines inside page furniture (navigation, adverts, forms,
+comments) weigh nothing and are never kept (a hint in the class of an element
+that holds most of the page's text does not count), link text weighs nothing, and
 the two points are moved to the ends of the article element they lie in.
 """
 
@@ -14,6 +16,7 @@ import html as entities
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import median
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 
 from vulnlake.llm.common import in_batches
 
-#: Lines in a window, and the share of the fullest window that counts as text.
+#: Lines in a window, and the share of the middle window that counts as text.
 WINDOW, SURGE_SHARE = 3, 0.15
 #: Element names of HTML by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -34,6 +37,8 @@ HINTS = frozenset("""ad ads adv advert adverts advertisement advertising sponsor
     respond share sharing social related recommended recommendations widget toolbar pagination pager masthead topbar login search skip""".split())
 ARTICLE_WORDS = frozenset("article post entry content main story".split())
 READERS = frozenset("comment comments reply replies disqus respond".split())
+#: First parts of class words that say what a page has, not what the element is.
+HAVING = frozenset("has have no with without hide show".split())
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<!--.*?(?:-->|$)|<[!?/][^>]*>""", re.S)
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*)>")
@@ -52,27 +57,34 @@ class Line:
     article: int
 
 
-def _is_furniture(name: str, attrs: str, in_article: bool) -> bool:
+_NO, _YES, _HINTED, _READERS = range(4)
+
+
+def _is_furniture(name: str, attrs: str, in_article: bool) -> int:
+    """_NO, _YES, or, where only the class or id says so, _HINTED or _READERS."""
     if name in FURNITURE or (name == "header" and not in_article):
-        return True
+        return _YES
     if not attrs:
-        return False
+        return _NO
     words: set[str] = set()
+    hinted = False
     for key, value in _ATTR.findall(attrs):
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
-            return True
+            return _YES
         if key == "role" and value in ROLES:
-            return True
+            return _YES
         if key in ("class", "id"):
             for token in value.split():
-                parts = set(_LETTERS.findall(token))
-                if "header" in parts and not parts & ARTICLE_WORDS and not in_article:
-                    return True
+                named = _LETTERS.findall(token)
+                if not named or (named[0] in HAVING and len(named) > 1):
+                    continue
+                parts = set(named)
+                hinted |= "header" in parts and not parts & ARTICLE_WORDS and not in_article
                 words |= parts
     if name in ("html", "body", "main", "article"):
-        return name == "article" and bool(words & READERS)
-    return bool(words & HINTS)
+        return _READERS if (name == "article" and words & READERS) else _HINTED if hinted else _NO
+    return _READERS if words & READERS else _HINTED if hinted or words & HINTS else _NO
 
 
 def _tags(page: str) -> Iterator[tuple[str, str, str, str]]:
@@ -107,19 +119,45 @@ def _tags(page: str) -> Iterator[tuple[str, str, str, str]]:
 
 
 def lines_of(page: str) -> list[Line]:
-    """The page's blocks in order, markup stripped."""
+    """The page's blocks in order, markup stripped.  A class is no hint on an
+    element that holds most of the page's text, unless an article element has
+    text without it, or it names comments and the page has text elsewhere."""
+    lines, held, total = _lines(page, frozenset())
+    kept = [x for x in lines if x.weight and not x.furniture]
+    if any(x.article for x in kept):
+        return lines
+    most = frozenset(number for (number, kind), weight in held.items() if 2 * weight > total and not (kind == _READERS and kept))
+    return _lines(page, most)[0] if most else lines
+
+
+def _lines(page: str, ignored: frozenset[int]) -> tuple[list[Line], dict[tuple[int, int], int], int]:
+    """The blocks; the weight of the text in every element (its number in the
+    page, kind) that a hint makes furniture, and that of all text outside sure
+    furniture.  Hints on the ``ignored`` elements do not count."""
     out: list[Line] = []
-    open_: list[tuple[str, bool, int]] = []  # name, furniture, article number
+    held: dict[tuple[int, int], int] = {}
+    total = number = 0
+    open_: list[tuple[str, int, int, int]] = []  # name, furniture, article number, number in the page
     parts: list[str] = []
     linked: list[str] = []
     articles = links = 0
     state = (False, 0)
 
+    def furniture(name: str, attrs: str, in_article: bool) -> int:
+        kind = _is_furniture(name, attrs, in_article)
+        return _NO if kind >= _HINTED and number in ignored else kind
+
     def flush() -> None:
+        nonlocal total
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
             inside = len("".join(entities.unescape("".join(linked)).split()))
             out.append(Line(text, max(0, len(text.replace(" ", "")) - inside), *state))
+            if not any(f == _YES for _, f, _, _ in open_):
+                total += out[-1].weight
+                for _, f, _, n in open_ if state[0] else ():
+                    if f:
+                        held[n, f] = held.get((n, f), 0) + out[-1].weight
         parts.clear()
         linked.clear()
 
@@ -129,6 +167,7 @@ def lines_of(page: str) -> list[Line]:
             linked.append(text)
         if not name:
             break
+        number += 1
         if name == "a":
             links = max(0, links - 1) if close else 1
         if name == "br":
@@ -142,12 +181,12 @@ def lines_of(page: str) -> list[Line]:
             continue
         if name in INLINE:
             if close:
-                if any(n == name for n, _, _ in open_) and open_[-1][0] == name:
+                if any(x[0] == name for x in open_) and open_[-1][0] == name:
                     open_.pop()
-            elif _is_furniture(name, attrs, state[1] > 0):
+            elif kind := furniture(name, attrs, state[1] > 0):
                 flush()
-                open_.append((name, True, state[1]))
-            state_now = (any(f for _, f, _ in open_), state[1])
+                open_.append((name, kind, state[1], number))
+            state_now = (any(x[1] for x in open_), state[1])
             if state_now != state:
                 flush_state, state = state, state_now
                 if flush_state[0]:
@@ -156,11 +195,11 @@ def lines_of(page: str) -> list[Line]:
         flush()
         links = 0
         if close:
-            if any(n == name for n, _, _ in open_):
+            if any(x[0] == name for x in open_):
                 while open_.pop()[0] != name:
                     pass
         else:
-            if name in ("article", "main") and not _is_furniture(name, attrs, False) and state[0] and not state[1]:
+            if name in ("article", "main") and not furniture(name, attrs, False) and state[0] and not state[1]:
                 while open_ and open_[-1][0] in ("div", "p", "span", "li", "ul") and open_[-1][1]:
                     open_.pop()  # an advert that was never closed does not swallow the article
             if name in ("p", "li", "dt", "dd", "option", "tr") and open_ and open_[-1][0] == name:
@@ -174,10 +213,10 @@ def lines_of(page: str) -> list[Line]:
                 articles += 1
                 here = here or articles
             if not attrs.endswith("/"):
-                open_.append((name, _is_furniture(name, attrs, here > 0 and name != "article"), here))
-        state = (any(f for _, f, _ in open_), open_[-1][2] if open_ else 0)
+                open_.append((name, furniture(name, attrs, here > 0 and name != "article"), here, number))
+        state = (any(x[1] for x in open_), open_[-1][2] if open_ else 0)
     flush()
-    return out
+    return out, held, total
 
 
 def main_lines(lines: list[Line]) -> list[Line]:
@@ -186,8 +225,7 @@ def main_lines(lines: list[Line]) -> list[Line]:
     if not any(weight):
         return []
     sums = [sum(weight[i: i + WINDOW]) for i in range(len(weight))]
-    full = max(sums)
-    level = max(1.0, SURGE_SHARE * full)
+    level = max(1.0, SURGE_SHARE * median(x for x in sums if x))  # one very long paragraph does not move it
     dense = [i for i, s in enumerate(sums) if s >= level]
     surge = next(i for i in range(dense[0], len(weight)) if weight[i])
     dive = max(i for i in range(dense[-1], min(dense[-1] + WINDOW, len(weight))) if weight[i])
@@ -198,6 +236,14 @@ def main_lines(lines: list[Line]) -> list[Line]:
     best = max(held, key=lambda k: (held[k], -k))
     if best and held[best] * 2 >= sum(held.values()):
         return [x for x in lines if x.article == best and not x.furniture]
+    for i in range(surge - 1, -1, -1):  # short lines beside the span, as far as no furniture parts them from it
+        if lines[i].furniture:
+            break
+        surge = i if weight[i] else surge
+    for i in range(dive + 1, len(lines)):
+        if lines[i].furniture:
+            break
+        dive = i if weight[i] else dive
     return [x for x in lines[surge: dive + 1] if not x.furniture]
 
 
