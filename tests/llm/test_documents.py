@@ -301,6 +301,14 @@ def test_pages_of_the_table(spark):
 
 # ---------------------------------------------------------------- licences
 
+def test_every_template_is_anchored_and_found(spark, make_docs, words):
+    assert [t for ts in licences.TEMPLATES.values() for t in ts if not re.search(licences.ANCHORS[4:], t, re.I)] == []
+    rows = [(k, words(60, k)) for k in range(300)]
+    rows += [(1000, f"{words(5, 1)}\nReleased under the GPL.\n{words(5, 2)}"), (1001, "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited.")]
+    got = {(r.doc_id, r.paragraph): r.family for r in licences.scan(spark, make_docs(rows)).collect()}
+    assert got == {(1000, 1): "GPL", (1001, 0): "Proprietary"}
+
+
 def test_licence_families_and_unknown(spark, make_docs, words):
     rows = [(k, words(60, k)) for k in range(300)]
     rows += [(1000, f"{words(5, 1)}\nReleased under the MIT License.\n{words(5, 2)}"), (1001, "Licensed under the Apache License, Version 2.0."),
