@@ -11,7 +11,7 @@ from vulnlake.sources.views import table
 
 
 def test_registered():
-    assert set(queries.QUERIES) | {"pipeline"} <= set(E.queries()) and sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
+    assert set(queries.QUERIES) | {"pipeline"} <= set(E.queries()) and sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 14))
 
 
 def test_oracles(spark):

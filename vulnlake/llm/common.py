@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,3 +76,19 @@ def in_batches(spark: SparkSession) -> None:
     now = spark.conf.get(name).rstrip("b")
     if not now.isdigit() or int(now) > BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
+
+
+def tokenizer_file(name: str) -> str:
+    """Place of a vocabulary file: in the folder $VULNLAKE_TOKENIZERS, or else
+    in the installed package of public vocabularies.  Read on the driver only."""
+    folder = os.environ.get("VULNLAKE_TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+def word_pattern() -> str:
+    """The pattern that cuts a text before the merges of the rank files."""
+    import public_tokenizers
+    return public_tokenizers.PATTERN

@@ -12,7 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vulnlake.llm import decontaminate, html, licences, lm, minhash, mixing, quality, sharding, suffixes, toxicity
+from vulnlake.llm import bytepairs, decontaminate, html, licences, lm, minhash, mixing, quality, sharding, suffixes, toxicity
+from vulnlake.llm.common import tokenizer_file, word_pattern
 from vulnlake.sources.views import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +155,11 @@ def op5_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = licences.scan(spark, table(spark, sf_dir, "documents"))
     return out.select("doc_id", "paragraph", "family", "probability", "guess", "template", "contained", "confirmed")
+
+
+@query
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bytepairs.encode_documents(spark, table(spark, sf_dir, "documents"),
+                                     tokenizer_file("byte_bpe_multi_50k.tiktoken"), word_pattern())
+    return out.select("doc_id", "n_tokens", F.sha2(F.col("ids").cast("binary"), 256).alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
