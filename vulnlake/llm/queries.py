@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vulnlake.llm import bytepairs, decontaminate, html, licences, lm, minhash, mixing, quality, sharding, suffixes, toxicity
+from vulnlake.llm import bytepairs, decontaminate, html, licences, lm, minhash, mixing, quality, repair, sharding, suffixes, toxicity
 from vulnlake.llm.common import tokenizer_file, word_pattern
 from vulnlake.sources.views import table
 
@@ -163,3 +163,9 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      tokenizer_file("byte_bpe_multi_50k.tiktoken"), word_pattern())
     return out.select("doc_id", "n_tokens", F.sha2(F.col("ids").cast("binary"), 256).alias("ids_sha256"),
                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return repair.repair(spark, repair.damage(conversations), conversations)
