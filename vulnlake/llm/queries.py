@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vulnlake.llm import bytepairs, decontaminate, html, licences, lm, minhash, mixing, quality, repair, sharding, suffixes, toxicity
+from vulnlake.llm import alignment, bytepairs, decontaminate, html, licences, lm, minhash, mixing, quality, repair, sharding, suffixes, toxicity
 from vulnlake.llm.common import tokenizer_file, word_pattern
 from vulnlake.sources.views import table
 
@@ -169,3 +169,10 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations")
     return repair.repair(spark, repair.damage(conversations), conversations)
+
+
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = alignment.align_documents(spark, table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", F.lit("")).otherwise(F.sha2("groups", 256))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
