@@ -4,6 +4,7 @@ import duckdb
 
 import __spark_entry__ as E
 from tests.conftest import SF_SMALL
+from vulnlake.operators.audit import EXPECTED_SCHEMAS
 
 PARITY_SAMPLE = ["verdict_component", "risk_legend", "feature_stats", "tfidf", "roc_auc_ovr", "cache_hit_rate",
                  "stratified_folds", "encode_sequences", "stream_classify", "audit_schema"]
@@ -31,7 +32,7 @@ def _canon(v):
 
 def test_duckdb_parity_sample(spark):
     con = duckdb.connect()
-    for t in ["documents", "events", "embeddings", "labels", "customer", "conversations", "pages", "benchmark"]:
+    for t in EXPECTED_SCHEMAS:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
     qs, sqls = E.queries(), E.oracle_sql()
     for name in PARITY_SAMPLE:

@@ -466,6 +466,15 @@ def q_oof_assemble(spark, sf):
     return oof_check(_sc(spark, sf), V.table(spark, sf, "embeddings").select("vec_id"))
 
 
+@register("oof_table", lambda: _sv() +
+          "SELECT m.model, e.vec_id, s.fold, s.label, s.prediction FROM (SELECT DISTINCT vec_id FROM embeddings) e "
+          "JOIN (SELECT DISTINCT model FROM scored) m ON true LEFT JOIN scored s ON s.model = m.model AND s.vec_id = e.vec_id")
+def q_oof_table(spark, sf):
+    """the assembled table itself."""
+    out = oof_assemble(_sc(spark, sf), V.table(spark, sf, "embeddings").select("vec_id"))
+    return out.select("model", "vec_id", "fold", "label", "prediction")
+
+
 @register("roc_auc_ovr", lambda: _sv(_sql_auc()) +
           f"SELECT model, {_sql_names('cls')} AS class, {B.sql_round_half_even('CASE WHEN P > 0 AND N > 0 THEN u / (P * N) END', 6)} AS auc FROM ac "
           f"UNION ALL SELECT model, 'macro', {B.sql_round_half_even('CASE WHEN count(*) = count(CASE WHEN P > 0 AND N > 0 THEN 1 END) THEN avg(u / (P * N)) END', 6)} FROM ac GROUP BY model")

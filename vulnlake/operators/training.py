@@ -1,192 +1,170 @@
-"""Distributed baseline training (G1-G5) on MLlib.
+"""Distributed baseline training.
 
-Features per split: TF-IDF over a vocabulary fitted on the training rows
-only (refit per fold, so nothing leaks), plus num_tokens and num_lines.
-Each row becomes a dense vector of vocabulary size + 2 (a fixed bound).
-Class weights come from F3 and feed ``weightCol``.
+Features per split are sparse vectors (``sparsefeat.Prepared``): TF-IDF over a
+vocabulary fitted on the training rows only (so nothing leaks), plus num_tokens
+and num_lines; splits are made on ids and joined to the vectors.  Class weights
+are those of the training rows (F3) and feed ``weightCol``.
+
+Logistic regression and forest are MLlib's; boosting (``boosting.Booster``)
+trains all folds together; the kernel SVM is in ``kernelsvm``.
 """
 
 from __future__ import annotations
 
-import math
+from concurrent.futures import ThreadPoolExecutor
 
-import numpy as np
-import pandas as pd
-from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, OneVsRest,
-                                       RandomForestClassifier)
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vulnlake.functions import derive as B
 from vulnlake.operators import evaluation as EV
+from vulnlake.operators import kernelsvm as K
 from vulnlake.operators import textfeat as TF
+from vulnlake.operators.boosting import ROUNDS, Booster
+from vulnlake.operators.sparsefeat import Prepared, written
 from vulnlake.plans import domains as D
 from vulnlake.plans.registry import register
 from vulnlake.sources import views as V
 
-RFF_COMPONENTS = 64
 # Trees grow until their leaves are pure in the studied benchmark; 30 is the
 # greatest depth that MLlib grows.
 FOREST_DEPTH = 30
-RFF_GAMMA = 0.5  # kernel width of exp(-γ‖x−y‖²) on L2-normalised TF-IDF + log sizes (our choice)
-
-
-def featurize(train: DataFrame, other: DataFrame | None, n: int = D.BENCH_MAX_FEATURES, log_sizes: bool = False):
-    """Fit TF-IDF on `train`; return (train_vec, other_vec) with columns
-    (doc_id, label, weight, features)."""
-    w_train, idf = TF.fit_transform(train.select("doc_id", "text"), "bench", n)
-    size = idf.groupBy().agg(F.count(F.lit(1))).scalar().cast("int")
-
-    def vec(docs: DataFrame, weights: DataFrame) -> DataFrame:
-        dense = TF.dense_features(weights, idf)
-        nt = B.num_tokens(F.col("text")).cast("double")
-        nl = B.num_lines(F.col("text")).cast("double")
-        if log_sizes:
-            nt, nl = F.log1p(nt), F.log1p(nl)
-        base = docs.select("doc_id", "label", "weight", nt.alias("nt"), nl.alias("nl")).withColumn("size", size)
-        j = base.join(dense, "doc_id", "left")
-        feats = F.concat(F.coalesce("features", F.array_repeat(F.lit(0.0), F.col("size"))), F.array("nt", "nl"))
-        return j.select("doc_id", "label", "weight", array_to_vector(feats).alias("features"))
-
-    tv = vec(train, w_train)
-    ov = vec(other, TF.transform(other.select("doc_id", "text"), idf, "bench")) if other is not None else None
-    return tv, ov
-
-
-def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents with label = language id (4 unbalanced classes) and the
-    balanced class weight."""
-    doc = V.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    doc = doc.withColumn("label", TF.lang_label(F.col("lang")).cast("double"))
-    return EV.class_weights(doc, "lang")
-
+INNER_FOLDS = 3  # of the training rows, for the calibration
+CLASSES = len(TF.LANGS)
 
-def rff_weights(n_features: int, n_components: int, gamma: float, seed: int = D.SEED):
-    """Seeded W ~ N(0, 2γ) (n_features × n_components) and b ~ U(0, 2π):
-    a fixed-size table, shipped to the tasks inside the UDF closure."""
-    rng = np.random.default_rng(seed)
-    w = rng.normal(0.0, math.sqrt(2.0 * gamma), size=(n_features, n_components))
-    b = rng.uniform(0.0, 2.0 * math.pi, size=n_components)
-    return w, b
 
+def labelled_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, lang, label): one of 4 unbalanced classes; other languages have none and are left out."""
+    ids = V.table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return ids.withColumn("label", TF.lang_label(F.col("lang")).cast("double")).where("label is not null")
 
-def random_fourier(vecs: DataFrame, n_features: int, n_components: int, gamma: float, seed: int = D.SEED) -> DataFrame:
-    """z(x) = √(2/D)·cos(xW + b) (Rahimi & Recht): one matrix product per
-    Arrow batch in a pandas UDF — rows stay rows, no per-feature explode."""
-    from pyspark.sql.functions import pandas_udf
 
-    w, b = rff_weights(n_features, n_components, gamma, seed)
-    scale = math.sqrt(2.0 / n_components)
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.table(spark, sf_dir, "documents").select("doc_id", "text")
 
-    @pandas_udf("array<double>")
-    def project(x: pd.Series) -> pd.Series:
-        m = np.vstack(x.to_numpy()) if len(x) else np.zeros((0, n_features))
-        z = scale * np.cos(m @ w + b)
-        return pd.Series(list(z))
-
-    return vecs.select("doc_id", "label", "weight",
-                       array_to_vector(project(vector_to_array("features"))).alias("features"))
 
+# --------------------------------- models ----------------------------------
 
 def estimator(name: str, n_train: int | None = None):
-    """The four baselines with the reference's settings mapped to MLlib."""
+    """MLlib's baselines with the reference's settings."""
     if name == "Logistic Regression":
         reg = 1.0 / max(n_train or 1, 1)  # C = 1 on the summed loss
         return LogisticRegression(family="multinomial", maxIter=1000, regParam=reg, elasticNetParam=0.0,
                                   standardization=False, weightCol="weight")
     if name == "Random Forest":
         return RandomForestClassifier(numTrees=100, maxDepth=FOREST_DEPTH, seed=D.SEED, weightCol="weight")
-    if name == "SVM (RBF)":
-        return OneVsRest(classifier=LinearSVC(maxIter=100, regParam=0.01, weightCol="weight"), weightCol="weight",
-                         parallelism=4)
-    if name == "Gradient Boosting":
-        # 100 rounds of depth-3 trees, learning rate 0.1 (the reference's settings)
-        return OneVsRest(classifier=GBTClassifier(maxIter=100, maxDepth=3, stepSize=0.1, seed=D.SEED), parallelism=4)
     raise ValueError(name)
 
 
-def fit_predict(name: str, train: DataFrame, valid: DataFrame, spark: SparkSession) -> DataFrame:
-    """Fit features + model on `train`, predict `valid`:
+def _finished(out: DataFrame, scores: Column) -> DataFrame:
+    """(doc_id, label, prediction, scores); the prediction is the class of the greatest score."""
+    kept = out.select("doc_id", F.col("label").cast("int").alias("label"), scores.alias("scores"))
+    return kept.select("doc_id", "label", EV.argmax_label(F.col("scores"))[0].alias("prediction"), "scores")
+
+
+def _svm(spark: SparkSession, train: DataFrame, valid: DataFrame) -> DataFrame:
+    """One-vs-rest margins on mapped rows, calibrated on inner folds."""
+    inner = EV.stratified_folds(train.select("doc_id", "label"), "label", "doc_id", INNER_FOLDS, D.SEED + 1).select("doc_id", F.col("fold").alias("inner"))
+    rows = written(spark, train.join(inner, "doc_id"), "svm-rows")
+    fitted = K.linear_svms(spark, rows, CLASSES, INNER_FOLDS)
+    ab = K.sigmoids(K.margins_of(rows, fitted, CLASSES, own_inner=True).select("label", "margins"), CLASSES)
+    return _finished(K.margins_of(valid, fitted, CLASSES, own_inner=False), K.calibrated(F.col("margins"), ab)).checkpoint()
+
+
+def fit_predict(name: str, prepared: Prepared, fold, rounds: int = ROUNDS) -> DataFrame:
+    """Fit features + model on all rows outside ``fold``, predict those of it:
     (doc_id, label, prediction, scores array<double>)."""
-    log_sizes = name == "SVM (RBF)"
-    # both sides are read by several passes (tokens, counts, size features):
-    # keep the split rows instead of recomputing the split's shuffles
-    cols = ["doc_id", "text", "label", "weight"]
-    train, valid = train.select(*cols).persist(), valid.select(*cols).persist()
-    tv, vv = featurize(train, valid, log_sizes=log_sizes)
+    if name == "Gradient Boosting":
+        out = Booster(prepared.spark, prepared, [fold], CLASSES, rounds).predict()
+        return _finished(out, F.col("scores")).checkpoint()
+    rows = prepared.features(fold, log_sizes=name == "SVM (RBF)")
+    train, valid = rows.where(F.col("fold") != F.lit(fold)), rows.where(F.col("fold") == F.lit(fold))
     if name == "SVM (RBF)":
-        nf = tv.select(F.size(vector_to_array("features"))).first()[0]  # the fitted vocabulary and two sizes
-        tv = random_fourier(tv, nf, RFF_COMPONENTS, RFF_GAMMA)
-        vv = random_fourier(vv, nf, RFF_COMPONENTS, RFF_GAMMA)
-    tv = tv.persist()
-    n_train = tv.count()
-    model = estimator(name, n_train).fit(tv)
-    out = model.transform(vv)
-    if "probability" in out.columns and name != "Gradient Boosting":
-        scores = vector_to_array("probability")
-    else:
-        scores = EV.softmax(vector_to_array("rawPrediction"))  # margins → probabilities
-    done = out.select("doc_id", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"),
-                      scores.alias("scores")).checkpoint()
-    for kept in (train, valid, tv):
-        kept.unpersist()
+        kernel_map = K.landmark_map(train, prepared.splits[fold].rows)
+        return _svm(prepared.spark, K.mapped(train, kernel_map), K.mapped(valid, kernel_map))
+    train = train.persist()
+    model = estimator(name, prepared.splits[fold].rows).fit(train)
+    done = _finished(model.transform(valid), vector_to_array("probability")).checkpoint()
+    train.unpersist()
     return done
 
 
-def cross_validate(name: str, docs: DataFrame, spark: SparkSession, k: int = EV.K_FOLDS) -> DataFrame:
-    """Per fold, fit on the other folds only and predict the fold;
-    returns the out-of-fold predictions with model and fold columns."""
-    from concurrent.futures import ThreadPoolExecutor
-
-    folded = EV.stratified_folds(docs, "lang", "doc_id", k).checkpoint()
+def folded(ids: DataFrame, k: int = EV.K_FOLDS) -> DataFrame:
+    """(doc_id, label, fold): stratified folds of the ids alone."""
+    return EV.stratified_folds(ids, "lang", "doc_id", k).select("doc_id", "label", "fold")
 
-    def one(f: int) -> DataFrame:
-        p = fit_predict(name, folded.where(F.col("fold") != f), folded.where(F.col("fold") == f), spark)
-        return p.withColumn("fold", F.lit(f)).withColumn("model", F.lit(name)).checkpoint()
 
-    # the k fits are independent Spark jobs: submit them concurrently
-    with ThreadPoolExecutor(max_workers=k) as pool:
-        parts = list(pool.map(one, range(1, k + 1)))
+def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def cross_validate(name: str, prepared: Prepared, rounds: int = ROUNDS) -> DataFrame:
+    """Per fold, fit on the other folds only and predict the fold; the
+    out-of-fold predictions with model and fold columns."""
+    folds = sorted(prepared.sums)
+    if name == "Gradient Boosting":
+        pred = Booster(prepared.spark, prepared, folds, CLASSES, rounds).predict()
+        kept = _finished(pred, F.col("scores")).join(prepared.frame.select("doc_id", "fold"), "doc_id")
+        return kept.withColumn("model", F.lit(name)).checkpoint()
+
+    def one(f) -> DataFrame:
+        return fit_predict(name, prepared, f).withColumns({"fold": F.lit(f), "model": F.lit(name)}).checkpoint()
+
+    # the fits are independent Spark jobs: submit them concurrently
+    with ThreadPoolExecutor(max_workers=len(folds)) as pool:
+        return _union(list(pool.map(one, folds)))
+
+
 MODELS = ("Logistic Regression", "Random Forest", "SVM (RBF)", "Gradient Boosting")
 
 
-def benchmark(docs: DataFrame, spark: SparkSession, models: tuple[str, ...] = MODELS, k: int = EV.K_FOLDS) -> DataFrame:
-    """G5 over several models on the same folds: their out-of-fold rows."""
-    parts = [cross_validate(m, docs, spark, k) for m in models]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def benchmark(prepared: Prepared, models: tuple[str, ...] = MODELS, rounds: int = ROUNDS) -> DataFrame:
+    """G5 over several models on the same folds and vectors: the out-of-fold
+    table (F6), every id with each model's prediction, null where none was made."""
+    pred = _union([cross_validate(m, prepared, rounds) for m in models])
+    return EV.oof_assemble(pred, prepared.frame.select("doc_id"), "doc_id")
 
 
-def cv_report(oof: DataFrame, ids: DataFrame) -> DataFrame:
-    """Per model: mean and deviation of the fold metrics (F5), macro AUC over
-    all out-of-fold scores (F7), and whether every id has one row (F6)."""
-    auc = EV.roc_auc_ovr(oof).where(F.col("class") == "macro").select("model", F.col("auc").alias("roc_auc_ovr"))
-    complete = EV.oof_check(oof, ids, "doc_id").select("model", "n_ids", "complete")
-    return EV.cv_summary(EV.fold_metrics(oof)).join(auc, "model").join(complete, "model")
+def cv_report(oof: DataFrame) -> DataFrame:
+    """Per model of an out-of-fold table: mean and deviation of the fold
+    metrics (F5), macro AUC over all scores (F7), the number of ids and
+    whether each has a prediction (F6)."""
+    done = oof.where("prediction is not null")
+    auc = EV.roc_auc_ovr(done).where(F.col("class") == "macro").select("model", F.col("auc").alias("roc_auc_ovr"))
+    complete = oof.groupBy("model").agg(F.countDistinct("doc_id").alias("n_ids"), (F.count("prediction") == F.countDistinct("doc_id")).alias("complete"))
+    return EV.cv_summary(EV.fold_metrics(done)).join(auc, "model").join(complete, "model")
 
 
 # -------------------------------- queries ----------------------------------
 
-def _holdout(spark, sf):
-    docs = labelled_documents(spark, sf)
-    split = EV.stratified_holdout(docs, "lang", "doc_id")
-    return split.where(F.col("split") == "train"), split.where(F.col("split") == "test")
+@register("assemble_vector", lambda: TF._with(TF._sql_fit("bench", D.BENCH_MAX_FEATURES)) +
+          f"SELECT doc_id, CAST(position AS INTEGER) AS position, {B.sql_round_half_even('value', 6)} AS value FROM ("
+          "SELECT wn.doc_id, idf.rank AS position, wn.weight AS value FROM wn JOIN idf USING (term) UNION ALL "
+          f"SELECT doc_id, (SELECT count(*) FROM vocab) + 1, CAST({B.sql_num_tokens('text')} AS DOUBLE) FROM documents UNION ALL "
+          f"SELECT doc_id, (SELECT count(*) FROM vocab) + 2, CAST({B.sql_num_lines('text')} AS DOUBLE) FROM documents) a WHERE value <> 0")
+def q_assemble_vector(spark, sf):
+    """E6 as vectors: the entries that are not zero of every row's features."""
+    folds = V.table(spark, sf, "documents").select("doc_id", F.lit(0.0).alias("label"), F.lit(0).alias("fold"))
+    rows = Prepared(spark, texts(spark, sf), folds).features()
+    entries = rows.select("doc_id", F.posexplode(vector_to_array("features")).alias("position", "value")).where("value <> 0")
+    return entries.select("doc_id", (F.col("position") + 1).alias("position"), B.round_half_even(F.col("value"), 6).alias("value"))
+
+
+def _holdout(spark, sf) -> Prepared:
+    split = EV.stratified_holdout(labelled_ids(spark, sf), "lang", "doc_id")
+    folds = split.select("doc_id", "label", (F.col("split") == "test").cast("int").alias("fold"))
+    return Prepared(spark, texts(spark, sf), folds)
 
 
 def _pred_query(name: str):
     def q(spark, sf):
-        tr, te = _holdout(spark, sf)
-        p = fit_predict(name, tr, te, spark)
-        return p.select("doc_id", "label", "prediction", *[F.col("scores")[i].alias(f"p{i}") for i in range(4)])
+        p = fit_predict(name, _holdout(spark, sf), 1)
+        return p.select("doc_id", "label", "prediction", *[F.col("scores")[i].alias(f"p{i}") for i in range(CLASSES)])
     return q
 
 
@@ -196,15 +174,19 @@ register("train_svm_rbf")(_pred_query("SVM (RBF)"))
 register("train_gbt")(_pred_query("Gradient Boosting"))
 
 
+def _benchmark(spark, sf) -> DataFrame:
+    return benchmark(Prepared(spark, texts(spark, sf), folded(labelled_ids(spark, sf))))
+
+
 @register("cross_validate")
 def q_cross_validate(spark, sf):
-    docs = labelled_documents(spark, sf)
-    oof = cross_validate("Logistic Regression", docs, spark)
-    return EV.fold_metrics(oof)
+    return EV.fold_metrics(_benchmark(spark, sf).where("prediction is not null"))
 
 
 @register("cv_report")
 def q_cv_report(spark, sf):
-    docs = labelled_documents(spark, sf)
-    oof = benchmark(docs, spark, MODELS[:1])
-    return cv_report(oof, docs.select("doc_id"))
+    report = cv_report(_benchmark(spark, sf).checkpoint())
+    # F13 on the trained models: best per metric, ranked by macro F1
+    ranked = EV.compare_models(report)
+    return ranked.select("model", *[f"{m}_{x}" for m in EV.METRICS for x in ("mean", "std")], "roc_auc_ovr", "n_ids", "complete",
+                         *[f"best_{m}" for m in EV.METRICS], "f1_rank", "recommended")
