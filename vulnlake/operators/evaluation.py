@@ -17,13 +17,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vulnlake.functions import derive as B
+from vulnlake.operators.prefix import running_sums
 from vulnlake.plans import domains as D
 from vulnlake.plans.registry import register
 from vulnlake.sources import views as V
 
 K_FOLDS = 5
 HOLDOUT = (1, 5)  # test share 1/5
-AUC_BUCKETS = 1 << 16  # score buckets per class: bounds the rows of one AUC window task
 RANK_HEX_DIGITS = 4     # md5 prefix digits → 65,536 ordered buckets per class
 CLASS_NAMES = D.LABELS
 
@@ -160,24 +160,21 @@ def class_scores(pred: DataFrame, n_classes: int = 4) -> DataFrame:
         "model", F.col("cls").cast("int").alias("cls"), "score", (F.col("label") == F.col("cls")).alias("positive"))
 
 
+def score_counts(cs: DataFrame) -> DataFrame:
+    """Positives and negatives of each distinct (model, cls, score)."""
+    return cs.groupBy("model", "cls", "score").agg(
+        F.sum(F.col("positive").cast("long")).alias("pos"), F.sum((~F.col("positive")).cast("long")).alias("neg"))
+
+
 def roc_auc_ovr(pred: DataFrame) -> DataFrame:
     """one-vs-rest AUC per class (ties count one half) and the macro mean.
 
     AUC = Σ_s pos(s)·(neg_below(s) + neg(s)/2) / (P·N).  Counts are first
-    aggregated per distinct score; neg_below is the negatives of lower
-    score buckets (window over ≤ 65,537 bucket rows per class) plus those
-    below inside the bucket (window per (class, bucket))."""
-    cs = class_scores(pred)
-    per_s = cs.groupBy("model", "cls", "score").agg(
-        F.sum(F.col("positive").cast("long")).alias("pos"), F.sum((~F.col("positive")).cast("long")).alias("neg"))
-    per_s = per_s.withColumn("b", F.floor(F.col("score") * AUC_BUCKETS).cast("int"))
-    wb = Window.partitionBy("model", "cls", "b").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    per_s = per_s.withColumn("neg_in_b", F.coalesce(F.sum("neg").over(wb), F.lit(0)))
-    per_b = per_s.groupBy("model", "cls", "b").agg(F.sum("neg").alias("nb"))
-    wo = Window.partitionBy("model", "cls").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    per_b = per_b.withColumn("neg_before_b", F.coalesce(F.sum("nb").over(wo), F.lit(0))).drop("nb")
-    j = per_s.join(per_b, ["model", "cls", "b"])
-    contrib = F.col("pos") * (F.col("neg_before_b") + F.col("neg_in_b") + F.col("neg") * F.lit(0.5))
+    aggregated per distinct score; the negatives below are running sums over
+    ranges of scores."""
+    per_s = score_counts(class_scores(pred)).select("model", "cls", "score", "pos", "neg", F.col("neg").alias("upto"))
+    j = running_sums(pred.sparkSession, per_s, ["model", "cls"], [F.col("score")], ["upto"])
+    contrib = F.col("pos") * (F.col("upto") - F.col("neg") * F.lit(0.5))
     agg = j.groupBy("model", "cls").agg(F.sum(contrib).alias("u"), F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     auc = agg.select("model", "cls", F.when((F.col("P") > 0) & (F.col("N") > 0),
                                              F.col("u") / (F.col("P") * F.col("N"))).alias("auc"))
@@ -290,24 +287,22 @@ def threshold_sweep(pred: DataFrame, steps: int = 100) -> DataFrame:
                     F.when(F.col("P") > 0, F.col("tp") / F.col("P")).alias("recall"))
 
 
-def threshold_pick(pred: DataFrame, target: float = D.PRECISION_TARGET) -> DataFrame:
-    """the lowest score at which predicting from it on reaches the target
-    precision.  Rows are reduced to distinct scores; running counts are summed
-    inside score buckets and carried from the buckets above."""
-    cs = class_scores(pred)
-    by = cs.groupBy("model", "cls", "score").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("positive").cast("long")).alias("pos"))
-    by = by.withColumn("_b", F.floor(F.col("score") * AUC_BUCKETS))
-    tops = by.groupBy("model", "cls", "_b").agg(F.sum("n").alias("bn"), F.sum("pos").alias("bpos"))
-    above = Window.partitionBy("model", "cls").orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    tops = tops.select("model", "cls", "_b", F.coalesce(F.sum("bn").over(above), F.lit(0)).alias("n0"),
-                       F.coalesce(F.sum("bpos").over(above), F.lit(0)).alias("p0"))
-    inside = Window.partitionBy("model", "cls", "_b").orderBy(F.col("score").desc())
-    j = by.join(tops, ["model", "cls", "_b"])
-    precision = (F.col("p0") + F.sum("pos").over(inside)) / (F.col("n0") + F.sum("n").over(inside))
+def threshold_curve(pred: DataFrame) -> DataFrame:
+    """one-vs-rest precision and recall at each distinct score (predict
+    positive from it on), by running sums over ranges of falling scores."""
+    counts = score_counts(class_scores(pred))
+    up = running_sums(pred.sparkSession, counts, ["model", "cls"], [F.col("score").desc()], ["pos", "neg"])
+    whole = counts.groupBy("model", "cls").agg(F.sum("pos").alias("P"))  # one row per model and class
     names = F.array(*[F.lit(c) for c in CLASS_NAMES])
-    return (j.withColumn("precision", precision).groupBy("model", "cls")
-            .agg(F.min(F.when(F.col("precision") >= target, F.col("score"))).alias("threshold"))
-            .select("model", F.element_at(names, F.col("cls") + 1).alias("class"), "threshold"))
+    return up.join(whole, ["model", "cls"]).select(
+        "model", F.element_at(names, F.col("cls") + 1).alias("class"), F.col("score").alias("threshold"),
+        (F.col("pos") / (F.col("pos") + F.col("neg"))).alias("precision"), F.when(F.col("P") > 0, F.col("pos") / F.col("P")).alias("recall"))
+
+
+def threshold_pick(pred: DataFrame, target: float = D.PRECISION_TARGET) -> DataFrame:
+    """the lowest score at which predicting from it on reaches the target precision."""
+    return threshold_curve(pred).groupBy("model", "class").agg(
+        F.min(F.when(F.col("precision") >= target, F.col("threshold"))).alias("threshold"))
 
 
 def learning_curves(log: DataFrame) -> DataFrame:
@@ -608,6 +603,16 @@ def q_threshold_sweep(spark, sf):
     return s.select("model", "class", "threshold", _r6(F.col("precision")).alias("precision"), _r6(F.col("recall")).alias("recall"))
 
 
+@register("threshold_curve", lambda: _sv(_sql_auc()[:1]) +
+          f"SELECT DISTINCT model, {_sql_names('cls')} AS class, score AS threshold, {B.sql_round_half_even('tp / n', 6)} AS precision, "
+          f"{B.sql_round_half_even('CASE WHEN p > 0 THEN tp / p END', 6)} AS recall FROM (SELECT model, cls, score, "
+          "sum(CAST(positive AS INTEGER)) OVER w AS tp, count(*) OVER w AS n, sum(CAST(positive AS INTEGER)) OVER (PARTITION BY model, cls) AS p FROM cs "
+          "WINDOW w AS (PARTITION BY model, cls ORDER BY score DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) x")
+def q_threshold_curve(spark, sf):
+    c = threshold_curve(_sc(spark, sf))
+    return c.select("model", "class", "threshold", _r6(F.col("precision")).alias("precision"), _r6(F.col("recall")).alias("recall"))
+
+
 @register("threshold_pick", lambda: _sv(_sql_auc()[:1]) +
           f"SELECT model, {_sql_names('cls')} AS class, min(CASE WHEN precision >= {D.PRECISION_TARGET} THEN score END) AS threshold FROM "
           "(SELECT model, cls, score, avg(CAST(positive AS INTEGER)) OVER (PARTITION BY model, cls ORDER BY score DESC RANGE BETWEEN UNBOUNDED PRECEDING "

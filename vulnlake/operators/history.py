@@ -1,9 +1,8 @@
 """History, usage and cache analytics over the analyses table (H1-H7).
 
-Per-user orderings are computed in two phases so that no single user
-(which may hold a third of all rows) lands in one task: local results per
-(user, hour) partition, plus offsets from a per-(user, hour) summary whose
-size is bounded by users × hours, not by rows.
+Running counters go over ranges of (user, time) with carried sums
+(``prefix``), so that no single user, who may hold a third of all rows, lands
+in one task.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from pyspark.sql.window import Window
 
 from vulnlake.functions import derive as B
 from vulnlake.plans import domains as D
-from vulnlake.operators.evaluation import join_null_safe
+from vulnlake.operators.prefix import running_sums
 from vulnlake.plans.registry import register
 from vulnlake.session import ensure_checkpoint_dir
 from vulnlake.sources import views as V
@@ -60,25 +59,11 @@ def verdict_trend(df: DataFrame, verdicts=VERDICTS) -> DataFrame:
 
 def running_totals(df: DataFrame, verdicts=VERDICTS) -> DataFrame:
     """H4: per user, total and per-verdict counters after each analysis
-    (order ts, analysis_id).  Two phases: running sums inside (user, hour),
-    plus the sums of the user's earlier hours."""
-    x = df.select("analysis_id", "user_id", "ts", "verdict", F.date_trunc("hour", "ts").alias("day"))
+    (order ts, analysis_id), by sums carried along ranges of (user, ts)."""
     metrics = {"total": F.lit(1)} | {v: (F.col("verdict") == v).cast("long") for v in verdicts}
-    x = x.withColumns({f"m_{k}": c.cast("long") for k, c in metrics.items()})
-    # One exchange on (user, hour) feeds both the local windows and the
-    # per-hour sums (Spark reuses it), so the input is computed once.
-    x = x.repartition("user_id", "day")
-    w_local = (Window.partitionBy("user_id", "day").orderBy("ts", "analysis_id")
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = x.select("analysis_id", "user_id", "day",
-                     *[F.sum(f"m_{k}").over(w_local).alias(f"l_{k}") for k in metrics])
-    per_day = x.groupBy("user_id", "day").agg(*[F.sum(f"m_{k}").alias(f"d_{k}") for k in metrics])
-    # one row per (user, hour): the prefix over hours is small
-    w_days = Window.partitionBy("user_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_day.select("user_id", "day",
-                             *[F.coalesce(F.sum(f"d_{k}").over(w_days), F.lit(0)).alias(f"o_{k}") for k in metrics])
-    j = join_null_safe(local, offsets, ["user_id", "day"])
-    return j.select("analysis_id", "user_id", *[(F.col(f"l_{k}") + F.col(f"o_{k}")).alias(k) for k in metrics])
+    x = df.select("analysis_id", "user_id", "ts", *[F.coalesce(c.cast("long"), F.lit(0)).alias(k) for k, c in metrics.items()])
+    out = running_sums(df.sparkSession, x, ["user_id"], [F.col("ts"), F.col("analysis_id")], list(metrics))
+    return out.select("analysis_id", "user_id", *metrics)
 
 
 def stats_bar(df: DataFrame, verdicts=VERDICTS) -> DataFrame:

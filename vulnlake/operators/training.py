@@ -23,9 +23,10 @@ from vulnlake.operators import evaluation as EV
 from vulnlake.operators import kernelsvm as K
 from vulnlake.operators import textfeat as TF
 from vulnlake.operators.boosting import ROUNDS, Booster
-from vulnlake.operators.sparsefeat import Prepared, written
+from vulnlake.operators.sparsefeat import Prepared
 from vulnlake.plans import domains as D
 from vulnlake.plans.registry import register
+from vulnlake.session import written
 from vulnlake.sources import views as V
 
 # Trees grow until their leaves are pure in the studied benchmark; 30 is the
