@@ -31,6 +31,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -41,8 +42,10 @@ from pyspark.sql import functions as F
 from vulnlake.llm.common import in_batches, row_key, staged
 
 #: Units remembered by a Python worker, and id pairs that one may count before it hands them on.
-UNITS = 100_000
+UNITS = 200_000
 PAIRS = 400_000
+#: Signs of a run of units that are encoded together.
+RUN = 1 << 15
 #: Keys of a bucket, about; tasks (or vectors) that are summed at once.
 BUCKET = 1 << 15
 FAN_IN = 16
@@ -81,55 +84,79 @@ class Pair:
             self.a_bytes[i] = bytes(signs[c] for c in name)
         self.b_bytes = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode()
                         for p in (self.b.id_to_piece(i) for i in range(self.b.vocab_size()))]
+        self.a_names, self.b_names = list(map(str, range(size))), list(map(str, range(len(self.b_bytes))))
         self.a_size = np.array([len(t) for t in self.a_bytes])
         self.b_size = np.array([len(t) for t in self.b_bytes])
 
-    def align(self, units: list[str]) -> tuple[list, list, np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of A and of B for each unit (None: the bytes differ), the keys
-        of all links, the unit of each link, and the groups of each unit."""
-        spaced = [" " + u for u in units]
-        a = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
-        b = self.b.encode(units, num_threads=1)
-        for i, text in enumerate(spaced):
-            whole = text.encode()
+    def _encoded(self, runs: list[str]) -> tuple[list, list]:
+        """Ids of A and of B for each run of units; None where the bytes differ."""
+        a = [e.ids for e in self.a.encode_batch_fast([" " + r for r in runs], add_special_tokens=False)]
+        b = self.b.encode(runs, num_threads=1)
+        for i, run in enumerate(runs):
+            whole = f" {run}".encode()
             if b"".join(map(self.b_bytes.__getitem__, b[i])) != whole or b"".join(map(self.a_bytes.__getitem__, a[i])) != whole:
                 a[i] = b[i] = None
-        ids_a = np.fromiter((t for x in a if x for t in x), np.int64)
-        ids_b = np.fromiter((t for x in b if x for t in x), np.int64)
+        return a, b
+
+    def align(self, units: list[str], groups: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        """Per unit whether its bytes differ and its numbers of tokens and
+        groups, the keys of all links with their units, and the groups as text.
+
+        Units are encoded in runs, for both tokenizers begin anew at the spaces
+        between them; the units of a run that fails are encoded one by one."""
+        runs, size = [], RUN
+        for i, u in enumerate(units):
+            odd = u != u.strip()  # beside a white space no new beginning is certain
+            if odd or size >= RUN:
+                runs.append([])
+                size = RUN if odd else 0
+            runs[-1].append(i)
+            size += len(u)
+        a, b = self._encoded([" ".join([units[i] for i in r]) for r in runs])
+        failed = [j for j, x in enumerate(a) if x is None and len(runs[j]) > 1]
+        if failed:
+            alone = [i for j in failed for i in runs[j]]
+            more_a, more_b = self._encoded([units[i] for i in alone])
+            left = [j for j in range(len(runs)) if j not in set(failed)]
+            runs = [runs[j] for j in left] + [[i] for i in alone]
+            a, b = [a[j] for j in left] + more_a, [b[j] for j in left] + more_b
+        bad = np.zeros(len(units), bool)
+        bad[[i for r, x in zip(runs, a) if x is None for i in r]] = True
+        order = np.array([i for r, x in zip(runs, a) if x is not None for i in r], int)
+        good_a, good_b = ([x for x in y if x is not None] for y in (a, b))
+        ids_a = np.fromiter(chain.from_iterable(good_a), np.int64)
+        ids_b = np.fromiter(chain.from_iterable(good_b), np.int64)
         ends_a, ends_b = self.a_size[ids_a].cumsum(), self.b_size[ids_b].cumsum()
+        unit_ends = np.cumsum([len(units[i].encode()) + 1 for i in order], dtype=np.int64)
         cuts = np.union1d(ends_a, ends_b)  # a stretch between cuts lies in one token of each
-        keys = ids_a[np.searchsorted(ends_a, cuts)] << SHIFT | ids_b[np.searchsorted(ends_b, cuts)] if len(cuts) else np.zeros(0, np.int64)
-        good = np.array([i for i, x in enumerate(a) if x is not None], int)
-        unit_ends = np.cumsum([len(spaced[i].encode()) for i in good])
         common = np.intersect1d(ends_a, ends_b, assume_unique=True)
-        groups = np.zeros(len(units), np.int64)
-        if len(good):
-            np.add.at(groups, good[np.searchsorted(unit_ends, common)], 1)
-        return a, b, keys, good[np.searchsorted(unit_ends, cuts)] if len(good) else np.zeros(0, int), groups
-
-    def grouped(self, a: list[int], b: list[int]) -> str:
-        """``a1,a2|b1;a3|b2,b3``: ids of each group."""
-        out, left, right, at_a, at_b, j = [], [], [], 0, 0, 0
-        for i in a:
-            left.append(str(i))
-            at_a += len(self.a_bytes[i])
-            while at_b < at_a:
-                right.append(str(b[j]))
-                at_b += len(self.b_bytes[b[j]])
-                j += 1
-            if at_a == at_b:
-                out.append(f"{','.join(left)}|{','.join(right)}")
-                left, right = [], []
-        return ";".join(out)
-
-
-_SPACED = re.compile(r"\A\s|\s\Z|\s |\s\s| \s")
+        sums, texts = np.zeros((len(units), 3), np.int64), [""] * len(units)
+        if not len(order):
+            return bad, sums, np.zeros(0, np.int64), np.zeros(0, np.int64), texts
+        keys = ids_a[np.searchsorted(ends_a, cuts)] << SHIFT | ids_b[np.searchsorted(ends_b, cuts)]
+        for j, ends in enumerate((ends_a, ends_b, common)):
+            sums[order, j] = np.bincount(np.searchsorted(unit_ends, ends), minlength=len(order))
+        if groups:
+            names_a = list(map(self.a_names.__getitem__, chain.from_iterable(good_a)))
+            names_b = list(map(self.b_names.__getitem__, chain.from_iterable(good_b)))
+            to_a, to_b = (np.searchsorted(e, common, "right").tolist() for e in (ends_a, ends_b))
+            parts = [f"{names_a[i] if j - i == 1 else ','.join(names_a[i:j])}|{names_b[k] if m - k == 1 else ','.join(names_b[k:m])}"
+                     for i, j, k, m in zip([0, *to_a], to_a, [0, *to_b], to_b)]
+            last = np.searchsorted(common, unit_ends, "right").tolist()
+            for i, low, high in zip(order.tolist(), [0, *last], last):
+                texts[i] = ";".join(parts[low:high])
+        return bad, sums, keys, order[np.searchsorted(unit_ends, cuts)], texts
+
+
+_SPACED = re.compile(r" \s|\s ")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
 def units_of(text: str) -> list[str]:
     """A text cut at the spaces that stand between two other signs."""
-    return _CUT.split(text) if _SPACED.search(text) else text.split(" ")
+    if text[0] == " " or text[-1] == " " or _SPACED.search(text):
+        return _CUT.split(text)
+    return text.split(" ")
 
 
 _PAIRS: dict[bytes, Pair] = {}
@@ -256,18 +283,17 @@ class Remembered:
             return
         base = len(self.slot)
         self.slot.update(zip(new, range(base, base + len(new))))
-        a, b, keys, unit, groups = self.pair.align(new)
+        bad, tokens, keys, unit, texts = self.pair.align(new, self.groups)
         sums = np.zeros((len(new), len(SUMS)), np.int64)
-        sums[:, 0], sums[:, 1], sums[:, 2] = [len(x or ()) for x in a], [len(x or ()) for x in b], groups
-        np.add.at(sums[:, 3], unit, 1)
+        sums[:, :3] = tokens
+        sums[:, 3] = np.bincount(unit, minlength=len(new))
         if self.counts is not None:
             n = self.counts.look_up(keys)
             np.add.at(sums[:, 4], unit, n == self.best[keys & ((1 << SHIFT) - 1)])
             np.add.at(sums[:, 5], unit, n)
         if self.groups:
-            self.text += [self.pair.grouped(x, y) if x is not None else "" for x, y in zip(a, b)]
-        self.sums = np.concatenate([self.sums, sums])
-        self.bad = np.concatenate([self.bad, [x is None for x in a]])
+            self.text += texts
+        self.sums, self.bad = np.concatenate([self.sums, sums]), np.concatenate([self.bad, bad])
         self.keys, self.unit = np.concatenate([self.keys, keys]), np.concatenate([self.unit, unit + base])
 
     def slots(self, units: list[str]) -> np.ndarray | None:
