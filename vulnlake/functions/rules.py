@@ -133,7 +133,7 @@ def rules_for(strict: bool = False) -> list[tuple]:
 
 # What the rules' own engine takes as white space, and its ASCII word boundary.
 SPACES = r"\t\n\x0B\x0C\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
-JAVA_BOUNDARY = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+NEUTRAL = "\u00A4"  # neither a letter nor a space, for Java's classes as well
 
 
 def _spaces(pattern: str) -> str:
@@ -157,7 +157,7 @@ def java_pattern(pattern: str) -> str:
     with a word in it commits to the word's first place."""
     text = pattern.replace(r"%\s*\(?\s*[a-z_]", r"%\s*+(?:\(\s*+)?[a-z_]")
     text = text.replace("""[^"']*ECB[^"']*""", """(?>[^"']*?ECB)[^"']*+""")
-    return _spaces(text).replace(r"\b", JAVA_BOUNDARY)
+    return text
 
 
 def staged_pattern(pattern: str, case_insensitive: bool) -> str:
@@ -177,13 +177,23 @@ def staged_pattern(pattern: str, case_insensitive: bool) -> str:
     return flag + r"\A" + "".join(stages)
 
 
+def neutral(code: Column) -> Column:
+    """The text with every space that is one for the rules' engine as a plain
+    space, and any other sign beyond ASCII as one that is neither space nor
+    letter: Java's own ``\\s`` and ``\\b``, which are faster than classes and
+    look-arounds, then find what that engine finds.  ASCII texts are as they are."""
+    plain = F.regexp_replace(F.regexp_replace(code, f"[{SPACES}&&[^\\x00-\\x7F]]", " "), r"[^\x00-\x7F]", NEUTRAL)
+    return F.when(F.octet_length(code) == F.length(code), code).otherwise(plain)
+
+
 def rule_column(code: Column, rule: tuple) -> Column:
     _, _, pattern, ci = rule
+    code = neutral(code)
     if pattern.endswith(AT_RUN):
         # A run without an @, and the rest of a run after its last @, cannot
         # hold what the rule looks for; without them every search for the @
         # that ends a match succeeds at the first one.
-        code = F.regexp_replace(code, f"(?<![^@{SPACES}])[^@{SPACES}]++(?![^{SPACES}])", "")
+        code = F.regexp_replace(code, r"(?<![^@\s])[^@\s]++(?!\S)", "")
     return code.rlike(staged_pattern(pattern, ci))
 
 
