@@ -63,7 +63,10 @@ def uniform(seed: int, *cols: Column) -> Column:
 
 #: Documents handed to a Python worker at once; texts can be long.
 BATCH_ROWS = 500
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
+#: Entries of a worker's table of words seen: workers live through all steps,
+#: and what they once took is not given back.
+REMEMBERED = 60_000
 
 
 def in_batches(spark: SparkSession) -> None:

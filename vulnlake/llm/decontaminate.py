@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vulnlake.llm.common import free_names, in_batches, staged
+from vulnlake.llm.common import REMEMBERED, free_names, in_batches, staged
 from vulnlake.llm.minhash import text_key
 
 #: Tokens in a window, and how many of them must be no placeholders; windows
@@ -92,7 +92,7 @@ class Canonical(dict):
 
     def tokens(self, text: str | None) -> Tokens:
         """Words without a letter or digit are left out."""
-        if len(self) > 500_000:
+        if len(self) > REMEMBERED:
             self.clear()
         lines = [line.split() for line in (text or "").split("\n")]
         words = [w for line in lines for w in line]

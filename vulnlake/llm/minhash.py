@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vulnlake.llm.common import free_names, in_batches, staged
+from vulnlake.llm.common import REMEMBERED, free_names, in_batches, staged
 from vulnlake.llm.graph import components
 
 #: Similarity from which two sets are linked, as a fraction of integers.
@@ -62,7 +62,7 @@ class WordHashes:
     def __call__(self, text: str | None) -> np.ndarray:
         words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII case and white space only
         seen, digest = self.seen, xxhash.xxh3_64_intdigest
-        if len(seen) > 500_000:
+        if len(seen) > REMEMBERED:
             seen.clear()
         out = np.empty(len(words), dtype=_U)
         for i, w in enumerate(words):

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vulnlake.llm.common import in_batches, staged, uniform
+from vulnlake.llm.common import REMEMBERED, in_batches, staged, uniform
 
 THRESHOLD = 0.7
 #: Bounds of the labelled sample the classifier is fitted on, by label.
@@ -157,9 +157,9 @@ class FuzzyLexicon:
         out = self._match(word)
         if not out and (plain := word.translate(LOOKALIKE)) != word:
             out = self._match(plain) * EDIT_WEIGHT[1]
-        if len(self.words) > 200_000:
+        if len(self.words) > REMEMBERED:
             self.words.clear()
-        if len(self.sets) > 200_000:
+        if len(self.sets) > REMEMBERED:
             self._forget()
         self.words[raw] = out
         return out
