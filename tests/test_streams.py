@@ -81,3 +81,32 @@ def test_stream_history_over_three_batches(spark, tmp_path):
     got = _rows(spark.read.parquet(holder["path"]).select("user_id", "rank", "analysis_id"))
     want = _rows(registry.queries()["recent_history_by_user"](spark, SF_SMALL).select("user_id", "rank", "analysis_id"))
     assert got == want
+
+
+def test_an_append_reads_the_keys_of_its_range_only(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from vulnlake.operators.audit import store_analyses, stored_between
+
+    path = str(tmp_path / "store")
+    for i in range(4):
+        rows = spark.range(i * 10_000, (i + 1) * 10_000).select(F.col("id").alias("analysis_id"), F.timestamp_seconds("id").alias("ts"), F.lit("x").alias("v"))
+        store_analyses(rows, path)
+    late = spark.range(9_990, 10_010).select(F.col("id").alias("analysis_id"), F.timestamp_seconds(F.col("id") + 86_400 * 9).alias("ts"), F.lit("y").alias("v"))
+    assert store_analyses(late, path).count() == 40_000  # delivered again under another day
+    batch = spark.range(40_000, 40_010).select(F.col("id").alias("analysis_id"))
+    seen = stored_between(spark, batch, path, "analysis_id")
+    assert "GreaterThanOrEqual(analysis_id,40000)" in seen._jdf.queryExecution().executedPlan().toString()
+    seen.collect()
+    scan = seen._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+    assert scan.metrics().apply("numOutputRows").value() == 0  # every row group is skipped by its statistics
+
+
+def test_stats_after_a_run_without_new_events(spark, tmp_path):
+    from vulnlake.streaming import streams as S
+
+    spark.createDataFrame([("safe",), ("safe",), ("weak_crypto",)], "verdict string").write.parquet(str(tmp_path / "in"))
+    read = lambda: spark.readStream.schema("verdict string").parquet(str(tmp_path / "in"))
+    first = S.stream_stats_table(read(), str(tmp_path / "out"))
+    again = S.stream_stats_table(read(), str(tmp_path / "out"))
+    assert first == again and {(r.verdict, r.n) for r in spark.read.parquet(again).collect()} == {("safe", 2), ("weak_crypto", 1)}

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from vulnlake.functions import derive as B
 from vulnlake.functions.rules import sql_str
 from vulnlake.plans.registry import register
-from vulnlake.session import path_exists, shared_path
+from vulnlake.session import path_exists, shared_path, written
 from vulnlake.sources import views as V
 
 # Expected input schemas (FIXTURES.md §2), in DuckDB type names.
@@ -138,18 +138,28 @@ def store_analyses(df: DataFrame, path: str, key: str = "analysis_id") -> DataFr
 
     The key alone tells results apart: one delivered again, in the batch or
     later and also under another day, is not stored again, and of repeats in
-    a batch the earliest stays.  Only the key column of the stored table is
-    read.  A failed read fails the call; it is not taken for an empty store."""
+    a batch the earliest stays.  Of the stored table only keys between the
+    least and the greatest of the batch are read: files are sorted by key, so
+    the scan skips the others by their statistics, and with keys that grow
+    in time an append reads no more as the store grows.  A failed read fails
+    the call; it is not taken for an empty store."""
     spark = df.sparkSession
     others = [c for c in df.columns if c not in (key, "ts")]
     once = df.groupBy(key).agg(F.min(F.struct("ts", *others)).alias("first")).select(key, "first.*")
-    new = once.select(*df.columns).withColumn("day", F.to_date("ts"))
+    # read for its bounds and again for its rows
+    new = written(spark, once.select(*df.columns).withColumn("day", F.to_date("ts")), "store-batch")
     if path_exists(spark, path):
-        new = new.join(spark.read.parquet(path).select(key), key, "left_anti")
-    new.write.mode("append").partitionBy("day").parquet(path)
+        new = new.join(stored_between(spark, new, path, key), key, "left_anti")
+    new.sortWithinPartitions("day", key).write.mode("append").partitionBy("day").parquet(path)
     return spark.read.parquet(path)
 
 
+def stored_between(spark: SparkSession, batch: DataFrame, path: str, key: str) -> DataFrame:
+    """The stored keys from the least to the greatest key of a batch."""
+    low, high = batch.agg(F.min(key), F.max(key)).first()
+    return spark.read.parquet(path).select(key).where(F.col(key).between(F.lit(low), F.lit(high)))
+
+
 # -------------------------------- queries ----------------------------------
 
 @register("scan_corpus", lambda: V.with_views("snippets") + "SELECT id, prompt, insecure_code FROM snippets")

@@ -69,6 +69,19 @@ def stream_stats(analyses: DataFrame) -> DataFrame:
     return analyses.groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
+def stream_stats_table(analyses: DataFrame, path: str) -> str | None:
+    """T2 kept as a table: the slot of the last batch, also after a run without
+    a new one (None before any).  Each batch is the whole result; two
+    alternating slots keep the last one intact while the next is written."""
+
+    def keep(batch: DataFrame, epoch: int) -> None:
+        batch.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{path}/slot{epoch % 2}")
+
+    run_available(stream_stats(analyses).writeStream.outputMode("complete")
+                  .foreachBatch(keep).option("checkpointLocation", f"{path}/_checkpoint"))
+    return latest_slot(analyses.sparkSession, path)
+
+
 def stream_trend(analyses: DataFrame, window: str = "1 day", delay: str = "1 hour") -> DataFrame:
     """Tumbling counts per verdict; rows later than the watermark are dropped."""
     return (analyses.withWatermark("ts", delay)
@@ -189,18 +202,10 @@ def q_stream_classify(spark, sf):
 @register("stream_stats", lambda: V.with_views("analyses") + "SELECT verdict, count(*) AS n FROM analyses GROUP BY verdict")
 def q_stream_stats(spark, sf):
     base = shared_path(spark, "stream_stats")
-    holder = {}
-
-    def keep(batch: DataFrame, epoch: int) -> None:
-        # complete mode: each batch is the whole result; two alternating
-        # slots keep the last committed one intact while the next is written
-        out = f"{base}/slot{epoch % 2}"
-        batch.write.mode("overwrite").parquet(out)
-        holder["path"] = out
-
-    run_available(stream_stats(_stream_analyses(spark, sf)).writeStream.outputMode("complete")
-                  .foreachBatch(keep).option("checkpointLocation", f"{base}/_checkpoint"))
-    return spark.read.parquet(holder["path"])
+    path = stream_stats_table(_stream_analyses(spark, sf), base)
+    if path is None:  # no event yet
+        return V.analyses(spark, sf).limit(0).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.parquet(path).drop("epoch")
 
 
 @register("stream_trend", lambda: V.with_views("analyses") +
