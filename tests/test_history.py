@@ -49,3 +49,19 @@ def test_running_totals_match_naive(spark):
     for rid, user, ts, _ in rows:
         prior = [r for r in rows if r[1] == user and (r[2], r[0]) <= (ts, rid)]
         assert got[rid] == (len(prior), sum(1 for r in prior if r[3] == "safe"))
+
+
+def test_cache_hits_with_nearly_all_requests_for_one_key(spark, monkeypatch):
+    """Slices of eight requests; keys that begin, end and go on across slices; requests at the same time; no key."""
+    monkeypatch.setattr(H, "SLICE_BITS", 3)
+    rng = random.Random(3)
+    base = dt.datetime(2024, 1, 1)
+    rows = [(i, "hot", base + dt.timedelta(seconds=rng.randrange(0, 40_000))) for i in range(900)]
+    rows += [(1000 + i, f"k{rng.randrange(30)}", base + dt.timedelta(seconds=rng.randrange(0, 40_000))) for i in range(120)]
+    rows += [(2000 + i, "late", base + dt.timedelta(days=1)) for i in range(40)] + [(2100, "late", base + dt.timedelta(days=1, hours=1))]
+    df = spark.createDataFrame([*rows, (3000, None, base), (3001, None, base)], "analysis_id long, k string, ts timestamp")
+    got = {r.analysis_id: r.hit for r in H.cache_hits(df, "k", 3600).collect()}
+    assert got == _brute_cache(rows, 3600) | {3000: False, 3001: False}
+    for ttl in (1, 50, 500_000):
+        assert {r.analysis_id: r.hit for r in H.cache_hits(df.where("k is not null"), "k", ttl).collect()} == _brute_cache(rows, ttl)
+    assert H.cache_hits(df.limit(0), "k").count() == 0

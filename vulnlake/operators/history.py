@@ -7,15 +7,19 @@ in one task.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vulnlake.functions import derive as B
 from vulnlake.plans import domains as D
-from vulnlake.operators.prefix import running_sums
+from vulnlake.operators.prefix import PLACE, dealt, running_sums
 from vulnlake.plans.registry import register
-from vulnlake.session import ensure_checkpoint_dir
+from vulnlake.session import written
 from vulnlake.sources import views as V
 
 VERDICTS = ["sql_injection", "weak_crypto", "hardcoded_secret", "safe"]
@@ -72,71 +76,107 @@ def stats_bar(df: DataFrame, verdicts=VERDICTS) -> DataFrame:
                   *[F.sum((F.col("verdict") == v).cast("long")).alias(v) for v in verdicts])
 
 
-def cache_hits(df: DataFrame, key: str, ttl_seconds: int = D.CACHE_TTL_SECONDS, ts: str = "ts",
-               rid: str = "analysis_id", bucket_seconds: int = 900) -> DataFrame:
+#: log2 of the requests that are walked together.
+SLICE_BITS = 12
+
+
+def _successors(t: np.ndarray, ttl: int) -> np.ndarray:
+    """Per request of a key, in order, the first one that its write no longer covers."""
+    return np.searchsorted(t, t + ttl, side="left")
+
+
+def _walk(t: np.ndarray, start: int, ttl: int) -> tuple[np.ndarray, int | None]:
+    """Misses among a key's requests if ``start`` is the first one, and the time of the last write."""
+    miss, write, i = np.zeros(len(t), bool), None, start
+    while i < len(t):
+        miss[i], write = True, int(t[i])
+        i = int(np.searchsorted(t, write + ttl, side="left"))
+    return miss, write
+
+
+def _transition(t: np.ndarray, ttl: int) -> tuple[list[int], list[int]]:
+    """What a slice of one key does to the write before it: ``expiry`` times up
+    to which the slice's last write is ``last``.  Walks that begin at different
+    requests soon meet, so there are few pieces."""
+    following = _successors(t, ttl)
+    end = np.arange(len(t))
+    for i in range(len(t) - 1, -1, -1):
+        if following[i] < len(t):
+            end[i] = end[following[i]]
+    cut = np.append(np.flatnonzero(np.diff(end)), len(t) - 1)
+    return t[cut].tolist(), t[end[cut]].tolist()
+
+
+def _segments(rows: pd.DataFrame) -> np.ndarray:
+    """Where the rows of each key begin, and the end."""
+    key = rows["key"].to_numpy()
+    return np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+
+
+def cache_hits(df: DataFrame, key: str, ttl_seconds: int = D.CACHE_TTL_SECONDS, ts: str = "ts", rid: str = "analysis_id") -> DataFrame:
     """H6: per request, hit or miss for a cache keyed by `key` whose entry
     lives `ttl_seconds` from its write (a miss writes).  A request exactly
     ttl after the write is a miss.
 
-    The misses form a chain per key: the first request, then repeatedly the
-    first request at or after write + ttl.  Step 1 finds that successor for
-    every request with windows partitioned by (key, time bucket) plus a
-    bucket-level lookup (bounded by time span / bucket); step 2 marks the
-    chain from each key's first request by pointer doubling (log₂ of the
-    chain length rounds of joins).  Nothing is collected per key.
+    Requests are dealt over ranges of (key, time) and cut into slices of up to
+    2^SLICE_BITS.  A key that begins inside a slice begins with a miss, so all
+    but the slice's first key are settled there.  The first key may come from
+    the slice before: for it the slice is a step function from the write before
+    to its last write.  These functions are put together along each key, one
+    short row a slice, and give every slice the write it starts with; then the
+    slices are walked.  No key is ever in one task with more than its slices' rows.
     A request without a key is a miss that writes nothing; ``rid`` must be
     unique.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    ttl_us = ttl_seconds * 1_000_000
-    bw = bucket_seconds * 1_000_000
+    ttl = ttl_seconds * 1_000_000
     ev = df.select(F.col(key).alias("key"), F.unix_micros(F.col(ts)).alias("t"), F.col(rid).alias("rid"))
-    keyless = ev.where(F.col("key").isNull()).select(F.col("rid").alias(rid), F.col("key").alias(key), F.lit(False).alias("hit"))
-    ev = ev.where(F.col("key").isNotNull())
-    # reliable checkpoint (shared folder): read by every step below and by
-    # the lazy result, computed once, and it survives a lost executor
-    ev = ev.withColumn("b", F.floor(F.col("t") / bw)).checkpoint()
-
-    # --- step 1: successor = first request with t >= t_src + ttl (order t, rid)
-    probes = ev.select("key", (F.col("t") + ttl_us).alias("t"), F.lit(None).cast("long").alias("rid"),
-                       F.col("rid").alias("src"), F.lit(1).alias("is_probe"))
-    probes = probes.withColumn("b", F.floor(F.col("t") / bw))
-    events = ev.select("key", "t", "rid", F.lit(None).cast("long").alias("src"), F.lit(0).alias("is_probe"), "b")
-    both = events.unionByName(probes)
-    w = (Window.partitionBy("key", "b").orderBy(F.col("t").desc(), F.col("is_probe").asc(), F.col("rid").desc())
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    nearest = F.last(F.when(F.col("is_probe") == 0, F.struct("t", "rid")), ignorenulls=True).over(w)
-    local = both.withColumn("nx", nearest).where(F.col("is_probe") == 1).select("key", "b", "src", "nx")
-
-    firsts = ev.groupBy("key", "b").agg(F.min(F.struct("t", "rid")).alias("first"))
-    need = local.where(F.col("nx").isNull()).select("key", "b").distinct()
-    look = (firsts.select("key", "b", "first", F.lit(1).alias("kind"))
-            .unionByName(need.select("key", "b", F.lit(None).cast(firsts.schema["first"].dataType).alias("first"),
-                                     F.lit(0).alias("kind"))))
-    wb = (Window.partitionBy("key").orderBy(F.col("b").desc(), F.col("kind").asc())
-          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    nxt_bucket = (look.withColumn("nb", F.last("first", ignorenulls=True).over(wb))
-                  .where(F.col("kind") == 0).select("key", "b", "nb"))
-    succ = (local.join(nxt_bucket, ["key", "b"], "left")
-            .select(F.col("src"), F.coalesce(F.col("nx"), F.col("nb")).getField("rid").alias("dst"))
-            .where(F.col("dst").isNotNull()))
-
-    # --- step 2: pointer doubling from each key's first request
-    roots = ev.groupBy("key").agg(F.min(F.struct("t", "rid")).getField("rid").alias("rid")).select("rid")
-    marked = roots.checkpoint()
-    jump = succ.checkpoint()
-    while not jump.isEmpty():
-        reached = marked.join(jump, marked.rid == jump.src).select(F.col("dst").alias("rid"))
-        marked = marked.unionByName(reached).checkpoint()
-        j2 = jump.alias("a").join(jump.alias("c"), F.col("a.dst") == F.col("c.src")).select(
-            F.col("a.src").alias("src"), F.col("c.dst").alias("dst"))
-        jump = j2.checkpoint()
-    misses = marked.withColumn("miss", F.lit(True))
-    out = (ev.join(misses, "rid", "left")
-           .select(F.col("rid").alias(rid), F.col("key").alias(key),
-                   F.col("miss").isNull().alias("hit")))
-    return out.unionByName(keyless)
+    kind = {c: ev.schema[c].dataType.simpleString() for c in ("key", "rid")}
+    placed = dealt(spark, ev, ["key"], [F.col("t"), F.col("rid")])
+    keyless = placed.where("key IS NULL").select(F.col("rid").alias(rid), F.col("key").alias(key), F.lit(False).alias("hit"))
+    sliced = placed.where("key IS NOT NULL").withColumn("slice", F.shiftright(PLACE, SLICE_BITS))
+
+    def ends(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(PLACE)
+        cut, t, keys = _segments(rows), rows["t"].to_numpy(np.int64), rows["key"].to_numpy()
+        expiry, last = _transition(t[:cut[1]], ttl)
+        out = [(keys[0], int(rows["slice"].iloc[0]), expiry, last, None)]
+        if len(cut) > 2:  # the last key begins here: its last write is certain
+            out.append((keys[-1], out[0][1], [], [], _walk(t[cut[-2]:], 0, ttl)[1]))
+        return pd.DataFrame(out, columns=["key", "slice", "expiry", "last", "write"]).astype({"write": "Int64"})
+
+    def starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current = write = None
+        for b in batches:
+            out = []
+            for k, piece, expiry, last, certain in zip(b["key"], b["slice"], b["expiry"], b["last"], b["write"]):
+                if k != current:
+                    current, write = k, None
+                if not pd.isna(certain):
+                    write = int(certain)
+                    continue
+                out.append((piece, write))
+                at = 0 if write is None else int(np.searchsorted(expiry, write + ttl, side="left"))
+                write = int(last[at]) if at < len(expiry) else write
+            yield pd.DataFrame(out, columns=["slice", "write"]).astype({"write": "Int64"})
+
+    def settle(_: tuple, rows: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(PLACE)
+        cut, t = _segments(rows), rows["t"].to_numpy(np.int64)
+        miss = np.zeros(len(t), bool)
+        for n, (low, high) in enumerate(zip(cut, cut[1:])):
+            write = before["write"].iloc[0] if n == 0 else None
+            start = 0 if pd.isna(write) else int(np.searchsorted(t[low:high], int(write) + ttl, side="left"))
+            miss[low:high] = _walk(t[low:high], start, ttl)[0]
+        return pd.DataFrame({"rid": rows["rid"], "key": rows["key"], "hit": ~miss})
+
+    functions = sliced.groupBy("slice").applyInPandas(
+        ends, f"key {kind['key']}, slice long, expiry array<long>, last array<long>, write long")
+    # of one slice its first key's function stands before its last key's write
+    along = written(spark, functions, "cache-slices").repartition("key").sortWithinPartitions("key", "slice", F.col("write").isNotNull())
+    before = along.mapInPandas(starts, "slice long, write long")
+    out = sliced.groupBy("slice").cogroup(before.groupBy("slice")).applyInPandas(settle, f"rid {kind['rid']}, key {kind['key']}, hit boolean")
+    return out.select(F.col("rid").alias(rid), F.col("key").alias(key), "hit").unionByName(keyless)
 
 
 def cache_hit_rate(hits: DataFrame) -> DataFrame:
