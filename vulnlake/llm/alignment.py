@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from vulnlake.llm.common import in_batches, row_key, staged
 
 #: Units remembered by a Python worker, and id pairs that one may count before it hands them on.
-UNITS = 200_000
+UNITS = 400_000
 PAIRS = 400_000
 #: Signs of a run of units that are encoded together.
 RUN = 1 << 15
