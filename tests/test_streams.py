@@ -110,3 +110,36 @@ def test_stats_after_a_run_without_new_events(spark, tmp_path):
     first = S.stream_stats_table(read(), str(tmp_path / "out"))
     again = S.stream_stats_table(read(), str(tmp_path / "out"))
     assert first == again and {(r.verdict, r.n) for r in spark.read.parquet(again).collect()} == {("safe", 2), ("weak_crypto", 1)}
+
+
+def test_cache_table_over_several_batches_of_a_hot_key(spark, tmp_path):
+    """A third and more of all rows in one key, five micro-batches in time order; equal to the batch cache.
+    A late request within the time to live is a hit, and a restart goes on."""
+    import datetime as dt
+    import os
+    import random
+
+    from vulnlake.operators import history as H
+    from vulnlake.streaming import streams as S
+
+    rng, base, rows = random.Random(4), dt.datetime(2024, 1, 1), []
+    for i in range(600):
+        rows.append((i, "hot" if rng.random() < 0.4 else rng.choice(["a", "b", "c", None]), base + dt.timedelta(seconds=61 * i)))
+    schema = "analysis_id long, cache_key string, ts timestamp"
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    for n in range(5):
+        spark.createDataFrame(rows[n * 120:(n + 1) * 120], schema).coalesce(1).write.mode("append").parquet(str(source))
+        for name in os.listdir(source):  # the stream reads older files first
+            if name.endswith(".parquet") and not name.startswith("p"):
+                os.utime(source / name, (n, n))
+        read = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+        if n in (2, 4):  # two runs: of three batches, then of two
+            S.stream_cache_table(read, out)
+    got = {r.analysis_id: r.hit for r in spark.read.parquet(f"{out}/data").collect()}
+    want = {r.analysis_id: r.hit for r in H.cache_hits(spark.createDataFrame(rows, schema), "cache_key").collect()}
+    assert got == want and len(os.listdir(f"{out}/data")) == 5
+    last = max(r[0] for r in rows if r[1] == "hot" and not want[r[0]])
+    late = spark.createDataFrame([(9_000, "hot", rows[last][2] - dt.timedelta(seconds=30))], schema)
+    late.write.mode("append").parquet(str(source))
+    S.stream_cache_table(spark.readStream.schema(schema).parquet(str(source)), out)
+    assert spark.read.parquet(f"{out}/data").where("analysis_id = 9000").first().hit

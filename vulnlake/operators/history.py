@@ -128,12 +128,16 @@ def cache_hits(df: DataFrame, key: str, ttl_seconds: int = D.CACHE_TTL_SECONDS,
     A request without a key is a miss that writes nothing; ``rid`` must be
     unique.
     """
-    spark = df.sparkSession
-    ttl = ttl_seconds * 1_000_000
     ev = df.select(F.col(key).alias("key"), F.unix_micros(F.col(ts)).alias("t"), F.col(rid).alias("rid"))
+    return cache_walk(ev, ttl_seconds * 1_000_000).select(F.col("rid").alias(rid), F.col("key").alias(key), "hit")
+
+
+def cache_walk(ev: DataFrame, ttl: int) -> DataFrame:
+    """``cache_hits`` on (key, t, rid), times in microseconds: rid, key, t, hit."""
+    spark = ev.sparkSession
     kind = {c: ev.schema[c].dataType.simpleString() for c in ("key", "rid")}
     placed = dealt(spark, ev, ["key"], [F.col("t"), F.col("rid")])
-    keyless = placed.where("key IS NULL").select(F.col("rid").alias(rid), F.col("key").alias(key), F.lit(False).alias("hit"))
+    keyless = placed.where("key IS NULL").select("rid", "key", "t", F.lit(False).alias("hit"))
     sliced = placed.where("key IS NOT NULL").withColumn("slice", F.shiftright(PLACE, SLICE_BITS))
 
     def ends(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -168,15 +172,16 @@ def cache_hits(df: DataFrame, key: str, ttl_seconds: int = D.CACHE_TTL_SECONDS,
             write = before["write"].iloc[0] if n == 0 else None
             start = 0 if pd.isna(write) else int(np.searchsorted(t[low:high], int(write) + ttl, side="left"))
             miss[low:high] = _walk(t[low:high], start, ttl)[0]
-        return pd.DataFrame({"rid": rows["rid"], "key": rows["key"], "hit": ~miss})
+        return pd.DataFrame({"rid": rows["rid"], "key": rows["key"], "t": rows["t"], "hit": ~miss})
 
     functions = sliced.groupBy("slice").applyInPandas(
         ends, f"key {kind['key']}, slice long, expiry array<long>, last array<long>, write long")
     # of one slice its first key's function stands before its last key's write
     along = written(spark, functions, "cache-slices").repartition("key").sortWithinPartitions("key", "slice", F.col("write").isNotNull())
     before = along.mapInPandas(starts, "slice long, write long")
-    out = sliced.groupBy("slice").cogroup(before.groupBy("slice")).applyInPandas(settle, f"rid {kind['rid']}, key {kind['key']}, hit boolean")
-    return out.select(F.col("rid").alias(rid), F.col("key").alias(key), "hit").unionByName(keyless)
+    out = sliced.groupBy("slice").cogroup(before.groupBy("slice")).applyInPandas(
+        settle, f"rid {kind['rid']}, key {kind['key']}, t long, hit boolean")
+    return out.unionByName(keyless)
 
 
 def cache_hit_rate(hits: DataFrame) -> DataFrame:

@@ -24,7 +24,8 @@ from vulnlake.operators import detect
 from vulnlake.plans import domains as D
 from vulnlake.plans.registry import register
 from vulnlake.operators.audit import store_analyses
-from vulnlake.session import is_folder, path_exists, shared_path
+from vulnlake.operators.history import cache_walk
+from vulnlake.session import is_folder, path_exists, shared_path, written
 from vulnlake.sources import views as V
 
 
@@ -131,6 +132,39 @@ def stream_cache(analyses: DataFrame, key: str = "cache_key", ttl_seconds: int =
         _cache_fn(ttl_us), CACHE_OUT, CACHE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+#: Stands in a batch for the write that a key had before it.
+HELD = -(1 << 63)
+
+
+def stream_cache_table(analyses: DataFrame, path: str, key: str = "cache_key", ttl_seconds: int = D.CACHE_TTL_SECONDS,
+                       delay_seconds: int = 3600) -> None:
+    """T4 for keys of any size: hits and misses as a table, by the walk of the
+    batch cache (H6) over each micro-batch.
+
+    The last write of every key is kept between batches, in two alternating
+    slots like T5's table, and opens the key's requests of the next batch.  A
+    request that is older than it is judged at its time, as the stateful form
+    does.  Writes that expired ``delay_seconds`` before the latest request are
+    forgotten.  A batch replayed after a failure overwrites what it wrote."""
+    ttl, delay = ttl_seconds * 1_000_000, delay_seconds * 1_000_000
+
+    def serve(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        asked = batch.select(F.col(key).cast("string").alias("key"), F.unix_micros("ts").alias("t"), F.col("analysis_id").alias("rid"))
+        if epoch > 0:
+            held = spark.read.parquet(f"{path}/slot{(epoch - 1) % 2}").select("key", "t")
+            asked = asked.join(held.select("key", F.col("t").alias("_w")), "key", "left").select("key", F.greatest("t", "_w").alias("t"), "rid")
+            asked = asked.unionByName(held.select("key", "t", F.lit(HELD).alias("rid")))
+        out = written(spark, cache_walk(asked, ttl), "cache-batch")
+        out.where(F.col("rid") != HELD).select(F.col("rid").alias("analysis_id"), F.col("key").alias("cache_key"), "hit").write.mode(
+            "overwrite").parquet(f"{path}/data/epoch={epoch}")
+        writes = out.where(~F.col("hit") & F.col("key").isNotNull()).groupBy("key").agg(F.max("t").alias("t"))
+        latest = out.agg(F.coalesce(F.max("t"), F.lit(0))).first()[0]
+        writes.where(F.col("t") > latest - ttl - delay).withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{path}/slot{epoch % 2}")
+
+    run_available(analyses.writeStream.foreachBatch(serve).option("checkpointLocation", f"{path}/_checkpoint"))
+
+
 def latest_slot(spark: SparkSession, path: str) -> str | None:
     """The slot of the last complete batch, or None before the first."""
     found = {}
@@ -224,10 +258,10 @@ def q_stream_trend(spark, sf):
           "SELECT analysis_id, cache_key, hit FROM walk")
 def q_stream_cache(spark, sf):
     base = shared_path(spark, "stream_cache")
-    a = _stream_analyses(spark, sf).withColumn("cache_key", F.col("snippet_hash"))
-    run_available(stream_cache(a).writeStream.format("parquet").outputMode("append")
-                  .option("path", f"{base}/data").option("checkpointLocation", f"{base}/_checkpoint"))
-    return spark.read.parquet(f"{base}/data")
+    stream_cache_table(_stream_analyses(spark, sf).withColumn("cache_key", F.col("snippet_hash")), base)
+    if not path_exists(spark, f"{base}/data"):  # no event yet
+        return spark.createDataFrame([], CACHE_OUT)
+    return spark.read.parquet(f"{base}/data").select("analysis_id", "cache_key", "hit")
 
 
 @register("stream_history", lambda: V.with_views("analyses") +
