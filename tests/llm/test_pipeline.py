@@ -43,7 +43,13 @@ def test_stages_take_effect(spark, tmp_path):
 
 
 def test_stages_on_odd_and_empty_tables(spark, make_docs):
+    """Null ids and texts, empty and repeated rows: what each stage keeps of the same table."""
     rows = [(1, None, None), (None, "", "a"), (2, "x", "b"), (2, "x", "b"), (3, "y " * 300, None)]
-    for docs in (make_docs(rows), make_docs([])):
-        for _, stage in corpus_pipeline.STAGES:
-            assert stage(spark, docs, SF_SMALL).count() >= 0
+    every = sorted([(1, None), (2, "x"), (2, "x"), (3, "y " * 300), (None, "")], key=str)
+    kept = {name: every for name, _ in corpus_pipeline.STAGES}
+    kept["near_duplicates"] = sorted({*every}, key=str)  # one of the repeated rows
+    kept["mixing"] = sorted([*every, (2, "x"), (2, "x")], key=str)  # source b stops at twice its size; texts without words stay once
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, make_docs(rows), SF_SMALL).select("doc_id", "text").collect()
+        assert sorted(map(tuple, out), key=str) == kept[name], name
+        assert stage(spark, make_docs([]), SF_SMALL).count() == 0, name
