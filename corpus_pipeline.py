@@ -28,20 +28,25 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a benchmark item is found go."""
+    """Documents in which a benchmark item is found go.  Null and empty texts
+    hold no item and stay; repeated rows are judged alike; an empty table, of
+    documents or of items, changes nothing."""
     return decontaminate.keep_uncontaminated(spark, docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as its source's share of the mix takes it, in
     whole texts: the one document of a source on which the fraction runs out
-    is taken if at least half of it is due.  Texts without words stay once."""
+    is taken if at least half of it is due.  Texts without words, null ones
+    included, stay once; repeated rows count one by one; documents without a
+    source are a source of their own; an empty table stays empty."""
     return mixing.repeat_documents(spark, docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixed documents with their shard and their slot in it; shards hold
-    nearly equal bytes."""
+    """The mixed documents with their shard; shards hold nearly equal bytes.
+    Null and empty texts have the size of a bare row; repeated rows are placed
+    one by one; an empty table has no shards."""
     return sharding.shard_documents(spark, docs)
 
 
