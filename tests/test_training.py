@@ -61,6 +61,17 @@ def test_features_equal_the_long_form(spark, docs):
     assert {r.weight for r in p.features(0).where("fold <> 0").collect()} == {28 / (2 * 14)}
 
 
+def test_candidates_stay_few_without_held_out_rows(spark):
+    """One fold: no rows are left to train the split that holds it out, which asks for no more terms."""
+    rows = [(i, " ".join(f"t{j}" for j in range(60) for _ in range(60 - j)) + f" rare{i} once{i}") for i in range(50)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    folds = texts.select("doc_id", F.lit(0.0).alias("label"), F.lit(0).alias("fold"))
+    for held in (None, (None,)):
+        p = G.Prepared(spark, texts, folds, terms=5, held=held)
+        assert len(p.vocabulary) == 5 * sparsefeat.CANDIDATES
+        assert [p.vocabulary[i] for i in p.splits[None].positions] == [f"t{j}" for j in range(5)]
+
+
 def test_no_exchange_carries_a_text(spark, docs, monkeypatch):
     plans = []
     keep = sparsefeat.written
