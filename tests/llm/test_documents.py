@@ -309,6 +309,14 @@ def test_every_template_is_anchored_and_found(spark, make_docs, words):
     assert got == {(1000, 1): "GPL", (1001, 0): "Proprietary"}
 
 
+def test_a_notice_line_without_a_licence_word_is_named(spark, make_docs, words):
+    rows = [(k, words(60, k)) for k in range(300)]
+    rows += [(1000, "This Source Code Form is subject to the terms of the Mozilla Public\n" + words(9, 3))]
+    assert not re.search(licences.ANCHORS[4:], rows[-1][1], re.I)
+    got = [(r.doc_id, r.paragraph, r.family) for r in licences.scan(spark, make_docs(rows)).collect()]
+    assert got == [(1000, 0, "MPL")]
+
+
 def test_licence_families_and_unknown(spark, make_docs, words):
     rows = [(k, words(60, k)) for k in range(300)]
     rows += [(1000, f"{words(5, 1)}\nReleased under the MIT License.\n{words(5, 2)}"), (1001, "Licensed under the Apache License, Version 2.0."),
