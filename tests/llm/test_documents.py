@@ -331,6 +331,16 @@ def test_licence_families_and_unknown(spark, make_docs, words):
 
 # ---------------------------------------------------------------- language model
 
+def test_every_training_token_is_in_one_window(spark, make_docs):
+    sizes = [0, 1, 31, 32, 33, 200]
+    docs = make_docs([(n, " ".join(["word"] * n)) for n in sizes]).selectExpr("*", "0.25D AS u")
+    rows = lm.training_windows(docs, lm._ranks(lm.TOKENIZER)).collect()
+    # predicted: every word and every end, once
+    assert sum(x != -2 for r in rows for x in r.firsts[1:]) == sum(sizes) + len(sizes)
+    assert sum(x == -1 for r in rows for x in r.firsts[1:]) == len(sizes)
+    assert sum(r.firsts[0] == -1 for r in rows) == len(sizes) and all(0 <= r.u < 1 and len(r.firsts) == lm.LENGTH + 1 == len(r.lasts) for r in rows)
+
+
 def test_attention_gradients():
     model, rng = attention.Attention(7, 5, 6, width=4, hidden=5, seed=1), np.random.default_rng(2)
     x1, x2, y = rng.integers(0, 7, (3, 6)), rng.integers(0, 5, (3, 6)), rng.integers(0, 7, (3, 6))

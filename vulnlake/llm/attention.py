@@ -96,9 +96,8 @@ class Attention:
         g["q"], g["k"], g["v"] = outer(x, dq), outer(x, dk), outer(x, dv)
         dx = dh + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
         g["pos"] = dx.sum(0)
-        g["e1"], g["e2"] = np.zeros_like(p["e1"]), np.zeros_like(p["e2"])
-        np.add.at(g["e1"], x1, dx)
-        np.add.at(g["e2"], x2, dx)
+        for name, x in (("e1", x1), ("e2", x2)):  # sums by class, as a product with the classes' indicators
+            g[name] = outer(np.eye(len(p[name]), dtype=F32)[x], dx)
         self.steps += 1
         fix = np.sqrt(1 - 0.999 ** self.steps) / (1 - 0.9 ** self.steps)
         for name, grad in g.items():

@@ -10,10 +10,11 @@ unknown words, so the probabilities of all texts are proper:
     P(token | before) = P(class | before) * (c + 0.1) / (N_class + 0.1 * (V_class + 1))
 
 Counts cover every training document.  The attention weights start from a
-bounded sample of windows and are then trained on one window of every
-training document, in parallel replicas whose weights are averaged each
-round.  Texts are scored whole: context windows overlap, and each token is
-scored once, in the window that gives it the most context.
+bounded sample of windows and are then trained on every token of every
+training document, in windows side by side and in parallel replicas whose
+weights are averaged each round.  Texts are scored whole: context windows
+overlap, and each token is scored once, in the window that gives it the most
+context.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vulnlake.llm.attention import Attention
-from vulnlake.llm.common import in_batches, staged, uniform
+from vulnlake.llm.common import BATCH_ROWS, in_batches, staged, uniform
 from vulnlake.llm.minhash import text_key
 
 #: Rank file of a byte-level BPE; read by the driver, 0.8 MB, and sent to the tasks.
@@ -43,6 +44,8 @@ SMOOTHING = 0.1
 WARM_WINDOWS, WARM_PASSES = 2_000, 12
 ROUNDS, BATCH, RATE, LATE_RATE = 2, 64, 0.01, 0.003
 SEED = 5
+#: Spreads the windows of a document evenly over [0, 1).
+GOLDEN = 0.6180339887498949
 #: Largest vocabulary that is broadcast (17 bytes a word); a larger one is joined by shuffle.
 BROADCAST_WORDS = 6_000_000
 _CACHE = 600_000
@@ -121,22 +124,30 @@ def word_counts(docs: DataFrame, ranks: bytes) -> DataFrame:
 
 
 def training_windows(docs: DataFrame, ranks: bytes) -> DataFrame:
-    """u, firsts, lasts: one seeded window of each training document as subword
-    ids, the token before it first; -1 is the end of a text, -2 nothing."""
+    """u, firsts, lasts: every training document in windows side by side, each
+    predicting the next LENGTH tokens, as subword ids, the token before it
+    first; -1 is the end of a text, -2 nothing.  ``u`` is seeded by the document
+    and the window's place in it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cut = subwords(ranks)
+        cut, rows = subwords(ranks), []
+
+        def flush() -> pd.DataFrame:
+            out = pd.DataFrame(rows, columns=["u", "firsts", "lasts"])
+            rows.clear()
+            return out
+
         for frame in batches:
-            rows = []
             for text, u in zip(frame["text"], frame["u"], strict=True):
-                words = words_of(text)
-                start = int(u * (max(0, len(words) + 1 - LENGTH) + 1))  # predicted tokens start .. start + LENGTH - 1
-                ids = [(-1, -1) if start == 0 else cut(words[start - 1])]
-                ids += [cut(w) for w in words[start: start + LENGTH]]
-                if len(ids) <= LENGTH:
-                    ids += [(-1, -1)] + [(-2, -2)] * (LENGTH - len(ids))
-                rows.append((u, [a for a, _ in ids], [b for _, b in ids]))
-            yield pd.DataFrame(rows, columns=["u", "firsts", "lasts"])
+                ids = [(-1, -1), *(cut(w) for w in words_of(text)), (-1, -1)]
+                for i, at in enumerate(range(0, len(ids) - 1, LENGTH)):  # predicts tokens at + 1 .. at + LENGTH
+                    some = ids[at: at + LENGTH + 1]
+                    some += [(-2, -2)] * (LENGTH + 1 - len(some))
+                    rows.append(((u + i * GOLDEN) % 1.0, [a for a, _ in some], [b for _, b in some]))
+                    if len(rows) == BATCH_ROWS:
+                        yield flush()
+        if rows:
+            yield flush()
 
     return docs.select("text", "u").mapInPandas(run, "u double, firsts array<int>, lasts array<int>")
 
