@@ -66,3 +66,32 @@ def test_analyses_cover_every_document(spark):
     assert a.count() == n_events
     assert a.select("doc_id").distinct().count() == n_docs
     assert a.where(F.col("doc_id") != F.pmod(F.expr("analysis_id div 2"), F.lit(n_docs))).count() == 0
+
+
+def _odd_docs(spark):
+    rows = [(1, "aa bb aa cc"), (1, "bb dd"), (2, "Aa ee ff bb"), (None, "aa gg"), (None, "bb"), (3, None), (4, "")]
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_terms_are_counted_in_tasks_of_bounded_size(spark, monkeypatch):
+    docs = _odd_docs(spark)
+    want = sorted((r.doc_id or 0, r.term, r.tf) for r in TF.tokens(docs).collect())
+    monkeypatch.setattr(TF, "TASK_DOCS", 2)
+    assert TF.spread(docs).rdd.getNumPartitions() == 4
+    got = TF.tokens(TF.spread(docs))
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1  # texts move, their tokens do not
+    assert sorted((r.doc_id or 0, r.term, r.tf) for r in got.collect()) == want and (1, "bb", 2) in want and (0, "aa", 1) in want
+
+
+def test_rare_terms_are_dropped_before_they_are_grouped(spark):
+    docs = _odd_docs(spark)
+    tok = TF.tokens(docs)
+    vocab = TF.vocabulary(tok, 2)
+    assert [tuple(r) for r in TF.corpus_vocabulary(docs, 2).orderBy("rank").collect()] == [tuple(r) for r in vocab.orderBy("rank").collect()] == [("aa", 4, 1), ("bb", 4, 2)]
+    known = TF.known_tokens(docs, vocab)
+    assert {tuple(r) for r in known.collect()} == {tuple(r) for r in tok.where("term in ('aa', 'bb')").collect()}
+    plan = known._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate [doc_id") < plan.index("Join Inner")
+    _, idf = TF.fit_transform(docs, "eda", 2)
+    want = TF.fit_idf(tok, vocab, F.lit(7.0))
+    assert {tuple(r) for r in idf.collect()} == {tuple(r) for r in want.collect()}
