@@ -128,6 +128,26 @@ def plain_booster(x, y, classes, rounds, extra):
     return boosting.softmax(other)
 
 
+def test_trees_walked_together_as_one_by_one():
+    rng = np.random.default_rng(4)
+    trees = []
+    for _ in range(boosting.REWRITE + 3):
+        t = boosting.Trees(3)
+        t.feature, t.bin, t.leaf = rng.integers(0, 6, (3, 7)), rng.integers(0, 5, (3, 7)), rng.normal(size=(3, 8))
+        trees.append(t)
+    x = rng.integers(0, 6, (6, 40)).astype(np.uint8)
+    want, got = np.zeros((40, 3)), np.zeros((40, 3))
+    for t in trees:
+        for row in range(40):
+            for k in range(3):
+                at = 0
+                for _ in range(boosting.DEPTH):
+                    at = 2 * at + 1 + (x[t.feature[k, at], row] > t.bin[k, at])
+                want[row, k] += t.leaf[k, at - 7]
+    boosting.add_trees(got, x, trees)
+    assert got == pytest.approx(want)
+
+
 def test_boosting_equals_a_plain_booster(spark, prepared, monkeypatch):
     """Both folds together; small stretches, groups of sums and rewritten blocks."""
     monkeypatch.setattr(boosting, "STRETCH", 3)
