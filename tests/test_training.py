@@ -161,6 +161,10 @@ def test_wide_rows_reach_python_in_short_batches(spark, prepared):
             spark.conf.set(n, v)
 
 
+def test_forest_rows_remember_their_nodes():
+    assert G.estimator("Random Forest").getCacheNodeIds()
+
+
 def test_boosting_equals_a_plain_booster(spark, prepared, monkeypatch):
     """Both folds together; small stretches, groups of sums and rewritten blocks."""
     monkeypatch.setattr(boosting, "STRETCH", 3)

@@ -55,7 +55,8 @@ def estimator(name: str, n_train: int | None = None):
         return LogisticRegression(family="multinomial", maxIter=1000, regParam=reg, elasticNetParam=0.0,
                                   standardization=False, weightCol="weight")
     if name == "Random Forest":
-        return RandomForestClassifier(numTrees=100, maxDepth=FOREST_DEPTH, seed=D.SEED, weightCol="weight")
+        # rows remember their nodes instead of walking each tree again for every group of nodes
+        return RandomForestClassifier(numTrees=100, maxDepth=FOREST_DEPTH, seed=D.SEED, weightCol="weight", cacheNodeIds=True, maxMemoryInMB=512)
     raise ValueError(name)
 
 
