@@ -1,5 +1,6 @@
 """Byte-level BPE against the tiktoken library."""
 
+import base64
 import random
 
 import pytest
@@ -52,3 +53,41 @@ def test_arrays_of_ids(spark, library):
 def test_empty_table(spark, make_docs):
     out = bytepairs.encode_documents(spark, make_docs([]), tokenizer_file("byte_bpe_multi_50k.tiktoken"), word_pattern())
     assert out.columns == ["doc_id", "n_tokens", "ids", "decoded"] and out.count() == 0
+
+
+def test_token_that_no_merge_reaches(spark, make_docs, tmp_path):
+    """A word that is a token of its own takes its rank, as in the library."""
+    ranks = {bytes([b]): b for b in range(256)} | {b"abc": 256, b"de": 257}
+    path = tmp_path / "own.tiktoken"
+    path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % r for t, r in ranks.items()))
+    own = tiktoken.Encoding("own", pat_str=word_pattern(), mergeable_ranks=ranks, special_tokens={})
+    rows = bytepairs.encode_documents(spark, make_docs([(0, "abc"), (1, "abcde de")]), str(path), word_pattern()).collect()
+    assert {r.doc_id: r.ids for r in rows} == {i: ",".join(map(str, own.encode_ordinary(t))) for i, t in [(0, "abc"), (1, "abcde de")]}
+
+
+def test_words_of_any_length(library):
+    """Both ways of merging, at lengths about the one where they change."""
+    r = random.Random(8)
+    for n in [1, 2, 3, *range(bytepairs.LONG - 3, bytepairs.LONG + 4), 1000]:
+        for alphabet in ALPHABETS:
+            word = "".join(r.choice(alphabet) for _ in range(n))
+            ids = library._encode_single_piece(word.encode())
+            assert bytepairs.merge(library._mergeable_ranks, word.encode()) == ids, word
+            assert bytepairs._merge_long(library._mergeable_ranks, word.encode()) == ids or len(ids) == 1
+
+
+def test_words_forgotten(library):
+    """More words than a worker remembers, within one text and over several."""
+    r = random.Random(9)
+    encode = bytepairs.Encoder(bytepairs._file(tokenizer_file("byte_bpe_multi_50k.tiktoken")), word_pattern(), 20)
+    for _ in range(20):
+        text = " ".join("".join(r.choice("etaoin") for _ in range(r.randrange(1, 4))) for _ in range(200))
+        ids = library.encode_ordinary(text)
+        assert encode.text(text) == (len(ids), ",".join(map(str, ids)), text.encode())
+        assert len(encode.known) <= 10 and len(encode.older) <= 10
+
+
+def test_plan_holds_no_vocabulary(spark, make_docs, capsys):
+    """The rank file goes to the tasks, not into the driver's plan."""
+    bytepairs.encode_documents(spark, make_docs([(0, "a")]), tokenizer_file("byte_bpe_multi_50k.tiktoken"), word_pattern()).explain(True)
+    assert len(capsys.readouterr().out) < 20_000

@@ -1,195 +1,79 @@
-"""Byte-level BPE encoding and decoding with Spark's higher-order functions.
-
-A text is cut by the vocabulary's pattern; a word is encoded by a fold over its
-bytes that merges, step by step, the adjacent pair of the lowest rank (the
-leftmost of equal ones).  The ranks are one literal of the plan, an array of
-small buckets addressed by a hash of the pair, so a look-up takes the same time
-whatever the size of the vocabulary.  Decoding looks every id up in a literal
-of byte strings and concatenates them.
-
-All distinct words of the table are counted; the most frequent ones (a bounded
-number) are encoded once, and every task holds them.  The others, few in all,
-are encoded where they stand, which costs less than to send them to a table of
-all words and their ids back to their documents: texts are never shuffled.
-
-Words over ``WINDOW`` bytes (text without spaces, rows of one sign) are folded
-window by window.  Each window starts some tokens before the end of those found
-so far; where both encodings share a token, the new one takes over.  Neighbours
-that stand together in one encoding do so in every other, hence the spliced
-tokens are those of the whole word; if a window shares no token, the word is
-folded from its start.
-
-Memory: one text at a time with its words and ids.  Null texts count as empty
-and have no ids; repeated rows are encoded alike; an empty table gives no rows.
-The Unicode classes of the pattern are the JVM's.
+"""Byte-level BPE encoding and decoding of whole texts.
+
+A text is cut by the vocabulary's pattern; a word that is a token of its own
+gets its rank, any other is merged from its bytes, step by step, at the
+adjacent pair of the lowest rank (the leftmost of equal ones).  Words over
+``LONG`` bytes (text without spaces, rows of one sign) keep their pairs in a
+heap, so the work stays near the length.  Decoding looks every id up in the
+table of byte strings and concatenates them.
+
+Every text is encoded where it stands and nothing is shuffled: the tasks share
+the rank file (0.8 MB), and a worker remembers the ids of the words it has
+merged, a bounded number, for their next occurrence.
+
+Memory: a batch of texts with their words and ids, and the words remembered.
+Null texts count as empty and have no ids; repeated rows are encoded alike; an
+empty table gives no rows.  The pattern's ``\\s`` is that of the tiktoken
+library; ``\\p{L}`` and ``\\p{N}`` are those of the installed ``regex`` module.
 """
 
 from __future__ import annotations
 
 import base64
-import json
+import hashlib
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vulnlake.llm.common import staged
+from vulnlake.llm.common import in_batches
 
-#: Bytes of a long word that are folded at once, and tokens that two windows share.
-WINDOW = 256
-SHARED = 24
-#: Buckets of the literal of ranks and of the table of frequent words (powers of two).
-PAIR_BUCKETS = 1 << 16
-WORD_BUCKETS = 1 << 17
-#: Frequent words that every task holds: about 20 MB.
+#: Bytes of a word from which its pairs are kept in a heap.
+LONG = 128
+#: Words that a worker remembers: some 120 MB.
 FREQUENT_WORDS = 400_000
-#: Mixes the left id into the bucket of a pair; any odd number will do.
-MIX = 40_503
+#: Rank of a pair that does not merge.
+NEVER = 1 << 60
+
+
+def _ranks_of(data: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in data.splitlines() if line)}
+
+
+def _file(path: str) -> bytes:
+    with open(path, "rb") as f:  # on the driver
+        return f.read()
 
 
 @lru_cache(maxsize=4)
 def read_ranks(path: str) -> dict[bytes, int]:
     """Token bytes → rank, from a rank file (one base64 token and its rank a line)."""
-    with open(path, "rb") as lines:
-        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-
+    return _ranks_of(_file(path))
 
-def _literal(value, kind: str) -> Column:
-    """A Python value as one literal: the optimizer folds the constant."""
-    return F.from_json(F.lit(json.dumps(value, separators=(",", ":"))), kind)
 
-
-def _let(value: Column, body) -> Column:
-    """body(value), with the value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def _names(ranks: dict[bytes, int]) -> list[bytes]:
+    """The bytes of each id."""
+    tokens = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    return tokens
 
 
 class Vocabulary:
-    """The literals of one rank file: which pairs merge into what, and the
-    bytes of each id."""
+    """The literal of one rank file: the bytes of each id."""
 
     def __init__(self, path: str):
-        ranks = read_ranks(path)
-        keys: list[list[int]] = [[] for _ in range(PAIR_BUCKETS)]
-        ids: list[list[int]] = [[] for _ in range(PAIR_BUCKETS)]
-        of_bytes: list[int | None] = [None] * 65_536
-        tokens = [""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            tokens[rank] = token.hex()
-            for cut in range(1, len(token)):
-                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
-                if left is not None and right is not None:
-                    bucket = (left * MIX + right) % PAIR_BUCKETS
-                    keys[bucket].append(left << 20 | right)
-                    ids[bucket].append(rank)
-            if len(token) == 2:
-                of_bytes[token[0] << 8 | token[1]] = rank
-        #: What a fold needs, in one literal.
-        self.ranks = _literal(
-            {"keys": keys, "ids": ids, "bytes": [ranks[bytes([b])] for b in range(256)], "pairs": of_bytes},
-            "struct<keys:array<array<bigint>>,ids:array<array<int>>,bytes:array<int>,pairs:array<int>>")
-        self.tokens = F.split(F.lit(",".join(tokens)), ",")
-
-
-def _merged(ranks: Column, left: Column, right: Column) -> Column:
-    """Id of the token that two neighbouring ids make, or null."""
-    bucket = (left * MIX + right).bitwiseAND(F.lit(PAIR_BUCKETS - 1))
-    place = F.array_position(F.get(ranks["keys"], bucket), F.shiftleft(left.cast("long"), 20).bitwiseOR(right.cast("long")))
-    return F.get(F.get(ranks["ids"], bucket), place.cast("int") - 1)
-
-
-def _fold(ranks: Column, word: Column) -> Column:
-    """The bytes of a word (not empty) → the ids of its tokens."""
-    n = F.octet_length(word)
-    codes = F.transform(F.sequence(F.lit(1), n), lambda i: F.ascii(F.decode(F.substring(word, i, F.lit(1)), "ISO-8859-1")))
-
-    def start(x: Column) -> Column:
-        pairs = F.zip_with(F.slice(x, F.lit(1), n - 1), F.slice(x, F.lit(2), n - 1),
-                           lambda a, b: F.get(ranks["pairs"], a * 256 + b))
-        return F.struct(F.transform(x, lambda b: F.get(ranks["bytes"], b)).alias("p"), pairs.alias("r"))
-
-    def merge(state: Column, _: Column) -> Column:
-        def at(x: Column) -> Column:
-            """Ids and pair ranks with the pair at ``i`` as one token."""
-            rank, i, after, before = x["rank"], x["i"], x["after"], x["before"]
-            ids = F.transform(F.filter(state["p"], lambda _, j: j != after), lambda p, j: F.when(j == i, rank).otherwise(p))
-            return F.struct(ids.alias("p"), F.transform(
-                F.filter(state["r"], lambda _, j: j != i),
-                lambda r, j: F.when(j == i, _merged(ranks, rank, F.get(state["p"], i + 2)))
-                .when(j == before, _merged(ranks, F.get(state["p"], j), rank)).otherwise(r)).alias("r"))
-
-        least = F.array_min(state["r"])
-        place = F.array_position(state["r"], least).cast("int")
-        found = F.struct(least.alias("rank"), (place - 1).alias("i"), place.alias("after"), (place - 2).alias("before"))
-        return F.when(least.isNull(), state).otherwise(_let(found, at))
-
-    return F.aggregate(F.sequence(F.lit(1), n), _let(codes, start), merge, lambda s: s["p"])
-
-
-def _spans(lengths: Column) -> Column:
-    """(start, end) of every token, given their lengths."""
-    def upto(i: Column) -> Column:
-        return F.aggregate(F.slice(lengths, F.lit(1), i), F.lit(0), lambda total, n: total + n)
-    return F.transform(F.sequence(F.lit(1), F.size(lengths)), lambda i: F.struct(upto(i - 1).alias("s"), upto(i).alias("e")))
-
-
-def _fold_long(ranks: Column, tokens: Column, word: Column) -> Column:
-    """The same for a word of any length, window by window."""
-    n = F.octet_length(word)
-
-    def length(ids: Column) -> Column:
-        return F.transform(ids, lambda i: (F.length(F.get(tokens, i)) / 2).cast("int"))
-
-    def extend(found: Column, window: Column) -> Column:
-        """``found``: the ids of all bytes before the window."""
-        end = F.least(n, (window + 1) * WINDOW)
-
-        def splice(x: Column) -> Column:
-            tail = F.aggregate(length(x["tail"]), F.lit(0), lambda total, k: total + k)
-            begin = window * WINDOW - tail
-            again = _fold(ranks, F.substring(word, begin + 1, end - begin))
-
-            def take_over(y: Column) -> Column:
-                old, new = _spans(length(x["tail"])), _spans(length(y))
-                common = F.array_max(F.array_intersect(old, new))
-                return _let(F.struct(common.alias("c"), old.alias("old"), new.alias("new")), lambda z: F.when(
-                    z["c"].isNull(), _fold(ranks, F.substring(word, F.lit(1), end))).otherwise(F.concat(
-                        F.slice(found, F.lit(1), F.size(found) - F.size(x["tail"]) + F.array_position(z["old"], z["c"]).cast("int")),
-                        F.slice(y, F.array_position(z["new"], z["c"]).cast("int") + 1, F.size(y)))))
-
-            return _let(again, take_over)
-
-        tail = F.slice(found, F.greatest(F.size(found) - SHARED + 1, F.lit(1)), F.lit(SHARED))
-        return F.when(window == 0, _fold(ranks, F.substring(word, F.lit(1), end))).otherwise(_let(F.struct(tail.alias("tail")), splice))
-
-    windows = F.sequence(F.lit(0), F.ceil(n / WINDOW).cast("int") - 1)
-    return F.aggregate(windows, F.array().cast("array<int>"), extend)
-
-
-def _word_ids(ranks: Column, tokens: Column, word: Column) -> Column:
-    word = word.cast("binary")
-    return F.when(F.octet_length(word) <= WINDOW, _fold(ranks, word)).otherwise(_fold_long(ranks, tokens, word))
-
-
-def words(text: Column, pattern: str) -> Column:
-    """The words of a text; ``\\s`` and ``\\S`` mean Unicode's white space."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?U){pattern}"), F.lit(0))
-
-
-def encode_words(table: DataFrame, vocabulary: Vocabulary, word: str = "word") -> DataFrame:
-    """``table`` with the ids of each of its words (not empty) as ``ids``."""
-    ids = _let(F.struct(vocabulary.ranks.alias("r"), vocabulary.tokens.alias("t")),
-               lambda v: _word_ids(v["r"], v["t"], F.col(word)))
-    return table.withColumn("ids", ids)
-
-
-def _pieces(tokens: Column, ids: Column) -> Column:
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(tokens, i)), ""))
+        self.tokens = F.split(F.lit(",".join(token.hex() for token in _names(read_ranks(path)))), ",")
 
 
 def decode(ids: Column, vocabulary: Vocabulary) -> Column:
     """An array of ids → the bytes of its tokens, one after the other."""
-    return _let(vocabulary.tokens, lambda t: _pieces(t, ids))
+    def pieces(tokens: Column) -> Column:
+        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(tokens, i)), ""))
+    return F.get(F.transform(F.array(vocabulary.tokens), pieces), F.lit(0))
 
 
 def as_array(ids: Column) -> Column:
@@ -197,66 +81,112 @@ def as_array(ids: Column) -> Column:
     return F.when(ids == "", F.array().cast("array<int>")).otherwise(F.split(ids, ",").cast("array<int>"))
 
 
-def _joined(ids: Column) -> Column:
-    return F.array_join(ids.cast("array<string>"), ",")
-
-
-def _bucket(word: Column) -> Column:
-    return F.crc32(word.cast("binary")).bitwiseAND(F.lit(WORD_BUCKETS - 1).cast("long")).cast("int")
-
-
-def frequent_words(spark: SparkSession, found: DataFrame, limit: int = FREQUENT_WORDS) -> DataFrame:
-    """The most frequent of the words in column ``word``, ``limit`` at most:
-    those above the least count that at most so many words reach."""
-    counts = staged(spark, found.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bpe-words")
-    # as many rows as there are different counts
-    sizes = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).selectExpr(
-        "n", "sum(words) OVER (ORDER BY n DESC) AS reach").where(F.col("reach") <= limit)
-    least = sizes.agg(F.min("n")).first()[0]
-    return counts.where(F.col("n") >= least).select("word") if least is not None else counts.limit(0).select("word")
-
-
-def _table_of(spark: SparkSession, known: DataFrame) -> Column:
-    """Encoded words as one array of buckets: a value of the plan that tasks
-    share, bounded by the number of frequent words."""
-    empty = spark.range(WORD_BUCKETS).select(F.col("id").cast("int").alias("b"), F.lit(None).cast("string").alias("word"),
-                                             F.lit(None).cast("string").alias("ids"), F.lit(None).cast("string").alias("bytes"))
-    rows = known.select(_bucket(F.col("word")).alias("b"), "word", "ids", "bytes").unionAll(empty)
-    entry = F.when(F.col("word").isNotNull(), F.struct("word", "ids", "bytes"))
-    buckets = rows.groupBy("b").agg(F.sort_array(F.collect_list(entry)).alias("e"))
-    whole = F.sort_array(F.collect_list(F.struct("b", "e")))["e"]
-    return buckets.agg(F.struct(
-        F.transform(whole, lambda e: e["word"]).alias("words"), F.transform(whole, lambda e: e["ids"]).alias("ids"),
-        F.transform(whole, lambda e: e["bytes"]).alias("bytes")).alias("t")).scalar()
+def merge(ranks: dict[bytes, int], word: bytes) -> list[int]:
+    """The ids of the tokens of a word (not empty)."""
+    if (whole := ranks.get(word)) is not None:
+        return [whole]
+    if len(word) > LONG:
+        return _merge_long(ranks, word)
+    get, ends = ranks.get, list(range(len(word) + 1))
+    pairs = [get(word[i:i + 2], NEVER) for i in range(len(word) - 1)]  # pair i: the bytes from ends[i] to ends[i + 2]
+    while pairs and (least := min(pairs)) != NEVER:
+        i = pairs.index(least)
+        del ends[i + 1], pairs[i]
+        if i < len(pairs):
+            pairs[i] = get(word[ends[i]:ends[i + 2]], NEVER)
+        if i:
+            pairs[i - 1] = get(word[ends[i - 1]:ends[i + 1]], NEVER)
+    return [ranks[word[a:b]] for a, b in zip(ends, ends[1:])]
+
+
+def _merge_long(ranks: dict[bytes, int], word: bytes) -> list[int]:
+    """The same with a heap of (rank, start) and links between tokens; a pair
+    that has changed since it was put there is passed over."""
+    n = len(word)
+    after, before = list(range(1, n + 2)), list(range(-1, n))  # starts of the neighbouring tokens
+    now = [ranks.get(word[i:i + 2], NEVER) for i in range(n - 1)] + [NEVER, NEVER]  # rank of the pair at each start
+    heap = [(rank, i) for i, rank in enumerate(now) if rank != NEVER]
+    heapify(heap)
+    while heap:
+        rank, i = heappop(heap)
+        if now[i] != rank:
+            continue
+        gone = after[i]
+        now[gone] = NEVER
+        after[i] = after[gone]
+        before[after[i]] = i
+        for j in (before[i], i):
+            if j >= 0:
+                end = after[after[j]] if after[j] < n else n + 1
+                now[j] = ranks.get(word[j:end], NEVER) if end <= n else NEVER
+                if now[j] != NEVER:
+                    heappush(heap, (now[j], j))
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[word[i:after[i]]])
+        i = after[i]
+    return out
+
+
+class Encoder:
+    """Encodes words and decodes their ids; remembers ``limit`` words: those of
+    late, and those met again of the half before."""
+
+    def __init__(self, data: bytes, pattern: str, limit: int):
+        import regex
+
+        self.cut: Callable[[str], list[str]] = regex.compile(pattern).findall
+        self.ranks, self.limit = _ranks_of(data), limit
+        self.tokens = _names(self.ranks)
+        self.known: dict[str, tuple[int, str, bytes]] = {}
+        self.older: dict[str, tuple[int, str, bytes]] = {}
+
+    def learn(self, word: str) -> tuple[int, str, bytes]:
+        """A word's number of ids, the ids, and the bytes they decode to."""
+        if (found := self.older.get(word)) is None:
+            ids = merge(self.ranks, word.encode())
+            found = len(ids), ",".join(map(str, ids)), b"".join([self.tokens[i] for i in ids])
+        if len(word) <= LONG and self.limit:
+            if len(self.known) >= self.limit // 2:
+                self.known, self.older = {}, self.known
+            self.known[word] = found
+        return found
+
+    def text(self, text: str | None) -> tuple[int, str, bytes]:
+        """The same for a whole text; null and empty texts have no ids."""
+        words = self.cut(text or "")
+        found = list(map(self.known.get, words))
+        if None in found:
+            found = [known or self.known.get(word) or self.learn(word) for known, word in zip(found, words)]
+        n, ids, decoded = zip(*found) if found else ((), (), ())
+        return sum(n), ",".join(ids), b"".join(decoded)
+
+
+_ENCODERS: dict[tuple, Encoder] = {}
+
+
+def encoder(data: bytes, pattern: str, limit: int) -> Encoder:
+    """One encoder for a worker process, kept between tasks."""
+    key = hashlib.md5(data).digest(), pattern, limit
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(data, pattern, limit)
+    return _ENCODERS[key]
 
 
 def encode_documents(spark: SparkSession, docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text: str = "text",
                      frequent: int = FREQUENT_WORDS) -> DataFrame:
     """Per document its token ids (``ids``: decimal, joined by commas; see
     ``as_array``), their number and the bytes they decode to.  No special tokens."""
-    vocabulary = Vocabulary(path)
-    found = docs.select(F.explode(words(F.col(text), pattern)).alias("word"))
-    # few words for their work: many tasks
-    top = frequent_words(spark, found, frequent).repartition(4 * spark.sparkContext.defaultParallelism)
-    encoded = encode_words(top, vocabulary).withColumnRenamed("ids", "tokens")
-    known = staged(spark, encoded.select("word", _joined(F.col("tokens")).alias("ids"),
-                                         decode(F.col("tokens"), vocabulary).cast("string").alias("bytes")), "bpe-frequent")
-
-    def one(v: Column, word: Column) -> Column:
-        def look_up(x: Column) -> Column:
-            return F.when(x["i"] >= 0, F.struct(F.get(F.get(v["k"]["ids"], x["b"]), x["i"]).alias("ids"),
-                                                F.get(F.get(v["k"]["bytes"], x["b"]), x["i"]).alias("bytes"))).otherwise(
-                _let(_word_ids(v["r"], v["t"], word), lambda ids: F.struct(
-                    _joined(ids).alias("ids"), _pieces(v["t"], ids).cast("string").alias("bytes"))))
-        place = _let(_bucket(word), lambda b: F.struct(
-            b.alias("b"), (F.array_position(F.get(v["k"]["words"], b), word).cast("int") - 1).alias("i")))
-        return _let(place, look_up)
-
-    held = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), _table_of(spark, known).alias("known"))
-    # ``known`` is named once, so the optimizer puts the value in its place: as a column every row would carry it
-    shared = F.struct(vocabulary.ranks.alias("r"), vocabulary.tokens.alias("t"), F.col("known").alias("k"))
-    parts = _let(shared, lambda v: F.transform(words(F.col("text"), pattern), lambda word: one(v, word)))
-    out = held.select("doc_id", parts.alias("p"))
-    out = out.select("doc_id", F.array_join("p.ids", ",").alias("ids"), F.array_join("p.bytes", "").cast("binary").alias("decoded"))
-    number = F.when(F.col("ids") == "", F.lit(0)).otherwise(F.length("ids") - F.length(F.replace("ids", F.lit(","), F.lit(""))) + 1)
-    return out.select("doc_id", number.cast("long").alias("n_tokens"), "ids", "decoded")
+    in_batches(spark)
+    ranks = spark.sparkContext.broadcast(_file(path))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = encoder(ranks.value, pattern, frequent).text
+        for frame in batches:
+            rows = [encode(t) for t in frame["text"]]
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "n_tokens": [n for n, _, _ in rows],
+                                "ids": [ids for _, ids, _ in rows], "decoded": [raw for _, _, raw in rows]})
+
+    held = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
+    kind = held.schema["doc_id"].dataType.simpleString()
+    return held.mapInPandas(run, f"doc_id {kind}, n_tokens long, ids string, decoded binary")
