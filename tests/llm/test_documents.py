@@ -393,3 +393,22 @@ def test_scores_are_proper_and_both_joins_agree(spark, make_docs, words):
 def test_model_beats_the_base_on_held_out_documents(spark):
     rows = lm.score(spark, table(spark, SF_SMALL, "documents")).where("held_out").collect()
     assert rows and sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+def test_scorer_learns_a_batch_at_once(monkeypatch):
+    """New words are looked up together, known ones not again; a run's scorer stays with its worker."""
+    ranks = lm._ranks(lm.TOKENIZER)
+    cut, calls, plain = lm.subwords(ranks), [], lm.Scorer._learn
+    monkeypatch.setattr(lm.Scorer, "_learn", lambda self, new: calls.append(new) or plain(self, new))
+    counted = lm._hashes([b"one", b"two"])
+    order = np.argsort(counted)
+    classes = lm.Classes([cut(b"one")[0]], [cut(b"two")[1]])
+    make = lambda: lm.Scorer(ranks, classes, lm._model().vector(), (counted[order], np.array([7, 8])[order]))
+    scorer = lm.kept_scorer("run", make)
+    assert [x.tolist() for x in scorer.ids(["One two", None, "", "three two"])] == [[0, 1], [], [], [2, 1]]
+    assert [x.tolist() for x in lm.kept_scorer("run", make).ids(["two one"])] == [[1, 0]]
+    assert calls == [[b"one", b"two", b"three"]] and scorer.count.tolist() == [7, 8, 0]
+    assert [scorer.first[0], scorer.last[1]] == [2, 2] and scorer.first.dtype == np.int16
+    monkeypatch.setattr(lm, "_CACHE", 2)
+    assert [x.tolist() for x in scorer.ids(["four two"])] == [[0, 1]] and scorer.count.tolist() == [0, 8]
+    assert lm.kept_scorer("other", make) is not scorer

@@ -21,6 +21,8 @@ from __future__ import annotations
 
 import base64
 import math
+import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -92,6 +94,33 @@ def subwords(ranks: bytes) -> Subwords:
     return _SUBWORDS[key]
 
 
+class Numbered(dict):
+    """Words → their numbers, in the order in which they are first asked for."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = at = len(self)
+        self.new.append(word)
+        return at
+
+    def of(self, text: str | None) -> np.ndarray:
+        words = words_of(text)
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+    def fresh(self) -> list[bytes]:
+        """The words that were numbered since the last call."""
+        new, self.new = self.new, []
+        return new
+
+
+def _hashes(words: list[bytes]) -> np.ndarray:
+    digest = xxhash.xxh3_64_intdigest
+    return np.array([digest(w) for w in words], dtype=np.uint64).view(np.int64)
+
+
 def _ranks(path: str) -> bytes:
     with open(path, "rb") as f:  # on the driver
         return f.read()
@@ -101,20 +130,17 @@ def word_counts(docs: DataFrame, ranks: bytes) -> DataFrame:
     """w (word hash), first, last (subword ids), c: tokens of the training documents."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cut, seen = subwords(ranks), {}
+        cut, seen = subwords(ranks), Counter()
 
         def flush() -> pd.DataFrame:
-            digest = xxhash.xxh3_64_intdigest
-            out = pd.DataFrame({"w": np.array([digest(w) for w in seen], dtype=np.uint64).view(np.int64),
-                                "first": np.array([cut(w)[0] for w in seen], np.int32), "last": np.array([cut(w)[1] for w in seen], np.int32),
-                                "c": np.array(list(seen.values()), np.int64)})
+            ids = np.array([cut(w) for w in seen], np.int32).reshape(-1, 2)
+            out = pd.DataFrame({"w": _hashes(list(seen)), "first": ids[:, 0], "last": ids[:, 1], "c": np.array(list(seen.values()), np.int64)})
             seen.clear()
             return out
 
         for frame in batches:
             for text in frame["text"]:
-                for w in words_of(text):
-                    seen[w] = seen.get(w, 0) + 1
+                seen.update(words_of(text))
             if len(seen) > 1_000_000:
                 yield flush()
         yield flush()
@@ -130,22 +156,35 @@ def training_windows(docs: DataFrame, ranks: bytes) -> DataFrame:
     and the window's place in it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cut, rows = subwords(ranks), []
+        cut, words, subword_ids = subwords(ranks), Numbered(), np.zeros((0, 2), np.int32)
+        place, rows, held = np.arange(LENGTH + 1), [], 0
 
         def flush() -> pd.DataFrame:
-            out = pd.DataFrame(rows, columns=["u", "firsts", "lasts"])
+            nonlocal held
+            ids = np.concatenate([some for _, some in rows])
+            out = pd.DataFrame({"u": np.concatenate([u for u, _ in rows]), "firsts": list(ids[:, :, 0]), "lasts": list(ids[:, :, 1])})
             rows.clear()
+            held = 0
             return out
 
         for frame in batches:
-            for text, u in zip(frame["text"], frame["u"], strict=True):
-                ids = [(-1, -1), *(cut(w) for w in words_of(text)), (-1, -1)]
-                for i, at in enumerate(range(0, len(ids) - 1, LENGTH)):  # predicts tokens at + 1 .. at + LENGTH
-                    some = ids[at: at + LENGTH + 1]
-                    some += [(-2, -2)] * (LENGTH + 1 - len(some))
-                    rows.append(((u + i * GOLDEN) % 1.0, [a for a, _ in some], [b for _, b in some]))
-                    if len(rows) == BATCH_ROWS:
+            texts = [words.of(t) for t in frame["text"]]
+            if new := words.fresh():
+                subword_ids = np.concatenate([subword_ids, np.array([cut(w) for w in new], np.int32)])
+            for x, u in zip(texts, frame["u"], strict=True):
+                n = len(x) // LENGTH + 1  # window i predicts tokens i * LENGTH + 1 .. (i + 1) * LENGTH
+                ids = np.full((n * LENGTH + 1, 2), -2, np.int32)
+                ids[0] = ids[len(x) + 1] = -1
+                ids[1: len(x) + 1] = subword_ids[x]
+                u = (u + np.arange(n) * GOLDEN) % 1.0
+                for i in range(0, n, BATCH_ROWS):
+                    some = ids[np.arange(i, min(i + BATCH_ROWS, n))[:, None] * LENGTH + place]
+                    rows.append((u[i: i + BATCH_ROWS], some))
+                    held += len(some)
+                    if held >= BATCH_ROWS:
                         yield flush()
+            if len(words) > _CACHE:
+                words, subword_ids = Numbered(), subword_ids[:0]
         if rows:
             yield flush()
 
@@ -228,38 +267,32 @@ class Scorer:
 
     def __init__(self, ranks: bytes, classes: Classes, weights: np.ndarray, vocabulary: tuple[np.ndarray, np.ndarray] | None):
         self.cut, self.classes, self.model, self.vocabulary = subwords(ranks), classes, _model(weights), vocabulary
-        self.index: dict[bytes, int] = {}
-        self.first = np.empty(1024, np.int16)
-        self.last = np.empty(1024, np.int16)
-        self.count = np.empty(1024, np.int64)
-        self.hash = np.empty(1024, np.int64)
-
-    def _learn(self, word: bytes) -> int:
-        at = len(self.index)
-        if at == len(self.first):
-            for k in ("first", "last", "count", "hash"):
-                t = getattr(self, k)
-                setattr(self, k, np.concatenate([t, np.empty_like(t)]))
-        self.index[word] = at
-        a, b = self.cut(word)
-        self.first[at], self.last[at] = self.classes.of_first(a), self.classes.of_last(b)
-        h = np.array([xxhash.xxh3_64_intdigest(word)], np.uint64).view(np.int64)[0]
-        self.hash[at], self.count[at] = h, 0
-        if self.vocabulary is not None:
-            words, counts = self.vocabulary
-            i = np.searchsorted(words, h)
-            if i < len(words) and words[i] == h:
-                self.count[at] = counts[i]
-        return at
-
-    def ids(self, text: str | None) -> np.ndarray:
-        get, learn = self.index.get, self._learn
-        return np.array([i if (i := get(w)) is not None else learn(w) for w in words_of(text)], dtype=np.int64)
+        self.forget()
 
     def forget(self) -> None:
-        """Between batches: ids are good for one batch."""
+        self.index = Numbered()
+        self.first, self.last = np.zeros(0, np.int16), np.zeros(0, np.int16)
+        self.count, self.hash = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _learn(self, new: list[bytes]) -> None:
+        ids, h = np.array([self.cut(w) for w in new], np.int64), _hashes(new)
+        count = np.zeros(len(new), np.int64)
+        if self.vocabulary is not None and len(self.vocabulary[0]):
+            words, counts = self.vocabulary
+            i = np.minimum(np.searchsorted(words, h), len(words) - 1)
+            count = np.where(words[i] == h, counts[i], 0)
+        self.first = np.concatenate([self.first, self.classes.of_first(ids[:, 0]).astype(np.int16)])
+        self.last = np.concatenate([self.last, self.classes.of_last(ids[:, 1]).astype(np.int16)])
+        self.count, self.hash = np.concatenate([self.count, count]), np.concatenate([self.hash, h])
+
+    def ids(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Numbers of the words of each text: good for one batch."""
         if len(self.index) > _CACHE:
-            self.index.clear()
+            self.forget()
+        out = [self.index.of(t) for t in texts]
+        if new := self.index.fresh():
+            self._learn(new)
+        return out
 
     def class_scores(self, ids: list[np.ndarray]) -> np.ndarray:
         """Natural log probability of each text's classes, its end included."""
@@ -293,6 +326,17 @@ class Scorer:
         return total
 
 
+_SCORERS: dict[str, Scorer] = {}
+
+
+def kept_scorer(step: str, make) -> Scorer:
+    """The scorer of one run, kept by a worker between its tasks."""
+    if step not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[step] = make()
+    return _SCORERS[step]
+
+
 def score(spark: SparkSession, docs: DataFrame, tokenizer: str = TOKENIZER, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -335,10 +379,12 @@ def score(spark: SparkSession, docs: DataFrame, tokenizer: str = TOKENIZER, broa
         order = np.argsort(hashes)
         words = spark.sparkContext.broadcast((hashes[order], counts[order]))
 
+    step = uuid.uuid4().hex
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(ranks, classes, weights, words.value if words is not None else None)
+        scorer = kept_scorer(step, lambda: Scorer(ranks, classes, weights, words.value if words is not None else None))
         for frame in batches:
-            ids = [scorer.ids(t) for t in frame["text"]]
+            ids = scorer.ids(frame["text"].tolist())
             out = frame[["doc_id", "held_out"]].copy()
             out["n_tokens"] = [len(x) + 1 for x in ids]
             out["class_score"] = scorer.class_scores(ids) * to10
@@ -352,7 +398,6 @@ def score(spark: SparkSession, docs: DataFrame, tokenizer: str = TOKENIZER, broa
                 out["uid"] = frame["uid"]
                 out["words"] = [w for w, _ in pairs]
                 out["times"] = [n for _, n in pairs]
-            scorer.forget()
             yield out
 
     kind = dict(docs.select("doc_id").dtypes)["doc_id"]
