@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -85,3 +86,34 @@ def test_perfect_hash(n):
 
 def test_empty_table(spark, make_docs):
     assert alignment.align_documents(spark, make_docs([]), tokenizer_file(A), tokenizer_file(B)).count() == 0
+
+
+def test_units_are_kept_between_tasks(monkeypatch):
+    """A second task of the same pass aligns no unit again and counts the same."""
+    class Files:
+        value = tuple(open(tokenizer_file(n), "rb").read() for n in (A, B))
+
+    class Context:
+        @staticmethod
+        def get():
+            return type("Task", (), {"partitionId": lambda self: 0})()
+
+    aligned, plain = [], alignment.Pair.align
+    monkeypatch.setattr(alignment, "TaskContext", Context)
+    monkeypatch.setattr(alignment.Pair, "align", lambda self, units, groups=False: aligned.append(len(units)) or plain(self, units, groups))
+    step = alignment._counted(Files)
+    first, second = (pd.concat(step(iter([pd.DataFrame({"text": texts()})]))).sort_values("key") for _ in range(2))
+    assert len(aligned) == 1 and first["key"].tolist() == second["key"].tolist() and first["n"].tolist() == second["n"].tolist()
+    other = pd.concat(step(iter([pd.DataFrame({"text": texts()[-3:]})])))
+    assert other["n"].sum() == sum(len(x[3]) for x in (_links(t) for t in texts()[-3:])) and (other["n"] > 0).all()
+
+
+def _links(text):
+    return None, None, None, [None] * expected([text])[0][3]
+
+
+@pytest.mark.parametrize("text", ["a b", "a\nb c", "a  b", " a", "a ", "a \nb", "a\n b", "a\n\nb c", "a　b c", "\x1ca b", "a  b", "\n", " "])
+def test_units(text):
+    """Cut at the spaces between two signs that are not white space, and nowhere else."""
+    at = [i for i in range(1, len(text) - 1) if text[i] == " " and not text[i - 1].isspace() and not text[i + 1].isspace()]
+    assert alignment.units_of(text) == [text[a:b] for a, b in zip([0, *(i + 1 for i in at)], [*at, len(text)])]

@@ -6,7 +6,8 @@ ranges overlap are linked; byte offsets where both end cut the text into groups.
 
 Both tokenizers begin anew at a space between two other signs, so a text is the
 sequence of its units (the stretches between such spaces), and a unit is aligned
-once and remembered, within a bound, for all its occurrences.
+once and remembered, within a bound, for all its occurrences in the worker's
+tasks.
 
 1. First pass: every task counts the links of its documents for each id pair.
 2. The distinct pairs are dealt into buckets by a hash; each bucket gets a
@@ -30,6 +31,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import uuid
 from collections.abc import Iterator
 from itertools import chain
 
@@ -154,9 +156,13 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 def units_of(text: str) -> list[str]:
     """A text cut at the spaces that stand between two other signs."""
+    units = text.split(" ")
+    words = text.split()
+    if len(text) - sum(map(len, words)) == len(words) - 1:  # every white space stands between two other signs
+        return units
     if text[0] == " " or text[-1] == " " or _SPACED.search(text):
         return _CUT.split(text)
-    return text.split(" ")
+    return units
 
 
 _PAIRS: dict[bytes, Pair] = {}
@@ -263,6 +269,19 @@ class PairCounts:
 SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
+class Slots(dict):
+    """Units → their numbers, in the order in which they are first asked for."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        self[unit] = at = len(self)
+        self.new.append(unit)
+        return at
+
+
 class Remembered:
     """Units of a worker, each aligned once until there are too many."""
 
@@ -271,35 +290,49 @@ class Remembered:
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[str, int] = {}
+        self.slot = Slots()
         self.text: list[str] = []
         self.bad = np.zeros(0, bool)
         self.sums = np.zeros((0, len(SUMS)), np.int64)
-        self.keys, self.unit = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def learn(self, docs: list[list[str]]) -> None:
-        new = list({u: None for units in docs for u in units if u not in self.slot})
-        if not new:
-            return
-        base = len(self.slot)
-        self.slot.update(zip(new, range(base, base + len(new))))
-        bad, tokens, keys, unit, texts = self.pair.align(new, self.groups)
-        sums = np.zeros((len(new), len(SUMS)), np.int64)
-        sums[:, :3] = tokens
-        sums[:, 3] = np.bincount(unit, minlength=len(new))
-        if self.counts is not None:
-            n = self.counts.look_up(keys)
-            np.add.at(sums[:, 4], unit, n == self.best[keys & ((1 << SHIFT) - 1)])
-            np.add.at(sums[:, 5], unit, n)
-        if self.groups:
-            self.text += texts
-        self.sums, self.bad = np.concatenate([self.sums, sums]), np.concatenate([self.bad, bad])
-        self.keys, self.unit = np.concatenate([self.keys, keys]), np.concatenate([self.unit, unit + base])
-
-    def slots(self, units: list[str]) -> np.ndarray | None:
-        """Numbers of a document's units; None if its bytes are not given back."""
-        out = np.fromiter(map(self.slot.__getitem__, units), np.int64, len(units))
-        return None if self.bad[out].any() else out
+        self.links = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+
+    def learn(self, docs: list[list[str]]) -> list[np.ndarray | None]:
+        """Numbers of each document's units; None if its bytes are not given back."""
+        base, number = len(self.slot), self.slot.__getitem__
+        slots = [np.fromiter(map(number, units), np.int64, len(units)) for units in docs]
+        new, self.slot.new = self.slot.new, []
+        if new:
+            bad, tokens, keys, unit, texts = self.pair.align(new, self.groups)
+            sums = np.zeros((len(new), len(SUMS)), np.int64)
+            sums[:, :3] = tokens
+            sums[:, 3] = np.bincount(unit, minlength=len(new))
+            if self.counts is not None:
+                n = self.counts.look_up(keys)
+                np.add.at(sums[:, 4], unit, n == self.best[keys & ((1 << SHIFT) - 1)])
+                np.add.at(sums[:, 5], unit, n)
+            else:  # with the counts at hand the sums are all that is needed
+                self.links.append((keys, unit + base))
+            if self.groups:
+                self.text += texts
+            self.sums, self.bad = np.concatenate([self.sums, sums]), np.concatenate([self.bad, bad])
+        return [None if self.bad[x].any() else x for x in slots]
+
+    def joined_links(self) -> tuple[np.ndarray, np.ndarray]:
+        """The keys of all links, and their units."""
+        if len(self.links) > 1:
+            self.links = [(np.concatenate([k for k, _ in self.links]), np.concatenate([u for _, u in self.links]))]
+        return self.links[0]
+
+
+_SEEN: dict[str, Remembered] = {}
+
+
+def remembered(step: str, make) -> Remembered:
+    """What a worker remembers in one pass of one run, kept between its tasks."""
+    if step not in _SEEN:
+        _SEEN.clear()
+        _SEEN[step] = make()
+    return _SEEN[step]
 
 
 def _portions(texts: list, most: int = 1 << 20) -> Iterator[tuple[int, list[list[str]]]]:
@@ -317,34 +350,36 @@ def _portions(texts: list, most: int = 1 << 20) -> Iterator[tuple[int, list[list
 
 def _counted(files):
     """First pass: (part, key, n) for the id pairs of a task."""
+    step = uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = TaskContext.get().partitionId()
-        seen = Remembered(loaded(files))
-        times = np.zeros(0, np.int64)  # documents' uses of each unit
+        seen = remembered(step, lambda: Remembered(loaded(files)))
+        times = np.zeros(len(seen.slot), np.int64)  # documents' uses of each unit
         keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
         def flush() -> None:
             nonlocal keys, sums, times
-            both = np.concatenate([keys, seen.keys])
-            n = np.concatenate([sums, times[seen.unit]])
+            links, unit = seen.joined_links()
+            both = np.concatenate([keys, links])
+            n = np.concatenate([sums, times[unit]])
+            both, n = both[n > 0], n[n > 0]
             keys, at = np.unique(both, return_inverse=True)
             sums = np.zeros(len(keys), np.int64)
             np.add.at(sums, at, n)
-            keys, sums = keys[sums > 0], sums[sums > 0]
-            seen.clear()
-            times = np.zeros(0, np.int64)
+            if len(seen.slot) > UNITS:
+                seen.clear()
+            times = np.zeros(len(seen.slot), np.int64)
 
         def frame() -> pd.DataFrame:
             return pd.DataFrame({"part": np.full(len(keys), part, np.int64), "key": keys, "n": sums})
 
         for b in batches:
             for _, docs in _portions(b["text"].tolist()):
-                seen.learn(docs)
+                known = [slots for slots in seen.learn(docs) if slots is not None]
                 times = np.concatenate([times, np.zeros(len(seen.slot) - len(times), np.int64)])
-                for units in docs:
-                    if (slots := seen.slots(units)) is not None:
-                        np.add.at(times, slots, 1)
+                if known:
+                    times += np.bincount(np.concatenate(known), minlength=len(times))
                 if len(seen.slot) > UNITS:
                     flush()
                     if len(keys) > PAIRS:
@@ -412,18 +447,18 @@ def _unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _scored(files, held, best):
     """Second pass with the table in hand: a row of sums for each document."""
+    step = uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = Remembered(loaded(files), PairCounts(*held.value), best.value, groups=True)
+        seen = remembered(step, lambda: Remembered(loaded(files), PairCounts(*held.value), best.value, groups=True))
         for b in batches:
             texts = b["text"].tolist()
             sums, groups = np.zeros((len(texts), len(SUMS)), np.int64), [""] * len(texts)
             for begin, docs in _portions(texts):
                 if len(seen.slot) > UNITS:
                     seen.clear()
-                seen.learn(docs)
-                for i, units in enumerate(docs, begin):
-                    if units and (slots := seen.slots(units)) is not None:
+                for i, slots in enumerate(seen.learn(docs), begin):
+                    if slots is not None and len(slots):
                         sums[i] = seen.sums[slots].sum(0)
                         groups[i] = ";".join(map(seen.text.__getitem__, slots.tolist()))
             yield pd.DataFrame({"doc_id": b["doc_id"]} | {c: sums[:, j] for j, c in enumerate(SUMS)} | {"groups": groups})
@@ -442,15 +477,15 @@ def _linked(files):
             for begin, docs in _portions(texts):
                 if len(seen.slot) > UNITS:
                     seen.clear()
-                seen.learn(docs)
-                order = np.argsort(seen.unit, kind="stable")
-                starts = np.searchsorted(seen.unit[order], np.arange(len(seen.slot) + 1))
-                for i, units in enumerate(docs, begin):
-                    slots = seen.slots(units) if units else None
+                known = seen.learn(docs)
+                links, unit = seen.joined_links()
+                order = np.argsort(unit, kind="stable")
+                starts = np.searchsorted(unit[order], np.arange(len(seen.slot) + 1))
+                for i, slots in enumerate(known, begin):
                     sums, text, keys, m = np.zeros(len(SUMS), np.int64), "", np.zeros(0, np.int64), np.zeros(0, np.int64)
-                    if slots is not None:
+                    if slots is not None and len(slots):
                         sums, text = seen.sums[slots].sum(0), ";".join(map(seen.text.__getitem__, slots.tolist()))
-                        keys, m = np.unique(np.concatenate([seen.keys[order[starts[u]:starts[u + 1]]] for u in slots]), return_counts=True)
+                        keys, m = np.unique(np.concatenate([links[order[starts[u]:starts[u + 1]]] for u in slots]), return_counts=True)
                     rest = len(keys)
                     yield pd.DataFrame({
                         "_uid": np.full(rest + 1, ids[i]), "doc_id": [docs_ids[i]] + [None] * rest,
