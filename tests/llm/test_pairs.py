@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from vulnlake.llm import graph, minhash, suffixes
@@ -133,3 +134,11 @@ def test_large_grams_are_counted_to_the_same_result(spark, make_docs, monkeypatc
     rows += [(100, None), (101, passage), (101, passage), (102, passage[:450] + "#" + passage[451:])]
     got = suffixes.remove_repeats(spark, make_docs(rows)).collect()
     assert Counter((x.doc_id, x.n_bytes, x.n_bytes - len(x.kept), len(x.spans), hashlib.sha256(bytes(x.kept)).hexdigest()) for x in got) == brute_repeats(rows, 400)
+
+
+def test_hashes_of_all_grams():
+    """One call gives the hash of every gram, as of each one alone."""
+    hashes, data = suffixes.Rolling(1), np.frombuffer(b"abracadabra" * 20, np.uint8)
+    starts = np.arange(len(data) - 9)
+    prefix = hashes.prefix(data)
+    assert (hashes.every(prefix, 10) == hashes.between(prefix, starts, starts + 10)).all()
