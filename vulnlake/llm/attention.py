@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 F32 = np.float32
@@ -23,8 +25,14 @@ class Attention:
                   "q": normal(width, width), "k": normal(width, width), "v": normal(width, width), "o": normal(width, width),
                   "w1": normal(width, hidden), "b1": np.zeros(hidden, F32), "w2": normal(hidden, width), "u": normal(width, classes, scale=0.02),
                   "b": np.zeros(classes, F32)}
+        self.seen = np.tril(np.ones((length, length), F32))
         self.mask = np.triu(np.full((length, length), -1e9, F32), 1)
-        self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
+        self.names = list(self.p)
+        size = sum(v.size for v in self.p.values())
+        self.m, self.s = np.zeros(size, F32), np.zeros(size, F32)
+        m, s = self._parts(self.m), self._parts(self.s)
+        self.moments = {k: (m[k], s[k]) for k in self.names}
+        self.rooms: dict[str, np.ndarray] = {}
         self.steps = 0
 
     def vector(self) -> np.ndarray:
@@ -37,71 +45,133 @@ class Attention:
             self.p[k] = flat[at: at + n].reshape(self.p[k].shape).astype(F32)
             at += n
 
+    def _parts(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+        """Views of one vector in the shapes of the parameters."""
+        ends = np.cumsum([self.p[k].size for k in self.names])
+        return {k: flat[end - self.p[k].size: end].reshape(self.p[k].shape) for k, end in zip(self.names, ends, strict=True)}
+
+    def _room(self, name: str, *shape: int) -> np.ndarray:
+        """An array that is written anew by each call: fresh memory costs more than the sums in it."""
+        size = math.prod(shape)
+        if name not in self.rooms or self.rooms[name].size < size:
+            self.rooms[name] = np.empty(size, F32)
+        return self.rooms[name][:size].reshape(shape)
+
+    def _product(self, name: str, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return np.matmul(left, right, out=self._room(name, *left.shape[:-1], right.shape[-1]))
+
     def _attend(self, x1: np.ndarray, x2: np.ndarray) -> tuple:
-        p = self.p
-        x = p["e1"][x1] + p["e2"][x2] + p["pos"]
-        q, k, v = x @ p["q"], x @ p["k"], x @ p["v"]
-        s = q @ k.transpose(0, 2, 1)
-        s *= F32(self.width ** -0.5)
-        s += self.mask
-        s -= s.max(axis=-1, keepdims=True)
-        a = np.exp(s, out=s)
-        a /= a.sum(axis=-1, keepdims=True)
-        z = a @ v
-        return x, q, k, v, a, z, x + z @ p["o"]
+        p, (n, length), width = self.p, x1.shape, self.width
+        x = np.take(p["e1"], x1, axis=0, out=self._room("x", n, length, width), mode="clip")
+        x += np.take(p["e2"], x2, axis=0, out=self._room("z", n, length, width), mode="clip")
+        x += p["pos"]
+        into = np.concatenate([p["q"] * F32(width ** -0.5), p["k"], p["v"]], axis=1)
+        qkv = self._product("qkv", x, into)
+        q, k, v = qkv[..., :width], qkv[..., width: 2 * width], qkv[..., 2 * width:]
+        a = self._product("a", q, k.transpose(0, 2, 1))
+        if _small(a):
+            np.exp(a, out=a)
+            a *= self.seen
+        else:
+            a += self.mask
+            a -= a.max(axis=-1, keepdims=True)
+            np.exp(a, out=a)
+        a *= (1 / (a @ np.ones(length, F32)))[..., None]
+        z = self._product("z", a, v)
+        h = self._product("h", z, p["o"])
+        h += x
+        return x, into, q, k, v, a, z, h
 
     def _predict(self, h: np.ndarray) -> tuple:
-        p = self.p
-        r = np.maximum(h @ p["w1"] + p["b1"], 0)
-        o = h + r @ p["w2"]
-        logits = o @ p["u"] + p["b"]
-        logits -= logits.max(axis=-1, keepdims=True)
+        """``o`` has a last column of ones, which takes the classes' bias."""
+        p, width = self.p, self.width
+        r = self._product("r", h, p["w1"])
+        r += p["b1"]
+        np.maximum(r, 0, out=r)
+        o = self._room("o", *h.shape[:-1], width + 1)
+        np.add(h, self._product("r2", r, p["w2"]), out=o[..., :width])
+        o[..., width] = 1
+        logits = self._product("logits", o, np.concatenate([p["u"], p["b"][None]]))
+        if not _small(logits):
+            logits -= logits.max(axis=-1, keepdims=True)
         return r, o, logits
 
     def log_probs(self, x1: np.ndarray, x2: np.ndarray, target: np.ndarray, live: np.ndarray | None = None) -> np.ndarray:
         """Natural log probability of each target class; all (windows, length).
         With ``live``, a mask, only of the targets in it, as one list."""
-        h = self._attend(x1, x2)[-1]
+        h, y = self._attend(x1, x2)[-1], target
         if live is not None:
-            h, target = h[live], target[live]
+            h, y = h[live], target[live]
         logits = self._predict(h)[-1]
-        picked = np.take_along_axis(logits, target[..., None], axis=-1)[..., 0]
-        return picked - np.log(np.exp(logits, out=logits).sum(axis=-1))
+        picked = np.take_along_axis(logits, y[..., None], axis=-1)[..., 0]
+        return picked - np.log(np.exp(logits, out=logits) @ np.ones(logits.shape[-1], F32))
 
     def step(self, x1: np.ndarray, x2: np.ndarray, target: np.ndarray, live: np.ndarray, rate: float) -> None:
         """One Adam step on the mean loss of the live targets."""
-        p, g = self.p, {}
-        x, q, k, v, a, z, h = self._attend(x1, x2)
+        p, g, width = self.p, {}, self.width
+        x, into, q, k, v, a, z, h = self._attend(x1, x2)
         r, o, logits = self._predict(h)
-        d = np.exp(logits)
-        d /= d.sum(axis=-1, keepdims=True)
-        np.put_along_axis(d, target[..., None], np.take_along_axis(d, target[..., None], -1) - 1, -1)
-        d *= (live / max(live.sum(), 1))[..., None].astype(F32)
-
-        def outer(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-            return left.reshape(-1, left.shape[-1]).T @ right.reshape(-1, right.shape[-1])
-
-        g["u"], g["b"] = outer(o, d), d.sum((0, 1))
-        do = d @ p["u"].T
-        g["w2"] = outer(r, do)
-        dr = (do @ p["w2"].T) * (r > 0)
-        g["w1"], g["b1"] = outer(h, dr), dr.sum((0, 1))
-        dh = do + dr @ p["w1"].T
-        g["o"] = outer(z, dh)
-        dz = dh @ p["o"].T
-        da = dz @ v.transpose(0, 2, 1)
-        dv = a.transpose(0, 2, 1) @ dz
-        ds = a * (da - (da * a).sum(-1, keepdims=True)) * F32(self.width ** -0.5)
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        g["q"], g["k"], g["v"] = outer(x, dq), outer(x, dk), outer(x, dv)
-        dx = dh + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
+        d = np.exp(logits, out=logits)
+        total = d @ np.ones(d.shape[-1], F32)
+        d.reshape(-1, d.shape[-1])[np.arange(target.size), target.ravel()] -= total.ravel()
+        # the loss's gradient by the logits is weight * d, position by position
+        weight = (live / (total * max(live.sum(), 1))).astype(F32)[..., None]
+        do = self._product("do", d, np.ascontiguousarray(p["u"].T))
+        do *= weight
+        o *= weight
+        by = _outer(o, d)
+        g["u"], g["b"] = by[:width], by[width]
+        g["w2"] = _outer(r, do)
+        dr = self._product("dr", do, p["w2"].T)
+        dr *= r > 0
+        g["w1"], g["b1"] = _outer(h, dr), _total(dr)
+        dh = do
+        dh += self._product("x2", dr, p["w1"].T)
+        g["o"] = _outer(z, dh)
+        dz = self._product("dz", dh, p["o"].T)
+        ds = self._product("ds", dz, v.transpose(0, 2, 1))
+        ds -= (np.multiply(dz, z, out=z) @ np.ones(width, F32))[..., None]
+        ds *= a
+        back = self._room("back", *x.shape[:2], 3 * width)
+        back[..., :width] = self._product("x2", ds, k)
+        back[..., width: 2 * width] = self._product("x2", ds.transpose(0, 2, 1), q)
+        back[..., 2 * width:] = self._product("x2", a.transpose(0, 2, 1), dz)
+        by = _outer(x, back)
+        g["q"], g["k"], g["v"] = by[:, :width] * F32(width ** -0.5), by[:, width: 2 * width], by[:, 2 * width:]
+        dx = dh
+        dx += self._product("x2", back, into.T)
         g["pos"] = dx.sum(0)
-        for name, x in (("e1", x1), ("e2", x2)):  # sums by class, as a product with the classes' indicators
-            g[name] = outer(np.eye(len(p[name]), dtype=F32)[x], dx)
+        dx = dx.reshape(-1, width)
+        g["e1"], g["e2"] = _sums(dx, x1.ravel(), len(p["e1"])), _sums(dx, x2.ravel(), len(p["e2"]))
         self.steps += 1
         fix = np.sqrt(1 - 0.999 ** self.steps) / (1 - 0.9 ** self.steps)
-        for name, grad in g.items():
-            m, s = self.moments[name]
-            m += F32(0.1) * (grad - m)
-            s += F32(0.001) * (grad * grad - s)
-            p[name] -= F32(rate * fix) * m / (np.sqrt(s) + F32(1e-8))
+        grad = np.concatenate([g[name].ravel() for name in self.names])
+        self.m += F32(0.1) * (grad - self.m)
+        self.s += F32(0.001) * (grad * grad - self.s)
+        for name, by in self._parts(F32(rate * fix) * self.m / (np.sqrt(self.s) + F32(1e-8))).items():
+            p[name] -= by
+
+
+def _small(x: np.ndarray) -> bool:
+    """Whether exponentials of ``x``, and their sums, keep within single precision as they are."""
+    return x.size == 0 or bool(x.max() < 60 and x.min() > -60)
+
+
+def _outer(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The sum over all positions of the products of their rows."""
+    return np.matmul(left.transpose(0, 2, 1), right).sum(0)
+
+
+def _total(rows: np.ndarray) -> np.ndarray:
+    rows = rows.reshape(-1, rows.shape[-1])
+    return np.ones(len(rows), F32) @ rows
+
+
+def _sums(rows: np.ndarray, classes: np.ndarray, n: int) -> np.ndarray:
+    """The sum of the rows of each class."""
+    order = np.argsort(classes, kind="stable")
+    classes = classes[order]
+    starts = np.flatnonzero(np.diff(classes, prepend=-1))
+    out = np.zeros((n, rows.shape[1]), F32)
+    out[classes[starts]] = np.add.reduceat(np.take(rows, order, axis=0), starts, axis=0)
+    return out

@@ -22,11 +22,11 @@ from __future__ import annotations
 import base64
 import math
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,7 +51,9 @@ GOLDEN = 0.6180339887498949
 #: Largest vocabulary that is broadcast (17 bytes a word); a larger one is joined by shuffle.
 BROADCAST_WORDS = 6_000_000
 _CACHE = 600_000
-_WINDOWS_AT_ONCE = 512
+#: Windows that are scored at once: their sums stay in a core's cache.
+_WINDOWS_AT_ONCE = 64
+_WORDS_AT_ONCE = 4_096
 
 
 def held_out(doc_id: Column) -> Column:
@@ -59,18 +61,15 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words as bytes, ASCII letters in lower case."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
-
-
 class Subwords:
     """First and last subword id of a word."""
 
     def __init__(self, ranks: bytes):
         import tiktoken
         table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
-        self.encoding = tiktoken.Encoding("subwords", pat_str=r"\s*\S+", mergeable_ranks=table, special_tokens={})
+        self.encoding = tiktoken.Encoding("subwords", pat_str=r"\s*\S+|^\s+$", mergeable_ranks=table, special_tokens={})
+        self.sizes = np.zeros(max(table.values(), default=0) + 1, np.int64)
+        self.sizes[list(table.values())] = [len(token) for token in table]
         self.known: dict[bytes, tuple[int, int]] = {}
 
     def __call__(self, word: bytes) -> tuple[int, int]:
@@ -82,6 +81,31 @@ class Subwords:
             found = self.known[word] = (ids[0], ids[-1])
         return found
 
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """First and last ids of many words, a row each.  Words are encoded as
+        one text, which the pattern cuts before each of them, but for those
+        that it would cut inside."""
+        out, whole = np.empty((len(words), 2), np.int32), np.fromiter(map(_whole, words), bool, len(words))
+        plain = np.flatnonzero(whole)
+        for at in range(0, len(plain), _WORDS_AT_ONCE):
+            some = plain[at: at + _WORDS_AT_ONCE]
+            chosen = [words[i] for i in some.tolist()]
+            ids = np.array(self.encoding.encode_ordinary(" " + b" ".join(chosen).decode()), np.int32)
+            last = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(word) + 1 for word in chosen]))
+            out[some, 1] = ids[last]
+            out[some, 0] = ids[np.concatenate([[0], last[:-1] + 1])]
+        for i in np.flatnonzero(~whole).tolist():
+            out[i] = self(words[i])
+        return out
+
+
+def _whole(word: bytes) -> bool:
+    """Whether a word is valid and without spaces beyond ASCII."""
+    if word.isascii():
+        return True
+    text = word.decode("utf-8", "replace")
+    return text.split() == [text] and "\ufffd" not in text
+
 
 _SUBWORDS: dict[bytes, Subwords] = {}
 
@@ -106,9 +130,18 @@ class Numbered(dict):
         self.new.append(word)
         return at
 
-    def of(self, text: str | None) -> np.ndarray:
-        words = words_of(text)
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all words of the texts, ASCII letters in lower case, one after the other, and each text's count of them."""
+        cut = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+        sizes, coded = pc.list_value_length(cut).to_numpy().astype(np.int64), cut.flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)
+        # a space at a text's begin or end leaves an empty word
+        number = np.array([self[word] if word else -1 for word in words], np.int64)
+        numbers = number[coded.indices.to_numpy()]
+        if (empty := numbers < 0).any():
+            sizes -= np.bincount(np.repeat(np.arange(len(sizes)), sizes)[empty], minlength=len(sizes))
+            numbers = numbers[~empty]
+        return numbers, sizes
 
     def fresh(self) -> list[bytes]:
         """The words that were numbered since the last call."""
@@ -126,69 +159,79 @@ def _ranks(path: str) -> bytes:
         return f.read()
 
 
-def word_counts(docs: DataFrame, ranks: bytes) -> DataFrame:
-    """w (word hash), first, last (subword ids), c: tokens of the training documents."""
+_ROWS = {"u": pa.float64(), "firsts": pa.list_(pa.int32()), "lasts": pa.list_(pa.int32()),
+         "w": pa.int64(), "first": pa.int32(), "last": pa.int32(), "c": pa.int64()}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cut, seen = subwords(ranks), Counter()
 
-        def flush() -> pd.DataFrame:
-            ids = np.array([cut(w) for w in seen], np.int32).reshape(-1, 2)
-            out = pd.DataFrame({"w": _hashes(list(seen)), "first": ids[:, 0], "last": ids[:, 1], "c": np.array(list(seen.values()), np.int64)})
-            seen.clear()
-            return out
+def _rows(n: int, **columns: np.ndarray) -> pa.RecordBatch:
+    """Rows of the columns given, windows as arrays of two dimensions; the other columns are null."""
+    def arrow(name: str, kind: pa.DataType) -> pa.Array:
+        if name not in columns:
+            return pa.nulls(n, kind)
+        values = np.ascontiguousarray(columns[name])
+        if values.ndim == 1:
+            return pa.array(values, kind)
+        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * values.shape[1]), pa.array(values.ravel(), kind.value_type))
 
-        for frame in batches:
-            for text in frame["text"]:
-                seen.update(words_of(text))
-            if len(seen) > 1_000_000:
-                yield flush()
-        yield flush()
+    return pa.RecordBatch.from_arrays([arrow(k, v) for k, v in _ROWS.items()], names=list(_ROWS))
 
-    counted = docs.select("text").mapInPandas(run, "w long, first int, last int, c long")
-    return counted.groupBy("w").agg(F.first("first").alias("first"), F.first("last").alias("last"), F.sum("c").alias("c"))
 
+def training_rows(docs: DataFrame, ranks: bytes) -> DataFrame:
+    """The windows of all training documents, and the words that a task met,
+    counted, from one reading of the texts.  Rows of windows have ``u``, rows of words ``w``."""
 
-def training_windows(docs: DataFrame, ranks: bytes) -> DataFrame:
-    """u, firsts, lasts: every training document in windows side by side, each
-    predicting the next LENGTH tokens, as subword ids, the token before it
-    first; -1 is the end of a text, -2 nothing.  ``u`` is seeded by the document
-    and the window's place in it."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cut, words, subword_ids = subwords(ranks), Numbered(), np.zeros((0, 2), np.int32)
-        place, rows, held = np.arange(LENGTH + 1), [], 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut, place = subwords(ranks), np.arange(LENGTH + 1)
+        words, ids, counts = Numbered(), np.zeros((0, 2), np.int32), np.zeros(0, np.int64)
 
-        def flush() -> pd.DataFrame:
-            nonlocal held
-            ids = np.concatenate([some for _, some in rows])
-            out = pd.DataFrame({"u": np.concatenate([u for u, _ in rows]), "firsts": list(ids[:, :, 0]), "lasts": list(ids[:, :, 1])})
-            rows.clear()
-            held = 0
-            return out
+        def counted() -> Iterator[pa.RecordBatch]:
+            hashes = _hashes(list(words))
+            for i in range(0, len(hashes), 10 * BATCH_ROWS):
+                j = slice(i, i + 10 * BATCH_ROWS)
+                yield _rows(len(hashes[j]), w=hashes[j], first=ids[j, 0], last=ids[j, 1], c=counts[j])
 
-        for frame in batches:
-            texts = [words.of(t) for t in frame["text"]]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tokens, sizes = words.of(batch.column("text"))
             if new := words.fresh():
-                subword_ids = np.concatenate([subword_ids, np.array([cut(w) for w in new], np.int32)])
-            for x, u in zip(texts, frame["u"], strict=True):
-                n = len(x) // LENGTH + 1  # window i predicts tokens i * LENGTH + 1 .. (i + 1) * LENGTH
-                ids = np.full((n * LENGTH + 1, 2), -2, np.int32)
-                ids[0] = ids[len(x) + 1] = -1
-                ids[1: len(x) + 1] = subword_ids[x]
-                u = (u + np.arange(n) * GOLDEN) % 1.0
-                for i in range(0, n, BATCH_ROWS):
-                    some = ids[np.arange(i, min(i + BATCH_ROWS, n))[:, None] * LENGTH + place]
-                    rows.append((u[i: i + BATCH_ROWS], some))
-                    held += len(some)
-                    if held >= BATCH_ROWS:
-                        yield flush()
+                ids = np.concatenate([ids, cut.of(new)])
+                counts = np.concatenate([counts, np.zeros(len(new), np.int64)])
+            counts += np.bincount(tokens, minlength=len(counts))
+            n = sizes // LENGTH + 1  # window i predicts tokens i * LENGTH + 1 .. (i + 1) * LENGTH
+            slots = n * LENGTH + 1
+            begins = np.cumsum(slots) - slots
+            flat = np.full((slots.sum(), 2), -2, np.int32)
+            flat[begins] = flat[begins + sizes + 1] = -1
+            flat[np.arange(len(tokens)) + np.repeat(begins + 1 - (np.cumsum(sizes) - sizes), sizes)] = ids[tokens]
+            i = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            starts, u = np.repeat(begins, n) + i * LENGTH, (np.repeat(batch.column("u").to_numpy(), n) + i * GOLDEN) % 1.0
+            for at in range(0, len(starts), 10 * BATCH_ROWS):
+                some = flat[starts[at: at + 10 * BATCH_ROWS, None] + place]
+                yield _rows(len(some), u=u[at: at + 10 * BATCH_ROWS], firsts=some[:, :, 0], lasts=some[:, :, 1])
             if len(words) > _CACHE:
-                words, subword_ids = Numbered(), subword_ids[:0]
-        if rows:
-            yield flush()
+                yield from counted()
+                words, ids, counts = Numbered(), ids[:0], counts[:0]
+        yield from counted()
 
-    return docs.select("text", "u").mapInPandas(run, "u double, firsts array<int>, lasts array<int>")
+    return docs.select("text", "u").mapInArrow(run, "u double, firsts array<int>, lasts array<int>, w long, first int, last int, c long")
+
+
+def word_counts(rows: DataFrame) -> DataFrame:
+    """w (word hash), first, last (subword ids), c: tokens of the training documents."""
+    return rows.where("w IS NOT NULL").groupBy("w").agg(F.first("first").alias("first"), F.first("last").alias("last"), F.sum("c").alias("c"))
+
+
+def windows_of(rows: DataFrame) -> DataFrame:
+    return rows.where("u IS NOT NULL").select("u", "firsts", "lasts")
+
+
+def training_windows(docs: DataFrame, ranks: bytes) -> DataFrame:
+    """u, firsts, lasts: every training document in windows side by side, each
+    predicting the next LENGTH tokens, as subword ids, the token before it
+    first; -1 is the end of a text, -2 nothing.  ``u`` is seeded by the document
+    and the window's place in it."""
+    return windows_of(training_rows(docs, ranks))
 
 
 class Classes:
@@ -219,8 +262,8 @@ def _model(weights: np.ndarray | None = None) -> Attention:
     return model
 
 
-def _arrays(frame: pd.DataFrame, classes: Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    first, last = np.stack(frame["firsts"].to_numpy()), np.stack(frame["lasts"].to_numpy())
+def _arrays(windows: pa.RecordBatch, classes: Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    first, last = (windows.column(name).flatten().to_numpy().reshape(-1, LENGTH + 1) for name in ("firsts", "lasts"))
     a, b = classes.of_first(first), classes.of_last(last)
     return a[:, :-1], b[:, :-1], a[:, 1:].astype(np.int64), first[:, 1:] != -2
 
@@ -231,10 +274,10 @@ def fit(spark: SparkSession, windows: DataFrame, classes: Classes, prior: np.nda
     model = _model()
     model.p["b"] = prior.astype(np.float32)
     n = windows.count()
-    sample = windows.where(F.col("u") * n < 2 * WARM_WINDOWS).orderBy("u", "firsts").limit(WARM_WINDOWS).toPandas() if n else pd.DataFrame()
+    sample = windows.where(F.col("u") * n < 2 * WARM_WINDOWS).orderBy("u", "firsts").limit(WARM_WINDOWS).toArrow().combine_chunks() if n else []
     if not len(sample):
         return model.vector()
-    x1, x2, y, live = _arrays(sample, classes)
+    x1, x2, y, live = _arrays(sample.to_batches()[0], classes)
     rng = np.random.default_rng(SEED)
     for turn in range(WARM_PASSES):
         order = rng.permutation(len(x1))
@@ -245,18 +288,18 @@ def fit(spark: SparkSession, windows: DataFrame, classes: Classes, prior: np.nda
     for _ in range(ROUNDS):
         now = weights
 
-        def replica(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def replica(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             local, seen = _model(now), 0
-            for frame in batches:
-                a, b, t, alive = _arrays(frame, classes)
+            for batch in batches:
+                a, b, t, alive = _arrays(batch, classes)
                 for i in range(0, len(a), BATCH):
                     local.step(a[i: i + BATCH], b[i: i + BATCH], t[i: i + BATCH], alive[i: i + BATCH], LATE_RATE)
                 seen += len(a)
             if seen:
                 flat = local.vector().astype(float)
-                yield pd.DataFrame({"i": np.arange(len(flat), dtype=np.int32), "v": flat * seen, "n": seen})
+                yield pa.RecordBatch.from_pydict({"i": np.arange(len(flat), dtype=np.int32), "v": flat * seen, "n": np.full(len(flat), seen)})
 
-        sums = windows.select("firsts", "lasts").mapInPandas(replica, "i int, v double, n long").groupBy("i").agg(
+        sums = windows.select("firsts", "lasts").mapInArrow(replica, "i int, v double, n long").groupBy("i").agg(
             (F.sum("v") / F.sum("n")).alias("v")).orderBy("i").toPandas()
         weights = sums["v"].to_numpy(np.float32)
     return weights
@@ -272,27 +315,29 @@ class Scorer:
     def forget(self) -> None:
         self.index = Numbered()
         self.first, self.last = np.zeros(0, np.int16), np.zeros(0, np.int16)
-        self.count, self.hash = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.count, self.log, self.hash = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
 
     def _learn(self, new: list[bytes]) -> None:
-        ids, h = np.array([self.cut(w) for w in new], np.int64), _hashes(new)
+        ids, h = self.cut.of(new), _hashes(new)
         count = np.zeros(len(new), np.int64)
         if self.vocabulary is not None and len(self.vocabulary[0]):
             words, counts = self.vocabulary
-            i = np.minimum(np.searchsorted(words, h), len(words) - 1)
-            count = np.where(words[i] == h, counts[i], 0)
+            order = np.argsort(h)  # neighbours are found near each other
+            i = np.minimum(np.searchsorted(words, h[order]), len(words) - 1)
+            count[order] = np.where(words[i] == h[order], counts[i], 0)
         self.first = np.concatenate([self.first, self.classes.of_first(ids[:, 0]).astype(np.int16)])
         self.last = np.concatenate([self.last, self.classes.of_last(ids[:, 1]).astype(np.int16)])
         self.count, self.hash = np.concatenate([self.count, count]), np.concatenate([self.hash, h])
+        self.log = np.concatenate([self.log, np.log10(count + SMOOTHING)])
 
-    def ids(self, texts: list[str | None]) -> list[np.ndarray]:
+    def ids(self, texts: pa.Array | list[str | None]) -> list[np.ndarray]:
         """Numbers of the words of each text: good for one batch."""
         if len(self.index) > _CACHE:
             self.forget()
-        out = [self.index.of(t) for t in texts]
+        numbers, sizes = self.index.of(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
         if new := self.index.fresh():
             self._learn(new)
-        return out
+        return np.split(numbers, np.cumsum(sizes)[:-1]) if len(sizes) else []
 
     def class_scores(self, ids: list[np.ndarray]) -> np.ndarray:
         """Natural log probability of each text's classes, its end included."""
@@ -349,7 +394,8 @@ def score(spark: SparkSession, docs: DataFrame, tokenizer: str = TOKENIZER, broa
     train = docs.where(~held_out(F.col("doc_id"))).select(F.coalesce("text", F.lit("")).alias("text"),
                                                          uniform(SEED, F.col("doc_id"), text_key(F.col("text"))).alias("u"))
     n_train = train.count()
-    vocabulary = staged(spark, word_counts(train, ranks), "lm-words")
+    rows = staged(spark, training_rows(train, ranks), "lm-rows")
+    vocabulary = staged(spark, word_counts(rows), "lm-words")
     n_words, in_words = vocabulary.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
 
     def frequent(column: str, n: int) -> list[int]:
@@ -365,8 +411,7 @@ def score(spark: SparkSession, docs: DataFrame, tokenizer: str = TOKENIZER, broa
         n_class[k], v_class[k] = r["c"], r["v"]
     tokens, distinct = in_words + n_train, n_words + (n_train > 0)
     prior = np.log(np.concatenate([[n_train], n_class[1:]]) + 1.0)
-    windows = staged(spark, training_windows(train, ranks), "lm-windows")
-    weights = fit(spark, windows, classes, prior - prior.max())
+    weights = fit(spark, windows_of(rows), classes, prior - prior.max())
     base = math.log10(tokens + SMOOTHING * (distinct + 1))
     inside = np.log10(n_class + SMOOTHING * (v_class + 1))
     end_base = math.log10(n_train + SMOOTHING) - base
@@ -381,38 +426,37 @@ def score(spark: SparkSession, docs: DataFrame, tokenizer: str = TOKENIZER, broa
 
     step = uuid.uuid4().hex
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = kept_scorer(step, lambda: Scorer(ranks, classes, weights, words.value if words is not None else None))
-        for frame in batches:
-            ids = scorer.ids(frame["text"].tolist())
-            out = frame[["doc_id", "held_out"]].copy()
-            out["n_tokens"] = [len(x) + 1 for x in ids]
-            out["class_score"] = scorer.class_scores(ids) * to10
-            # what the classes' totals take from each word's smoothed count
-            out["class_total"] = [inside[scorer.first[x]].sum() for x in ids]
+        for batch in batches:
+            ids = scorer.ids(batch.column("text"))
+            out = {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"),
+                   "n_tokens": np.array([len(x) + 1 for x in ids], np.int64), "class_score": scorer.class_scores(ids) * to10,
+                   # what the classes' totals take from each word's smoothed count
+                   "class_total": np.array([inside[scorer.first[x]].sum() for x in ids], float)}
             if words is not None:
-                out["n_known"] = [int((scorer.count[x] > 0).sum()) for x in ids]
-                out["count_score"] = [np.log10(scorer.count[x] + SMOOTHING).sum() for x in ids]
+                out["n_known"] = np.array([(scorer.count[x] > 0).sum() for x in ids], np.int64)
+                out["count_score"] = np.array([scorer.log[x].sum() for x in ids], float)
             else:
                 pairs = [np.unique(scorer.hash[x], return_counts=True) for x in ids]
-                out["uid"] = frame["uid"]
-                out["words"] = [w for w, _ in pairs]
-                out["times"] = [n for _, n in pairs]
-            yield out
+                out["uid"] = batch.column("uid")
+                out["words"] = pa.array([w for w, _ in pairs], pa.list_(pa.int64()))
+                out["times"] = pa.array([n for _, n in pairs], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_pydict(out)
 
     kind = dict(docs.select("doc_id").dtypes)["doc_id"]
     texts = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     common = f"doc_id {kind}, held_out boolean, n_tokens long, class_score double, class_total double"
     if small:
-        scored = texts.mapInPandas(run, f"{common}, n_known long, count_score double")
+        scored = texts.mapInArrow(run, f"{common}, n_known long, count_score double")
     else:
-        rows = texts.withColumn("uid", F.monotonically_increasing_id())
-        rows = staged(spark, rows.mapInPandas(run, f"{common}, uid long, words array<long>, times array<long>"), "lm-rows")
-        each = rows.select("uid", F.explode(F.arrays_zip("words", "times")).alias("x")).select("uid", F.col("x.words").alias("w"), F.col("x.times").alias("n"))
+        parts = texts.withColumn("uid", F.monotonically_increasing_id())
+        parts = staged(spark, parts.mapInArrow(run, f"{common}, uid long, words array<long>, times array<long>"), "lm-parts")
+        each = parts.select("uid", F.explode(F.arrays_zip("words", "times")).alias("x")).select("uid", F.col("x.words").alias("w"), F.col("x.times").alias("n"))
         met = each.join(vocabulary.select("w", "c"), "w", "left").groupBy("uid").agg(
             F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("n_known"),
             F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(SMOOTHING))).alias("count_score"))
-        scored = rows.join(met, "uid", "left").withColumns({"n_known": F.coalesce("n_known", F.lit(0)), "count_score": F.coalesce("count_score", F.lit(0.0))})
+        scored = parts.join(met, "uid", "left").withColumns({"n_known": F.coalesce("n_known", F.lit(0)), "count_score": F.coalesce("count_score", F.lit(0.0))})
     return scored.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.lit(1 if n_train else 0)).cast("long").alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
