@@ -27,11 +27,10 @@ class Attention:
                   "b": np.zeros(classes, F32)}
         self.seen = np.tril(np.ones((length, length), F32))
         self.mask = np.triu(np.full((length, length), -1e9, F32), 1)
-        self.names = list(self.p)
-        size = sum(v.size for v in self.p.values())
-        self.m, self.s = np.zeros(size, F32), np.zeros(size, F32)
-        m, s = self._parts(self.m), self._parts(self.s)
-        self.moments = {k: (m[k], s[k]) for k in self.names}
+        ends = np.cumsum([v.size for v in self.p.values()]).tolist()
+        self.places = {k: (end - v.size, end) for (k, v), end in zip(self.p.items(), ends, strict=True)}
+        self.m, self.s = np.zeros(ends[-1], F32), np.zeros(ends[-1], F32)
+        self.moments = {k: tuple(x[at: end].reshape(self.p[k].shape) for x in (self.m, self.s)) for k, (at, end) in self.places.items()}
         self.rooms: dict[str, np.ndarray] = {}
         self.steps = 0
 
@@ -45,11 +44,6 @@ class Attention:
             self.p[k] = flat[at: at + n].reshape(self.p[k].shape).astype(F32)
             at += n
 
-    def _parts(self, flat: np.ndarray) -> dict[str, np.ndarray]:
-        """Views of one vector in the shapes of the parameters."""
-        ends = np.cumsum([self.p[k].size for k in self.names])
-        return {k: flat[end - self.p[k].size: end].reshape(self.p[k].shape) for k, end in zip(self.names, ends, strict=True)}
-
     def _room(self, name: str, *shape: int) -> np.ndarray:
         """An array that is written anew by each call: fresh memory costs more than the sums in it."""
         size = math.prod(shape)
@@ -101,9 +95,10 @@ class Attention:
         With ``live``, a mask, only of the targets in it, as one list."""
         h, y = self._attend(x1, x2)[-1], target
         if live is not None:
-            h, y = h[live], target[live]
+            at = np.flatnonzero(live)
+            h, y = np.take(h.reshape(-1, self.width), at, axis=0), np.take(target, at)
         logits = self._predict(h)[-1]
-        picked = np.take_along_axis(logits, y[..., None], axis=-1)[..., 0]
+        picked = logits.reshape(-1, logits.shape[-1])[np.arange(y.size), y.ravel()].reshape(y.shape)
         return picked - np.log(np.exp(logits, out=logits) @ np.ones(logits.shape[-1], F32))
 
     def step(self, x1: np.ndarray, x2: np.ndarray, target: np.ndarray, live: np.ndarray, rate: float) -> None:
@@ -122,34 +117,36 @@ class Attention:
         by = _outer(o, d)
         g["u"], g["b"] = by[:width], by[width]
         g["w2"] = _outer(r, do)
-        dr = self._product("dr", do, p["w2"].T)
+        dr = self._product("dr", do, np.ascontiguousarray(p["w2"].T))
         dr *= r > 0
         g["w1"], g["b1"] = _outer(h, dr), _total(dr)
         dh = do
-        dh += self._product("x2", dr, p["w1"].T)
+        dh += self._product("x2", dr, np.ascontiguousarray(p["w1"].T))
         g["o"] = _outer(z, dh)
-        dz = self._product("dz", dh, p["o"].T)
+        dz = self._product("dz", dh, np.ascontiguousarray(p["o"].T))
         ds = self._product("ds", dz, v.transpose(0, 2, 1))
         ds -= (np.multiply(dz, z, out=z) @ np.ones(width, F32))[..., None]
         ds *= a
         back = self._room("back", *x.shape[:2], 3 * width)
-        back[..., :width] = self._product("x2", ds, k)
-        back[..., width: 2 * width] = self._product("x2", ds.transpose(0, 2, 1), q)
-        back[..., 2 * width:] = self._product("x2", a.transpose(0, 2, 1), dz)
+        np.matmul(ds, k, out=back[..., :width])
+        np.matmul(ds.transpose(0, 2, 1), q, out=back[..., width: 2 * width])
+        np.matmul(a.transpose(0, 2, 1), dz, out=back[..., 2 * width:])
         by = _outer(x, back)
         g["q"], g["k"], g["v"] = by[:, :width] * F32(width ** -0.5), by[:, width: 2 * width], by[:, 2 * width:]
         dx = dh
-        dx += self._product("x2", back, into.T)
+        dx += self._product("x2", back, np.ascontiguousarray(into.T))
         g["pos"] = dx.sum(0)
-        dx = dx.reshape(-1, width)
-        g["e1"], g["e2"] = _sums(dx, x1.ravel(), len(p["e1"])), _sums(dx, x2.ravel(), len(p["e2"]))
+        dx, n = dx.reshape(-1, width), len(p["e1"])
+        by = _sums(np.concatenate([dx, dx]), np.concatenate([x1.ravel(), x2.ravel() + n]), n + len(p["e2"]))
+        g["e1"], g["e2"] = by[:n], by[n:]
         self.steps += 1
         fix = np.sqrt(1 - 0.999 ** self.steps) / (1 - 0.9 ** self.steps)
-        grad = np.concatenate([g[name].ravel() for name in self.names])
+        grad = np.concatenate([g[name].ravel() for name in self.places])
         self.m += F32(0.1) * (grad - self.m)
         self.s += F32(0.001) * (grad * grad - self.s)
-        for name, by in self._parts(F32(rate * fix) * self.m / (np.sqrt(self.s) + F32(1e-8))).items():
-            p[name] -= by
+        by = F32(rate * fix) * self.m / (np.sqrt(self.s) + F32(1e-8))
+        for name, (at, end) in self.places.items():
+            p[name] -= by[at: end].reshape(p[name].shape)
 
 
 def _small(x: np.ndarray) -> bool:

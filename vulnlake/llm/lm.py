@@ -48,7 +48,7 @@ ROUNDS, BATCH, RATE, LATE_RATE = 2, 64, 0.01, 0.003
 SEED = 5
 #: Spreads the windows of a document evenly over [0, 1).
 GOLDEN = 0.6180339887498949
-#: Largest vocabulary that is broadcast (17 bytes a word); a larger one is joined by shuffle.
+#: Largest vocabulary that is broadcast (24 bytes a word); a larger one is joined by shuffle.
 BROADCAST_WORDS = 6_000_000
 _CACHE = 600_000
 #: Windows that are scored at once: their sums stay in a core's cache.
@@ -70,6 +70,7 @@ class Subwords:
         self.encoding = tiktoken.Encoding("subwords", pat_str=r"\s*\S+|^\s+$", mergeable_ranks=table, special_tokens={})
         self.sizes = np.zeros(max(table.values(), default=0) + 1, np.int64)
         self.sizes[list(table.values())] = [len(token) for token in table]
+        self.packing = np.dtype(np.uint16 if len(self.sizes) + 2 <= 1 << 16 else np.uint32)
         self.known: dict[bytes, tuple[int, int]] = {}
 
     def __call__(self, word: bytes) -> tuple[int, int]:
@@ -85,7 +86,9 @@ class Subwords:
         """First and last ids of many words, a row each.  Words are encoded as
         one text, which the pattern cuts before each of them, but for those
         that it would cut inside."""
-        out, whole = np.empty((len(words), 2), np.int32), np.fromiter(map(_whole, words), bool, len(words))
+        out, whole = np.empty((len(words), 2), np.int32), np.fromiter(map(bytes.isascii, words), bool, len(words))
+        for i in np.flatnonzero(~whole).tolist():
+            whole[i] = _whole(words[i])
         plain = np.flatnonzero(whole)
         for at in range(0, len(plain), _WORDS_AT_ONCE):
             some = plain[at: at + _WORDS_AT_ONCE]
@@ -101,8 +104,6 @@ class Subwords:
 
 def _whole(word: bytes) -> bool:
     """Whether a word is valid and without spaces beyond ASCII."""
-    if word.isascii():
-        return True
     text = word.decode("utf-8", "replace")
     return text.split() == [text] and "\ufffd" not in text
 
@@ -159,21 +160,24 @@ def _ranks(path: str) -> bytes:
         return f.read()
 
 
-_ROWS = {"u": pa.float64(), "firsts": pa.list_(pa.int32()), "lasts": pa.list_(pa.int32()),
-         "w": pa.int64(), "first": pa.int32(), "last": pa.int32(), "c": pa.int64()}
+_ROWS = {"u": pa.float64(), "ids": pa.binary(), "w": pa.int64(), "first": pa.int32(), "last": pa.int32(), "c": pa.int64()}
+
+
+def _rows(n: int, **columns: np.ndarray | pa.Array) -> pa.RecordBatch:
+    """Rows of the columns given; the others are null."""
+    return pa.RecordBatch.from_arrays([pa.array(columns[k], v) if k in columns else pa.nulls(n, v) for k, v in _ROWS.items()], names=list(_ROWS))
+
 
+def _packed(ids: np.ndarray, kind: np.dtype) -> pa.Array:
+    """Windows of first and last ids, (windows, 2, LENGTH + 1), as bytes; ids are moved by 2 to have no sign."""
+    width = ids[:1].size * kind.itemsize or kind.itemsize
+    flat = (ids + 2).astype(kind).tobytes()
+    return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(np.arange(len(ids) + 1, dtype=np.int32) * np.int32(width)), pa.py_buffer(flat)])
 
-def _rows(n: int, **columns: np.ndarray) -> pa.RecordBatch:
-    """Rows of the columns given, windows as arrays of two dimensions; the other columns are null."""
-    def arrow(name: str, kind: pa.DataType) -> pa.Array:
-        if name not in columns:
-            return pa.nulls(n, kind)
-        values = np.ascontiguousarray(columns[name])
-        if values.ndim == 1:
-            return pa.array(values, kind)
-        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * values.shape[1]), pa.array(values.ravel(), kind.value_type))
 
-    return pa.RecordBatch.from_arrays([arrow(k, v) for k, v in _ROWS.items()], names=list(_ROWS))
+def _unpacked(column: pa.Array, kind: np.dtype) -> np.ndarray:
+    joined = b"".join(column.to_numpy(zero_copy_only=False))
+    return np.frombuffer(joined, kind).reshape(len(column), 2, LENGTH + 1).astype(np.int32) - 2
 
 
 def training_rows(docs: DataFrame, ranks: bytes) -> DataFrame:
@@ -182,6 +186,7 @@ def training_rows(docs: DataFrame, ranks: bytes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, place = subwords(ranks), np.arange(LENGTH + 1)
+        kind = cut.packing
         words, ids, counts = Numbered(), np.zeros((0, 2), np.int32), np.zeros(0, np.int64)
 
         def counted() -> Iterator[pa.RecordBatch]:
@@ -208,13 +213,13 @@ def training_rows(docs: DataFrame, ranks: bytes) -> DataFrame:
             starts, u = np.repeat(begins, n) + i * LENGTH, (np.repeat(batch.column("u").to_numpy(), n) + i * GOLDEN) % 1.0
             for at in range(0, len(starts), 10 * BATCH_ROWS):
                 some = flat[starts[at: at + 10 * BATCH_ROWS, None] + place]
-                yield _rows(len(some), u=u[at: at + 10 * BATCH_ROWS], firsts=some[:, :, 0], lasts=some[:, :, 1])
+                yield _rows(len(some), u=u[at: at + 10 * BATCH_ROWS], ids=_packed(some.transpose(0, 2, 1), kind))
             if len(words) > _CACHE:
                 yield from counted()
                 words, ids, counts = Numbered(), ids[:0], counts[:0]
         yield from counted()
 
-    return docs.select("text", "u").mapInArrow(run, "u double, firsts array<int>, lasts array<int>, w long, first int, last int, c long")
+    return docs.select("text", "u").mapInArrow(run, "u double, ids binary, w long, first int, last int, c long")
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
@@ -223,7 +228,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
 
 def windows_of(rows: DataFrame) -> DataFrame:
-    return rows.where("u IS NOT NULL").select("u", "firsts", "lasts")
+    return rows.where("u IS NOT NULL").select("u", "ids")
 
 
 def training_windows(docs: DataFrame, ranks: bytes) -> DataFrame:
@@ -231,7 +236,13 @@ def training_windows(docs: DataFrame, ranks: bytes) -> DataFrame:
     predicting the next LENGTH tokens, as subword ids, the token before it
     first; -1 is the end of a text, -2 nothing.  ``u`` is seeded by the document
     and the window's place in it."""
-    return windows_of(training_rows(docs, ranks))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = _unpacked(batch.column("ids"), subwords(ranks).packing)
+            yield pa.RecordBatch.from_pydict({"u": batch.column("u"), "firsts": pa.array(list(ids[:, 0])), "lasts": pa.array(list(ids[:, 1]))})
+
+    return windows_of(training_rows(docs, ranks)).mapInArrow(run, "u double, firsts array<int>, lasts array<int>")
 
 
 class Classes:
@@ -262,22 +273,23 @@ def _model(weights: np.ndarray | None = None) -> Attention:
     return model
 
 
-def _arrays(windows: pa.RecordBatch, classes: Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    first, last = (windows.column(name).flatten().to_numpy().reshape(-1, LENGTH + 1) for name in ("firsts", "lasts"))
+def _arrays(windows: pa.RecordBatch, classes: Classes, kind: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    ids = _unpacked(windows.column("ids"), kind)
+    first, last = ids[:, 0], ids[:, 1]
     a, b = classes.of_first(first), classes.of_last(last)
     return a[:, :-1], b[:, :-1], a[:, 1:].astype(np.int64), first[:, 1:] != -2
 
 
-def fit(spark: SparkSession, windows: DataFrame, classes: Classes, prior: np.ndarray) -> np.ndarray:
+def fit(spark: SparkSession, windows: DataFrame, classes: Classes, prior: np.ndarray, kind: np.dtype) -> np.ndarray:
     """Weights: a warm start on a bounded sample of windows on the driver, then
     rounds of training in parallel; of each round the driver gets one mean per weight."""
     model = _model()
     model.p["b"] = prior.astype(np.float32)
     n = windows.count()
-    sample = windows.where(F.col("u") * n < 2 * WARM_WINDOWS).orderBy("u", "firsts").limit(WARM_WINDOWS).toArrow().combine_chunks() if n else []
+    sample = windows.where(F.col("u") * n < 2 * WARM_WINDOWS).orderBy("u", "ids").limit(WARM_WINDOWS).toArrow().combine_chunks() if n else []
     if not len(sample):
         return model.vector()
-    x1, x2, y, live = _arrays(sample.to_batches()[0], classes)
+    x1, x2, y, live = _arrays(sample.to_batches()[0], classes, kind)
     rng = np.random.default_rng(SEED)
     for turn in range(WARM_PASSES):
         order = rng.permutation(len(x1))
@@ -291,7 +303,7 @@ def fit(spark: SparkSession, windows: DataFrame, classes: Classes, prior: np.nda
         def replica(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             local, seen = _model(now), 0
             for batch in batches:
-                a, b, t, alive = _arrays(batch, classes)
+                a, b, t, alive = _arrays(batch, classes, kind)
                 for i in range(0, len(a), BATCH):
                     local.step(a[i: i + BATCH], b[i: i + BATCH], t[i: i + BATCH], alive[i: i + BATCH], LATE_RATE)
                 seen += len(a)
@@ -299,7 +311,7 @@ def fit(spark: SparkSession, windows: DataFrame, classes: Classes, prior: np.nda
                 flat = local.vector().astype(float)
                 yield pa.RecordBatch.from_pydict({"i": np.arange(len(flat), dtype=np.int32), "v": flat * seen, "n": np.full(len(flat), seen)})
 
-        sums = windows.select("firsts", "lasts").mapInArrow(replica, "i int, v double, n long").groupBy("i").agg(
+        sums = windows.select("ids").mapInArrow(replica, "i int, v double, n long").groupBy("i").agg(
             (F.sum("v") / F.sum("n")).alias("v")).orderBy("i").toPandas()
         weights = sums["v"].to_numpy(np.float32)
     return weights
@@ -308,7 +320,8 @@ def fit(spark: SparkSession, windows: DataFrame, classes: Classes, prior: np.nda
 class Scorer:
     """Scores texts with the model; holds what it learned of frequent words."""
 
-    def __init__(self, ranks: bytes, classes: Classes, weights: np.ndarray, vocabulary: tuple[np.ndarray, np.ndarray] | None):
+    def __init__(self, ranks: bytes, classes: Classes, weights: np.ndarray, vocabulary: tuple[np.ndarray, ...] | None):
+        """``vocabulary``: sorted word hashes, their counts and, if at hand, their first and last ids."""
         self.cut, self.classes, self.model, self.vocabulary = subwords(ranks), classes, _model(weights), vocabulary
         self.forget()
 
@@ -318,13 +331,18 @@ class Scorer:
         self.count, self.log, self.hash = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
 
     def _learn(self, new: list[bytes]) -> None:
-        ids, h = self.cut.of(new), _hashes(new)
-        count = np.zeros(len(new), np.int64)
+        ids, h = np.zeros((len(new), 2), np.int32), _hashes(new)
+        count, strange = np.zeros(len(new), np.int64), np.ones(len(new), bool)
         if self.vocabulary is not None and len(self.vocabulary[0]):
-            words, counts = self.vocabulary
+            words, counts, *known = self.vocabulary
             order = np.argsort(h)  # neighbours are found near each other
             i = np.minimum(np.searchsorted(words, h[order]), len(words) - 1)
-            count[order] = np.where(words[i] == h[order], counts[i], 0)
+            met, i = order[words[i] == h[order]], i[words[i] == h[order]]
+            count[met] = counts[i]
+            if known:
+                ids[met, 0], ids[met, 1] = known[0][i], known[1][i]
+                strange[met] = False
+        ids[strange] = self.cut.of([new[j] for j in np.flatnonzero(strange).tolist()])
         self.first = np.concatenate([self.first, self.classes.of_first(ids[:, 0]).astype(np.int16)])
         self.last = np.concatenate([self.last, self.classes.of_last(ids[:, 1]).astype(np.int16)])
         self.count, self.hash = np.concatenate([self.count, count]), np.concatenate([self.hash, h])
@@ -411,7 +429,7 @@ def score(spark: SparkSession, docs: DataFrame, tokenizer: str = TOKENIZER, broa
         n_class[k], v_class[k] = r["c"], r["v"]
     tokens, distinct = in_words + n_train, n_words + (n_train > 0)
     prior = np.log(np.concatenate([[n_train], n_class[1:]]) + 1.0)
-    weights = fit(spark, windows_of(rows), classes, prior - prior.max())
+    weights = fit(spark, windows_of(rows), classes, prior - prior.max(), subwords(ranks).packing)
     base = math.log10(tokens + SMOOTHING * (distinct + 1))
     inside = np.log10(n_class + SMOOTHING * (v_class + 1))
     end_base = math.log10(n_train + SMOOTHING) - base
@@ -419,10 +437,9 @@ def score(spark: SparkSession, docs: DataFrame, tokenizer: str = TOKENIZER, broa
     small = n_words <= broadcast_words
     words = None
     if small:
-        table = vocabulary.select("w", "c").toArrow()  # at most broadcast_words rows
-        hashes, counts = table["w"].to_numpy(), table["c"].to_numpy()
-        order = np.argsort(hashes)
-        words = spark.sparkContext.broadcast((hashes[order], counts[order]))
+        table = vocabulary.select("w", "c", "first", "last").toArrow()  # at most broadcast_words rows
+        order = np.argsort(table["w"].to_numpy())
+        words = spark.sparkContext.broadcast(tuple(table[name].to_numpy()[order] for name in ("w", "c", "first", "last")))
 
     step = uuid.uuid4().hex
 
