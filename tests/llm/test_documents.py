@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.conftest import SF_SMALL
@@ -390,6 +391,46 @@ def test_scores_are_proper_and_both_joins_agree(spark, make_docs, words):
     assert lm.score(spark, make_docs([])).count() == 0
 
 
+def test_a_step_reuses_its_arrays_and_equals_the_plain_sums():
+    """Sums by class, grouped products and arrays written anew leave nothing of the call before."""
+    rng = np.random.default_rng(4)
+    rows, classes = rng.normal(size=(256, 3)).astype(np.float32), rng.integers(0, 9, 256).astype(np.int16)
+    assert np.allclose(attention._sums(rows, classes, 11), np.eye(11)[classes].T @ rows, atol=1e-4)
+    left, right = rng.normal(size=(8, 32, 4)), rng.normal(size=(8, 32, 5))
+    assert np.allclose(attention._outer(left, right), left.reshape(-1, 4).T @ right.reshape(-1, 5))
+    batches = [tuple(rng.integers(0, 5, (n, 6)) for _ in range(3)) for n in (4, 3, 4)]
+    used, fresh = (attention.Attention(7, 5, 6, seed=1) for _ in range(2))
+    for x1, x2, y in batches:
+        fresh.rooms.clear()
+        for model in (used, fresh):
+            model.step(x1, x2, y, np.ones(y.shape, bool), 0.01)
+    assert np.array_equal(used.vector(), fresh.vector()) and set(used.rooms) == set(fresh.rooms)
+    at = {name: id(room) for name, room in used.rooms.items()}
+    used.step(*batches[0], np.ones((4, 6), bool), 0.01)
+    assert {name: id(room) for name, room in used.rooms.items()} == at
+
+
+def test_large_logits_neither_overflow_nor_vanish():
+    model = attention.Attention(7, 5, 6, seed=1)
+    model.p["b"] = np.array([500, -500, 0, 0, 0, 0, 0], np.float32)
+    model.p["q"] = model.p["q"] * 1e4
+    x = np.array([[1, 2, 3, 4, 0, 1]])
+    assert np.allclose(model.log_probs(x, x, np.zeros_like(x)), 0) and np.isfinite(model.log_probs(x, x, x)).all()
+
+
+def test_words_are_cut_and_encoded_together(spark, make_docs):
+    """Many words at once get the ids of each alone; words of foreign spaces only have ids too."""
+    texts = ["  The caf\u00e9 the\tTHE\n", None, "", " ", "a\u00a0b \u3000 x\u2003 \ufffd z\x1fy \u0085", "ÀB the"]
+    words = lm.Numbered()
+    numbers, sizes = words.of(pa.array(texts, pa.string()))
+    plain = [(t or "").encode().lower().split() for t in texts]
+    assert sizes.tolist() == [len(w) for w in plain] and [list(words)[i] for i in numbers] == [w for ws in plain for w in ws]
+    cut, all_words = lm.subwords(lm._ranks(lm.TOKENIZER)), [*words, b"\xff\xfe", "\u3000".encode()]
+    assert cut.of(all_words).tolist() == [list(cut(w)) for w in all_words] and cut.of([]).shape == (0, 2)
+    got = {r.doc_id: r for r in lm.score(spark, make_docs(list(enumerate(texts)))).collect()}
+    assert [got[i].n_tokens - 1 for i in range(len(texts))] == [len(w) for w in plain] and all(math.isfinite(r.score) for r in got.values())
+
+
 def test_model_beats_the_base_on_held_out_documents(spark):
     rows = lm.score(spark, table(spark, SF_SMALL, "documents")).where("held_out").collect()
     assert rows and sum(r.score for r in rows) > sum(r.base_score for r in rows)

@@ -136,9 +136,8 @@ class Attention:
         dx = dh
         dx += self._product("x2", back, np.ascontiguousarray(into.T))
         g["pos"] = dx.sum(0)
-        dx, n = dx.reshape(-1, width), len(p["e1"])
-        by = _sums(np.concatenate([dx, dx]), np.concatenate([x1.ravel(), x2.ravel() + n]), n + len(p["e2"]))
-        g["e1"], g["e2"] = by[:n], by[n:]
+        dx = dx.reshape(-1, width)
+        g["e1"], g["e2"] = _sums(dx, x1.ravel(), len(p["e1"])), _sums(dx, x2.ravel(), len(p["e2"]))
         self.steps += 1
         fix = np.sqrt(1 - 0.999 ** self.steps) / (1 - 0.9 ** self.steps)
         grad = np.concatenate([g[name].ravel() for name in self.places])
@@ -156,6 +155,8 @@ def _small(x: np.ndarray) -> bool:
 
 def _outer(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """The sum over all positions of the products of their rows."""
+    rows = 128 if left.shape[0] * left.shape[1] % 128 == 0 else left.shape[1]
+    left, right = left.reshape(-1, rows, left.shape[-1]), right.reshape(-1, rows, right.shape[-1])
     return np.matmul(left.transpose(0, 2, 1), right).sum(0)
 
 
@@ -168,7 +169,7 @@ def _sums(rows: np.ndarray, classes: np.ndarray, n: int) -> np.ndarray:
     """The sum of the rows of each class."""
     order = np.argsort(classes, kind="stable")
     classes = classes[order]
-    starts = np.flatnonzero(np.diff(classes, prepend=-1))
+    starts = np.concatenate([[0], np.flatnonzero(classes[1:] != classes[:-1]) + 1])
     out = np.zeros((n, rows.shape[1]), F32)
     out[classes[starts]] = np.add.reduceat(np.take(rows, order, axis=0), starts, axis=0)
     return out

@@ -419,9 +419,10 @@ def score(spark: SparkSession, docs: DataFrame, tokenizer: str = TOKENIZER, broa
     def frequent(column: str, n: int) -> list[int]:
         return [r[0] for r in vocabulary.groupBy(column).agg(F.sum("c").alias("c")).orderBy(F.desc("c"), column).limit(n).collect()]
 
-    classes = Classes(frequent("first", CLASSES - 2), frequent("last", LAST_CLASSES - 2))
+    firsts = frequent("first", CLASSES - 2)
+    classes = Classes(firsts, frequent("last", LAST_CLASSES - 2))
     # tokens and distinct words of each class: the rare ids share class 1
-    by_first = vocabulary.groupBy(F.when(F.col("first").isin(frequent("first", CLASSES - 2)), F.col("first")).alias("first")).agg(
+    by_first = vocabulary.groupBy(F.when(F.col("first").isin(firsts), F.col("first")).alias("first")).agg(
         F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()
     n_class, v_class = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in by_first:
