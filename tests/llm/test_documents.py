@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.ml.feature import CountVectorizerModel
 
 from tests.conftest import SF_SMALL
 from vulnlake.llm import attention, decontaminate, html, licences, lm, mixing, quality, sharding, toxicity
@@ -330,6 +331,25 @@ def test_licence_families_and_unknown(spark, make_docs, words):
     assert licences.scan(spark, make_docs([]), scanner).count() == 0
 
 
+def test_all_paragraphs_without_a_licence_word_train_the_unknown_class(spark, make_docs, words):
+    """Every line of every document, also of more than any sample holds; equal vectors are counted, copies of a row too."""
+    rows = [(k, "\n".join(f"{words(3, 20 * k + j)} the terms" if j % 2 else f"use of the work {j}" for j in range(20))) for k in range(450)]
+    rows += [(1000, "Licensed under the MIT License.\n\nfree software"), (1001, None), (None, "free software"), (None, "free software"), (1002, "")]
+    vectorizer = CountVectorizerModel.from_vocabulary(licences._vocabulary(), inputCol="grams", outputCol="features")
+    found = licences.unknown_vectors(spark, make_docs(rows), vectorizer.setBinary(True)).collect()
+    assert sum(r.n for r in found) == 9_003 and {r.half for r in found} == {0, 1}
+    assert len(found) <= 2 * len({tuple(r.features.indices) for r in found})
+    free = sorted(vectorizer.vocabulary.index(x) for x in ("free", "software", "free software"))
+    assert sum(r.n for r in found if list(r.features.indices) == free) == 3
+
+
+def test_the_cheap_strings_of_licence_words_miss_none(spark):
+    texts = ["LICENCE", "a Licensee", "CopyRight", "COPYLEFT", "spdx-id", "warranty", "Redistribution", "public  domain", "Public Domain", "All rights reserved", "permissions", "GNU's",
+             "gnus", "Creative Commons", "cc0", "acc0", "CC BY", "cc-by-4", "accby", "AGPL", "lgplv3", "egpl", "Proprietary", "unauthorised copying", "Unauthorized Copying", "İ licensé", "ſpdx", "plain"]
+    rows = licences.read(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.body: r.anchored for r in rows} == {x: bool(re.search(licences.ANCHORS[4:], x, re.I | re.A)) for x in texts}
+
+
 # ---------------------------------------------------------------- language model
 
 def test_every_training_token_is_in_one_window(spark, make_docs):
