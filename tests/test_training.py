@@ -183,6 +183,37 @@ def test_boosting_equals_a_plain_booster(spark, prepared, monkeypatch):
             assert got[r.doc_id] == pytest.approx(list(w), abs=1e-9)
 
 
+def test_blocks_are_written_once_and_hold_what_is_not_zero(spark, prepared, monkeypatch):
+    """Margins are carried on without writing the features again; the sums of sparse blocks are those of all cells."""
+    tables, keep = [], boosting.written
+    monkeypatch.setattr(boosting, "written", lambda s, df, name: tables.append(keep(s, df, name)) or tables[-1])
+    monkeypatch.setattr(boosting, "REWRITE", 2)
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 7)
+    b = boosting.Booster(spark, prepared, [1, 2], 4, rounds=5)
+    assert len(tables) == 1 and b.done == 4
+    for fold in (1, 2):
+        zero, edges = b.zeros[fold], b.edges[fold]
+        rows = [r.features.toArray() for r in prepared.features(fold).where(F.col("fold") != fold).collect()]
+        full = boosting.binned(np.array(rows), edges)
+        blocks = [r for r in tables[0].collect() if r.fold == fold]
+        assert sum(len(r.y) for r in blocks) == len(rows) and max(len(r.y) for r in blocks) <= 7
+        assert sum(len(r.row) // 2 for r in blocks) == (full != zero).sum()
+    rng = np.random.default_rng(1)
+    x, zero = rng.integers(0, 4, (30, 6)).astype(np.uint8), np.array([0, 0, 1, 0, 2, 3])
+    row, feature = np.nonzero(x != zero)
+    block = boosting.Block(1, feature * boosting.BINS + x[row, feature], row, np.zeros(30), np.zeros((30, 2)))
+    targets, node = rng.normal(size=(2, 30)), rng.integers(0, 2, (2, 30))
+    assert (block.some(np.array([1, 4]), zero) == x[:, [1, 4]].T).all()
+    sums, whole = boosting.level_sums(block, 6 * boosting.BINS, targets, node, 2, 3)
+    for k in range(2):
+        for n in range(2):
+            got = boosting.filled(sums[:, k, n].reshape(3, 6, boosting.BINS), zero, whole[k, n])
+            for f in range(6):
+                for cut in range(4):
+                    t = targets[k, (x[:, f] == cut) & (node[k] == n)]
+                    assert got[f, cut] == pytest.approx([t.sum(), len(t), (np.abs(t) * (1 - np.abs(t))).sum()], abs=1e-12)
+
+
 def test_bin_edges():
     x = np.array([[0.0, 1.0], [0.0, 1.0], [0.5, 1.0], [2.0, 1.0]])
     e = boosting.edges_of(x)
